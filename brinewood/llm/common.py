@@ -17,15 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) one below the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
 
-    Only where that setting is absent (tests, a laptop) a folder below the warehouse is taken.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or spark.conf.get("spark.sql.warehouse.dir") + "/_shared")
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage by a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

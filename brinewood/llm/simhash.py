@@ -55,13 +55,13 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(_BIT[counts * 2 > n].sum())
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, text_hash and fp (the fingerprint as a signed long) of every document."""
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().cast("binary").alias("text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t.as_py()) for t in b.column("text")), np.uint64, b.num_rows).view(np.int64)
+            fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column("text")), np.uint64, b.num_rows).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fp)], ["doc_id", "text_hash", "fp"])
 
     id_type = dict(rows.dtypes)["doc_id"]
@@ -283,16 +283,16 @@ def classes(narrow: DataFrame, budget: int = 3) -> DataFrame:
     return tagged.select("fp", "root").join(lead, "root").select("fp", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("component_text"))
 
 
-def near_duplicates(docs: DataFrame, budget: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, budget: int = 3, shingle: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
-    narrow = cut(fingerprints(docs))
+    narrow = cut(fingerprints(docs, shingle))
     out = narrow.join(classes(narrow, budget), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, budget: int = 3) -> DataFrame:
+def dedup(docs: DataFrame, budget: int = 3, shingle: int = 3) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id, then text hash, stays."""
-    narrow = cut(fingerprints(docs))
+    narrow = cut(fingerprints(docs, shingle))
     kept = cut(classes(narrow, budget).select("component_id", "component_text").distinct())
     a, b, h = without(docs.columns, "kept_id", "kept_text", "text_hash")
     rows = docs.withColumn(h, F.xxhash64(text_of()))
