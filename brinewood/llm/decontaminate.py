@@ -80,7 +80,7 @@ def windows(rows: DataFrame, size: int) -> DataFrame:
     rows = rows.withColumn("w", words(F.col("text"))).drop("text")
     rows = rows.withColumn("filled", F.exists("w", lambda x: x.startswith(_MARK) | x.rlike(r"^\p{N}")))
     rows = rows.withColumn("t", F.when(F.col("filled"), template()))
-    rows = rows.withColumn("p", F.when(F.col("filled"), F.transform("w", lambda x: F.ltrim(F.lit(_MARK), x))).otherwise(F.col("w")))
+    rows = rows.withColumn("p", F.when(F.col("filled"), F.transform("w", lambda x: F.ltrim(x, F.lit(_MARK)))).otherwise(F.col("w")))
     hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x))
     rows = rows.withColumns({"hp": hashed("p"), "ht": F.when(F.col("filled"), hashed("t"))})
     every = F.array(_windows("hp", size, None), F.when(F.col("filled"), _windows("ht", size, "p")))
