@@ -1,4 +1,6 @@
 """The table of named queries over the reference tables, and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from brinewood.plans import list_queries, report_queries, search_queries  # noqa: F401  (imports register queries)
+from brinewood.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
