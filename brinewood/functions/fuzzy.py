@@ -10,9 +10,10 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ro_ratio(observed: pd.Series, known: pd.Series) -> pd.Series:
     """2 * matched / total length; null if a side is null. The measure isn't symmetric: the observed text comes first."""
     none = observed.isna() | known.isna()
@@ -24,7 +25,7 @@ def may_reach(a: Column, b: Column, floor: float) -> Column:
     return 2 * F.least(F.length(a), F.length(b)) >= F.lit(floor) * (F.length(a) + F.length(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def character_error_rate(observed: pd.Series, truth: pd.Series) -> pd.Series:
     """1 - matched characters over the longer length; an empty truth gives 0 for an empty reading, else 1."""
 
@@ -38,7 +39,7 @@ def character_error_rate(observed: pd.Series, truth: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(observed, truth, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def token_alternatives(readings: pd.Series) -> pd.Series:
     """For each word of the first reading, the words other readings have in its place; first of all the word itself."""
 

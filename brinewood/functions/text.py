@@ -119,13 +119,13 @@ def strip_ordinal(c: Column) -> Column:
 def surname(c: Column) -> Column:
     """All words but the last; a single word is a surname; null for a blank text."""
     w = F.split(squeeze(F.coalesce(c, F.lit(""))), " ")
-    return F.when(squeeze(c) == "", None).when(F.size(w) == 1, F.element_at(w, 1)).otherwise(F.array_join(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(1))), " "))
+    return F.when(squeeze(F.coalesce(c, F.lit(""))) == "", None).when(F.size(w) == 1, F.element_at(w, 1)).otherwise(F.array_join(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(1))), " "))
 
 
 def given_name(c: Column) -> Column:
     """The last word; empty for a single word; null for a blank text."""
     w = F.split(squeeze(F.coalesce(c, F.lit(""))), " ")
-    return F.when(squeeze(c) == "", None).when(F.size(w) == 1, F.lit("")).otherwise(F.element_at(w, -1))
+    return F.when(squeeze(F.coalesce(c, F.lit(""))) == "", None).when(F.size(w) == 1, F.lit("")).otherwise(F.element_at(w, -1))
 
 
 def row_text(ditto: Column, raw: Column, surname_: Column, given: Column) -> Column:

@@ -33,7 +33,7 @@ def value_beside(lines: DataFrame, key: list[str], label: str, is_label: Column)
     hit = rows.where(F.col("line").rlike(label))
     tail = F.nullif(F.trim(F.regexp_extract("line", label, 1)), F.lit(""))
     value = F.coalesce(tail, F.col("_above"), F.col("_below"))
-    return hit.groupBy(*key).agg(F.min_by(F.struct(value.alias("value")), "pos").alias("v")).select(*key, F.col("v.value").alias("value"))
+    return hit.groupBy(*key).agg(F.min_by(F.struct(value.alias("value")), "pos").alias("_v")).select(*key, F.col("_v.value").alias("value"))
 
 
 def first_line(lines: DataFrame, key: list[str], wanted: Column, within: int | None = None) -> DataFrame:
@@ -74,7 +74,7 @@ def dateline(lines: DataFrame, key: list[str], months: dict[str, int]) -> DataFr
     hit = hit.withColumn("month", F.element_at(table, F.regexp_extract("_low", rf"\b({names})\b", 1)))
     hit = hit.withColumn("day", number(F.regexp_extract("_low", rf"\b(\d{{1,2}})\s+(?:de\s+|do\s+|of\s+)?(?:{names})\b", 1)))
     hit = hit.withColumn("year", plausible_year(number(F.regexp_extract("_near", r"\b(\d{4})\b", 1)), 1600, 2029))
-    best = hit.groupBy(*key).agg(F.min_by(F.struct("day", "month", "year"), "pos").alias("d")).select(*key, "d.*")
+    best = hit.groupBy(*key).agg(F.min_by(F.struct("day", "month", "year"), "pos").alias("_d")).select(*key, "_d.*")
     whole = F.col("day").between(1, 31) & F.col("year").isNotNull()
     return best.withColumn("arrival", F.when(whole, F.format_string("%04d-%02d-%02d", "year", "month", "day")))
 

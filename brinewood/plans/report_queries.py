@@ -155,11 +155,11 @@ def pitch_median(events: DataFrame) -> DataFrame:
 _COMB = "o AS (SELECT l_orderkey AS k, l_linenumber * 20 + l_linenumber % 2 AS y FROM lineitem WHERE l_linenumber <> 3)"
 
 
-@query("lineitem", sql=f"WITH {_COMB}, g AS (SELECT *, CAST(y - lag(y) OVER (PARTITION BY k ORDER BY y) AS DOUBLE) AS gap FROM o), p AS (SELECT k, quantile_cont(gap, 0.5) AS pitch FROM g WHERE gap IS NOT NULL GROUP BY k), s AS (SELECT g.k, y, gap, coalesce(round(gap / pitch), 0) AS steps, pitch FROM g JOIN p USING (k) WHERE pitch > 0), t AS (SELECT *, sum(steps) OVER (PARTITION BY k ORDER BY y) AS tooth, abs(gap / pitch - steps) AS off FROM s), f AS (SELECT k, regr_slope(y, tooth) AS slope, regr_intercept(y, tooth) AS intercept, CAST(max(tooth) + 1 AS BIGINT) AS n_teeth, count(*) AS n_seen, quantile_cont(off, 0.5) AS off, max(steps) AS widest FROM t GROUP BY k) SELECT k, round(slope, 4) AS slope, round(intercept, 4) AS intercept, n_teeth, n_seen FROM f WHERE off <= 0.15 AND widest <= 6 AND n_seen >= n_teeth * 0.5")
+@query("lineitem", sql=f"WITH {_COMB}, g AS (SELECT *, CAST(y - lag(y) OVER (PARTITION BY k ORDER BY y) AS DOUBLE) AS gap FROM o), p AS (SELECT k, quantile_cont(gap, 0.5) AS pitch FROM g WHERE gap IS NOT NULL GROUP BY k), s AS (SELECT g.k, y, gap, coalesce(round(gap / pitch), 0) AS steps, pitch FROM g JOIN p USING (k) WHERE pitch > 0), t AS (SELECT *, sum(steps) OVER (PARTITION BY k ORDER BY y) AS tooth, abs(gap / pitch - steps) AS off FROM s), f AS (SELECT k, regr_slope(y, tooth) AS slope, regr_intercept(y, tooth) AS intercept, CAST(max(tooth) + 1 AS BIGINT) AS n_teeth, count(*) AS n_seen, quantile_cont(off, 0.5) AS off, max(steps) AS widest FROM t GROUP BY k) SELECT k, round(slope, 6) AS slope, round(intercept, 6) AS intercept, n_teeth, n_seen FROM f WHERE off <= 0.15 AND widest <= 6 AND n_seen >= n_teeth * 0.5")
 def comb_fit(lineitem: DataFrame) -> DataFrame:
     """Lines of an order stand at even distances, and the third is missing."""
     rows = lineitem.where("l_linenumber <> 3").select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") * 20 + F.col("l_linenumber") % 2).alias("y"))
-    return layout.comb_fit(rows, ["k"], "y").select("k", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), "n_teeth", "n_seen")
+    return layout.comb_fit(rows, ["k"], "y").select("k", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"), "n_teeth", "n_seen")
 
 
 @query("lineitem", sql="WITH h AS (SELECT l_returnflag, CAST(l_quantity AS INTEGER) AS level, count(*) AS n FROM lineitem GROUP BY ALL), c AS (SELECT *, CAST(sum(n) OVER w AS DOUBLE) AS a, sum(level * n) OVER w AS s, CAST(sum(n) OVER p AS DOUBLE) AS ta, sum(level * n) OVER p AS ts FROM h WINDOW w AS (PARTITION BY l_returnflag ORDER BY level), p AS (PARTITION BY l_returnflag)), v AS (SELECT l_returnflag, level, round(a * (ta - a) * pow(s / a - (ts - s) / (ta - a), 2), 6) AS v FROM c WHERE a > 0 AND ta - a > 0) SELECT l_returnflag, arg_max(level, (v, -level)) AS threshold FROM v GROUP BY l_returnflag")
