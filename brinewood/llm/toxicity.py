@@ -90,16 +90,19 @@ class Linear:
         return float(1.0 / (1.0 + np.exp(-min(max(z, -700.0), 700.0))))
 
 
-def _matrix(rows: list[tuple[list[int], list[float]]], index: dict[int, int]):
-    """Compressed rows: begin, column, value. A feature has two columns: presence, then rate."""
-    begin, d = np.zeros(len(rows) + 1, np.int64), len(index)
+Row = tuple[np.ndarray, np.ndarray]  #: features of a text, and their rates
+
+
+def _matrix(rows: list[Row], chosen: np.ndarray):
+    """Compressed rows: begin, column, value. A feature of the sorted ``chosen`` has two columns: presence, then rate."""
+    begin, d = np.zeros(len(rows) + 1, np.int64), len(chosen)
     cols, vals = [np.zeros(0, np.int64)], [np.zeros(0)]
     for i, (k, v) in enumerate(rows):
-        own = [(index[a], b) for a, b in zip(k, v, strict=True) if a in index]
-        at, rate = np.array([a for a, _ in own], np.int64), np.array([b for _, b in own], np.float64)
-        begin[i + 1] = begin[i] + 2 * len(own)
-        cols += [at, at + d]
-        vals += [np.ones(len(own)), rate]
+        at = np.minimum(np.searchsorted(chosen, k), d - 1)
+        own = chosen[at] == k
+        begin[i + 1] = begin[i] + 2 * own.sum()
+        cols += [at[own], at[own] + d]
+        vals += [np.ones(own.sum()), v[own]]
     return begin, np.concatenate(cols), np.concatenate(vals)
 
 
@@ -162,14 +165,21 @@ def fit_nnpu(p: _Rows, u: _Rows, d: int, prior: float, epochs: int = 60, rate: f
     return theta
 
 
-def _collected(rows: DataFrame, only: frozenset[int] | None, most: int) -> list[tuple[list[int], list[float]]]:
+def _collected(rows: DataFrame, only: frozenset[int] | None, most: int) -> list[Row]:
+    """Features of at most ``most`` texts, as arrays of 12 bytes a feature."""
+
     @F.pandas_udf("struct<k: array<long>, v: array<float>>")
     def of(text: pd.Series) -> pd.DataFrame:
         got = [rates(t, only) for t in text]
         return pd.DataFrame({"k": [np.array(k, np.int64) for k, _ in got], "v": [np.array(v, np.float32) for _, v in got]})
 
-    out = rows.select("doc_id", of(F.col("text").cast("string")).alias("x")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toPandas()
-    return [(list(x["k"]), list(x["v"])) for x in out["x"]]
+    picked = rows.select("doc_id", of(F.col("text").cast("string")).alias("x")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    out: list[Row] = []
+    for part in picked.select("x.k", "x.v").toArrow().to_batches():
+        ends = np.cumsum(part.column("k").value_lengths().to_numpy(zero_copy_only=False))[:-1]
+        k, v = (np.split(part.column(c).flatten().to_numpy(zero_copy_only=False), ends) for c in ("k", "v"))
+        out += [(a.astype(np.int64), b.astype(np.float32)) for a, b in zip(k, v, strict=True)] if part.num_rows else []
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Linear:
@@ -183,44 +193,46 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positi
     if not p:
         return Linear(-700.0, {}, {})
     p = _distinct(p)
-    seen = Counter(k for ks, _ in p for k in ks)
-    candidates = [k for k, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n >= 3][:CANDIDATES]
+    keys, in_p = np.unique(np.concatenate([k for k, _ in p]), return_counts=True)
+    often = np.flatnonzero(in_p >= 3)
+    often = np.sort(often[np.argsort(-in_p[often], kind="stable")[:CANDIDATES]])
+    keys, in_p = keys[often], in_p[often]
     ids = docs.where(fold & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled).distinct()
     free = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id")  # at most ``unlabelled`` ids
-    u = _distinct(_collected(free, frozenset(candidates), unlabelled))
-    chosen = _telling(candidates, seen, len(p), Counter(k for ks, _ in u for k in ks), len(u))
-    if not chosen:
+    u = _distinct(_collected(free, frozenset(keys.tolist()), unlabelled))
+    in_u = np.bincount(np.searchsorted(keys, np.concatenate([k for k, _ in u])), minlength=len(keys)) if u and len(keys) else np.zeros(len(keys))
+    chosen = keys[_telling(in_p, len(p), in_u, len(u))]
+    if not len(chosen):
         return Linear(float(np.log(prior / (1 - prior))), {}, {})
-    index = {k: i for i, k in enumerate(chosen)}
     d = len(chosen)
-    theta = fit_nnpu(_Rows(_matrix(p, index)), _Rows(_matrix(u, index)), 2 * d, prior)
-    present, rate = ({k: float(theta[i + at]) for k, i in index.items() if theta[i + at]} for at in (0, d))
+    theta = fit_nnpu(_Rows(_matrix(p, chosen)), _Rows(_matrix(u, chosen)), 2 * d, prior)
+    present, rate = ({int(k): float(x) for k, x in zip(chosen, theta[at : at + d], strict=True) if x} for at in (0, d))
     return Linear(float(theta[-1]), present, rate)
 
 
-def _distinct(rows: list[tuple[list[int], list[float]]], sketch: int = 16, same: int = 8) -> list[tuple[list[int], list[float]]]:
+def _distinct(rows: list[Row], sketch: int = 16, same: int = 14) -> list[Row]:
     """Rows without near copies: those of whose ``sketch`` smallest feature hashes an earlier row has ``same`` go."""
     seen: dict[int, list[int]] = {}
     out = []
     for i, (k, v) in enumerate(rows):
-        low = sorted(k)[:sketch]
+        low = np.sort(k)[:sketch].tolist()
         shared = Counter(j for x in low for j in seen.get(x, ()))
-        if not low or not shared or max(shared.values()) < min(same, len(low)):
+        if not shared or max(shared.values()) < min(same, len(low)):
             out.append((k, v))
             for x in low:
                 seen.setdefault(x, []).append(i)
     return out
 
 
-def _telling(candidates: list[int], in_p: Counter, n_p: int, in_u: Counter, n_u: int) -> list[int]:
-    """Candidates that more of P than of U have, by a sufficient log-likelihood ratio, the best first."""
-    a, b = (np.array([c[k] for k in candidates], np.float64) for c in (in_p, in_u))
-    both = (a + b) / (n_p + n_u)
+def _telling(in_p: np.ndarray, n_p: int, in_u: np.ndarray, n_u: int) -> np.ndarray:
+    """Places of the features that more of P than of U have, by a sufficient log-likelihood ratio; in order, the best ``MOST_FEATURES``."""
+    a, b = in_p.astype(float), in_u.astype(float)
+    both = (a + b) / max(1, n_p + n_u)
     term = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(e, 1e-9)), 0.0)
     ratio = term(a, n_p * both) + term(b, n_u * both) + term(n_p - a, n_p * (1 - both)) + term(n_u - b, n_u * (1 - both))
     ratio = np.where(a * n_u > b * n_p, ratio, 0.0)
-    order = np.argsort(-ratio, kind="stable")[:MOST_FEATURES]
-    return [candidates[i] for i in order if ratio[i] >= LEAST_RATIO + RATIO_EACH * n_p]
+    best = np.argsort(-ratio, kind="stable")[:MOST_FEATURES]
+    return np.sort(best[ratio[best] >= LEAST_RATIO + RATIO_EACH * n_p])
 
 
 def score_column(model: Linear):
