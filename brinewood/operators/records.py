@@ -97,3 +97,70 @@ def flagged_next(rows: DataFrame, group: list[str], order: str, flag: Column) ->
     """``rows`` with the position of the next flagged row after each."""
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
     return rows.withColumn("next_flagged", F.min(F.when(flag, F.col(order))).over(w))
+
+
+#: Fixed value: pages whose text is worth reading.
+TEXT_PAGES = 4
+
+
+def is_complete(voyage: Column) -> Column:
+    """Whether a record says all that ends the reading of further pages: a ship, and a date or a year."""
+    some = lambda c: F.coalesce(c.cast("string"), F.lit("")) != ""
+    return some(voyage["ship"]) & (some(voyage["arrival"]) | (F.coalesce(voyage["year"], F.lit(0)) != 0))
+
+
+def text_wanted(page: Column, has_notation: Column, has_voyage: Column, limit: int = TEXT_PAGES) -> Column:
+    """Whether a page's text is to be read: the cover for a notation, the first pages for a voyage."""
+    return ((page == 1) & ~has_notation) | ((page <= limit) & ~has_voyage)
+
+
+def page_kind(page: Column) -> Column:
+    return F.when(page == 1, F.lit("cover")).otherwise(F.lit("list"))
+
+
+def pages_wanting_geometry(records: DataFrame, key: str = "hash") -> DataFrame:
+    """key, page: pages that own rows, exist, and have no measured bands."""
+    rows = records.select(key, F.explode("rows.page").alias("page")).where("page is not null").distinct()
+    bare = records.select(key, F.explode("pages").alias("p")).where(F.coalesce(F.size("p.geometry.rows"), F.lit(0)) <= 0)
+    return rows.join(bare.select(key, F.col("p.n").alias("page")).distinct(), [key, "page"])
+
+
+def rows_from_bands(bands: DataFrame, readings: DataFrame, key: list[str]) -> DataFrame:
+    """One row per band (key, n): its reading and confidence, or an empty reading of confidence 0 that keeps its number."""
+    both = bands.join(readings.select(*key, "n", F.col("text").alias("_t"), F.col("confidence").alias("_c")), [*key, "n"], "left")
+    return both.withColumn("name_raw", F.coalesce("_t", F.lit(""))).withColumn("conf", F.when(F.coalesce("_t", F.lit("")) == "", F.lit(0.0)).otherwise(F.col("_c"))).drop("_t", "_c")
+
+
+def richer(first: DataFrame, second: DataFrame, page: list[str], text: str) -> DataFrame:
+    """The rows of the second reading for pages where it names strictly more rows, else those of the first."""
+    filled = F.count_if(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
+    a, b = first.groupBy(*page).agg(filled.alias("_a")), second.groupBy(*page).agg(filled.alias("_b"))
+    better = b.join(a, page, "left").where(F.col("_b") > F.coalesce("_a", F.lit(0))).select(*page)
+    return first.join(better, page, "left_anti").unionByName(second.join(better, page, "left_semi"))
+
+
+def find_in_document(rows: DataFrame, query: str, columns: list[str], floor: float = 0.4, variants: dict[str, list[str]] | None = None) -> DataFrame:
+    """Rows of which a word of one of ``columns`` is like the query, or like one of its known variants.
+
+    Words are as like as their trigrams; the scope is the columns given.
+    """
+    from brinewood.functions.text import fold, similarity
+
+    asked = [query, *((variants or {}).get(query.lower(), []))]
+
+    def like(words: Column, q: str) -> Column:
+        return F.exists(words, lambda w: (F.length(w) > 0) & (similarity(w, fold(F.lit(q))) >= floor))
+
+    hit = F.lit(False)
+    for c in columns:
+        words = F.split(fold(F.coalesce(F.col(c), F.lit(""))), r"[^\p{L}\p{N}]+")
+        for q in asked:
+            hit = hit | like(words, q)
+    return rows.where(hit)
+
+
+def widest_pair(columns: Column) -> Column:
+    """The widest gap between adjacent column edges: where names stand."""
+    pairs = F.transform(F.sequence(F.lit(0), F.size(columns) - 2), lambda i: F.struct((F.get(columns, i + 1) - F.get(columns, i)).alias("width"), (-i).alias("at")))
+    best = F.array_max(pairs)
+    return F.when(F.size(columns) >= 2, F.array(F.get(columns, -best["at"]), F.get(columns, 1 - best["at"])))

@@ -276,3 +276,37 @@ def heading_filter(docs: DataFrame) -> DataFrame:
 def cer_lev(bench: DataFrame) -> DataFrame:
     folded = bench.select("item_id", t.fold(F.col("text")).alias("f"))
     return folded.select("item_id", F.round(evaluate.lev_error_rate(F.expr("substring(f, 2)"), F.col("f")), 6).alias("cer"))
+
+
+_TITLE = "'relação de passageiros do vapor ' || p_name || CASE WHEN p_size % 2 = 0 THEN ' (rv ' || p_size || ')' ELSE '' END || CASE WHEN p_size % 3 = 0 THEN ' - ver br an,rio ol.0.rpv, prj.' || p_partkey ELSE '' END || '. - Dossiê'"
+
+
+@query("part", sql="SELECT p_partkey, p_name AS ship, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) END AS rv, CASE WHEN p_size % 3 = 0 THEN 'OL.PRJ.' || p_partkey END AS see_also FROM part")
+def catalog_titles(part: DataFrame) -> DataFrame:
+    """Ship, number and cross-reference out of catalogue titles."""
+    got = catalog.title_parts(F.expr(_TITLE))
+    see = got["see_also"]
+    return part.select("p_partkey", got["ship"].alias("ship"), got["rv"].alias("rv"), F.when(see.isNotNull(), F.concat_ws(".", see["fundo"], see["series"], see["index"])).alias("see_also"))
+
+
+@query("part", sql="SELECT p_partkey, CASE WHEN p_size % 3 <> 2 THEN 'BS.ENT.' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') END AS notation, CASE p_size % 3 WHEN 0 THEN 'cover' WHEN 1 THEN 'filename' ELSE 'unknown' END AS identified_by FROM part")
+def document_identity(part: DataFrame) -> DataFrame:
+    """A document's notation from its cover, else its file name."""
+    number = F.lpad(F.col("p_partkey").cast("string"), 6, F.lit("0"))
+    file = F.when(F.col("p_size") % 3 != 2, F.concat(F.lit("br_rjanrio_bs_0_rpv_ent_"), number, F.lit("_d0001de0001.pdf"))).otherwise(F.lit("scan.pdf"))
+    cover = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("NOTAÇÃO: BR.AN.RIO.BS.0.RPV.ENT. "), number))
+    got = catalog.identify(file, cover, F.sha2("p_name", 256))
+    return part.select("p_partkey", got["notation"].alias("notation"), got["identified_by"].alias("identified_by"))
+
+
+@query("part")
+def find_fuzzy(part: DataFrame) -> DataFrame:
+    """Parts of which a word of the name is like a misspelt one, or like its known variant."""
+    return records.find_in_document(part.select("p_partkey", "p_name", "p_type"), "gezr", ["p_name"], 0.3, {"gezr": ["gear"]}).select("p_partkey", "p_name")
+
+
+@query("orders", sql="SELECT o_orderkey, (k = 1 AND o_orderkey % 2 = 0) OR (k <= 4 AND o_orderkey % 3 = 0) AS wanted, CASE WHEN k = 1 THEN 'cover' ELSE 'list' END AS kind FROM (SELECT o_orderkey, o_orderkey % 7 + 1 AS k FROM orders)")
+def page_pruning(orders: DataFrame) -> DataFrame:
+    page = F.col("o_orderkey") % 7 + 1
+    wanted = records.text_wanted(page, F.col("o_orderkey") % 2 != 0, F.col("o_orderkey") % 3 != 0)
+    return orders.select("o_orderkey", wanted.alias("wanted"), records.page_kind(page).alias("kind"))

@@ -133,3 +133,32 @@ def test_incremental_stream(spark, tmp_path):
     rows.write.mode("append").parquet(src)
     index_folder(spark, src, rows.schema, work, out, ck, errors=str(tmp_path / "err")).awaitTermination()
     assert spark.read.parquet(out).count() == 2
+
+
+def test_identity_titles_and_addresses(spark):
+    rows = spark.createDataFrame([("BR_RJANRIO_BS_0_RPV_ENT_017397_d0001.pdf", None), ("x.pdf", "NOTAÇÃO: BR.AN.RIO.OL.0.RPV.PRJ. 15992"), ("x.pdf", None)], "f string, c string")
+    got = catalog.identify(F.col("f"), F.col("c"), F.lit("0123456789"))
+    assert [tuple(r) for r in rows.select(*[v.alias(k) for k, v in got.items()]).collect()] == [
+        ("BS.ENT.017397", "filename", "BS.ENT.017397"), ("OL.PRJ.15992", "cover", "OL.PRJ.15992"), (None, "unknown", "sem notação (01234567)"),
+    ]
+    titles = spark.createDataFrame([("relação de passageiros do vapor itaquera. - Dossiê",), ("vapor x (rv 12) - ver br an,rio ol.0.rpv, prj.18784",), ("cover - Item",), (None,)], "t string")
+    parts = catalog.title_parts(F.col("t"))
+    got = titles.select(*[v.alias(k) for k, v in parts.items()]).collect()
+    assert [r.ship for r in got] == ["itaquera", "x", None, None] and got[1].rv == "12" and tuple(got[1].see_also) == ("OL", "PRJ", "18784")
+    at = catalog.address(F.lit("b"), F.lit("BS"), F.lit("ENT"), F.lit("7A"), F.lit(6), F.lit(1), F.lit(2))
+    assert spark.range(1).select(at.alias("x")).first().x == "b/BR_RJANRIO_BS/0/RPV/ENT/000007A/BR_RJANRIO_BS_0_RPV_ENT_000007A_d0001de0002.pdf"
+
+
+def test_find_richer_bands_and_columns(spark):
+    rows = spark.createDataFrame([(1, "VAZQUEZ", "JOHN"), (2, "VASQUEZ", "ANA"), (3, "ROCA", "PAULO")], "n int, surname string, given string")
+    assert {r.n for r in records.find_in_document(rows, "vasquez", ["surname"]).collect()} == {1, 2}
+    assert {r.n for r in records.find_in_document(rows, "joao", ["given"], 0.6, {"joao": ["john"]}).collect()} == {1}
+    assert records.find_in_document(rows, "paulo", ["surname"]).count() == 0
+    a = spark.createDataFrame([(1, 1, ""), (1, 2, "x"), (2, 1, "y")], "p int, n int, t string")
+    b = spark.createDataFrame([(1, 1, "z"), (1, 2, "x"), (2, 1, "q")], "p int, n int, t string")
+    assert sorted(r.t for r in records.richer(a, b, ["p"], "t").collect()) == ["x", "y", "z"]
+    bands = spark.createDataFrame([(1, 1), (1, 2)], "p int, n int")
+    read = spark.createDataFrame([(1, 2, "Silva", 0.9)], "p int, n int, text string, confidence double")
+    assert [(r.n, r.name_raw, r.conf) for r in records.rows_from_bands(bands, read, ["p"]).orderBy("n").collect()] == [(1, "", 0.0), (2, "Silva", 0.9)]
+    cols = F.array(*[F.lit(x) for x in (0.0, 0.1, 0.5, 0.6)])
+    assert spark.range(1).select(records.widest_pair(cols).alias("x")).first().x == [0.1, 0.5]
