@@ -7,9 +7,12 @@ counting shared grams gives the exact Jaccard value without holding any set in m
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brinewood.functions.fuzzy import gram_count
 from brinewood.functions.text import fold
 
 #: Fixed values.
@@ -68,20 +71,22 @@ def search_lines(lines: DataFrame, query: str, key: list[str], limit: int | None
 def scored_lines(lines: DataFrame, query: str, key: list[str], floor: float = MIN_SCORE, text: str = "folded") -> DataFrame:
     """key, name_score of the rows at or above the floor against one query: a scan without any shuffle.
 
-    Characters are split once, so that grams of a long line cost its length. The outer explode of one element keeps
-    the filter from being pushed below, where the grams would be made anew for each place.
+    How many of the query's grams a row holds is counted in generated code. A row has at least those grams itself, so its
+    score is at most that number over the query's; rows below the floor by that bound never get their own grams counted.
     """
     folded = lines.sparkSession.range(1).select(folded_query(query).alias("q")).first().q
     if len(folded) < MIN_QUERY:
         return lines.select(*key, F.lit(0.0).alias("name_score")).where(F.lit(False))
     padded = f"  {folded} "
-    wanted = F.array(*[F.lit(g) for g in dict.fromkeys(padded[i : i + 3] for i in range(len(padded) - 2))])
-    chars = lines.select(*key, F.split(F.concat(F.lit("  "), F.col(text), F.lit(" ")), "").alias("c"), F.length(text).alias("n"))
-    each = F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.concat(F.get("c", i), F.get("c", i + 1), F.get("c", i + 2)))
-    sets = chars.select(*key, F.array_distinct(each).alias("g"))
-    both = F.size(F.array_intersect("g", wanted))
-    score = both / (F.size("g") + F.size(wanted) - both)
-    return sets.select(*key, F.explode_outer(F.array(score)).alias("name_score")).where(F.col("name_score") >= floor)
+    wanted = list(dict.fromkeys(padded[i : i + 3] for i in range(len(padded) - 2)))
+    # The outer explode of one element keeps the filter above from being pushed below, where folding would run once per gram.
+    rows = lines.select(*key, F.explode_outer(F.array(F.concat(F.lit("  "), F.col(text), F.lit(" ")))).alias("_padded"))
+    held = F.contains(F.col("_padded"), F.lit(wanted[0])).cast("int")
+    for g in wanted[1:]:
+        held = held + F.contains(F.col("_padded"), F.lit(g)).cast("int")
+    rows = rows.withColumn("_both", held).where(F.col("_both") >= max(1, math.ceil(floor * len(wanted) - 1e-9)))
+    score = F.col("_both") / (gram_count("_padded") + len(wanted) - F.col("_both"))
+    return rows.select(*key, score.alias("name_score")).where(F.col("name_score") >= floor)
 
 
 def compose(scored: DataFrame, certain: DataFrame, identity: list[str], limit: int | None = 50) -> DataFrame:
