@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group whose fingerprints are linked: words, shingles of five, at most three bits."""
-    return simhash.dedup(docs, shingle=5)
+    """One document of every component of op4: shingles of three words, fingerprints linked at three bits or fewer."""
+    return simhash.dedup(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
