@@ -293,7 +293,14 @@ def near_duplicates(docs: DataFrame, budget: int = 3, shingle: int = 3) -> DataF
 def dedup(docs: DataFrame, budget: int = 3, shingle: int = 3) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id, then text hash, stays."""
     narrow = cut(fingerprints(docs, shingle))
-    kept = cut(classes(narrow, budget).select("component_id", "component_text").distinct())
+    return standing(docs, narrow, cut(classes(narrow, budget).select("component_id", "component_text").distinct()))
+
+
+def standing(docs: DataFrame, narrow: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for their components: those in ``kept`` (component_id, component_text; cut), of equal rows one.
+
+    ``narrow`` has doc_id and text_hash of all rows.
+    """
     a, b, h = without(docs.columns, "kept_id", "kept_text", "text_hash")
     rows = docs.withColumn(h, F.xxhash64(text_of()))
     right = kept.select(F.col("component_id").alias(a), F.col("component_text").alias(b))

@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brinewood.llm import decontaminate, mixing, sharding, simhash, toxicity
+from brinewood.llm import decontaminate, mixing, sharding, shingles, toxicity
 from brinewood.llm.common import shared_folder, table
 
 
@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every component of op4: shingles of three words, fingerprints linked at three bits or fewer."""
-    return simhash.dedup(docs)
+    """One document of every component of documents that share 0.8 of their five-word shingles."""
+    return shingles.dedup(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
