@@ -37,6 +37,11 @@ CLOSES = {
 #: Where such closing stops.
 SCOPE = {"li": {"ul", "ol", "menu"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "dt": {"dl"}, "dd": {"dl"}}
 
+#: What may stand in a head; any other element ends one that is open.
+IN_HEAD = frozenset("html head title meta link base basefont bgsound script style noscript template".split())
+#: Words of a class that tell a state or name the head of an article, not what the element is.
+STATE = re.compile(r"(?<!\S)(?:(?:has|with|without|no)[-_]\S+|\S+[-_](?:open|closed|enabled|disabled)|(?:article|entry|post|story)[-_]+header)(?!\S)")
+
 # Weights of the linear classifier: above zero for content.
 BIAS = 0.4
 TAG_WEIGHT = {
@@ -66,11 +71,12 @@ class Block:
 
 
 class _Reader(HTMLParser):
-    """Blocks of a page in order. ``stack``: (name, number, weight so far, inside a link, skipped) of open elements."""
+    """Blocks of a page in order. ``stack``: (name, number, weight so far, inside a link, skipped, penalty of classes in that weight) of open elements."""
 
-    def __init__(self) -> None:
+    def __init__(self, only_article: bool = False) -> None:
+        self.only_article = only_article
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, float, bool, bool]] = []
+        self.stack: list[tuple[str, int, float, bool, bool, float]] = []
         self.blocks: list[Block] = []
         self.open: Block | None = None
         self.count = 0
@@ -81,6 +87,9 @@ class _Reader(HTMLParser):
         del self.stack[k:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        names = [x[0] for x in self.stack]
+        if "head" in names and (tag == "body" or names[-1] == "head" and tag not in IN_HEAD):
+            self._pop_to(names.index("head"))  # its end tag is optional
         closes, stop = CLOSES.get(tag, ()), SCOPE.get(tag, ())
         for k in range(len(self.stack) - 1, -1, -1):
             name = self.stack[k][0]
@@ -94,21 +103,25 @@ class _Reader(HTMLParser):
             self.open = None
         if tag in VOID:
             return
-        above = self.stack[-1] if self.stack else ("", 0, 0.0, False, False)
+        above = self.stack[-1] if self.stack else ("", 0, 0.0, False, False, 0.0)
         self.count += 1
         a = {k: (v or "").lower() for k, v in attrs}
         weight = TAG_WEIGHT.get(tag, 0.0) + ROLE_WEIGHT.get(a.get("role", ""), 0.0)
         if tag == "header" and any(x[0] in ("article", "main") for x in self.stack):
             weight = 0.0  # the head of the article itself: its title
+        penalty = above[5]
+        if tag == "main" or tag == "article" and self.only_article:
+            weight, penalty = weight - penalty, 0.0  # the classes of a wrapper don't outweigh what it is there for
         if tag not in ("html", "body", "article", "main"):
-            mark = f"{a.get('class', '')} {a.get('id', '')}".strip()
+            mark = STATE.sub("", f"{a.get('class', '')} {a.get('id', '')}").strip()
             if mark and NEGATIVE.search(mark):
                 weight += NEGATIVE_WEIGHT
+                penalty += NEGATIVE_WEIGHT
             elif mark and POSITIVE.search(mark):
                 weight += POSITIVE_WEIGHT
         if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", ""):
             weight += HIDDEN_WEIGHT
-        self.stack.append((tag, self.count, above[2] + weight, above[3] or tag == "a", above[4] or tag in SKIPPED))
+        self.stack.append((tag, self.count, above[2] + weight, above[3] or tag == "a", above[4] or tag in SKIPPED, penalty))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash at the end closes void elements only
@@ -122,7 +135,9 @@ class _Reader(HTMLParser):
             self.open = None
 
     def handle_data(self, data: str) -> None:
-        name, _, weight, link, skipped = self.stack[-1] if self.stack else ("", 0, 0.0, False, False)
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self._pop_to(len(self.stack) - 1)
+        _, _, weight, link, skipped, _ = self.stack[-1] if self.stack else ("", 0, 0.0, False, False, 0.0)
         if skipped:
             return
         if self.open is None:
@@ -144,7 +159,7 @@ class _Reader(HTMLParser):
 
 
 def read_blocks(html: str) -> list[Block]:
-    reader = _Reader()
+    reader = _Reader(len(re.findall(r"<article[\s>]", html, re.IGNORECASE)) == 1)
     reader.feed(html)
     reader.close()
     return reader.blocks

@@ -86,6 +86,23 @@ def test_main_text():
     assert html_text.main_text("") == "" and html_text.main_text("<nav><a>x</a></nav>") == ""
 
 
+ARTICLE = "<article><p>A paragraph that says enough to be read as the text of this page.</p></article>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><head><title>T</title><body>{ARTICLE}", f"<head><title>T</title><meta charset=utf-8><style>p{{}}</style>{ARTICLE}",
+    f"<body><div class='layout has-sidebar'>{ARTICLE}</div>", f"<div class='entry comments-open'>{ARTICLE}</div>", f"<div class='sidebar-left'>{ARTICLE}</div>",
+    f"<div class='article-header'>{ARTICLE}</div>", f"<div class='page header'><main>{ARTICLE}</main></div>",
+])
+def test_whole_articles_stay(page):
+    assert html_text.main_text(page) == "A paragraph that says enough to be read as the text of this page."
+
+
+def test_boilerplate_in_articles_goes_all_the_same():
+    rest = "".join(f"<article class='comment'><p>Nice post number {k}, thanks a lot for it.</p></article>" for k in range(3))
+    assert html_text.main_text(f"<head><template><p>no</p></template></head>{ARTICLE}<section class='comments'>{rest}</section>") == html_text.main_text(ARTICLE)
+
+
 def test_cut_equals_brute_force():
     import itertools
     import random
