@@ -32,7 +32,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+#: A token may follow "=" (KEY=value, ?sig=value); "=" after it is padding, of up to six signs (base 32).
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,6}(?![A-Za-z0-9+/_=-])")
 RATE = 0.01
 #: A token that random text would look like less often than this isn't random.
 LEAST_CHANCE = 1e-4
@@ -106,7 +107,7 @@ def random_tokens(text: str) -> list[tuple[int, int, float]]:
     """(start, end, chance under ordinary writing) of the tokens that pass the battery and the discovery control."""
     tried = []
     for m in TOKEN.finditer(text):
-        enc = encoding_of(m.group())
+        enc = encoding_of(m.group().rstrip("="))
         if enc:
             random, ordinary = tests(m.group(), enc)
             tried.append((m.start(), m.end(), random, ordinary))

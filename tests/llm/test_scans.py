@@ -67,6 +67,21 @@ def test_random_tokens_are_told_from_names():
     assert secrets.random_tokens("aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1 11111111111111111111111a") == []
 
 
+@pytest.mark.parametrize("before", ["client_key=", "AUTH=", "https://x.org/a?sig=", "a=1&sig=", "a_rather_long_name_of_a_key="])
+def test_values_after_an_equals_sign(before):
+    value = "Zk3vQ9xT1mB7rL5pW2nC8dF4"
+    assert [t[:2] for t in secrets.random_tokens(f"x {before}{value} y")] == [(len(before) + 2, len(before) + 2 + len(value))]
+
+
+@pytest.mark.parametrize("size", [31, 32, 33, 34, 35])
+def test_base32_padding(size):
+    import base64
+
+    value = base64.b32encode(hashlib.sha512(b"planted").digest()[:size]).decode()
+    assert secrets.encoding_of(value.rstrip("=")).name == "base32"
+    assert [t[:2] for t in secrets.random_tokens(f"key {value} end")] == [(4, 4 + len(value))]
+
+
 def test_secret_query_takes_odd_tables(spark):
     rows = [(1, None), (2, ""), (None, "token=abcdefgh"), (3, "x" * 300_000 + " token=abcdefgh")]
     got = {r.doc_id: r for r in secrets.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
