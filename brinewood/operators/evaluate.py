@@ -23,11 +23,14 @@ def ranks(hits: DataFrame, query: str, truth: str, candidate: str, score: str) -
 
 
 def recall(ranked: DataFrame, total: int, at: int = RECALL_AT) -> DataFrame:
-    """found, total, recall and the upper median rank."""
-    n = F.count(F.lit(1))
-    middle = F.element_at(F.sort_array(F.collect_list("rank")), (F.floor(n / 2) + 1).cast("int"))
-    got = F.sum((F.col("rank") <= at).cast("long"))
-    return ranked.agg(F.coalesce(got, F.lit(0)).alias("found"), F.lit(total).cast("long").alias("total"), (F.coalesce(got, F.lit(0)) / F.lit(total)).alias("recall"), middle.alias("median_rank"))
+    """found, total, recall and the upper median rank, from the number of queries of each rank."""
+    per = ranked.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+    so_far = F.sum("n").over(Window.orderBy("rank"))  # one row per rank
+    per = per.select("rank", "n", so_far.alias("_upto"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("_all"))
+    found = F.coalesce(F.sum(F.when(F.col("rank") <= at, F.col("n"))), F.lit(0))
+    middle = F.min(F.when(F.col("_upto") >= F.floor(F.col("_all") / 2) + 1, F.col("rank")))
+    share = F.when(F.lit(total) > 0, found / F.lit(total))
+    return per.agg(found.alias("found"), F.lit(total).cast("long").alias("total"), share.alias("recall"), middle.alias("median_rank"))
 
 
 def margins(ranked: DataFrame) -> DataFrame:
