@@ -1,40 +1,41 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Tokens are added up per source, targets are set from weights under a cap on repetition, and each
-document is taken ``floor(rate)`` times plus one Bernoulli copy whose probability is the fraction.
-
-The draws of one stratum come from one hash-seeded offset that is spread evenly over its documents in
-order of size (systematic sampling), so that each document's chance is the fraction while large and
-small documents balance each other. Of ``OFFSETS`` such offsets the stratum takes the one whose words
-come nearest to its share of the target (rejective sampling): a source of a few dozen documents would
-else miss its target by the size of one long document. A stratum is a hash part of a source of about
-``STRATUM`` rows, so that a source with a third of all rows is many small groups and never one.
-
-Cases: a null text has no words; sources go by code point with null last; a source without words
-gets target 0 and rate 0, as do its documents; equal rows get draws of their own; an empty table gives
-an empty result. Extra columns stay, also when they are named as the added ones (these are then
-prefixed by underscores, see ``plan_columns``).
+Tokens are added up per source, targets are set from weights under a cap on repetition, and each document is taken
+``floor(rate)`` times plus one Bernoulli copy whose probability is the fraction of the rate.
+
+A document's draw is a hash of seed, doc_id and text read as a number in [0, 1). Draws are counted into ``DRAW_BINS`` bins
+per source and class of sizes (``CLASSES`` to a doubling), and a document gets its copy if its bin is below the class's
+cut. How many copies a class takes is its fraction, rounded along the classes of a source from a hash-seeded
+start; the cut is the bin at which it has them, and the bin that it falls in is taken whole or not at all, by a draw
+whose chance makes the expected number exact. Draws within a class are exchangeable, so each document's chance
+is exactly the fraction, whatever its size, while sources of a few dozen documents come near their targets too,
+up to the size of a document that outweighs them. What is shuffled and broadcast is a row per source, class and bin; documents never move.
+
+Cases: a null text has no words; sources go by code point with null last; a source without words gets target 0
+and rate 0, as do its documents; rows equal in doc_id and text draw alike; very long texts are one document
+like any other; an empty table gives an empty result. Extra columns stay, also when they are named as
+the added ones (these are then prefixed by underscores, see ``plan_columns``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, n_words, small_side, without
 
-#: Rows that a stratum has on average.
-STRATUM = 1024
-#: Hash-seeded offsets that each stratum tries.
-OFFSETS = 16
+#: Bits of a draw; a double holds them exactly.
+DRAW_BITS = 48
+#: Bins of a class's draws, and classes of sizes to a doubling.
+DRAW_BINS, CLASSES = 1024, 2
 #: No source, and no document, is taken more often than this.
 MOST_REPEATS = 3.0
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = MOST_REPEATS) -> DataFrame:
-    """Per source of ``sizes`` (source, size): n_rows, source_size, weight, target and rate.
+    """Per source of ``sizes`` (source, size): source_size, weight, target and rate.
 
     Sources in code point order, null last, weigh by ``weights`` in turn and share the sum of all sizes.
     A target stops at ``most`` times its source's size, and the excess is shared again by weight until no
@@ -43,7 +44,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), most:
     without a partition see a row per source, never documents.
     """
     w = F.array(*[F.lit(float(x)) for x in weights])
-    per = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("source_size"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").isNull(), F.col("source"))
     per = per.withColumn("weight", F.element_at(w, ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
     per = per.withColumn("cap", F.col("source_size") * F.lit(float(most)))
@@ -61,7 +62,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), most:
     target = F.when(F.col("first_open").isNull() | (F.col("cap") < share), F.col("cap")).otherwise(share)
     target = F.when(F.col("source_size") > 0, target).otherwise(F.lit(0.0))
     return per.withColumn("target", target).select(
-        "source", "n_rows", "source_size", "weight", "target",
+        "source", "source_size", "weight", "target",
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"),
     )
 
@@ -71,33 +72,49 @@ def plan_columns(docs: DataFrame) -> list[str]:
     return without(docs.columns, "size", "source_size", "target", "copies")
 
 
+def draw(seed: int, *key: str) -> Column:
+    """A number in [0, 1) that seed and key alone decide; nulls count as values."""
+    bits = F.xxhash64(F.lit(seed), *[x for k in key for x in (F.col(k).isNull(), F.col(k))])
+    return F.pmod(bits, F.lit(1 << DRAW_BITS)) / F.lit(float(1 << DRAW_BITS))
+
+
+def _places(seed: int) -> dict[str, Column]:
+    """Of a row with doc_id and text: its size, the class of that, and the bin of its draw."""
+    size = n_words()
+    return {"size": size, "class": F.coalesce(F.floor(F.log2(size + 1) * CLASSES).cast("int"), F.lit(0)), "bin": F.floor(draw(seed, "doc_id", "text") * DRAW_BINS).cast("int")}
+
+
+def cuts(hist: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
+    """source, class, source_size, target, rate and cut (bins below it get the extra copy) from ``hist`` (source, class, bin, n)."""
+    t = targets.select(F.col("source").alias("of"), "source_size", "target", "rate")
+    rows = hist.join(small_side(t), hist["source"].eqNullSafe(F.col("of"))).drop("of")
+    upto = Window.partitionBy("source", "class").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("upto", F.sum("n").over(upto)).withColumn("before", F.col("upto") - F.col("n"))
+    part, larger = F.col("rate") - F.floor("rate"), Window.partitionBy("of").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = hist.groupBy(F.col("source").alias("of"), F.col("class").alias("level")).agg(F.sum("n").alias("all"))
+    sums = sums.withColumn("so_far", F.sum("all").over(larger))
+    rows = rows.join(small_side(cut(sums)), rows["source"].eqNullSafe(F.col("of")) & (F.col("class") == F.col("level")))
+    steps = lambda n: F.floor(draw(seed + 1, "source") + n * part)
+    want = steps(F.col("so_far")) - steps(F.col("so_far") - F.col("all"))
+    rows = rows.where(((F.col("before") < want) & (want <= F.col("upto"))) | ((want == 0) & (F.col("before") == 0)))
+    whole = draw(seed + 2, "source", "class") < (want - F.col("before")) / F.col("n")
+    return rows.select("source", "class", "source_size", "target", "rate", (F.col("bin") + whole.cast("int")).alias("cut"))
+
+
 def mix_plan(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = MOST_REPEATS, seed: int = 17) -> DataFrame:
     """``docs`` with each row's size in words, its source's size and target, and how many copies the mix takes."""
     size, source_size, target, copies = plan_columns(docs)
-    stats = cut(source_targets(docs.select("source", n_words().alias("size")), weights, most))
-    key, n, rate, salt, rank, draw, best = without(
-        [*docs.columns, size, source_size, target, copies], "k", "n", "rate", "salt", "rank", "draw", "best"
-    )
-    stats = stats.select(
-        F.coalesce(F.xxhash64("source", F.col("source").isNull()), F.lit(0)).alias(draw), F.col("source").alias(key),
-        F.col("n_rows").alias(n), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("rate").alias(rate),
-    )
-    rows = docs.withColumn(size, n_words()).join(small_side(stats), docs["source"].eqNullSafe(F.col(key)))
-    text = F.xxhash64(F.lit(seed), "doc_id", "text")
-    parts = F.ceil(F.col(n) / STRATUM).cast("long")
-    rows = rows.withColumn(rank, text).withColumn(salt, F.pmod(F.xxhash64(F.lit(seed + 1), rank), parts))
-    within = Window.partitionBy(draw, salt).orderBy(F.col(size).desc(), rank, "doc_id")
-    part, whole = F.col(rate) - F.floor(rate), Window.partitionBy(draw, salt)
-    rows = rows.withColumn(rank, F.row_number().over(within).cast("double"))
-
-    def extra(j: int) -> F.Column:
-        begin = F.pmod(F.xxhash64(F.lit(seed + 2 + j), draw, salt), F.lit(1 << 40)) / F.lit(float(1 << 40))
-        return F.floor(begin + F.col(rank) * part) - F.floor(begin + (F.col(rank) - 1) * part)
-
-    tried = [F.struct(F.abs(F.sum(F.col(size) * (extra(j) - part)).over(whole)).alias("miss"), F.lit(j).alias("j")) for j in range(OFFSETS)]
-    rows = rows.withColumn(best, F.array_min(F.array(*tried))["j"])
-    chosen = F.element_at(F.array(*[extra(j) for j in range(OFFSETS)]), F.col(best) + 1)
-    rows = rows.withColumn(copies, (F.floor(rate) + chosen).cast("long"))
+    at = _places(seed)
+    hist = docs.select("source", *[c.alias(k) for k, c in at.items()]).groupBy("source", "class", "bin")
+    hist = cut(hist.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")))
+    plan = cut(cuts(hist, cut(source_targets(hist.select("source", "size"), weights, most)), seed))
+    key, level, bin_, rate, end = without([*docs.columns, size, source_size, target, copies], "k", "level", "bin", "rate", "end")
+    names = {"source": key, "class": level, "source_size": source_size, "target": target, "rate": rate, "cut": end}
+    plan = plan.select(*[F.col(a).alias(b) for a, b in names.items()])
+    (own,) = without([*docs.columns, *plan.columns, size, copies, bin_], "own")
+    rows = docs.withColumns({size: at["size"], own: at["class"], bin_: at["bin"]})
+    rows = rows.join(small_side(plan), docs["source"].eqNullSafe(F.col(key)) & (F.col(own) == F.col(level)))
+    rows = rows.withColumn(copies, (F.floor(rate) + (F.col(bin_) < F.col(end)).cast("long")).cast("long"))
     return rows.select(*docs.columns, size, source_size, target, copies)
 
 

@@ -109,12 +109,35 @@ def test_mixing_targets_and_takes(spark, seed):
     for r, (_, _, s, _) in zip(sorted(got, key=lambda r: r.doc_id), data, strict=True):
         assert r.source_size == sizes[s] and r.target == pytest.approx(want[s]) and r.taken <= 3 * r.size
         taken[s] = taken.get(s, 0) + r.taken
-    assert all(abs(taken[s] - want[s]) <= max(80, 0.02 * want[s]) for s in want)
+    assert all(abs(taken[s] - want[s]) <= max(80, 0.02 * want[s]) for s in want)  # the size of a document, or little
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mixed(docs.repartition(7)).collect()))
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and sum(len((r.text or "").split()) for r in mixed.collect()) == sum(taken.values())
 
 
+def test_copies_are_bernoulli_at_the_fraction(spark):
+    """Over 200 draws each document's mean is its rate, whatever its size: heavy tails, three sources, a hot one."""
+    rng, draws, rate = np.random.default_rng(9), 200, {"a": 1.058, "b": 0.91, "c": 2.4}
+    data = [(int(rng.pareto(1.1) * 20 + 1), "abc"[int(rng.choice(3, p=[0.2, 0.5, 0.3]))]) for _ in range(60)]
+    # Each draw is a source of its own with documents of its own, which is what a seed changes.
+    docs = spark.createDataFrame([(k * 100 + i, "w " * n, f"{s}{k}") for k in range(draws) for i, (n, s) in enumerate(data)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([(f"{s}{k}", 1, 1.0, r) for k in range(draws) for s, r in rate.items()], "source string, source_size long, target double, rate double")
+    rows = docs.select("doc_id", "source", *[c.alias(k) for k, c in mixing._places(17).items()]).cache()
+    hist = rows.groupBy("source", "class", "bin").agg(F.count(F.lit(1)).alias("n"))
+    plan = mixing.cuts(hist, targets, 17).select("source", "class", "cut")
+    sums = {r.i: r.n for r in rows.join(plan, ["source", "class"]).groupBy((F.col("doc_id") % 100).alias("i")).agg(F.count_if(F.col("bin") < F.col("cut")).alias("n")).collect()}
+    assert len(sums) == len(data)
+    for i, (_, s) in enumerate(data):
+        f = rate[s] % 1
+        assert abs(sums[i] / draws - f) <= 3.5 * (f * (1 - f) / draws) ** 0.5
+
+
+def test_no_text_is_shuffled_to_mix(spark):
+    docs = spark.createDataFrame([(i, "w " * i, "ab"[i % 2]) for i in range(20)], "doc_id long, text string, source string")
+    plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "Exchange hashpartitioning" not in plan and "Window" not in plan
+
+
 def test_mixing_takes_odd_tables(spark):
     docs = spark.createDataFrame([(None, None, None), (1, "", "a"), (1, "", "a")], "doc_id long, text string, source string")
     assert {(r.size, r.target, r.taken) for r in mixing.mixed(docs).collect()} == {(0, 0.0, 0)}
