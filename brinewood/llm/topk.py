@@ -1,14 +1,16 @@
 """Exact top-k search: tiled matrix products of queries and shards, partial selection, tree merging.
 
-Vectors are quantised to integers, floor(256 * x); scores are integer inner products and exact. Queries
-go in blocks of bounded size; each block meets every candidate tile where the tile is, one matrix product per
-tile, of which the best k + 1 per query stay (the query's own row may be among them). The lists are then
-merged in a tree of windows, ``FAN`` partitions at a time.
+Vectors are quantised to integers, floor(256 * x); scores are integer inner products and exact. Candidates are
+dealt into shards of bounded size by a hash of the row, and every query is sent to every shard: an equi-join on the shard,
+in which a task holds the candidates of one shard and streams the queries past it in tiles, one matrix product per
+tile. Of each product the best k + 1 per query stay (the query's own row may be among them), and the lists are merged in a
+tree of windows, ``FAN`` shards at a time. Neither queries nor candidates ever come to the driver.
 
 Cases: vectors that are null, or hold a null or non-finite component, take no part; a query only meets vectors of
 its own length; ties go to the smaller vec_id (null last); repeated rows are candidates of their own, and a query
 leaves out just one row equal to it, its own; fewer candidates than k give all there are. Scores that leave the
-range of a long are clamped to it.
+range of a long are clamped to it. Vectors of any length take part, long ones in smaller shards; an empty table
+gives an empty result; only vec_id and embedding are read, so extra columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SCALE = 256.0
-#: Bytes of queries, as doubles, that are sent to the executors at a time.
-BLOCK_BYTES = 32 << 20
+#: Bytes of candidates, as doubles, that a shard has on average.
+SHARD_BYTES = 64 << 20
 #: Queries by candidates in one matrix product.
 TILE_QUERIES, TILE_ROWS = 512, 4096
 #: Partial lists that one step of the merge brings together.
@@ -33,7 +35,6 @@ FAN = 64
 
 def quantised(vectors: DataFrame) -> DataFrame:
     """vec_id, vec (the floors of 256 x as doubles, which hold them exactly) and its hash, of vectors that take part."""
-    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
     fine = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
     large = F.transform("embedding", lambda x: x.cast("double") * SCALE)
@@ -65,65 +66,84 @@ def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.frompyfunc(lambda x: max(-(2**63) + 1, min(2**63 - 1, x)), 1, 1)(big).astype(np.int64)
 
 
-def _search_block(rows: DataFrame, block: list, k: int) -> DataFrame:
-    """Partial lists (q, part, score, vec_id, vec_hash) of one block of queries over all candidates."""
-    qid = np.array([r.q for r in block], np.int64)
-    by_length: dict[int, list[int]] = {}
-    for i, r in enumerate(block):
-        by_length.setdefault(len(r.vec), []).append(i)
-    packed = {d: (qid[i], np.array([block[j].vec for j in i], np.float64).reshape(len(i), d)) for d, i in by_length.items()}
-    shared = rows.sparkSession.sparkContext.broadcast(packed)
+class _Shard:
+    """The candidates of one shard, by length of vector, in tiles."""
+
+    def __init__(self) -> None:
+        self.held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        self.packed: dict[int, tuple[np.ndarray, ...]] | None = None
+
+    def add(self, size: np.ndarray, vec: np.ndarray, begin: np.ndarray, *more: np.ndarray) -> None:
+        for d in np.unique(size).tolist():
+            own = np.flatnonzero(size == d)
+            self.held.setdefault(d, []).append((vec[begin[own][:, None] + np.arange(d)] if d else np.zeros((own.size, 0)), *(x[own] for x in more)))
+
+    def best(self, q: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        """(row of q, score, id, id is null, hash) of the k best candidates of each query in q."""
+        if self.packed is None:
+            self.packed = {d: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for d, parts in self.held.items()}
+        if q.shape[1] not in self.packed:
+            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, bool, np.int64))
+        c, ids, none, hashes = self.packed[q.shape[1]]
+        rows, scores, at = [], [], []
+        for c0 in range(0, len(c), TILE_ROWS):
+            s = _products(q, c[c0 : c0 + TILE_ROWS])
+            for i, cols in enumerate(_best(s, ids[c0 : c0 + TILE_ROWS], k)):
+                rows.append(np.full(cols.size, i))
+                scores.append(s[i, cols])
+                at.append(cols + c0)
+        row, score, at_ = (np.concatenate(x) for x in (rows, scores, at))
+        order = np.lexsort((ids[at_], -score, row))
+        row, score, at_ = row[order], score[order], at_[order]
+        first = np.searchsorted(row, row)  # where this query's list begins
+        keep = np.arange(row.size) - first < k
+        at_ = at_[keep]
+        return row[keep], score[keep], ids[at_], none[at_], hashes[at_]
+
+
+def _partial_lists(rows: DataFrame, queries: DataFrame, shards: int, k: int) -> DataFrame:
+    """(q, part, score, vec_id, vec_hash): the k best of every shard for every query."""
+    dealt = rows.select(F.pmod(F.xxhash64("vec_id", "vec_hash"), F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("long").alias("q"), "vec_id", "vec_hash", "vec")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "q", F.lit(None).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("vec_hash"), "vec")
+    both = dealt.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", F.col("q").asc_nulls_first())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, ...]] = {}
+        now, shard = None, _Shard()
         for b in batches:
-            for at in range(0, b.num_rows, TILE_ROWS):
-                part = b.slice(at, TILE_ROWS)
+            of, q_none = b.column("shard").to_numpy(zero_copy_only=False), b.column("q").is_null().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (q_none[1:] != q_none[:-1]), [True])))
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                part = b.slice(lo, hi - lo)
                 vec = part.column("vec")
                 size = vec.value_lengths().to_numpy(zero_copy_only=False)
                 flat = vec.flatten().to_numpy(zero_copy_only=False)
-                begin = np.concatenate(([0], np.cumsum(size)))[:-1]
-                ids_all = part.column("vec_id").fill_null(2**63 - 1).to_numpy(zero_copy_only=False)
-                none_all, hash_all = part.column("vec_id").is_null().to_numpy(zero_copy_only=False), part.column("vec_hash").to_numpy(zero_copy_only=False)
-                for d, (qids, q) in shared.value.items():
+                begin = np.cumsum(size) - size
+                if of[lo] != now:
+                    now, shard = of[lo], _Shard()
+                if q_none[lo]:
+                    ids = part.column("vec_id")
+                    shard.add(size, flat, begin, ids.fill_null(2**63 - 1).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), part.column("vec_hash").to_numpy(zero_copy_only=False))
+                    continue
+                qids = part.column("q").to_numpy(zero_copy_only=False)
+                for d in np.unique(size).tolist():
                     own = np.flatnonzero(size == d)
-                    if not own.size:
-                        continue
-                    c = flat[begin[own][:, None] + np.arange(d)] if d else np.zeros((own.size, 0))
-                    for k0 in range(0, len(q), TILE_QUERIES):
-                        s = _products(q[k0 : k0 + TILE_QUERIES], c)
-                        for i, cols in enumerate(_best(s, ids_all[own], k + 1)):
-                            new = (s[i, cols], ids_all[own][cols], none_all[own][cols], hash_all[own][cols])
-                            key = int(qids[k0 + i])
-                            if key in best:
-                                new = tuple(np.concatenate(x) for x in zip(best[key], new, strict=True))
-                                keep = np.lexsort((new[1], -new[0]))[: k + 1]
-                                new = tuple(x[keep] for x in new)
-                            best[key] = new
-        if best:
-            n = [len(v[0]) for v in best.values()]
-            score, ids, none, hashes = (np.concatenate(x) for x in zip(*best.values(), strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(list(best), n)), pa.array(score), pa.array(ids, mask=none), pa.array(hashes)], ["q", "score", "vec_id", "vec_hash"]
-            )
-
-    return rows.mapInArrow(scan, "q long, score long, vec_id long, vec_hash long").withColumn("part", F.spark_partition_id())
-
-
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
+                    for k0 in range(0, own.size, TILE_QUERIES):
+                        at = own[k0 : k0 + TILE_QUERIES]
+                        row, score, ids, none, hashes = shard.best(flat[begin[at][:, None] + np.arange(d)] if d else np.zeros((at.size, 0)), k)
+                        cols = [pa.array(qids[at][row]), pa.array(np.full(row.size, now, np.int32)), pa.array(score), pa.array(ids, mask=none), pa.array(hashes)]
+                        yield pa.RecordBatch.from_arrays(cols, ["q", "part", "score", "vec_id", "vec_hash"])
+
+    return both.mapInArrow(scan, "q long, part int, score long, vec_id long, vec_hash long")
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of every row whose vec_id is divisible by ``every``."""
-    rows = quantised(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"))
+    spark = vectors.sparkSession
+    rows = cut(quantised(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")))
     queries = cut(rows.where(F.col("vec_id") % every == 0).withColumn("q", F.monotonically_increasing_id()))
-    width = queries.agg(F.coalesce(F.max(F.size("vec")), F.lit(1))).first()[0]
-    per = max(1, BLOCK_BYTES // (8 * max(1, width)))
-    total = queries.count()
-    blocks = max(1, -(-total // per))
-    found = None
-    for i in range(blocks):  # each block is bounded, and each is one pass over the vectors
-        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i)
-        lists = _search_block(rows, block.select("q", "vec").collect(), k)
-        found = lists if found is None else found.unionByName(lists)
-    parts = rows.rdd.getNumPartitions()
+    total = rows.agg(F.coalesce(F.sum(F.size("vec") * 8 + 32), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
+    found = _partial_lists(rows, queries, parts, k + 1)
     best = lambda *by: Window.partitionBy("q", *by).orderBy(F.desc("score"), F.col("vec_id").isNull(), "vec_id", "vec_hash")
     while parts > FAN:
         found = found.withColumn("part", F.floor(F.col("part") / FAN).cast("int"))

@@ -113,3 +113,21 @@ def test_native_plan(spark):
     df = spark.createDataFrame([(1, QUESTION)], "doc_id long, text string")
     plan = decontaminate.contaminated(df, df.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_top_k_over_many_shards(spark):
+    rng = np.random.default_rng(8)
+    vecs = np.floor(rng.normal(size=(120, 3)) * 8) / 8
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "vec_id long, embedding array<float>")
+    whole = np.floor(vecs * 256).astype(int)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, k=4, shard_bytes=256).collect())
+    want = []
+    for q in (0, 50, 100):
+        best = sorted((-int(whole[q] @ v), i) for i, v in enumerate(whole) if i != q)[:4]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == want
+
+
+def test_top_k_of_equal_vectors(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(400)], "vec_id long, embedding array<float>")
+    assert [(r["rank"], r.vec_id) for r in topk.top_k(df).where("query_id = 100").orderBy("rank").collect()] == [(i + 1, i) for i in range(5)]
