@@ -1,18 +1,25 @@
 """Benchmark decontamination by template windows, with DataFrame functions only.
 
-Texts are read as words; numbers, names (capitalised words inside a sentence) and units after numbers become
-typed placeholders. Windows of ``WINDOW`` words are hashed twice, as they stand and as templates, and joined with
-those of the benchmark. Matches of one document and item on one diagonal (same distance between the
-places) are one alignment; its slots are consistent if each benchmark value goes with one value in the document
-throughout. An item is found where consistent alignments cover at least ``COVER`` of its words.
+Texts are read as words; numbers, names and units after numbers become typed placeholders. A capitalised word inside a
+sentence is a name. One that opens a sentence, a line or a quotation may be one, so windows with such a word
+come in both readings. Windows of ``WINDOW`` words are hashed as they stand and, where they hold a placeholder,
+as templates, and joined with those of the benchmark. A template needs a literal word: one of placeholders only says
+nothing and would be the hot key of the join. Template matches of one document and item on one diagonal (same distance between
+the places) are one alignment, and its slots are consistent if benchmark values and the document's values go with each other
+one to one throughout. An item is found where windows that stand as they are and consistent alignments
+cover at least ``COVER`` of its words.
+
+Items of two to four words are one window of that length, as they stand; documents are read in windows of such a length
+only if the benchmark has such items. An item of one word is found as a whole document only.
 
 The benchmark's windows are counted; up to ``BROADCAST_ROWS`` they are broadcast, so that documents
 aren't shuffled at all, beyond that both sides are.
 
-Cases: a null text counts as empty; a text or item of fewer words than a window is one window of all its words,
-so a short item is only found as a whole short document; items without words match nothing; repeated rows of
-documents are one pair with the item (a filter drops them all); repeated items are pairs of their own if their
-ids differ; null ids are kept as null.
+Cases: a null text counts as empty; items without words match nothing; repeated rows of documents are one pair with the item
+(a filter drops them all); repeated items are pairs of their own if their ids differ; null ids are kept as null;
+very long texts are read whole, and a window that a text repeats counts once; equally good alignments of a document are
+one result; empty tables give empty results; only ids and texts are read, and a filter keeps extra columns whatever
+their names.
 """
 
 from __future__ import annotations
@@ -30,18 +37,21 @@ UNITS = (
     "inch", "inches", "feet", "yards", "miles", "pounds", "ounces", "meters", "metres", "kilometers", "kilometres", "grams", "kilograms", "liters", "litres",
     "seconds", "minutes", "hours", "days", "weeks", "months", "years", "percent", "degrees", "dollars", "cents", "euros", "eur", "usd", "pence",
 )
-_MARK = "\x01"
+#: Before a word that is a name, and before one that may be.
+_MARK, _MAYBE = "\x01", "\x02"
 _NAME = r"(?<=[\p{Ll},;:] )(?=\p{Lu}\p{Ll})"
-_TOKEN = r"\x01?\p{L}[\p{L}\p{N}]*|\p{N}+(?:[.,]\p{N}+)*"
+_OPENING = r"(?<![\p{L}\p{N}\x01])(?=\p{Lu}\p{Ll})"
+_TOKEN = r"[\x01\x02]?\p{L}[\p{L}\p{N}]*|\p{N}+(?:[.,]\p{N}+)*"
 
 
 def words(text: Column) -> Column:
-    """Lower-cased words; a name keeps a mark before it."""
-    return F.regexp_extract_all(F.lower(F.regexp_replace(text, _NAME, _MARK)), F.lit(_TOKEN), F.lit(0))
+    """Lower-cased words; a mark stands before those that are, or may be, names."""
+    marked = F.regexp_replace(F.regexp_replace(text, _NAME, _MARK), _OPENING, _MAYBE)
+    return F.regexp_extract_all(F.lower(marked), F.lit(_TOKEN), F.lit(0))
 
 
 def _kind(word: Column, before: Column) -> Column:
-    """The placeholder a word becomes, or null."""
+    """The placeholder that a word becomes in the strict reading, or null."""
     number = lambda w: w.rlike(r"^\p{N}")
     return (
         F.when(word.startswith(_MARK), F.lit("<name>")).when(number(word), F.lit("<number>"))
@@ -49,68 +59,95 @@ def _kind(word: Column, before: Column) -> Column:
     )
 
 
-def template(w: str = "w") -> Column:
-    """Words with placeholders for numbers, names and units."""
-    return F.transform(F.col(w), lambda x, i: F.coalesce(_kind(x, F.try_element_at(F.col(w), F.when(i > 0, i).otherwise(F.lit(-1)))), x))
+def _hashes(at: Column, hashes: str, size: int, salt: int) -> Column:
+    """Hash of ``size`` hashed words from a place on. ``hashes`` names a column: an expression would be computed for every window."""
+    return F.xxhash64(F.lit(salt), *[F.get(F.col(hashes), at + k) for k in range(size)])
 
 
-def _windows(hashes: str, size: int, kept: str | None) -> Column:
-    """Hash of every window of hashed words, with the words of column ``kept`` there (null if None); of all words if these are fewer.
-
-    ``hashes`` names a column: an expression in its place would be computed again for every window. Elements are got
-    one by one, since a slice walks the whole array each time; beyond the end they are null, which hashes skip.
-    """
-    n = F.size(hashes)
-    last = F.greatest(n - size, F.lit(0))
-    here = lambda c, i: [F.get(F.col(c), i + k) for k in range(size)]
-    words = (lambda i: F.array(*here(kept, i))) if kept else (lambda i: F.lit(None).cast("array<string>"))
-    each = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.xxhash64(*here(hashes, i)).alias("h"), words(i).alias("kept")))
-    return F.when(n > 0, each)
+def _around(places: str, size: int) -> Column:
+    """Where windows begin that hold one of the places."""
+    n = F.size("w")
+    each = F.transform(F.col(places), lambda m: F.sequence(F.greatest(m - (size - 1), F.lit(0)), F.least(m, n - size)))
+    return F.array_distinct(F.flatten(each))
 
 
-def windows(rows: DataFrame, size: int) -> DataFrame:
-    """One row per window of text: h (hash), pos (from 0), n_words, and kept, the words of a template window.
+def windows(rows: DataFrame, size: int, short: list[int]) -> DataFrame:
+    """One row per window of text: h (hash), pos (from 0; null for a window as it stands), n_words, and kept, the words of a template window.
 
-    Windows come as their words and, in texts that have placeholders, also as templates. The explodes are outer ones:
-    for others Catalyst adds a filter on their size and pushes it below, where all of this is computed anew per word.
-    What has no windows leaves a row with a null hash, which no join matches. Nothing but a template window carries
-    words, so that a long text isn't copied into the rows of its windows.
+    Templates have ``size`` words. Windows as they stand have ``size``, or one of the lengths in ``short``, and come once per text.
+    The explode is an outer one: for others Catalyst adds a filter on their size and pushes it below, where all
+    of this is computed anew per word. What has no windows leaves a row with a null hash, which no join matches.
+    Nothing but a template window carries words, so that a long text isn't copied into the rows of its windows.
     """
     rest = [c for c in rows.columns if c != "text"]
     rows = rows.withColumn("w", words(F.col("text"))).drop("text")
-    rows = rows.withColumn("filled", F.exists("w", lambda x: x.startswith(_MARK) | x.rlike(r"^\p{N}")))
-    rows = rows.withColumn("t", F.when(F.col("filled"), template()))
-    rows = rows.withColumn("p", F.when(F.col("filled"), F.transform("w", lambda x: F.ltrim(x, F.lit(_MARK)))).otherwise(F.col("w")))
+    before = lambda i: F.get(F.col("w"), i - 1)
+    rows = rows.withColumns({"p": F.transform("w", lambda x: F.ltrim(x, F.lit(_MARK + _MAYBE))), "kind": F.transform("w", lambda x, i: _kind(x, before(i)))})
+    somewhere = lambda c, test: F.filter(F.transform(c, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
+    rows = rows.withColumns({"sure": somewhere("kind", lambda x: x.isNotNull()), "maybe": somewhere("w", lambda x: x.startswith(_MAYBE))})
+    loose = F.transform("w", lambda x, i: F.when(x.startswith(_MAYBE), F.lit("<name>")).otherwise(F.coalesce(F.get("kind", i), F.get("p", i))))
+    strict = F.transform("p", lambda x, i: F.coalesce(F.get("kind", i), x))
     hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x))
-    rows = rows.withColumns({"hp": hashed("p"), "ht": F.when(F.col("filled"), hashed("t"))})
-    every = F.array(_windows("hp", size, None), F.when(F.col("filled"), _windows("ht", size, "p")))
-    rows = rows.select(*rest, F.size("w").alias("n_words"), every.alias("every"))
+    rows = rows.withColumns({"hp": hashed("p"), "hs": F.when(F.size("sure") > 0, hashed(strict)), "hl": F.when(F.size("maybe") > 0, hashed(loose))})
+    none = F.lit(None).cast("array<string>")
+
+    def plain(k: int) -> Column:
+        each = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: _hashes(i, "hp", k, 0)))
+        fits = (F.size("w") == 1) if k == 1 else (F.size("w") >= k)
+        return F.when(fits, F.transform(each, lambda h: F.struct(h.alias("h"), F.lit(None).cast("int").alias("pos"), none.alias("kept"))))
+
+    def filled(places: str, hashes: str) -> Column:
+        kept = lambda i: F.array(*[F.get("p", i + k) for k in range(size)])
+        each = F.transform(_around(places, size), lambda i: F.struct(_hashes(i, hashes, size, 1).alias("h"), i.alias("pos"), kept(i).alias("kept")))
+        return F.when((F.size("w") >= size) & (F.size(places) > 0), each)
+
+    every = [plain(k) for k in [size, *short]] + [filled("sure", "hs"), filled("maybe", "hl")]
+    rows = rows.select(*rest, F.size("w").alias("n_words"), F.array(*every).alias("every"))
     rows = rows.select(*rest, "n_words", F.explode_outer("every").alias("each"))
-    rows = rows.select(*rest, "n_words", F.posexplode_outer("each").alias("pos", "x"))
-    return rows.select(*rest, "n_words", "pos", "x.h", "x.kept")
+    rows = rows.select(*rest, "n_words", F.explode_outer("each").alias("x"))
+    return rows.select(*rest, "n_words", "x.h", "x.pos", "x.kept")
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """h, item_id, bpos, n_words, and for template windows bkept, their words."""
-    items = windows(benchmark.select("item_id", text_of().alias("text")), size).where(F.col("h").isNotNull())
-    return items.select("h", "item_id", F.col("pos").alias("bpos"), F.col("n_words").alias("item_words"), F.col("kept").alias("bkept")).distinct()
+    """h, item_id, item_words, bpos, and for template windows bkept, their words. Items shorter than a window are one, as they stand."""
+    rows = benchmark.select("item_id", text_of().alias("text")).withColumn("w", words(F.col("text"))).drop("text").where(F.size("w") > 0)
+    n = F.size("w")
+    before = lambda i: F.get(F.col("w"), i - 1)
+    p = F.transform("w", lambda x: F.ltrim(x, F.lit(_MARK + _MAYBE)))
+    rows = rows.withColumns({"p": p, "kind": F.transform("w", lambda x, i: _kind(x, before(i)))})
+    rows = rows.withColumn("loose", F.transform("w", lambda x, i: F.when(x.startswith(_MAYBE), F.lit("<name>")).otherwise(F.get("kind", i))))
+    rows = rows.withColumn("bpos", F.explode(F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)))))
+    cut_ = lambda c: F.slice(c, F.col("bpos") + 1, size)
+    rows = rows.select("item_id", n.alias("item_words"), "bpos", cut_("p").alias("p"), cut_("kind").alias("kind"), cut_("loose").alias("loose"))
+    hashed = lambda salt, words_: F.xxhash64(F.lit(salt), *[F.xxhash64(F.get(words_, k)) for k in range(size)])
+    as_long = F.lit(None).cast("long")
+    for k in range(1, size):  # hashes of fewer words than a window
+        as_long = F.when(F.size("p") == k, F.xxhash64(F.lit(0), *[F.xxhash64(F.get("p", j)) for j in range(k)])).otherwise(as_long)
+    plain = rows.select(F.when(F.size("p") == size, hashed(0, F.col("p"))).otherwise(as_long).alias("h"), "item_id", "item_words", "bpos", F.lit(None).cast("array<string>").alias("bkept"))
+    out = plain
+    for c in ("kind", "loose"):
+        slots = F.size(F.filter(c, lambda x: x.isNotNull()))
+        told = rows.where((F.size("p") == size) & (slots > 0) & (slots < size))
+        words_ = F.transform("p", lambda x, i: F.coalesce(F.get(F.col(c), i), x))  # noqa: B023
+        out = out.unionByName(told.select(hashed(1, words_).alias("h"), "item_id", "item_words", "bpos", F.col("p").alias("bkept")))
+    return out.distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: float = COVER) -> DataFrame:
     """doc_id, text_hash, item_id, coverage, n_windows and n_slots for every document that holds a benchmark item."""
     keys = cut(benchmark_windows(benchmark, size))
-    rows = windows(docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text")), size)
+    short = sorted(r.item_words for r in keys.where(F.col("item_words") < size).select("item_words").distinct().collect())  # lengths below a window
+    rows = windows(docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text")), size, short)
     pair = F.arrays_zip(F.col("bkept").alias("b"), F.col("kept").alias("d"))
-    slots = F.when(F.col("kept").isNotNull() & F.col("bkept").isNotNull(), pair)
     hits = rows.join(small_side(keys), "h").select(
-        "doc_id", "text_hash", "item_id", "item_words", "bpos", (F.col("pos") - F.col("bpos")).alias("diagonal"), slots.alias("slots")
+        "doc_id", "text_hash", "item_id", "item_words", "bpos", (F.col("pos") - F.col("bpos")).alias("diagonal"), F.when(F.col("kept").isNotNull(), pair).alias("slots")
     )
-    # A diagonal has each place of the item once, so these sets are no longer than the item.
+    # A diagonal has each place of the item once, so these sets are no longer than the item; windows as they stand have none.
     aligned = hits.groupBy("doc_id", "text_hash", "item_id", "item_words", "diagonal").agg(
         F.collect_set("bpos").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
-    values = F.size(F.array_distinct(F.transform("slots", lambda x: x["b"])))
-    aligned = aligned.where(values == F.size("slots"))
+    values = lambda side: F.size(F.array_distinct(F.transform("slots", lambda x: x[side])))
+    aligned = aligned.where((values("b") == F.size("slots")) & (values("d") == F.size("slots")))
     found = aligned.groupBy("doc_id", "text_hash", "item_id", "item_words").agg(
         F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"),
         F.max(F.size(F.filter("slots", lambda x: x["b"] != x["d"]))).alias("n_slots"),

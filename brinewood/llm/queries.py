@@ -65,20 +65,24 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 # RE2 has no look-behind: names are marked in two passes, since a match takes the letter before the next one.
 _MARKED = r"regexp_replace({}, '([\p{{Ll}},;:] )(\p{{Lu}}\p{{Ll}})', '\1' || chr(1) || '\2', 'g')"
+_OPENED = r"regexp_replace({}, '(^|[^\p{{L}}\p{{N}}\x01])(\p{{Lu}}\p{{Ll}})', '\1' || chr(2) || '\2', 'g')"
+_KIND = f"""CASE WHEN starts_with(x, chr(1)){{}} THEN '<name>' WHEN regexp_matches(x, '^\\p{{{{N}}}}') THEN '<number>'
+    WHEN i > 1 AND regexp_matches(w[i - 1], '^\\p{{{{N}}}}') AND x IN ({", ".join(f"'{u}'" for u in decontaminate.UNITS)}) THEN '<unit>' END"""
 _LEAKS = f"""
 WITH src AS (SELECT 'd' AS k, doc_id AS id, coalesce(text, '') AS text FROM documents UNION ALL SELECT 'b', item_id, coalesce(text, '') FROM benchmark),
-w AS (SELECT DISTINCT k, id, regexp_extract_all(lower({_MARKED.format(_MARKED.format("text"))}), chr(1) || '?\\p{{L}}[\\p{{L}}\\p{{N}}]*|\\p{{N}}+(?:[.,]\\p{{N}}+)*') AS w FROM src),
-t AS (SELECT k, id, len(w) AS n, len(list_filter(w, lambda x: starts_with(x, chr(1)) OR regexp_matches(x, '^\\p{{N}}'))) > 0 AS filled,
-  list_transform(w, lambda x: ltrim(x, chr(1))) AS p,
-  list_transform(w, lambda x, i: CASE WHEN starts_with(x, chr(1)) THEN '<name>' WHEN regexp_matches(x, '^\\p{{N}}') THEN '<number>'
-    WHEN i > 1 AND regexp_matches(w[i - 1], '^\\p{{N}}') AND x IN ({", ".join(f"'{u}'" for u in decontaminate.UNITS)}) THEN '<unit>' ELSE x END) AS t FROM w WHERE len(w) > 0),
-x AS (SELECT k, id, n, filled, pos, p[pos + 1 : pos + 5] AS pw, t[pos + 1 : pos + 5] AS tw FROM (SELECT *, unnest(range(0, greatest(n - 4, 1))) AS pos FROM t)),
-win AS (SELECT k, id, n, pos, pw AS key, NULL AS kept FROM x UNION ALL SELECT k, id, n, pos, tw, pw FROM x WHERE filled),
-hits AS (SELECT d.id AS doc_id, b.id AS item_id, b.n AS n, b.pos AS bpos, d.pos - b.pos AS diagonal, CASE WHEN d.kept IS NOT NULL THEN b.kept END AS bk, CASE WHEN b.kept IS NOT NULL THEN d.kept END AS dk
-  FROM win d JOIN win b ON d.k = 'd' AND b.k = 'b' AND d.key = b.key),
-slots AS (SELECT DISTINCT doc_id, item_id, diagonal, bk[i] AS b, dk[i] AS d FROM (SELECT *, unnest(range(1, len(bk) + 1)) AS i FROM hits WHERE bk IS NOT NULL)),
-told AS (SELECT doc_id, item_id, diagonal, count(*) <> count(DISTINCT b) AS torn, count(*) FILTER (b <> d) AS n_slots FROM slots GROUP BY ALL),
-places AS (SELECT DISTINCT doc_id, item_id, n, bpos, coalesce(n_slots, 0) AS n_slots FROM hits LEFT JOIN told USING (doc_id, item_id, diagonal) WHERE NOT coalesce(torn, FALSE)),
+w AS (SELECT DISTINCT k, id, regexp_extract_all(lower({_OPENED.format(_MARKED.format(_MARKED.format("text")))}), '[\\x01\\x02]?\\p{{L}}[\\p{{L}}\\p{{N}}]*|\\p{{N}}+(?:[.,]\\p{{N}}+)*') AS w FROM src),
+t AS (SELECT k, id, len(w) AS n, list_transform(w, lambda x: ltrim(x, chr(1) || chr(2))) AS p,
+  list_transform(w, lambda x, i: {_KIND.format("")}) AS strict, list_transform(w, lambda x, i: {_KIND.format(" OR starts_with(x, chr(2))")}) AS loose FROM w WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT least(n, 5) AS size FROM t WHERE k = 'b' UNION SELECT 5),
+spots AS (SELECT t.*, size, unnest(range(0, n - size + 1)) AS pos FROM t, sizes WHERE n >= size AND (size > 1 OR n = 1) AND (k = 'd' OR size = least(n, 5))),
+x AS (SELECT k, id, n, size, pos, p[pos + 1 : pos + size] AS pw, strict[pos + 1 : pos + size] AS ks, loose[pos + 1 : pos + size] AS kl FROM spots),
+tmpl AS (SELECT DISTINCT k, id, n, pos, pw, list_transform(kk, lambda y, i: coalesce(y, pw[i])) AS tw
+  FROM (SELECT *, ks AS kk FROM x WHERE size = 5 UNION ALL SELECT *, kl FROM x WHERE size = 5) WHERE len(list_filter(kk, lambda y: y IS NOT NULL)) BETWEEN 1 AND 4),
+plain AS (SELECT DISTINCT d.id AS doc_id, b.id AS item_id, b.n AS n, b.pos AS bpos FROM (SELECT DISTINCT id, pw FROM x WHERE k = 'd') d JOIN x b ON b.k = 'b' AND d.pw = b.pw),
+hits AS (SELECT d.id AS doc_id, b.id AS item_id, b.n AS n, b.pos AS bpos, d.pos - b.pos AS diagonal, b.pw AS bk, d.pw AS dk FROM tmpl d JOIN tmpl b ON d.k = 'd' AND b.k = 'b' AND d.tw = b.tw),
+slots AS (SELECT DISTINCT doc_id, item_id, diagonal, bk[i] AS b, dk[i] AS d FROM (SELECT *, unnest(range(1, len(bk) + 1)) AS i FROM hits)),
+told AS (SELECT doc_id, item_id, diagonal, count(*) <> count(DISTINCT b) OR count(*) <> count(DISTINCT d) AS torn, count(*) FILTER (b <> d) AS n_slots FROM slots GROUP BY ALL),
+places AS (SELECT DISTINCT doc_id, item_id, n, bpos, n_slots FROM hits JOIN told USING (doc_id, item_id, diagonal) WHERE NOT torn UNION SELECT doc_id, item_id, n, bpos, 0 FROM plain),
 covered AS (SELECT doc_id, item_id, count(DISTINCT word) AS c FROM (SELECT doc_id, item_id, unnest(range(bpos, least(bpos + 5, n))) AS word FROM places) GROUP BY ALL),
 found AS (SELECT doc_id, item_id, any_value(n) AS n, count(DISTINCT bpos) AS n_windows, max(n_slots) AS n_slots FROM places GROUP BY ALL)
 SELECT doc_id, item_id, c / n AS coverage, n_windows, n_slots FROM found JOIN covered USING (doc_id, item_id) WHERE c / n >= 0.8

@@ -109,6 +109,46 @@ def test_reparameterised_questions_are_found(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_slots_go_one_to_one(spark):
+    one = "Carla has 40 apples and Carla has 40 apples then Carla gives Carla 40 kg of rice, who has more?"
+    df = spark.createDataFrame([(1, f"If {one}"), (2, f"If {one.replace('Carla', 'Dan', 1)}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    assert decontaminate.contaminated(df, bench).count() == 0
+
+
+MARY = "Mary has 5 apples. Mary gives 2 apples to Tom. Mary then buys 9 pears. How many fruits does Mary have?"
+
+
+def test_names_that_open_sentences_and_lines(spark):
+    other = MARY.replace("Mary", "Olga").replace("Tom", "Ivan").replace("5", "31").replace("9", "14")
+    docs = [(1, other), (2, other.replace(". Olga", ".\nOlga")), (3, f'He said: "{other}"'), (4, f"and {MARY[0].lower()}{MARY[1:]}"), (5, other.replace("does Olga", "does Vera"))]
+    bench = spark.createDataFrame([(1, MARY)], "item_id long, text string")
+    got = {r.doc_id: r.coverage for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert {1, 2, 3, 4} <= set(got) and 5 not in got and got[1] == 1.0
+
+
+def test_short_items_by_their_own_length(spark):
+    docs = [(1, "here is a short item inside"), (2, "short, item"), (3, "an item that is short"), (4, "word"), (5, "a word more"), (6, "three little words stand here"), (7, "three little pigs")]
+    bench = spark.createDataFrame([(1, "Short item"), (2, "word"), (3, "Three little words")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1), (2, 1), (4, 2), (6, 3)}
+
+
+def test_placeholders_alone_are_no_key(spark):
+    """A text of numbers meets an item of numbers where both are the same, and nowhere else."""
+    numbers = " ".join(str(i * 7 % 3001) for i in range(3000))
+    docs = spark.createDataFrame([(1, numbers), (2, numbers + " then " + " ".join(str(i) for i in range(60)))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(str(i) for i in range(60)))], "item_id long, text string")
+    assert decontaminate.benchmark_windows(bench).where("bkept is not null").count() == 0
+    assert [r.doc_id for r in decontaminate.contaminated(docs, bench).collect()] == [2]
+
+
+def test_long_repeated_text_against_a_repeated_item(spark):
+    docs = spark.createDataFrame([(1, "la " * 50_000), (2, "lo " * 9)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "La " * 40)], "item_id long, text string")
+    assert [(r.doc_id, r.coverage, r.n_windows) for r in decontaminate.contaminated(docs, bench).collect()] == [(1, 1.0, 36)]
+
+
 def test_native_plan(spark):
     df = spark.createDataFrame([(1, QUESTION)], "doc_id long, text string")
     plan = decontaminate.contaminated(df, df.withColumnRenamed("doc_id", "item_id"))._jdf.queryExecution().executedPlan().toString()
