@@ -1,6 +1,7 @@
 """License, secret and HTML operators against brute force and planted cases."""
 
 import hashlib
+import os
 import re
 
 import pytest
@@ -136,6 +137,68 @@ def test_cut_equals_brute_force():
         assert cost(got) == pytest.approx(min(map(cost, itertools.product([False, True], repeat=n))))
 
 
+def brute_cut(costs, edges):
+    """Least cost over all labellings of a small graph, and the labelling with the fewest nodes on the content's side."""
+    import itertools
+
+    cost = lambda z: sum(c for c, k in zip(costs, z) if c > 0 and not k) + sum(-c for c, k in zip(costs, z) if c <= 0 and k) + sum(w for i, j, w in edges if z[i] != z[j])  # noqa: B905, E731
+    every = sorted((round(cost(z), 9), sum(z), z) for z in itertools.product([False, True], repeat=len(costs)))
+    return every[0][0], every[0][2]
+
+
+MADE = (
+    "<nav><a href=/>Home</a></nav><div class=ad>A whole sentence that looks like text, in a box.</div><article><h1>Title</h1><p>One long paragraph, which says enough to be text.<p>Be.<p>No</article><footer>c</footer>",
+    "<div><p>A long paragraph of a page without any telling names, as many are.</p><p>Er.</p><p>Another long paragraph, so that neighbours can decide about the short one.</p></div><ul><li><a href=/a>More</a><li><a href=/b>Less</a></ul>",
+    "<main><p>Short<aside><p>A full sentence that is longer than all of the article's own text.</aside><p>text.</main>",
+    "<section class=comments><p>Nice post, thanks a lot for all of it, really!</p></section><article><p>Hm.</article>",
+)
+
+
+@pytest.mark.parametrize("page", MADE)
+def test_pages_are_cut_as_brute_force_cuts_them(page):
+    made = html_text.Page(page)
+    costs, edges = made.graph(html_text.PRIOR)
+    assert len(costs) <= 14 and tuple(html_text.kept_blocks(made, html_text.PRIOR)) == brute_cut(costs, edges)[1][: len(made.blocks)]
+
+
+def test_the_cut_beats_the_signs():
+    """Text by the cut is the text wanted; by the sign of each block's cost it isn't."""
+    wanted = (
+        "Title One long paragraph, which says enough to be text. Be. No",
+        "A long paragraph of a page without any telling names, as many are. Er. Another long paragraph, so that neighbours can decide about the short one.",
+        "Short text.", "Hm.",
+    )
+    signs = 0
+    for page, text in zip(MADE, wanted, strict=True):
+        assert html_text.main_text(page) == text
+        made = html_text.Page(page)
+        signs += " ".join(t for t, c in zip(made.texts, made.costs(html_text.PRIOR), strict=True) if c > 0) == text
+    assert signs < len(MADE)
+
+
+def test_the_model_is_fitted_to_weak_labels(spark):
+    import numpy as np
+
+    pages = spark.createDataFrame([(i, f"u{i}", f"<nav><a href=/>link {i}</a></nav><article>{'<p>Some words, and a few more of them, that make a paragraph.</p>' * 3}</article>") for i in range(30)], "page_id long, url string, html string")
+    model = html_text.train(pages)
+    assert not np.allclose(model, html_text.PRIOR) and model[html_text.FEATURES.index("links")] < -3
+    assert np.allclose(html_text.train(pages.limit(0)), html_text.PRIOR)
+    x, y = np.random.default_rng(0).normal(size=(200, 8)), np.arange(200) % 2
+    w = html_text.fit(x, y)
+    loss = lambda v: (np.logaddexp(0, x @ v) - y * (x @ v)).sum() + html_text.PRIOR_PRECISION / 2 * ((v - html_text.PRIOR) ** 2).sum()
+    assert all(loss(w + d) >= loss(w) for d in np.concatenate([np.eye(8), -np.eye(8)]) * 1e-3)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_the_cut_decides_on_given_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    model, other = html_text.train(pages), 0
+    for r in pages.collect():
+        page = html_text.Page(r.html)
+        other += [c > 0 for c in page.costs(model)] != html_text.kept_blocks(page, model)
+    assert other > 0
+
+
 def test_html_query_takes_odd_tables(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>" + "word " * 40_000), (3, "u", "<p>a</div></b><p>b")]
     got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
