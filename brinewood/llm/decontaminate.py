@@ -39,24 +39,25 @@ UNITS = (
 )
 #: Before a word that is a name, and before one that may be.
 _MARK, _MAYBE = "\x01", "\x02"
-_NAME = r"(?<=[\p{Ll},;:] )(?=\p{Lu}\p{Ll})"
-_OPENING = r"(?<![\p{L}\p{N}\x01])(?=\p{Lu}\p{Ll})"
+_CAPITAL = r"(?=\p{Lu}\p{Ll})(?<![\p{L}\p{N}])"
+_INSIDE = r"\x02(?<=[\p{Ll},;:] \x02)"
 _TOKEN = r"[\x01\x02]?\p{L}[\p{L}\p{N}]*|\p{N}+(?:[.,]\p{N}+)*"
 
 
 def words(text: Column) -> Column:
     """Lower-cased words; a mark stands before those that are, or may be, names."""
-    marked = F.regexp_replace(F.regexp_replace(text, _NAME, _MARK), _OPENING, _MAYBE)
+    marked = F.regexp_replace(F.regexp_replace(text, _CAPITAL, _MAYBE), _INSIDE, _MARK)
     return F.regexp_extract_all(F.lower(marked), F.lit(_TOKEN), F.lit(0))
 
 
+def _number(word: Column) -> Column:
+    """Whether a word is a number; the pattern is only asked about words that begin beyond ASCII."""
+    return F.when(word < ":", word >= "0").when(word < "\x80", F.lit(False)).otherwise(word.rlike(r"^\p{N}"))
+
+
 def _kind(word: Column, before: Column) -> Column:
     """The placeholder that a word becomes in the strict reading, or null."""
-    number = lambda w: w.rlike(r"^\p{N}")
-    return (
-        F.when(word.startswith(_MARK), F.lit("<name>")).when(number(word), F.lit("<number>"))
-        .when(word.isin(*UNITS) & F.coalesce(number(before), F.lit(False)), F.lit("<unit>"))
-    )
+    return F.when(word.startswith(_MARK), F.lit("<name>")).when(_number(word), F.lit("<number>")).when(F.coalesce(_number(before), F.lit(False)) & word.isin(*UNITS), F.lit("<unit>"))
 
 
 def _hashes(at: Column, hashes: str, size: int, salt: int) -> Column:
@@ -72,12 +73,12 @@ def _around(places: str, size: int) -> Column:
 
 
 def windows(rows: DataFrame, size: int, short: list[int]) -> DataFrame:
-    """One row per window of text: h (hash), pos (from 0; null for a window as it stands), n_words, and kept, the words of a template window.
+    """One row per window of text: h (hash), pos (from 0; null for a window as it stands), n_words, and kept, the hashed words of a template window.
 
     Templates have ``size`` words. Windows as they stand have ``size``, or one of the lengths in ``short``, and come once per text.
     The explode is an outer one: for others Catalyst adds a filter on their size and pushes it below, where all
     of this is computed anew per word. What has no windows leaves a row with a null hash, which no join matches.
-    Nothing but a template window carries words, so that a long text isn't copied into the rows of its windows.
+    Nothing but a template window carries words, and these hashed, so that a long text isn't copied into the rows of its windows.
     """
     rest = [c for c in rows.columns if c != "text"]
     rows = rows.withColumn("w", words(F.col("text"))).drop("text")
@@ -85,11 +86,11 @@ def windows(rows: DataFrame, size: int, short: list[int]) -> DataFrame:
     rows = rows.withColumns({"p": F.transform("w", lambda x: F.ltrim(x, F.lit(_MARK + _MAYBE))), "kind": F.transform("w", lambda x, i: _kind(x, before(i)))})
     somewhere = lambda c, test: F.filter(F.transform(c, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
     rows = rows.withColumns({"sure": somewhere("kind", lambda x: x.isNotNull()), "maybe": somewhere("w", lambda x: x.startswith(_MAYBE))})
-    loose = F.transform("w", lambda x, i: F.when(x.startswith(_MAYBE), F.lit("<name>")).otherwise(F.coalesce(F.get("kind", i), F.get("p", i))))
-    strict = F.transform("p", lambda x, i: F.coalesce(F.get("kind", i), x))
-    hashed = lambda c: F.transform(c, lambda x: F.xxhash64(x))
-    rows = rows.withColumns({"hp": hashed("p"), "hs": F.when(F.size("sure") > 0, hashed(strict)), "hl": F.when(F.size("maybe") > 0, hashed(loose))})
-    none = F.lit(None).cast("array<string>")
+    rows = rows.withColumn("hp", F.transform("p", lambda x: F.xxhash64(x)))
+    slot = lambda kind, i: F.when(kind.isNotNull(), F.xxhash64(kind)).otherwise(F.get("hp", i))
+    loose = F.transform("w", lambda x, i: F.when(x.startswith(_MAYBE), F.xxhash64(F.lit("<name>"))).otherwise(slot(F.get("kind", i), i)))
+    rows = rows.withColumns({"hs": F.when(F.size("sure") > 0, F.transform("kind", slot)), "hl": F.when(F.size("maybe") > 0, loose)})
+    none = F.lit(None).cast("array<long>")
 
     def plain(k: int) -> Column:
         each = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: _hashes(i, "hp", k, 0)))
@@ -97,7 +98,7 @@ def windows(rows: DataFrame, size: int, short: list[int]) -> DataFrame:
         return F.when(fits, F.transform(each, lambda h: F.struct(h.alias("h"), F.lit(None).cast("int").alias("pos"), none.alias("kept"))))
 
     def filled(places: str, hashes: str) -> Column:
-        kept = lambda i: F.array(*[F.get("p", i + k) for k in range(size)])
+        kept = lambda i: F.array(*[F.get("hp", i + k) for k in range(size)])
         each = F.transform(_around(places, size), lambda i: F.struct(_hashes(i, hashes, size, 1).alias("h"), i.alias("pos"), kept(i).alias("kept")))
         return F.when((F.size("w") >= size) & (F.size(places) > 0), each)
 
@@ -109,7 +110,7 @@ def windows(rows: DataFrame, size: int, short: list[int]) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """h, item_id, item_words, bpos, and for template windows bkept, their words. Items shorter than a window are one, as they stand."""
+    """h, item_id, item_words, bpos, and for template windows bkept, their hashed words. Items shorter than a window are one, as they stand."""
     rows = benchmark.select("item_id", text_of().alias("text")).withColumn("w", words(F.col("text"))).drop("text").where(F.size("w") > 0)
     n = F.size("w")
     before = lambda i: F.get(F.col("w"), i - 1)
@@ -123,13 +124,13 @@ def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     as_long = F.lit(None).cast("long")
     for k in range(1, size):  # hashes of fewer words than a window
         as_long = F.when(F.size("p") == k, F.xxhash64(F.lit(0), *[F.xxhash64(F.get("p", j)) for j in range(k)])).otherwise(as_long)
-    plain = rows.select(F.when(F.size("p") == size, hashed(0, F.col("p"))).otherwise(as_long).alias("h"), "item_id", "item_words", "bpos", F.lit(None).cast("array<string>").alias("bkept"))
+    plain = rows.select(F.when(F.size("p") == size, hashed(0, F.col("p"))).otherwise(as_long).alias("h"), "item_id", "item_words", "bpos", F.lit(None).cast("array<long>").alias("bkept"))
     out = plain
     for c in ("kind", "loose"):
         slots = F.size(F.filter(c, lambda x: x.isNotNull()))
         told = rows.where((F.size("p") == size) & (slots > 0) & (slots < size))
         words_ = F.transform("p", lambda x, i: F.coalesce(F.get(F.col(c), i), x))  # noqa: B023
-        out = out.unionByName(told.select(hashed(1, words_).alias("h"), "item_id", "item_words", "bpos", F.col("p").alias("bkept")))
+        out = out.unionByName(told.select(hashed(1, words_).alias("h"), "item_id", "item_words", "bpos", F.transform("p", lambda x: F.xxhash64(x)).alias("bkept")))
     return out.distinct()
 
 

@@ -1,37 +1,59 @@
-"""Near-dedup by similarity: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""SimHash near-dedup at a similarity: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from MinHash bands: sets that agree in all ``ROWS`` least values of a band share a bucket. A pair at 0.8 shares
-none of the ``BANDS`` buckets with a chance of (1 - 0.8 ** ROWS) ** BANDS, about five in a million; that is the one thing left
-to chance. Candidates are verified on the whole sets, in two rounds: each member of a bucket against the bucket's
-least, then, in buckets that still hold several components, all pairs across components. A group of copies thus
-costs its members, not its pairs.
+The trie join of ``simhash`` with fingerprints wide enough for that similarity. 64 bits aren't: at 0.8 two sets differ in about a
+seventh of their bits, and no budget that finds those prunes a trie. So a set gets several words of SimHash bits. Two sets at
+0.8 differ in each bit with the chance ``FLIP``, and so are within ``BUDGET`` bits in one word in a few; there are as many words as it
+takes that they miss each other in all of them with a chance of at most ``MISS``. Words are as long as the table is
+large (``plan``), so that sets that aren't similar meet a few times each, however many there are.
+
+* Sets that agree in a whole word are linked to the least of them and verified on the whole sets.
+* The words' tries are walked with the budget, each set with the component that it has by then: node pairs
+  within one component are dropped, so a group of copies costs its members and not its pairs. Pairs that
+  are left are held against all bits, then verified on the whole sets.
+
+Verification is exact, so what is linked is similar; ``MISS`` is all that is left to chance.
 
 Cases: as in ``simhash``: a null text counts as empty, texts without words are one component, a text of fewer than
-five words is one shingle.
+five words is one shingle; repeated rows are one, of ties the smallest id, then text hash, stays; very long texts
+are read whole; an empty table gives an empty result; extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, ceil, comb, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small_side, text_of
-from .simhash import _WORDS, connected, standing
+from .simhash import _WORDS, SUBTREE, connected, standing, subtrees, trie_pairs, whole_subtrees
 
 SHINGLE = 5
 #: Least similarity, as a fraction, so that it is compared in whole numbers.
 FLOOR = (4, 5)
-BANDS, ROWS = 40, 6
-#: Shingles whose least values are taken at a time.
-CHUNK = 2048
+#: Bits of a word that two sets may differ in, and the chance of a pair at the floor to be missed.
+BUDGET, MISS = 3, 1e-3
+#: Two sets of one size with Jaccard similarity j have the cosine 2j / (1 + j), and differ in a bit with the angle's share of a half turn.
+FLIP = acos(2 * FLOOR[0] / (FLOOR[0] + FLOOR[1])) / pi
+LEAST_BITS, MOST_BITS, SPARE_BITS = 32, 60, 14
 _RNG = np.random.default_rng(42)
-_MASK = _RNG.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)[:, None]
-_ODD = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+_MASK, _ODD = _RNG.integers(0, 2**64, 256, dtype=np.uint64), _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def plan(rows: int) -> tuple[int, int]:
+    """(bits of a word, words) for a table of so many rows."""
+    bits = min(MOST_BITS, max(LEAST_BITS, SPARE_BITS + ceil(log2(max(2, rows)))))
+    meet = sum(comb(bits, i) * FLIP**i * (1 - FLIP) ** (bits - i) for i in range(BUDGET + 1))
+    return bits, ceil(log(MISS) / log(1 - meet))
+
+
+def most_apart(bits: int) -> int:
+    """Six standard deviations beyond the bits that two sets at the floor differ in, of so many."""
+    return ceil(bits * FLIP + 6 * sqrt(bits * FLIP * (1 - FLIP)))
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -42,15 +64,44 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(words[i : i + SHINGLE]), 42) for i in range(n)), np.uint64, n))
 
 
-def bands(values: np.ndarray) -> list[int]:
-    """One key per band, as signed longs; none for the empty set."""
-    if not values.size:
-        return []
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for k in range(0, values.size, CHUNK):
-        np.minimum(least, ((values[k : k + CHUNK] ^ _MASK) * _ODD).min(axis=1), out=least)
-    keys = [xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+def _sum_bits(rows: np.ndarray) -> np.ndarray:
+    """How many rows have each bit set. Full adders bring 15 rows down to four of weights 1, 2, 4 and 8 before bits are spread out."""
+    rows = np.concatenate([rows, np.zeros((-len(rows) % 15, rows.shape[1]), np.uint64)]).reshape(15, -1, rows.shape[1])
+
+    def add(a, b, c):
+        x = a ^ b
+        return x ^ c, (a & b) | (x & c)
+
+    ones, twos = [], []
+    for i in range(0, 15, 3):
+        one, two = add(*rows[i : i + 3])
+        ones.append(one)
+        twos.append(two)
+    for _ in range(2):
+        one, two = add(ones.pop(), ones.pop(), ones.pop())
+        ones.append(one)
+        twos.append(two)
+    fours = []
+    for _ in range(3):
+        two, four = add(twos.pop(), twos.pop(), twos.pop())
+        twos.append(two)
+        fours.append(four)
+    four, eight = add(*fours)
+    spread = lambda x: np.unpackbits(x.astype(">u8").view(np.uint8).reshape(len(x), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return spread(ones[0]) + 2 * spread(twos[0]) + 4 * spread(four) + 8 * spread(eight)
+
+
+def words_of_bits(values: np.ndarray, bits: int, words: int) -> np.ndarray:
+    """The words of a set's SimHash, right-aligned: a bit is 1 if over half of the shingles' mixed values have it."""
+    per = 64 // bits
+    lanes = -(-words // per)
+    total = np.zeros(64 * lanes, np.int64)
+    for k in range(0, values.size, 1 << 14):
+        x = (values[k : k + (1 << 14), None] ^ _MASK[:lanes]) * _ODD[:lanes]
+        total += _sum_bits(x ^ (x >> np.uint64(32)))
+    packed = np.packbits(total * 2 > values.size).view(">u8").astype(np.uint64)
+    k = np.arange(words)
+    return (packed[k // per] >> (np.uint64(bits) * (k % per).astype(np.uint64))) & np.uint64((1 << bits) - 1)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -60,22 +111,22 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * low >= top * (a.size + b.size - both)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, sig (one value per set of shingles), n (its size) and bands of every document."""
+def signatures(docs: DataFrame, bits: int, words: int) -> DataFrame:
+    """doc_id, text_hash, sig (one value per set of shingles), n (its size) and words of every document."""
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().cast("binary").alias("text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sig, size, keys = [], [], []
+            sig, size, each = [], [], []
             for t in b.column("text"):
                 values = shingle_set(t.as_py())
                 sig.append(xxhash.xxh64_intdigest(values.tobytes(), 42))
                 size.append(values.size)
-                keys.append(bands(values))
-            cols = [b.column("doc_id"), b.column("text_hash"), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "sig", "n", "bands"])
+                each.append(words_of_bits(values, bits, words).view(np.int64))
+            cols = [b.column("doc_id"), b.column("text_hash"), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(each, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "sig", "n", "words"])
 
-    return rows.mapInArrow(of, f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, sig long, n long, bands array<long>")
+    return rows.mapInArrow(of, f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, sig long, n long, words array<long>")
 
 
 def _sets(docs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -91,8 +142,10 @@ def _sets(docs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(of, "sig long, values binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar."""
+def _verified(docs: DataFrame, pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The pairs (a, b; cut) that are similar."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    sets = cut(_sets(docs, cut(ends.join(distinct.select("sig", "text_hash"), "sig"))))
     side = lambda c: sets.select(F.col("sig").alias(c), F.col("values").alias(f"set_{c}"))
     rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b")
 
@@ -102,36 +155,61 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok = pa.array([similar(*(np.frombuffer(v.as_py(), np.uint64) for v in p)) for p in both], pa.bool_())
             yield pa.RecordBatch.from_arrays([x.column("a").filter(ok), x.column("b").filter(ok)], ["a", "b"])
 
-    return rows.mapInArrow(of, "a long, b long")
+    return cut(rows.mapInArrow(of, "a long, b long"))
+
+
+def near_sizes(a: Column, b: Column) -> Column:
+    """Whether sets of these sizes can be similar at all."""
+    return F.least(a, b) * FLOOR[1] >= F.greatest(a, b) * FLOOR[0]
+
+
+def trie_candidates(members: DataFrame, bits: int, subtree: int) -> DataFrame:
+    """Pairs (a, b) of ``members`` (word, value, sig, root) of different roots with a word within the budget."""
+    rows = members.select(F.xxhash64("word").alias("path"), F.col("value").alias("rest"), F.lit(bits).alias("left"), F.col("value").alias("fp"), "sig", "root")
+    ready, hot = subtrees(rows, BUDGET, subtree, "root")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tree, value, sig, root in whole_subtrees(batches):
+            order = np.lexsort((root, value, tree))
+            tree, value, sig, root = (x[order] for x in (tree, value, sig, root))
+            for a, b in trie_pairs(tree, value.view(np.uint64), BUDGET, root, bits):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(sig[a], sig[b])), pa.array(np.minimum(sig[a], sig[b]))], ["a", "b"])
+
+    found = ready.select("path", "fp", "sig", "root").mapInArrow(walk, "a long, b long")
+    if hot is not None:  # all but a few bits are shared there; the join splits what is too large for a task
+        left, right = (hot.select("path", F.col("fp").alias(f"fp_{c}"), F.col("sig").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+        near = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= BUDGET
+        found = found.unionByName(left.join(right, "path").where("a > b and root_a <> root_b").where(near).select("a", "b"))
+    return found.distinct()
 
 
-def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(node, root) of the sets in ``distinct`` (sig, n, bands, text_hash; cut) that are similar to another one."""
-    buckets = distinct.select(F.explode("bands").alias("key"), "sig", "n")
-    shared = buckets.groupBy("key").agg(F.min(F.struct("sig", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "lead")
-    members = cut(buckets.join(shared, "key"))
-    near = lambda a, b: F.least(a, b) * FLOOR[1] >= F.greatest(a, b) * FLOOR[0]
-    texts = cut(members.select("sig").distinct().join(distinct.select("sig", "text_hash"), "sig"))
-    sets = cut(_sets(docs, texts))
-    stars = members.where(F.col("sig") != F.col("lead.sig")).where(near(F.col("n"), F.col("lead.n"))).select(F.col("sig").alias("a"), F.col("lead.sig").alias("b"))
-    stars = cut(stars.distinct())
-    first = cut(_verified(stars, sets))
+def links(docs: DataFrame, distinct: DataFrame, bits: int, words: int, subtree: int = SUBTREE) -> DataFrame:
+    """(node, root) of the sets in ``distinct`` (sig, n, words, text_hash; cut) that are similar to another one."""
+    each = distinct.where("n > 0").select(F.posexplode("words").alias("word", "value"), "sig", "n")
+    shared = each.groupBy("word", "value").agg(F.min(F.struct("sig", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    stars = each.join(shared, ["word", "value"]).where("sig <> lead.sig").where(near_sizes(F.col("n"), F.col("lead.n")))
+    stars = cut(stars.select(F.col("sig").alias("a"), F.col("lead.sig").alias("b")).distinct())
+    first = _verified(docs, stars, distinct)
     roots = cut(connected(first))
-    tagged = members.join(roots, members["sig"] == roots["node"], "left").select("key", "sig", "n", F.coalesce("root", "sig").alias("root"))
-    mixed = tagged.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_ = cut(tagged.join(mixed, "key"))
-    left, right = (open_.select("key", F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("root").alias(f"root_{c}")) for c in "ab")
-    pairs = left.join(right, "key").where("a > b and root_a <> root_b").where(near(F.col("n_a"), F.col("n_b")))
-    pairs = cut(pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    return connected(first.unionByName(_verified(pairs, sets)))
+    tagged = distinct.where("n > 0").join(roots, distinct["sig"] == roots["node"], "left").select("sig", "words", F.coalesce("root", "sig").alias("root"))
+    tagged = cut(tagged)
+    pairs = trie_candidates(tagged.select(F.posexplode("words").alias("word", "value"), "sig", "root"), bits, subtree)
+    side = lambda c: distinct.select(F.col("sig").alias(c), F.col("words").alias(f"words_{c}"), F.col("n").alias(f"n_{c}"))
+    pairs = pairs.join(side("b"), "b").join(side("a"), "a").where(near_sizes(F.col("n_a"), F.col("n_b")))
+    apart = F.aggregate(F.zip_with("words_a", "words_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    pairs = pairs.where(apart <= most_apart(bits * words)).select("a", "b")
+    second = _verified(docs, cut(pairs.join(stars, ["a", "b"], "left_anti")), distinct)
+    return connected(first.unionByName(second))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id, then text hash, stays."""
-    narrow = cut(signatures(docs))
+    bits, words = plan(docs.count())
+    narrow = cut(signatures(docs, bits, words))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    distinct = cut(narrow.groupBy("sig").agg(least.alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    roots = cut(links(docs, distinct.select("sig", "n", "bands", F.col("first.text_hash").alias("text_hash"))))
+    distinct = cut(narrow.groupBy("sig").agg(least.alias("first"), F.first("n").alias("n"), F.first("words").alias("words")))
+    distinct = distinct.select("sig", "n", "words", F.col("first.text_hash").alias("text_hash"), "first")
+    roots = cut(links(docs, distinct, bits, words))
     tagged = distinct.join(roots, distinct["sig"] == roots["node"], "left").select(F.coalesce("root", "sig").alias("root"), "first")
     kept = tagged.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("component_text"))
     return standing(docs, narrow, cut(kept))

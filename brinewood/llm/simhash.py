@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -84,53 +85,88 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def trie_links(tree: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs within ``budget`` bits among members of the same subtree.
+def trie_pairs(tree: np.ndarray, fp: np.ndarray, budget: int, same: np.ndarray | None = None, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of members of the same subtree whose fingerprints differ in at most ``budget`` of their ``bits`` low bits.
 
-    ``tree`` has each member's subtree, ``fp`` its distinct fingerprint; both sorted by (tree, fp). The trie is
-    implicit: a node at depth d is a run of members that share d bits. A pair of nodes is (run, run, bits that
-    differ so far); its children are the pairs of halves. Pairs of small runs are compared at once.
+    ``tree`` has each member's subtree, ``fp`` its fingerprint; both sorted by (tree, fp), and then by ``same``. The trie is
+    implicit: a node at depth d is a run of members that share d bits. Two nodes go down together as (run, run, bits that differ
+    so far); their children are the pairs of halves, and a pair over the budget is dropped with all that is below it. At the
+    leaves, where both runs are one member, the bits that are left are counted. With ``same`` (a class per member) pairs
+    within a class are of no interest, and two nodes that lie in one class are dropped as well.
+
+    ``WALKED`` counts node pairs that were expanded, dropped by the budget, dropped by class, and compared at leaves.
     """
-    n = len(fp)
     cuts = np.flatnonzero(np.concatenate(([True], tree[1:] != tree[:-1], [True])))
     lo, hi = cuts[:-1], cuts[1:]
     keep = hi - lo > 1
+    if same is not None:  # where the run of equal classes that each member is in ends
+        ends = np.flatnonzero(np.concatenate((same[1:] != same[:-1], [True]))) + 1
+        until = np.repeat(ends, np.diff(np.concatenate(([0], ends))))
     stack = [(0, lo[keep], hi[keep], lo[keep], hi[keep], np.zeros(keep.sum(), np.int8))]
-    root = np.arange(n)
     while stack:
         depth, la, ha, lb, hb, diff = stack.pop()
         if la.size > FRONTIER:
             half = la.size // 2
             stack += [(depth, *(x[half:] for x in (la, ha, lb, hb, diff))), (depth, *(x[:half] for x in (la, ha, lb, hb, diff)))]
             continue
-        cells = (ha - la) * (hb - lb)
-        small = (cells <= 64) | (depth == BITS)
-        if small.any():
-            a, b = _expand(la[small], ha[small], lb[small], hb[small])
-            near = (a < b) & (np.bitwise_count(fp[a] ^ fp[b]) <= budget)
+        leaf = (ha - la == 1) & (hb - lb == 1)
+        if leaf.any():
+            a, b = la[leaf], lb[leaf]
+            WALKED["leaves"] += a.size
+            near = np.bitwise_count(fp[a] ^ fp[b]) <= budget
+            if same is not None:
+                near &= same[a] != same[b]
             if near.any():
-                root = _joined(root, a[near], b[near])
-        big = ~small
-        if not big.any():
+                yield a[near], b[near]
+        la, ha, lb, hb, diff = (x[~leaf] for x in (la, ha, lb, hb, diff))
+        if not la.size:
+            continue
+        if depth == bits:  # runs of equal fingerprints
+            yield from _across(la, ha, lb, hb, same)
             continue
-        la, ha, lb, hb, diff = (x[big] for x in (la, ha, lb, hb, diff))
-        ma, mb = _middle(fp, la, ha, depth), _middle(fp, lb, hb, depth)
-        twin = la == lb
-        kids = [
-            (la, ma, lb, mb, diff, np.ones(la.size, bool)),
-            (ma, ha, mb, hb, diff, np.ones(la.size, bool)),
-            (la, ma, mb, hb, diff + 1, np.ones(la.size, bool)),
-            (ma, ha, lb, mb, diff + 1, ~twin),  # a node with itself: its cross pair counts once
-        ]
+        WALKED["expanded"] += la.size
+        ma, mb = _middle(fp, la, ha, bits - 1 - depth), _middle(fp, lb, hb, bits - 1 - depth)
+        twin = la == lb  # a node with itself: its cross pair counts once
+        kids = ((la, ma, lb, mb, diff, None), (ma, ha, mb, hb, diff, None), (la, ma, mb, hb, diff + 1, None), (ma, ha, lb, mb, diff + 1, ~twin))
         parts = []
-        for a0, a1, b0, b1, d, ok in kids:
-            ok = ok & (a1 > a0) & (b1 > b0) & (d <= budget)
-            ok &= ~((a0 == b0) & (a1 - a0 == 1))
+        for a0, a1, b0, b1, d, once in kids:
+            ok = (a1 > a0) & (b1 > b0) & ((a0 != b0) | (a1 - a0 > 1))
+            if once is not None:
+                ok &= once
+            over = ok & (d > budget)
+            WALKED["over_budget"] += int(over.sum())
+            ok &= ~over
+            if same is not None:
+                one = ok & (same[a0 % fp.size] == same[b0 % fp.size]) & (until[a0 % fp.size] >= a1) & (until[b0 % fp.size] >= b1)
+                WALKED["one_class"] += int(one.sum())
+                ok &= ~one
             parts.append([x[ok] for x in (a0, a1, b0, b1, d)])
         merged = [np.concatenate(x) for x in zip(*parts, strict=True)]
         if merged[0].size:
             stack.append((depth + 1, *merged))
-    child = np.flatnonzero(root != np.arange(n))
+
+
+def _across(la: np.ndarray, ha: np.ndarray, lb: np.ndarray, hb: np.ndarray, same: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Member pairs of runs of equal fingerprints, those of a class aside: one member of the first run against the second at a time."""
+    for a0, a1, b0, b1 in zip(la.tolist(), ha.tolist(), lb.tolist(), hb.tolist(), strict=True):
+        for a in range(a0, a1):
+            b = np.arange(max(b0, a + 1) if a0 == b0 else b0, b1)
+            if same is not None:
+                b = b[same[b] != same[a]]
+            if b.size:
+                yield np.full(b.size, a), b
+
+
+#: What the walks of this process did.
+WALKED = {"expanded": 0, "over_budget": 0, "one_class": 0, "leaves": 0}
+
+
+def trie_links(tree: np.ndarray, fp: np.ndarray, budget: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of ``trie_pairs``: at most one link per member."""
+    root = np.arange(len(fp))
+    for a, b in trie_pairs(tree, fp, budget, bits=bits):
+        root = _joined(root, a, b)
+    child = np.flatnonzero(root != np.arange(len(fp)))
     return child, root[child]
 
 
@@ -142,9 +178,9 @@ def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return to[root]
 
 
-def _middle(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
-    """Where bit ``depth`` turns from 0 to 1 in each run: a binary search in all runs at once."""
-    bit = np.uint64(1 << (BITS - 1 - depth))
+def _middle(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, place: int) -> np.ndarray:
+    """Where the bit of a place (0: the lowest) turns from 0 to 1 in each run: a binary search in all runs at once."""
+    bit = np.uint64(1 << place)
     lo, hi = lo.copy(), hi.copy()
     while (open_ := lo < hi).any():
         mid = (lo + hi) // 2
@@ -154,16 +190,6 @@ def _middle(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) -> np.nd
     return lo
 
 
-def _expand(la: np.ndarray, ha: np.ndarray, lb: np.ndarray, hb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All member pairs of node pairs."""
-    wide = hb - lb
-    cells = (ha - la) * wide
-    begin = np.repeat(np.cumsum(cells) - cells, cells)
-    k = np.arange(cells.sum()) - begin
-    w = np.repeat(wide, cells)
-    return np.repeat(la, cells) + k // w, np.repeat(lb, cells) + k % w
-
-
 def _blocks(bits: int, parts: int) -> list[tuple[int, int]]:
     """(offset, width) of nearly equal blocks."""
     edge = [bits * i // parts for i in range(parts + 1)]
@@ -171,7 +197,7 @@ def _blocks(bits: int, parts: int) -> list[tuple[int, int]]:
 
 
 def _cut_subtrees(members: DataFrame, budget: int) -> DataFrame:
-    """Members (path, rest, left, fp) copied once per block of the bits that are left, path extended by the block's value.
+    """Members (path, rest, left, fp, ...) copied once per block of the bits that are left, path extended by the block's value.
 
     ``rest`` holds the ``left`` bits not yet fixed by the path, right-aligned.
     """
@@ -189,58 +215,74 @@ def _cut_subtrees(members: DataFrame, budget: int) -> DataFrame:
             else:
                 rest = above
             choices.append(F.struct(F.xxhash64("path", F.lit(off), value).alias("path"), rest.alias("rest"), F.lit(left - width).alias("left")))
-        cutting = rows.select(F.explode(F.array(*choices)).alias("x"), "fp").select("x.*", "fp")
+        own = [c for c in rows.columns if c not in ("path", "rest", "left")]
+        cutting = rows.select(F.explode(F.array(*choices)).alias("x"), *own).select("x.path", *own, "x.rest", "x.left")
         out = cutting if out is None else out.unionByName(cutting)
     return out if out is not None else members.limit(0)
 
 
-def fingerprint_links(distinct: DataFrame, budget: int = 3, subtree: int = SUBTREE) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp`` that connect every pair within ``budget`` bits.
+def subtrees(members: DataFrame, budget: int, subtree: int = SUBTREE, root: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The other columns of ``members`` (path, rest, left, fp, ...) with path: those of subtrees that a task can own, and those of hot ones.
 
-    A chain of links joins each such pair; no two fingerprints further apart are in one chain unless others
-    between them are near. Paths of subtrees are hashed; were two to collide, one subtree would hold both, which
-    the walk, comparing all bits, still gets right.
+    Every two members of a path within ``budget`` bits meet in a subtree. Those with more than ``subtree`` members are cut again by
+    the bits that are left, as long as there are more of these than blocks. What then is too large holds many members of few
+    fingerprints (where these aren't distinct): the hot ones, None if there are none. Large subtrees of one class (column
+    ``root``) are left out. Paths are hashed; were two to collide, one subtree would hold both, which the
+    walk, comparing all bits, still gets right.
     """
-    subtree = max(subtree, 1 << (budget + 1))  # what no cutting can split further
-    members = _cut_subtrees(distinct.select(F.lit(0).cast("long").alias("path"), F.col("fp").alias("rest"), F.lit(BITS).alias("left"), "fp"), budget)
-    done = []
+    subtree = max(subtree, 1 << (budget + 1))  # what no cutting of distinct fingerprints can split further
+    members, done, hot = _cut_subtrees(members, budget), [], []
+    one = (F.min(root) == F.max(root)) if root else F.lit(False)
     while True:
-        heavy = cut(members.groupBy("path").count().where(F.col("count") > subtree).select("path"))
+        heavy = cut(members.groupBy("path").agg(F.count(F.lit(1)).alias("n"), one.alias("one"), F.max("left").alias("most")).where(F.col("n") > subtree))
         n = heavy.count()
         if not n:
             done.append(members)
             break
-        hint = small_side(heavy, n)
-        done.append(members.join(hint, "path", "left_anti"))
-        members = _cut_subtrees(cut(members.join(hint, "path", "left_semi").where(F.col("left") > budget + 1)), budget)
-    every = done[0]
-    for x in done[1:]:
-        every = every.unionByName(x)
-    ready = every.select("path", "fp").repartition("path").sortWithinPartitions("path")
-    most = max(subtree, 1 << 17)
+        done.append(members.join(small_side(heavy.select("path"), n), "path", "left_anti"))
+        more = heavy.where(~F.col("one"))
+        hot.append(members.join(small_side(more.where(F.col("most") <= budget + 1).select("path"), n), "path", "left_semi"))
+        members = _cut_subtrees(cut(members.join(small_side(more.where(F.col("most") > budget + 1).select("path"), n), "path", "left_semi")), budget)
+    every = lambda parts: reduce(DataFrame.unionByName, parts).drop("rest", "left") if parts else None
+    return every(done).repartition("path").sortWithinPartitions("path"), every(hot)
+
+
+def whole_subtrees(batches: Iterator[pa.RecordBatch], most: int = 1 << 17) -> Iterator[list[np.ndarray]]:
+    """Columns of members, of whole subtrees at a time, each sorted by (path, fp). path and fp are the first two."""
+    held: list[list[np.ndarray]] = []
+
+    def sorted_(cols: list[np.ndarray]) -> list[np.ndarray]:
+        order = np.lexsort((cols[1].view(np.uint64), cols[0]))
+        return [c[order] for c in cols]
+
+    for x in batches:
+        if x.num_rows:
+            held.append([c.to_numpy(zero_copy_only=False) for c in x.columns])
+        if sum(len(c[0]) for c in held) > most:
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            end = int(np.searchsorted(cols[0], cols[0][-1]))  # the last subtree may go on
+            held = [[c[end:].copy() for c in cols]]
+            if end:
+                yield sorted_([c[:end] for c in cols])
+    if held:
+        yield sorted_([np.concatenate(c) for c in zip(*held, strict=True)])
+
+
+def fingerprint_links(distinct: DataFrame, budget: int = 3, subtree: int = SUBTREE) -> DataFrame:
+    """Links (a, b) between distinct fingerprints ``fp`` that connect every pair within ``budget`` bits.
+
+    A chain of links joins each such pair; no two fingerprints further apart are in one chain unless others
+    between them are near.
+    """
+    members = distinct.select(F.lit(0).cast("long").alias("path"), F.col("fp").alias("rest"), F.lit(BITS).alias("left"), "fp")
+    ready = subtrees(members, budget, subtree)[0].select("path", "fp")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out(tree: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            fp = fp.view(np.uint64)
-            order = np.lexsort((fp, tree))
-            tree, fp = tree[order], fp[order]
-            first = np.concatenate(([True], (tree[1:] != tree[:-1]) | (fp[1:] != fp[:-1]))) if fp.size else np.zeros(0, bool)
-            tree, fp = tree[first], fp[first]
-            a, b = trie_links(tree, fp, budget)
-            return pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], ["a", "b"])
-
-        for x in batches:
-            held.append((x.column("path").to_numpy(zero_copy_only=False), x.column("fp").to_numpy(zero_copy_only=False)))
-            if sum(len(t) for t, _ in held) > most:
-                tree, fp = (np.concatenate(c) for c in zip(*held, strict=True))
-                end = int(np.searchsorted(tree, tree[-1]))  # the last subtree may go on
-                held = [(tree[end:], fp[end:])]
-                if end:
-                    yield out(tree[:end].copy(), fp[:end].copy())
-        if held:
-            yield out(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        for tree, signed in whole_subtrees(batches):
+            fp = signed.view(np.uint64)
+            first = np.concatenate(([True], (tree[1:] != tree[:-1]) | (fp[1:] != fp[:-1])))  # one subtree may be of several blocks
+            a, b = trie_links(tree[first], fp[first], budget)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[first][a].view(np.int64)), pa.array(fp[first][b].view(np.int64))], ["a", "b"])
 
     return ready.mapInArrow(walk, "a long, b long")
 

@@ -1,5 +1,7 @@
 """Near-dedup, search and decontamination against brute force."""
 
+import os
+
 import numpy as np
 import pytest
 import xxhash
@@ -26,23 +28,78 @@ def test_xxhash_is_sparks(spark):
 
 
 def components(fps, budget=3):
-    fps = np.array(fps, np.uint64)
-    a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= budget, 1))
-    return simhash._roots(len(fps), a, b)
+    """Labels by a union-find of its own over all pairs."""
+    parent = list(range(len(fps)))
 
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
 
-@pytest.mark.parametrize("subtree", [20_000, 16])
-def test_trie_join_equals_brute_force(spark, subtree):
-    rng = np.random.default_rng(subtree)
+    for i, x in enumerate(fps):
+        for j in np.flatnonzero(np.bitwise_count(np.asarray(fps[:i], np.uint64) ^ np.uint64(x)) <= budget):
+            parent[find(int(j))] = find(i)
+    return [find(i) for i in range(len(fps))]
+
+
+def near_and_dense(seed):
+    rng = np.random.default_rng(seed)
     base = rng.integers(0, 2**64, 40, dtype=np.uint64)
     near = [base ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64)) for _ in range(6)]
-    dense = np.arange(64, dtype=np.uint64)  # all near each other: one heavy subtree
-    fps = np.unique(np.concatenate([base, dense, *near]))
+    return np.unique(np.concatenate([base, np.arange(64, dtype=np.uint64), *near]))  # the latter: all near each other, one heavy subtree
+
+
+def same_partition(a, b):
+    return len(set(a)) == len(set(b)) == len(set(zip(a, b, strict=True)))
+
+
+@pytest.mark.parametrize("subtree", [20_000, 16])
+def test_trie_join_equals_brute_force(spark, subtree):
+    fps = near_and_dense(subtree)
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
     got = {r.node: r.root for r in simhash.connected(simhash.fingerprint_links(df, 3, subtree)).collect()}
-    mine = [got.get(int(x), int(x)) for x in fps.view(np.int64)]
-    want = components(fps)
-    assert len(set(mine)) == len(set(want)) == len(set(zip(mine, want.tolist(), strict=True)))
+    assert same_partition([got.get(int(x), int(x)) for x in fps.view(np.int64)], components(fps))
+
+
+@pytest.mark.parametrize("n", [2, 3, 50, 700])
+def test_the_trie_is_walked_at_every_size(n):
+    """All pairs within the budget, each once, by expanding and pruning nodes; members are only compared at leaves."""
+    rng = np.random.default_rng(n)
+    fps = np.unique(np.concatenate([rng.integers(0, 2**64, n, dtype=np.uint64), near_and_dense(n)[: n // 2]]))
+    before = dict(simhash.WALKED)
+    got = [(int(x), int(y)) for a, b in simhash.trie_pairs(np.zeros(len(fps), np.int64), fps, 3) for x, y in zip(a, b, strict=True)]
+    i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3, 1))
+    assert len(got) == len(set(got)) and {tuple(sorted(x)) for x in got} == set(zip(i.tolist(), j.tolist(), strict=True))
+    walked = {k: v - before[k] for k, v in simhash.WALKED.items()}
+    assert walked["expanded"] > 0 and (n < 50 or walked["over_budget"] > 0)
+    assert walked["leaves"] <= max(1, len(fps) * (len(fps) - 1) // 2) and (n < 700 or walked["leaves"] < len(fps) * (len(fps) - 1) // 8)
+
+
+def test_walks_across_classes():
+    """Equal fingerprints and classes: the pairs of different classes, each once, and nodes of one class are dropped."""
+    rng = np.random.default_rng(3)
+    fp = np.sort(rng.integers(0, 2**10, 400, dtype=np.uint64))
+    same = rng.integers(0, 3, 400)
+    order = np.lexsort((same, fp))
+    fp, same = fp[order], same[order]
+    got = [(int(x), int(y)) for a, b in simhash.trie_pairs(np.zeros(400, np.int64), fp, 2, same, 10) for x, y in zip(a, b, strict=True)]
+    near = (np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 2) & (same[:, None] != same[None, :])
+    i, j = np.nonzero(np.triu(near, 1))
+    assert len(got) == len(set(got)) and {tuple(sorted(x)) for x in got} == set(zip(i.tolist(), j.tolist(), strict=True))
+    before = simhash.WALKED["leaves"]
+    assert not list(simhash.trie_pairs(np.zeros(400, np.int64), fp, 2, np.zeros(400, int), 10)) and simhash.WALKED["leaves"] == before
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the driver's tables")
+def test_components_of_given_documents(spark):
+    """The query's components against all pairs of independently computed fingerprints."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = sorted(docs.select("doc_id", "text").collect())
+    fps = [brute_fingerprint(r.text or "") for r in rows]
+    want = components(np.array(fps, np.uint64))
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    assert [got[r.doc_id].fingerprint for r in rows] == [f"{x:016x}" for x in fps]
+    assert same_partition([got[r.doc_id].component_id for r in rows], want)
 
 
 def test_a_long_chain_is_one_component(spark):

@@ -1,6 +1,8 @@
 """Near-dedup by similarity against brute force on planted edits."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brinewood.llm import shingles, simhash
@@ -44,28 +46,53 @@ def test_stage_equals_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(min(g) for g in groups)
 
 
-def test_buckets_of_several_components_are_whole(spark, monkeypatch):
-    """With keys that put everything into one bucket, pairs away from the bucket's least are still found."""
-    monkeypatch.setattr(shingles, "bands", lambda values: [0] if values.size else [])
-    texts = planted(4)[:30]
-    rows = [(i, i, *_signature(t)) for i, t in enumerate(texts)]
-    narrow = spark.createDataFrame(rows, "doc_id long, text_hash long, sig long, n long, bands array<long>")
+@pytest.mark.parametrize("subtree", [20_000, 8])
+def test_links_of_any_subtrees_are_whole(spark, subtree, monkeypatch):
+    """With one short word for all sets, subtrees are hot, or cut as far as that goes; the links are those of brute force."""
+    monkeypatch.setattr(shingles, "plan", lambda rows: (5, 2))
+    monkeypatch.setattr(shingles, "most_apart", lambda bits: bits)
+    monkeypatch.setattr(shingles, "words_of_bits", lambda values, bits, words: np.array([values.size % 3, 0], np.uint64))
+    monkeypatch.setattr(simhash, "SUBTREE", subtree)
+    texts = planted(4)[:34]
+    narrow = spark.createDataFrame([(i, *signature(t)) for i, t in enumerate(texts)], "doc_id long, sig long, n long, words array<long>")
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    from pyspark.sql import functions as F
-
-    narrow = narrow.join(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")), "doc_id").select("doc_id", F.col("h").alias("text_hash"), "sig", "n", "bands")
-    distinct = narrow.groupBy("sig").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("text_hash").alias("text_hash"))
-    root = {r.node: r.root for r in shingles.links(docs, distinct.cache()).collect()}
+    narrow = narrow.join(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")), "doc_id")
+    distinct = narrow.groupBy("sig").agg(F.first("n").alias("n"), F.first("words").alias("words"), F.min("text_hash").alias("text_hash"))
+    root = {r.node: r.root for r in shingles.links(docs, distinct.cache(), 5, 2, subtree).collect()}
     by = {}
     for r in narrow.collect():
         by.setdefault(root.get(r.sig, r.sig), []).append(r.doc_id)
     assert {tuple(sorted(x)) for x in by.values()} == brute_groups(texts)[0]
 
 
-def _signature(text):
-    values = shingles.shingle_set((text or "").encode())
+def signature(t):
+    values = shingles.shingle_set((t or "").encode())
     sig = np.array([shingles.xxhash.xxh64_intdigest(values.tobytes(), 42)], np.uint64).view(np.int64)
-    return int(sig[0]), int(values.size), shingles.bands(values)
+    return int(sig[0]), int(values.size), shingles.words_of_bits(values, 5, 2).view(np.int64).tolist()
+
+
+def test_bits_are_counted_and_packed():
+    values = np.random.default_rng(1).integers(0, 2**64, 100, dtype=np.uint64)
+    for bits, words in ((32, 5), (40, 3), (60, 2)):
+        got = shingles.words_of_bits(values, bits, words)
+        per = 64 // bits
+        for k in range(words):
+            x = (values ^ shingles._MASK[k // per]) * shingles._ODD[k // per]
+            x ^= x >> np.uint64(32)
+            want = sum(1 << b for b in range(64) if int(((x >> np.uint64(b)) & np.uint64(1)).sum()) * 2 > len(values))
+            assert int(got[k]) == (want >> (k % per * bits)) & ((1 << bits) - 1)
+
+
+def test_pairs_at_the_floor_meet():
+    """Of 600 pairs of sets with a similarity of exactly 0.8 hardly any is missed by all words, or is further apart than allowed."""
+    rng, missed, apart = np.random.default_rng(2), 0, 0
+    bits, words = shingles.plan(100_000)
+    for _ in range(600):
+        base = rng.integers(0, 2**64, 450, dtype=np.uint64)
+        a, b = (shingles.words_of_bits(x, bits, words) for x in (base[:405], np.concatenate([base[45:405], base[405:]])))
+        missed += (np.bitwise_count(a ^ b) > shingles.BUDGET).all()
+        apart += np.bitwise_count(a ^ b).sum() > shingles.most_apart(bits * words)
+    assert missed <= 4 and not apart
 
 
 def test_stage_takes_odd_tables(spark):
