@@ -1,45 +1,53 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over the presence and the rate of words and of word beginnings, trained with numpy from confirmed toxic
-documents (P) and unlabelled text (U) under the class-prior-corrected risk
-``prior * R_P(+) + max(0, R_U(-) - prior * R_P(-))`` (Kiryo and others, 2017): where the second part of a mini-batch
-falls below zero, the step goes against it. An L1 proximal step keeps weights sparse, so long clean texts gather no
-noise. Labels 0 are not examples; they only count towards the class prior.
-
-Both samples are bounded (``POSITIVES``, ``UNLABELLED``: the smallest hashes of ids in the training folds). Copies
-within a sample count once, else the words of one copied text look like marks of toxicity. Features are those that
-significantly more positives than unlabelled texts have, at most ``MOST_FEATURES``.
+A linear classifier over the words and word beginnings that a text has, and over those of them that make up a fiftieth of it,
+trained from confirmed toxic documents (P) and unlabelled text (U) under the class-prior-corrected risk
+``prior * R_P(+) + max(0, R_U(-) - prior * R_P(-))`` (Kiryo and others, 2017) with the sigmoid loss and a ridge. Labels 0
+are not examples; they only count towards the class prior.
+
+P is a bounded sample of labelled rows (``POSITIVES``, the smallest hashes of ids in the training folds; texts with the same
+words count once). U is every document of the training folds. Texts are read once, into the marks they have: candidates are the
+features that significantly more positives than unlabelled texts could have even if no unlabelled text had them, so
+none that could be chosen is left out. How many unlabelled texts have each is then counted over all of U, and those that really tell are
+the features. Texts of U with the same features are one row with a number. The risk is minimised by L-BFGS with
+one pass over these rows per step, of which a vector of partial sums comes back; on the driver are P's features, a few numbers per
+candidate, and the weights.
 
 Cases: a null text counts as empty; a text without words scores as the bias alone (clean); without toxic examples
-every score is 0; null labels are left out; repeated rows are scored each.
+every score is 0; null labels are left out; repeated rows are scored each; very long texts are read whole; ties of hashes go by
+id; an empty table gives an empty result; only ids, texts and labels are read, and a filter keeps extra columns whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, text_of, without
+from .common import cut, fold_of, text_of, without
 from .quality import training_rows
 
-#: Bounds of the samples that the classifier is fitted on.
-POSITIVES, UNLABELLED = 3000, 6000
-CANDIDATES, MOST_FEATURES = 20_000, 2000
-#: Least log-likelihood ratio of a feature's share of P against its share of U: for significance, and per positive, for effect.
-LEAST_RATIO, RATIO_EACH = 6.0, 0.02
+#: Bound of the sample of labelled toxic rows that the classifier is fitted on.
+POSITIVES = 3000
+#: Positives that a feature is in at least, and the least log-likelihood ratio of its share of P against that of U: for significance, and per positive, for effect.
+LEAST_POSITIVES, LEAST_RATIO, RATIO_EACH = 3, 6.0, 0.02
 FOLDS, HELD_OUT = 4, 2
 PREDICT_AT = 0.3
-#: Rates are multiplied by this, so that a word in fifty counts 1.
-RATE_SCALE = 50.0
+#: A feature is frequent in a text if one word in so many has it.
+FREQUENT = 50
+#: Weight of the ridge, and the most steps of the fit.
+RIDGE, STEPS = 3e-6, 20
 BEGINNINGS = range(3, 8)
 _BREAK = re.compile(r"[\W_]+")
-#: Words whose scores a worker keeps.
+#: Words whose features a worker keeps.
 KEPT_WORDS = 200_000
 
 
@@ -52,207 +60,242 @@ def features_of(word: str) -> list[int]:
     return [crc32(b"w" + word.encode()), *(crc32(b"b" + word[:k].encode()) for k in BEGINNINGS if len(word) >= k)]
 
 
-def rates(text: str, only: frozenset[int] | None = None) -> tuple[list[int], list[float]]:
-    """Features of a text (those in ``only``) and how often each occurs per word, scaled."""
-    words = words_of(text)
-    tally: Counter[int] = Counter()
-    for w, n in Counter(words).items():
-        for k in features_of(w):
-            if only is None or k in only:
-                tally[k] += n
-    return list(tally), [RATE_SCALE * n / len(words) for n in tally.values()]
-
-
-class Linear:
-    """Bias and weights by feature hash, for presence and for rate."""
+class Marks:
+    """Which of some features a text has: places in the sorted ``keys``, doubled, and one more where it is frequent."""
 
-    def __init__(self, bias: float, present: dict[int, float], rate: dict[int, float]):
-        self.bias, self.present, self.rate, self._words = bias, present, rate, {}
+    def __init__(self, keys: np.ndarray):
+        self.place = {int(k): i for i, k in enumerate(keys)}
+        self._words: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_words": {}}
 
-    def _word(self, w: str) -> tuple[float, tuple[int, ...]]:
-        own = features_of(w)
-        return RATE_SCALE * sum(self.rate.get(k, 0.0) for k in own), tuple(k for k in own if k in self.present)
-
-    def score(self, text: str) -> float:
-        words, known, total, found = words_of(text), self._words, 0.0, set()
+    def of(self, text: str) -> list[int]:
+        words, known, place = words_of(text), self._words, self.place
+        tally: dict[int, int] = {}
         for w, n in Counter(words).items():
-            x = known.get(w)
-            if x is None:
+            own = known.get(w)
+            if own is None:
                 if len(known) > KEPT_WORDS:
                     known.clear()
-                x = known[w] = self._word(w)
-            total += n * x[0]
-            found.update(x[1])
-        z = self.bias + sum(self.present[k] for k in found) + (total / len(words) if words else 0.0)
+                own = known[w] = tuple(place[k] for k in features_of(w) if k in place)
+            for i in own:
+                tally[i] = tally.get(i, 0) + n
+        return sorted([2 * i for i in tally] + [2 * i + 1 for i, n in tally.items() if n * FREQUENT >= len(words)])
+
+
+class Linear:
+    """Bias and the weights of marks."""
+
+    def __init__(self, bias: float, keys: np.ndarray, weights: np.ndarray):
+        self.bias, self.weights, self.marks = bias, weights, Marks(keys)
+
+    def score(self, text: str) -> float:
+        return self.score_of(self.marks.of(text))
+
+    def score_of(self, marks: list[int]) -> float:
+        z = self.bias + float(self.weights[marks].sum())
         return float(1.0 / (1.0 + np.exp(-min(max(z, -700.0), 700.0))))
 
 
-Row = tuple[np.ndarray, np.ndarray]  #: features of a text, and their rates
+# --- the risk ----------------------------------------------------------------------------------------
+
+#: Texts as marks: where each begins, the marks, and how many texts each stands for.
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def packed(lists: list[np.ndarray], count: np.ndarray | None = None) -> Rows:
+    begin = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
+    return begin, np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64), np.ones(len(lists)) if count is None else count
+
+
+def loss_sums(rows: Rows, theta: np.ndarray, sign: int) -> np.ndarray:
+    """Sum of the sigmoid losses of texts as if each were of class ``sign``, then the gradient (weights, bias)."""
+    begin, mark, count = rows
+    n = len(begin) - 1
+    row = np.repeat(np.arange(n), np.diff(begin))
+    z = np.bincount(row, theta[mark], n) + theta[-1]
+    loss = 1 / (1 + np.exp(np.clip(sign * z, -60, 60)))
+    slope = -sign * count * loss * (1 - loss)
+    grad = np.bincount(mark, slope[row], len(theta) - 1)
+    return np.concatenate(([float((count * loss).sum())], grad, [slope.sum()]))
+
+
+def nn_risk(theta: np.ndarray, p: Rows, negative: np.ndarray, n_u: float, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk with its ridge, and its gradient. ``negative``: ``loss_sums`` of U as if it were clean."""
+    n_p = p[2].sum()
+    positive, as_clean = loss_sums(p, theta, 1) * prior / n_p, loss_sums(p, theta, -1) * prior / n_p
+    rest = negative / n_u - as_clean
+    ridge = np.append(theta[:-1], 0.0)
+    total = positive + (rest if rest[0] > 0 else 0.0)
+    return float(total[0] + RIDGE / 2 * (ridge @ ridge)), total[1:] + RIDGE * ridge
+
+
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], theta: np.ndarray, steps: int = STEPS, memory: int = 8) -> np.ndarray:
+    """L-BFGS with backtracking; f gives value and gradient."""
+    value, grad = f(theta)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        q, alphas = grad.copy(), []
+        for s, y in reversed(past):
+            alphas.append((s @ q) / (y @ s))
+            q -= alphas[-1] * y
+        q *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1.0 / max(1e-12, np.abs(grad).max())
+        for (s, y), a in zip(past, reversed(alphas), strict=True):
+            q += (a - (y @ q) / (y @ s)) * s
+        down, t = float(q @ grad), 1.0
+        for _ in range(12):
+            new = theta - t * q
+            new_value, new_grad = f(new)
+            if new_value <= value - 1e-4 * t * down:
+                break
+            t /= 4
+        else:
+            break
+        s, y = new - theta, new_grad - grad
+        if s @ y > 1e-10:
+            past = [*past, (s, y)][-memory:]
+        gain, theta, value, grad = value - new_value, new, new_value, new_grad
+        if gain <= 1e-6 * abs(value) or np.abs(grad).max() < 1e-7:
+            break
+    return theta
 
 
-def _matrix(rows: list[Row], chosen: np.ndarray):
-    """Compressed rows: begin, column, value. A feature of the sorted ``chosen`` has two columns: presence, then rate."""
-    begin, d = np.zeros(len(rows) + 1, np.int64), len(chosen)
-    cols, vals = [np.zeros(0, np.int64)], [np.zeros(0)]
-    for i, (k, v) in enumerate(rows):
-        at = np.minimum(np.searchsorted(chosen, k), d - 1)
-        own = chosen[at] == k
-        begin[i + 1] = begin[i] + 2 * own.sum()
-        cols += [at[own], at[own] + d]
-        vals += [np.ones(own.sum()), v[own]]
-    return begin, np.concatenate(cols), np.concatenate(vals)
+# --- passes over tables ------------------------------------------------------------------------------
 
 
-class _Rows:
-    def __init__(self, parts):
-        self.begin, self.col, self.val = parts
-        self.n = len(self.begin) - 1
+def _with_marks(rows: DataFrame, marks: Marks) -> DataFrame:
+    """``rows`` with marks (array of places) in the place of text."""
 
-    def take(self, rows: np.ndarray) -> _Batch:
-        size = self.begin[rows + 1] - self.begin[rows]
-        at = np.repeat(self.begin[rows] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-        return _Batch(np.repeat(np.arange(len(rows)), size), self.col[at], self.val[at], len(rows))
+    @F.pandas_udf("array<int>")
+    def of(text: pd.Series) -> pd.Series:
+        return pd.Series([np.array(marks.of(t), np.int32) for t in text], dtype=object)
 
+    return rows.withColumn("marks", of("text")).drop("text")
 
-class _Batch:
-    def __init__(self, row, col, val, n):
-        self.row, self.col, self.val, self.n = row, col, val, n
 
-    def logits(self, w: np.ndarray, bias: float) -> np.ndarray:
-        return bias + np.bincount(self.row, w[self.col] * self.val, self.n)
+def _positive_features(toxic: DataFrame) -> DataFrame:
+    """words (one value per set of words) and keys (all features) of the positives; texts with the same words are one."""
 
-    def grad(self, slope: np.ndarray, d: int) -> np.ndarray:
-        """Gradient of the weights, then of the bias."""
-        return np.append(np.bincount(self.col, slope[self.row] * self.val, d), slope.sum())
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, sign = [], []
+            for t in b.column("text"):
+                words = set(words_of(t.as_py()))
+                sign.append(xxhash.xxh64_intdigest(" ".join(sorted(words)).encode()) - 2**63)
+                keys.append(np.unique(np.array([k for w in words for k in features_of(w)], np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(sign, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["words", "keys"])
 
+    rows = toxic.select(F.col("text").cast("string").alias("text")).mapInArrow(of, "words long, keys array<long>")
+    return cut(rows.groupBy("words").agg(F.first("keys").alias("keys")))
 
-def fit_nnpu(p: _Rows, u: _Rows, d: int, prior: float, epochs: int = 60, rate: float = 0.05, l1: float = 1e-5, seed: int = 5) -> np.ndarray:
-    """Weights and bias of least non-negative risk under the logistic loss, by Adam with an L1 proximal step.
 
-    At the end the bias is set so that the mean score of U is the class prior.
-    """
-    rng = np.random.default_rng(seed)
-    theta, m, v, t = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1), 0
-    theta[-1], mean, n = -2.0, np.zeros(d + 1), 0
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-    steps = max(1, u.n // 512)
-    epochs = max(epochs, 1200 // steps)
-    for epoch in range(epochs):
-        step = rate * (1 - epoch / epochs) + 1e-4
-        for pi, ui in zip(np.array_split(rng.permutation(p.n), steps), np.array_split(rng.permutation(u.n), steps), strict=True):
-            if not len(pi) or not len(ui):
-                continue
-            pb, ub = p.take(pi), u.take(ui)
-            sp, su = sigmoid(pb.logits(theta[:-1], theta[-1])), sigmoid(ub.logits(theta[:-1], theta[-1]))
-            negative = -np.log(np.maximum(1 - su, 1e-12)).mean() - prior * -np.log(np.maximum(1 - sp, 1e-12)).mean()
-            rest = ub.grad(su / ub.n, d) - prior * pb.grad(sp / pb.n, d)
-            g = prior * pb.grad((sp - 1) / pb.n, d) + rest if negative >= 0 else -rest
-            t += 1
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            theta -= step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            theta[:-1] = np.sign(theta[:-1]) * np.maximum(np.abs(theta[:-1]) - step * l1 * 100, 0)
-        if epoch >= epochs // 2:  # the mean of later iterates, as steps against the risk make single ones waver
-            mean, n = mean + theta, n + 1
-    theta = mean / n
-    z = u.take(np.arange(u.n)).logits(theta[:-1], 0.0)
-    low, high = -40.0, 40.0
-    for _ in range(60):  # the bias that gives unlabelled text the class prior on average
-        theta[-1] = (low + high) / 2
-        low, high = (low, theta[-1]) if sigmoid(z + theta[-1]).mean() > prior else (theta[-1], high)
-    return theta
+def _ratio(in_p: np.ndarray, n_p: float, in_u: np.ndarray, n_u: float) -> np.ndarray:
+    """Log-likelihood ratio of features that more of P than of U have; 0 for others."""
+    a, b = in_p.astype(float), in_u.astype(float)
+    both = (a + b) / max(1, n_p + n_u)
+    term = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(e, 1e-9)), 0.0)
+    ratio = term(a, n_p * both) + term(b, n_u * both) + term(n_p - a, n_p * (1 - both)) + term(n_u - b, n_u * (1 - both))
+    return np.where(a * n_u > b * n_p, ratio, 0.0)
 
 
-def _collected(rows: DataFrame, only: frozenset[int] | None, most: int) -> list[Row]:
-    """Features of at most ``most`` texts, as arrays of 12 bytes a feature."""
+def _negative_sums(patterns: DataFrame, theta: np.ndarray) -> np.ndarray:
+    """``loss_sums`` of all ``patterns`` (marks, n) as if they were clean: partial sums on the executors."""
 
-    @F.pandas_udf("struct<k: array<long>, v: array<float>>")
-    def of(text: pd.Series) -> pd.DataFrame:
-        got = [rates(t, only) for t in text]
-        return pd.DataFrame({"k": [np.array(k, np.int64) for k, _ in got], "v": [np.array(v, np.float32) for _, v in got]})
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(theta) + 1)
+        for b in batches:
+            lists = b.column("marks")
+            begin = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+            total += loss_sums((begin, lists.flatten().to_numpy(zero_copy_only=False), b.column("n").to_numpy(zero_copy_only=False).astype(float)), theta, -1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "v"])
 
-    picked = rows.select("doc_id", of(F.col("text").cast("string")).alias("x")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    out: list[Row] = []
-    for part in picked.select("x.k", "x.v").toArrow().to_batches():
-        ends = np.cumsum(part.column("k").value_lengths().to_numpy(zero_copy_only=False))[:-1]
-        k, v = (np.split(part.column(c).flatten().to_numpy(zero_copy_only=False), ends) for c in ("k", "v"))
-        out += [(a.astype(np.int64), b.astype(np.float32)) for a, b in zip(k, v, strict=True)] if part.num_rows else []
+    got = patterns.mapInArrow(of, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(len(theta) + 1)
+    out[got.column("at").to_numpy()] = got.column("v").to_numpy()
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Linear:
-    """A classifier from the training folds. ``prior``: share of toxic documents; None takes that of the folds' labels."""
+def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES) -> tuple[Linear, DataFrame]:
+    """A classifier from the training folds, and all documents as (doc_id, held_out, marks) of its marks.
+
+    ``prior``: share of toxic documents; None takes that of the folds' labels.
+    """
     fold = fold_of("doc_id", FOLDS) != HELD_OUT
+    rows = docs.select("doc_id", (~fold).alias("held_out"), text_of().alias("text"))
     if prior is None:
         share = labels.where(fold).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
         prior = min(0.9, max(0.005, share or 0.0))
-    toxic = training_rows(docs, labels.where("toxic = 1"), "toxic", fold, positives)
-    p = _collected(toxic, None, positives)
-    if not p:
-        return Linear(-700.0, {}, {})
-    p = _distinct(p)
-    keys, in_p = np.unique(np.concatenate([k for k, _ in p]), return_counts=True)
-    often = np.flatnonzero(in_p >= 3)
-    often = np.sort(often[np.argsort(-in_p[often], kind="stable")[:CANDIDATES]])
-    keys, in_p = keys[often], in_p[often]
-    ids = docs.where(fold & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled).distinct()
-    free = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(ids), "doc_id")  # at most ``unlabelled`` ids
-    u = _distinct(_collected(free, frozenset(keys.tolist()), unlabelled))
-    in_u = np.bincount(np.searchsorted(keys, np.concatenate([k for k, _ in u])), minlength=len(keys)) if u and len(keys) else np.zeros(len(keys))
-    chosen = keys[_telling(in_p, len(p), in_u, len(u))]
+    toxic = _positive_features(training_rows(docs, labels.where("toxic = 1"), "toxic", fold, positives))
+    n_p = toxic.count()
+    none = np.zeros(0, np.int64)
+    if not n_p:
+        return Linear(-700.0, none, np.zeros(0)), _with_marks(rows, Marks(none))
+    n_u = float(docs.where(fold).count())
+    often = toxic.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_POSITIVES).toArrow()
+    keys, in_p = often.column("key").to_numpy(), often.column("n").to_numpy()
+    could = np.flatnonzero(_ratio(in_p, n_p, np.zeros(len(keys)), n_u) >= LEAST_RATIO + RATIO_EACH * n_p)
+    could = could[np.argsort(keys[could])]
+    keys, in_p = keys[could], in_p[could]
+    marked = cut(_with_marks(rows, Marks(keys)))
+    free = marked.where(~F.col("held_out"))
+    has = free.select(F.explode("marks").alias("mark")).where("mark % 2 = 0").groupBy("mark").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    in_u = np.zeros(len(keys))
+    in_u[has.column("mark").to_numpy() // 2] = has.column("n").to_numpy()
+    chosen = np.flatnonzero(_ratio(in_p, n_p, in_u, n_u) >= LEAST_RATIO + RATIO_EACH * n_p)
     if not len(chosen):
-        return Linear(float(np.log(prior / (1 - prior))), {}, {})
-    d = len(chosen)
-    theta = fit_nnpu(_Rows(_matrix(p, chosen)), _Rows(_matrix(u, chosen)), 2 * d, prior)
-    present, rate = ({int(k): float(x) for k, x in zip(chosen, theta[at : at + d], strict=True) if x} for at in (0, d))
-    return Linear(float(theta[-1]), present, rate)
-
-
-def _distinct(rows: list[Row], sketch: int = 16, same: int = 14) -> list[Row]:
-    """Rows without near copies: those of whose ``sketch`` smallest feature hashes an earlier row has ``same`` go."""
-    seen: dict[int, list[int]] = {}
-    out = []
-    for i, (k, v) in enumerate(rows):
-        low = np.sort(k)[:sketch].tolist()
-        shared = Counter(j for x in low for j in seen.get(x, ()))
-        if not shared or max(shared.values()) < min(same, len(low)):
-            out.append((k, v))
-            for x in low:
-                seen.setdefault(x, []).append(i)
-    return out
+        return Linear(float(np.log(prior / (1 - prior))), none, np.zeros(0)), _renumbered(marked, chosen)
+    marked = _renumbered(marked, chosen)
+    patterns = cut(marked.where(~F.col("held_out")).groupBy("marks").agg(F.count(F.lit(1)).alias("n")))
+    model = Marks(keys[chosen])
+    texts = training_rows(docs, labels.where("toxic = 1"), "toxic", fold, positives).select("doc_id", F.col("text").cast("string").alias("text"))
+    p = _with_marks(texts, model).groupBy("doc_id", "marks").count().select("marks").toArrow().column("marks")  # at most ``positives`` rows
+    p = packed([np.array(x.as_py(), np.int64) for x in p])
+    start = np.append(np.zeros(2 * len(chosen)), np.log(prior / (1 - prior)))
+    theta = minimise(lambda t: nn_risk(t, p, _negative_sums(patterns, t), n_u, prior), start)
+    return Linear(float(theta[-1]), keys[chosen], theta[:-1]), marked
+
+
+def _renumbered(marked: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """``marked`` with the marks of chosen places only, by their new places."""
+    new = {int(c): i for i, c in enumerate(chosen)}
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.full(max(new, default=0) + 1, -1, np.int64)
+        table[list(new)] = list(new.values())
+        for b in batches:
+            lists = b.column("marks")
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            to = np.where(flat // 2 < len(table), table[np.minimum(flat // 2, len(table) - 1)], -1)
+            ok = to >= 0
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row[ok], minlength=b.num_rows)))).astype(np.int32)
+            marks = pa.ListArray.from_arrays(pa.array(ends), pa.array((2 * to + flat % 2)[ok].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), marks], ["doc_id", "held_out", "marks"])
+
+    return marked.mapInArrow(of, f"doc_id {dict(marked.dtypes)['doc_id']}, held_out boolean, marks array<int>")
 
 
-def _telling(in_p: np.ndarray, n_p: int, in_u: np.ndarray, n_u: int) -> np.ndarray:
-    """Places of the features that more of P than of U have, by a sufficient log-likelihood ratio; in order, the best ``MOST_FEATURES``."""
-    a, b = in_p.astype(float), in_u.astype(float)
-    both = (a + b) / max(1, n_p + n_u)
-    term = lambda x, e: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(e, 1e-9)), 0.0)
-    ratio = term(a, n_p * both) + term(b, n_u * both) + term(n_p - a, n_p * (1 - both)) + term(n_u - b, n_u * (1 - both))
-    ratio = np.where(a * n_u > b * n_p, ratio, 0.0)
-    best = np.argsort(-ratio, kind="stable")[:MOST_FEATURES]
-    return np.sort(best[ratio[best] >= LEAST_RATIO + RATIO_EACH * n_p])
-
-
-def score_column(model: Linear):
-    """A function from a column of texts to their scores."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted for every document."""
+    model, marked = train(docs, labels)
 
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in text], dtype="float64")
-
-    return score
-
+    def score(marks: pd.Series) -> pd.Series:
+        return pd.Series([model.score_of(np.asarray(m, np.int64)) for m in marks], dtype="float64")
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted for every document."""
-    score = score_column(train(docs, labels))
-    out = docs.select("doc_id", (fold_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"), score(text_of()).alias("score"))
+    out = marked.select("doc_id", "held_out", score("marks").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= PREDICT_AT).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't predicted toxic."""
+    model, _ = train(docs, labels)
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series([model.score(t) for t in text], dtype="float64")
+
     (name,) = without(docs.columns, "score")
-    return docs.withColumn(name, score_column(train(docs, labels))(text_of())).where(F.col(name) < PREDICT_AT).select(*docs.columns)
+    return docs.withColumn(name, score(text_of())).where(F.col(name) < PREDICT_AT).select(*docs.columns)

@@ -59,6 +59,68 @@ def test_classifiers_on_held_out_rows(spark, name):
     assert len(held) > 40 and np.mean([r.predicted == want[r.doc_id] for r in held]) > 0.95
 
 
+def _rows(rng, n, d):
+    return toxicity.packed([np.unique(rng.integers(0, d, rng.integers(0, 6))) for _ in range(n)], rng.integers(1, 5, n).astype(float))
+
+
+@pytest.mark.parametrize("prior", [0.05, 0.6])
+def test_gradient_of_the_risk(prior):
+    """By finite differences, on both sides of the non-negative part's kink."""
+    rng = np.random.default_rng(4)
+    p, u, d = _rows(rng, 30, 8), _rows(rng, 50, 8), 8
+    risk = lambda t: toxicity.nn_risk(t, p, toxicity.loss_sums(u, t, -1), u[2].sum(), prior)
+    for _ in range(5):
+        theta = rng.normal(size=d + 1)
+        _, grad = risk(theta)
+        for i in range(d + 1):
+            step = np.eye(d + 1)[i] * 1e-5
+            assert grad[i] == pytest.approx((risk(theta + step)[0] - risk(theta - step)[0]) / 2e-5, abs=1e-6)
+
+
+def test_the_risk_by_hand():
+    p, u = toxicity.packed([np.array([0])]), toxicity.packed([np.array([0]), np.array([], int)], np.array([1.0, 3.0]))
+    theta, s = np.array([2.0, -1.0]), lambda z: 1 / (1 + np.exp(-z))
+    got = toxicity.nn_risk(theta, p, toxicity.loss_sums(u, theta, -1), 4.0, 0.2)[0]
+    rest = (s(1) + 3 * s(-1)) / 4 - 0.2 * s(1)
+    assert rest > 0 and got == pytest.approx(0.2 * s(-1) + rest + toxicity.RIDGE / 2 * 4)
+
+
+def test_passes_over_the_table_sum_what_one_list_does(spark):
+    rng = np.random.default_rng(7)
+    lists, n = [np.unique(rng.integers(0, 10, rng.integers(0, 5))) for _ in range(60)], rng.integers(1, 9, 60)
+    theta = rng.normal(size=11)
+    table = spark.createDataFrame([(x.tolist(), int(k)) for x, k in zip(lists, n, strict=True)], "marks array<int>, n long").repartition(5)
+    assert np.allclose(toxicity._negative_sums(table, theta), toxicity.loss_sums(toxicity.packed(lists, n.astype(float)), theta, -1))
+
+
+def test_lbfgs_finds_the_minimum():
+    a = np.diag([1.0, 30.0, 0.2])
+    got = toxicity.minimise(lambda t: (float((t - 1) @ a @ (t - 1)), 2 * a @ (t - 1)), np.zeros(3), steps=60)
+    assert np.allclose(got, 1, atol=1e-2)
+
+
+def test_marks_of_a_text():
+    keys = np.sort(np.array(sorted({k for w in ("idiot", "idle") for k in toxicity.features_of(w)})))
+    marks = toxicity.Marks(keys)
+    names = {i: k for k, i in marks.place.items()}
+    got = marks.of("Idiot, idiot " + "x " * 120)
+    assert {names[i // 2] for i in got} == set(toxicity.features_of("idiot")) and all(i % 2 == 0 for i in got)
+    assert {i % 2 for i in marks.of("idiot y")} == {0, 1} and marks.of("") == []
+
+
+def test_unlabelled_text_is_all_there(spark):
+    """Every document of the training folds stands in the risk, and none of the held-out one."""
+    docs, labels, _ = _labelled(spark)
+    seen = {}
+    keep = toxicity._negative_sums
+    try:
+        toxicity._negative_sums = lambda patterns, theta: seen.update(n=patterns.agg(F.sum("n")).first()[0]) or keep(patterns, theta)
+        toxicity.train(docs, labels)
+    finally:
+        toxicity._negative_sums = keep
+    assert seen["n"] == docs.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 != 2).count()
+
+
 def test_held_out_labels_change_nothing(spark):
     docs, labels, _ = _labelled(spark)
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
