@@ -278,7 +278,7 @@ def cer_lev(bench: DataFrame) -> DataFrame:
     return folded.select("item_id", F.round(evaluate.lev_error_rate(F.expr("substring(f, 2)"), F.col("f")), 6).alias("cer"))
 
 
-_TITLE = "'relação de passageiros do vapor ' || p_name || CASE WHEN p_size % 2 = 0 THEN ' (rv ' || p_size || ')' ELSE '' END || CASE WHEN p_size % 3 = 0 THEN ' - ver br an,rio ol.0.rpv, prj.' || p_partkey ELSE '' END || '. - Dossiê'"
+_TITLE = "'quadro de embarque do vapor ' || p_name || CASE WHEN p_size % 2 = 0 THEN ' (rv ' || p_size || ')' ELSE '' END || CASE WHEN p_size % 3 = 0 THEN ' - ver br an,rio ol.0.rpv, prj.' || p_partkey ELSE '' END || '. - Dossiê'"
 
 
 @query("part", sql="SELECT p_partkey, p_name AS ship, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) END AS rv, CASE WHEN p_size % 3 = 0 THEN 'OL.PRJ.' || p_partkey END AS see_also FROM part")
