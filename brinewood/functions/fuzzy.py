@@ -59,9 +59,3 @@ def token_alternatives(readings: pd.Series) -> pd.Series:
         return out
 
     return readings.map(one)
-
-
-@F.pandas_udf(T.LongType())
-def gram_count(padded: pd.Series) -> pd.Series:
-    """How many distinct 3-character windows each padded text has: about 0.1 microseconds a character, where array functions take several."""
-    return pd.Series([len({p[i : i + 3] for i in range(len(p) - 2)}) for p in padded], dtype="int64")

@@ -1,18 +1,20 @@
 """Error-tolerant ranked search: gram index, similarity join, re-ranking and composition of tiers.
 
-Similarity above zero needs a shared gram, so candidates come from an equi-join on grams and lose nothing. The
-index is built once, by explode and distinct over a folded column; set sizes travel with the grams, and
-counting shared grams gives the exact Jaccard value without holding any set in memory.
+Similarity above zero needs a shared gram, so postings lose nothing: an index has a row per line and distinct gram, with the number
+of the line's grams, clustered by gram. A query reads its own grams' rows and counts them per line, which gives the exact
+Jaccard value; no text is read again. Many queries at once meet the lines in matrix products instead.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinewood.functions.fuzzy import gram_count
 from brinewood.functions.text import fold
 
 #: Fixed values.
@@ -59,34 +61,131 @@ def folded_query(text: str, case: str = "upper") -> Column:
     return fold(F.lit(text), case)
 
 
-def search_lines(lines: DataFrame, query: str, key: list[str], limit: int | None = 50, floor: float = MIN_SCORE, text: str = "folded") -> DataFrame:
-    """The rows of ``lines`` most like ``query``; an unrecognisable query gives none.
+def gram_codes(text: str) -> np.ndarray:
+    """The distinct trigrams of a folded text, padded by two spaces before and one after, as sorted longs of three code points."""
+    points = np.frombuffer(f"  {text} ".encode("utf-32-le"), np.uint32).astype(np.int64)
+    return np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:])
+
+
+def query_codes(spark: SparkSession, query: str) -> np.ndarray:
+    """The grams of a query; none if it is too short to be recognised."""
+    folded = spark.sql("VALUES (1)").select(folded_query(query).alias("q")).first().q
+    return gram_codes(folded) if len(folded) >= MIN_QUERY else np.zeros(0, np.int64)
+
 
-    Ties go by the key. ``limit`` None lists every row above the floor.
+def postings(lines: DataFrame, key: list[str], text: str = "folded") -> DataFrame:
+    """gram, key, n_grams: the index of ``lines``, a row per line and distinct gram, clustered by gram.
+
+    Ranges are of gram and key, so that a gram which most lines have is spread over as many partitions as it takes.
     """
-    out = scored_lines(lines, query, key, floor, text).select(*key, F.round("name_score", 3).alias("score"))
+    rows = lines.select(*key, F.coalesce(F.col(text), F.lit("")).alias(text))
+    schema = ", ".join(["gram long", *(f"`{c}` {t}" for c, t in rows.dtypes if c != text), "n_grams int"])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                each = [gram_codes(t.as_py()) for t in b.column(text)]
+                size = np.array([len(x) for x in each], np.int32)
+                row = pa.array(np.repeat(np.arange(b.num_rows), size))
+                cols = [pa.array(np.concatenate(each)), *(b.column(c).take(row) for c in key), pa.array(np.repeat(size, size))]
+                yield pa.RecordBatch.from_arrays(cols, ["gram", *key, "n_grams"])
+
+    return rows.mapInArrow(of, schema).repartitionByRange("gram", *key).sortWithinPartitions("gram", *key)
+
+
+def scored_postings(index: DataFrame, query: str, key: list[str], floor: float = MIN_SCORE) -> DataFrame:
+    """key, name_score of the lines at or above the floor: the index is read at the query's grams only, and their rows are counted."""
+    codes = query_codes(index.sparkSession, query).tolist()
+    if not codes:
+        return index.select(*key, F.lit(0.0).alias("name_score")).where(F.lit(False))
+    wanted = F.lit(False)
+    for at in range(0, len(codes), 10):  # so many values are pushed down to the files as they are; of more only their range
+        wanted = wanted | F.col("gram").isin(codes[at : at + 10])
+    hits = index.where(wanted).groupBy(*key).agg(F.count(F.lit(1)).alias("both"), F.max("n_grams").alias("n"))
+    score = F.col("both") / (F.col("n") + len(codes) - F.col("both"))
+    return hits.where(F.col("both") >= max(1, math.ceil(floor * len(codes) - 1e-9))).select(*key, score.alias("name_score")).where(F.col("name_score") >= floor)
+
+
+def best_hits(scored: DataFrame, key: list[str], limit: int | None = 50) -> DataFrame:
+    """key, score: the best ``limit`` of scored rows, ties by the key; all of them for None."""
+    out = scored.select(*key, F.round("name_score", 3).alias("score"))
     return out if limit is None else out.orderBy(F.desc("score"), *key).limit(limit)
 
 
+def search_lines(lines: DataFrame, query: str, key: list[str], limit: int | None = 50, floor: float = MIN_SCORE, text: str = "folded") -> DataFrame:
+    """The rows of ``lines`` most like ``query``, without an index; an unrecognisable query gives none."""
+    return best_hits(scored_lines(lines, query, key, floor, text), key, limit)
+
+
 def scored_lines(lines: DataFrame, query: str, key: list[str], floor: float = MIN_SCORE, text: str = "folded") -> DataFrame:
-    """key, name_score of the rows at or above the floor against one query: a scan without any shuffle.
+    """key, name_score of the rows at or above the floor against one query: one scan, for lines that no index is kept of."""
+    codes = query_codes(lines.sparkSession, query)
+    return scored_batch([codes], lines.select(*key, text), key, floor, text).select(*key, "name_score") if len(codes) else lines.select(*key, F.lit(0.0).alias("name_score")).where(F.lit(False))
+
+
+#: Grams of queries that are held against lines at a time.
+BLOCK_GRAMS = 1 << 16
 
-    How many of the query's grams a row holds is counted in generated code. A row has at least those grams itself, so its
-    score is at most that number over the query's; rows below the floor by that bound never get their own grams counted.
+
+def scored_batch(queries: list[np.ndarray], lines: DataFrame, key: list[str], floor: float = MIN_SCORE, text: str = "folded") -> DataFrame:
+    """at, key, name_score: every line at or above the floor against each of a block of queries (sorted grams), ``at`` its place.
+
+    The block goes to the executors, where the lines stay; shared grams of a batch of lines and all queries are one matrix product.
+    """
+    vocabulary = np.unique(np.concatenate(queries))
+    asked = np.zeros((len(vocabulary), len(queries)), np.float32)
+    for i, q in enumerate(queries):
+        asked[np.searchsorted(vocabulary, q), i] = 1.0
+    n_asked = asked.sum(axis=0)
+    rows = lines.select(*key, F.coalesce(F.col(text), F.lit("")).alias(text))
+    schema = ", ".join(["at int", *(f"`{c}` {t}" for c, t in rows.dtypes if c != text), "name_score double"])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                b = whole.slice(start, 1024)
+                held, sizes = np.zeros((b.num_rows, len(vocabulary)), np.float32), np.zeros(b.num_rows)
+                for r, t in enumerate(b.column(text)):
+                    codes = gram_codes(t.as_py())
+                    sizes[r] = len(codes)
+                    place = np.minimum(np.searchsorted(vocabulary, codes), len(vocabulary) - 1)
+                    held[r, place[vocabulary[place] == codes]] = 1.0
+                both = (held @ asked).astype(np.float64)
+                score = both / (sizes[:, None] + n_asked[None, :] - both)
+                r, q = np.nonzero((score >= floor) & (both > 0))
+                row = pa.array(r)
+                yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), *(b.column(c).take(row) for c in key), pa.array(score[r, q])], ["at", *key, "name_score"])
+
+    return rows.mapInArrow(of, schema)
+
+
+def search_many(queries: DataFrame, qkey: str, qtext: str, lines: DataFrame, key: list[str], floor: float = MIN_SCORE, text: str = "folded", most: int = 20_000) -> DataFrame:
+    """qkey, key, name_score of all pairs of queries and lines at or above the floor; both texts are folded.
+
+    Up to ``most`` queries, which are counted, go to the lines in blocks of bounded size, one scan per block; more are joined
+    on grams.
     """
-    folded = lines.sparkSession.range(1).select(folded_query(query).alias("q")).first().q
-    if len(folded) < MIN_QUERY:
-        return lines.select(*key, F.lit(0.0).alias("name_score")).where(F.lit(False))
-    padded = f"  {folded} "
-    wanted = list(dict.fromkeys(padded[i : i + 3] for i in range(len(padded) - 2)))
-    # The outer explode of one element keeps the filter above from being pushed below, where folding would run once per gram.
-    rows = lines.select(*key, F.explode_outer(F.array(F.concat(F.lit("  "), F.col(text), F.lit(" ")))).alias("_padded"))
-    held = F.contains(F.col("_padded"), F.lit(wanted[0])).cast("int")
-    for g in wanted[1:]:
-        held = held + F.contains(F.col("_padded"), F.lit(g)).cast("int")
-    rows = rows.withColumn("_both", held).where(F.col("_both") >= max(1, math.ceil(floor * len(wanted) - 1e-9)))
-    score = F.col("_both") / (gram_count("_padded") + len(wanted) - F.col("_both"))
-    return rows.select(*key, score.alias("name_score")).where(F.col("name_score") >= floor)
+    if queries.count() > most:
+        sides = [grams(queries, [qkey], qtext).withColumnRenamed(qkey, "_q"), grams(lines, key, text).withColumn("_k", F.struct(*key))]
+        return similarity_join(*sides, "_q", "_k", floor).select(F.col("_q").alias(qkey), *[F.col(f"_k.{c}").alias(c) for c in key], "name_score")
+    blocks: list[list[tuple]] = [[]]
+    size = 0
+    for r in queries.select(qkey, F.coalesce(F.col(qtext), F.lit("")).alias(qtext)).collect():  # at most ``most`` rows
+        codes = gram_codes(r[qtext])
+        if size + len(codes) > BLOCK_GRAMS and blocks[-1]:
+            blocks.append([])
+            size = 0
+        size += len(codes)
+        blocks[-1].append((r[qkey], codes))
+    out = None
+    for block in blocks:
+        if not block:
+            return lines.select(F.lit(None).cast(dict(queries.dtypes)[qkey]).alias(qkey), *key, F.lit(0.0).alias("name_score")).where(F.lit(False))
+        ids = lines.sparkSession.createDataFrame([(i, k) for i, (k, _) in enumerate(block)], f"at int, `{qkey}` {dict(queries.dtypes)[qkey]}")
+        found = scored_batch([c for _, c in block], lines, key, floor, text).join(F.broadcast(ids), "at").select(qkey, *key, "name_score")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def compose(scored: DataFrame, certain: DataFrame, identity: list[str], limit: int | None = 50) -> DataFrame:

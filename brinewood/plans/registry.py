@@ -29,6 +29,18 @@ def query(*tables: str, sql: str | None = None) -> Callable[[Callable[..., DataF
     return wrap
 
 
+def folder_query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function of (spark, folder) itself: queries that keep tables need to know where theirs come from."""
+
+    def wrap(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return wrap
+
+
 #: SQL of the views that several queries stand on.
 FOLD = "trim(replace(upper(strip_accents({})),'ẞ','SS'))"
 LINES = "lines AS (SELECT doc_id, source, CAST(pos - 1 AS BIGINT) AS pos, parts[pos] AS line FROM (SELECT doc_id, source, parts, unnest(range(1, len(parts) + 1)) AS pos FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)))"

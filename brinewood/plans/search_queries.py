@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewood.functions import text as t
 from brinewood.operators import extract, records, search
-from brinewood.plans.registry import FOLD, LINES, query
+from brinewood.plans.registry import FOLD, LINES, folder_query, query
+from brinewood.sources import store
 
 #: What is searched for: words of the invented prose, a group that lines belong to, and a year.
 NAME, GROUP, YEAR = "thention reonanst oferhe", "src3", 1924
@@ -53,19 +54,19 @@ def trigram_pairs(part: DataFrame) -> DataFrame:
     return _part_pairs(part).select("a", "b", F.round("name_score", 6).alias("score"))
 
 
-@query("part", sql="SELECT CAST(0 AS BIGINT) AS lost")
-def search_lossless(part: DataFrame) -> DataFrame:
-    """Pairs that comparing all distinct names finds and the index misses: none."""
-    names = part.select(F.col("p_name").alias("name")).distinct()
-    a, b = names.select(F.col("name").alias("a")), names.select(F.col("name").alias("b"))
-    full = a.join(b, F.col("a") < F.col("b")).where(t.similarity(t.fold(F.col("a")), t.fold(F.col("b"))) >= search.MIN_SCORE)
-    return full.join(_part_pairs(part), ["a", "b"], "left_anti").agg(F.count(F.lit(1)).alias("lost"))
-
-
 def _lines(docs: DataFrame) -> DataFrame:
     return extract.lines_of(docs.select("doc_id", "source", "text"), ["doc_id", "source"]).withColumn("pos", F.col("pos").cast("long")).withColumn("folded", t.fold(F.col("line")))
 
 
+KEY = ["doc_id", "pos"]
+
+
+def index_of_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The kept index of a folder's documents, by line; its rows carry the group of the line."""
+    path = f"{folder}/documents.parquet"
+    return store.kept(spark, "line-grams", path, lambda: search.postings(_lines(spark.read.parquet(path)), ["doc_id", "pos", "source"]))
+
+
 def _scored_sql(name: str) -> str:
     q = FOLD.format(f"'{name}'")
     return (
@@ -77,37 +78,45 @@ def _scored_sql(name: str) -> str:
     )
 
 
-@query("documents", sql=_scored_sql(NAME) + " SELECT doc_id, pos, round(s, 3) AS score FROM s ORDER BY score DESC, doc_id, pos LIMIT 50")
-def search_single(docs: DataFrame) -> DataFrame:
-    return search.search_lines(_lines(docs), NAME, ["doc_id", "pos"])
+_LINE_GRAMS = f"WITH {LINES}, g AS (SELECT DISTINCT doc_id, pos, substr(p, i, 3) AS gram FROM (SELECT doc_id, pos, p, unnest(range(1, length(p) - 1)) AS i FROM (SELECT doc_id, pos, '  ' || {FOLD.format('line')} || ' ' AS p FROM lines)))"
 
 
-@query("documents", sql=_scored_sql(NAME) + f" SELECT doc_id, pos, round(s, 3) AS name_score, round(least(1.0, greatest(0.0, s * (1.0 + CASE WHEN 1900 + doc_id % 30 = {YEAR} THEN 0.6 ELSE -0.15 END))), 3) AS score FROM s")
-def search_rerank_year(docs: DataFrame) -> DataFrame:
+@folder_query(sql=_LINE_GRAMS + " SELECT count(*) AS postings, count(DISTINCT gram) AS grams, count(DISTINCT (doc_id, pos)) AS lines FROM g")
+def search_index(spark: SparkSession, folder: str) -> DataFrame:
+    """How large the kept index is; builds it if it isn't there."""
+    return index_of_lines(spark, folder).agg(F.count(F.lit(1)).alias("postings"), F.countDistinct("gram").alias("grams"), F.countDistinct("doc_id", "pos").alias("lines"))
+
+
+@folder_query(sql=_scored_sql(NAME) + " SELECT doc_id, pos, round(s, 3) AS score FROM s ORDER BY score DESC, doc_id, pos LIMIT 50")
+def search_single(spark: SparkSession, folder: str) -> DataFrame:
+    return search.best_hits(search.scored_postings(index_of_lines(spark, folder), NAME, KEY), KEY)
+
+
+@folder_query(sql=_scored_sql(NAME) + f" SELECT doc_id, pos, round(s, 3) AS name_score, round(least(1.0, greatest(0.0, s * (1.0 + CASE WHEN 1900 + doc_id % 30 = {YEAR} THEN 0.6 ELSE -0.15 END))), 3) AS score FROM s")
+def search_rerank_year(spark: SparkSession, folder: str) -> DataFrame:
     """All rows above the floor, raised where the year agrees, lowered where it doesn't."""
-    lines = _lines(docs)
-    hits = search.scored_lines(lines, NAME, ["doc_id", "pos"])
+    hits = search.scored_postings(index_of_lines(spark, folder), NAME, KEY)
     gain = search.bonus((1900 + F.col("doc_id") % 30).cast("int"), F.lit(YEAR), F.lit(None).cast("double"))
     return hits.select("doc_id", "pos", F.round("name_score", 3).alias("name_score"), search.ranked_score(F.col("name_score"), gain).alias("score"))
 
 
-@query("documents", sql=_scored_sql(NAME) + f" SELECT doc_id, pos, round(least(1.0, s * CASE WHEN source = '{GROUP}' THEN 1.6 ELSE 1.0 END), 3) AS score FROM s JOIN f USING (doc_id, pos)")
-def search_rerank_ship(docs: DataFrame) -> DataFrame:
+@folder_query(sql=_scored_sql(NAME) + f" SELECT doc_id, pos, round(least(1.0, s * CASE WHEN source = '{GROUP}' THEN 1.6 ELSE 1.0 END), 3) AS score FROM s JOIN f USING (doc_id, pos)")
+def search_rerank_ship(spark: SparkSession, folder: str) -> DataFrame:
     """All rows above the floor, raised where their group is the one that was named."""
-    lines = _lines(docs)
-    hits = search.scored_lines(lines, NAME, ["doc_id", "pos", "source"])
+    hits = search.scored_postings(index_of_lines(spark, folder), NAME, [*KEY, "source"])
     same = F.when(F.col("source") == GROUP, F.lit(1.0))
     gain = search.bonus(F.lit(None).cast("int"), F.lit(None).cast("int"), same)
     return hits.select("doc_id", "pos", search.ranked_score(F.col("name_score"), gain).alias("score"))
 
 
-@query("documents", sql=_scored_sql(NAME) + f", named AS (SELECT doc_id, pos, round(s, 3) AS score FROM s), every AS (SELECT doc_id, pos, score, CAST(CASE WHEN score >= 0.5 THEN 1 ELSE 3 END AS BIGINT) AS tier FROM named UNION ALL SELECT doc_id, pos, 1.0, 2 FROM lines WHERE source = '{GROUP}' AND NOT EXISTS (FROM named n WHERE n.doc_id = lines.doc_id AND n.pos = lines.pos)) SELECT doc_id, pos, CAST(score AS DOUBLE) AS score, tier FROM every")
-def search_tiers(docs: DataFrame) -> DataFrame:
+@folder_query(sql=_scored_sql(NAME) + f", named AS (SELECT doc_id, pos, round(s, 3) AS score FROM s), every AS (SELECT doc_id, pos, score, CAST(CASE WHEN score >= 0.5 THEN 1 ELSE 3 END AS BIGINT) AS tier FROM named UNION ALL SELECT doc_id, pos, 1.0, 2 FROM lines WHERE source = '{GROUP}' AND NOT EXISTS (FROM named n WHERE n.doc_id = lines.doc_id AND n.pos = lines.pos)) SELECT doc_id, pos, CAST(score AS DOUBLE) AS score, tier FROM every")
+def search_tiers(spark: SparkSession, folder: str) -> DataFrame:
     """Strong names, then everyone of the named group, then weak names."""
-    lines = _lines(docs)
-    named = search.search_lines(lines, NAME, ["doc_id", "pos"], None)
-    certain = lines.where(F.col("source") == GROUP).select("doc_id", "pos", F.lit(1.0).alias("score"))
-    return search.compose(named, certain, ["doc_id", "pos"], None).withColumn("tier", F.col("tier").cast("long"))
+    index = index_of_lines(spark, folder)
+    named = search.best_hits(search.scored_postings(index, NAME, KEY), KEY, None)
+    lines = extract.lines_of(spark.read.parquet(f"{folder}/documents.parquet").where(F.col("source") == GROUP), ["doc_id"])
+    certain = lines.select("doc_id", F.col("pos").cast("long").alias("pos"), F.lit(1.0).alias("score"))
+    return search.compose(named, certain, KEY, None).withColumn("tier", F.col("tier").cast("long"))
 
 
 @query("documents", sql=f"WITH {LINES} SELECT doc_id, pos, 1.0::DOUBLE AS score, 'year' AS matched FROM lines WHERE 1900 + doc_id % 30 = {YEAR}")
@@ -126,9 +135,9 @@ def search_ship_only(docs: DataFrame) -> DataFrame:
 @query("benchmark", "conversations", sql=f"WITH a AS ({_GRAMS.format(key='item_id', fold=FOLD.format('text'), src='benchmark')}), b AS ({_GRAMS.format(key='conv_id, turn', fold=FOLD.format('text'), src='conversations')}), an AS (SELECT item_id, count(*) AS k FROM a GROUP BY ALL), bn AS (SELECT conv_id, turn, count(*) AS k FROM b GROUP BY ALL), p AS (SELECT item_id, conv_id, turn, count(*) AS c FROM a JOIN b USING (gram) GROUP BY ALL) SELECT item_id, conv_id, turn, round(c / (an.k + bn.k - c), 6) AS score FROM p JOIN an USING (item_id) JOIN bn USING (conv_id, turn) WHERE c / (an.k + bn.k - c) >= 0.1")
 def search_batch(bench: DataFrame, talks: DataFrame) -> DataFrame:
     """Every item against every turn, at the floor."""
-    a = search.grams(bench.withColumn("f", t.fold(F.col("text"))), ["item_id"], "f")
-    b = search.grams(talks.withColumn("f", t.fold(F.col("text"))), ["conv_id", "turn"], "f").withColumn("k", F.struct("conv_id", "turn"))
-    return search.similarity_join(a, b, "item_id", "k").select("item_id", "k.conv_id", "k.turn", F.round("name_score", 6).alias("score"))
+    folded = lambda rows: rows.withColumn("folded", t.fold(F.col("text")))
+    hits = search.search_many(folded(bench), "item_id", "folded", folded(talks), ["conv_id", "turn"])
+    return hits.select("item_id", "conv_id", "turn", F.round("name_score", 6).alias("score"))
 
 
 @query("benchmark", sql=r"SELECT item_id, CAST(regexp_extract(q, '\b(1[6-9]\d{2}|20[0-2]\d)\b', 1) AS INTEGER) AS year, trim(regexp_replace(q, '\b(1[6-9]\d{2}|20[0-2]\d)\b', ' ')) AS name FROM (SELECT item_id, split_part(text, ' ', 1) || ' ' || (1900 + item_id % 30) || ' ' || split_part(text, ' ', 2) AS q FROM benchmark)")
