@@ -25,8 +25,8 @@ MATCH_BONUS, MISMATCH_PENALTY, GROUP_FLOOR = 0.6, 0.15, 0.85
 
 
 def grams(rows: DataFrame, key: list[str], folded: str) -> DataFrame:
-    """key, gram, n_grams: the distinct trigrams of every row and how many it has."""
-    rows = rows.select(*key, F.concat(F.lit("  "), F.col(folded), F.lit(" ")).alias("padded"))
+    """key, gram, n_grams: the distinct trigrams of every row (null: of the empty text) and how many it has."""
+    rows = rows.select(*key, F.concat(F.lit("  "), F.coalesce(F.col(folded), F.lit("")), F.lit(" ")).alias("padded"))
     at = F.explode_outer(F.sequence(F.lit(1), F.greatest(F.length("padded") - 2, F.lit(1))))
     each = rows.select(*key, "padded", at.alias("at")).select(*key, F.substring(F.col("padded"), F.col("at"), F.lit(3)).alias("gram"))
     each = each.distinct()

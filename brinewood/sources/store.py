@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +28,8 @@ def fingerprint(spark: SparkSession, path: str) -> str:
 def kept(spark: SparkSession, name: str, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table ``name`` that ``build`` makes from what lies at ``path``, from the shared folder if it is there."""
     place = f"{shared_folder(spark)}/kept/{name}-{fingerprint(spark, path)}"
-    try:
-        if spark.read.format("binaryFile").load(f"{place}/_SUCCESS").select("path").count():
-            return spark.read.parquet(place)
-    except AnalysisException:
-        pass  # it isn't there
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")
+    if mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        return spark.read.parquet(place)
     build().write.mode("overwrite").parquet(place)
     return spark.read.parquet(place)
