@@ -6,10 +6,10 @@ trained from confirmed toxic documents (P) and unlabelled text (U) under the cla
 are not examples; they only count towards the class prior.
 
 P is a bounded sample of labelled rows (``POSITIVES``, the smallest hashes of ids in the training folds; texts with the same
-words count once). U is every document of the training folds. Texts are read once, into the marks they have: candidates are the
-features that significantly more positives than unlabelled texts could have even if no unlabelled text had them, so
-none that could be chosen is left out. How many unlabelled texts have each is then counted over all of U, and those that really tell are
-the features. Texts of U with the same features are one row with a number. The risk is minimised by L-BFGS with
+words count once). U is every document of the training folds. Candidates are the features that significantly more
+positives than unlabelled texts would have even if no unlabelled text had them, so none that could be chosen is left out.
+How many unlabelled texts have each is counted over all of U, those that really tell are the features, and texts are read
+once more, into the marks they have. Texts of U with the same marks are one row with a number. The risk is minimised by L-BFGS with
 one pass over these rows per step, of which a vector of partial sums comes back; on the driver are P's features, a few numbers per
 candidate, and the weights.
 
@@ -61,27 +61,42 @@ def features_of(word: str) -> list[int]:
 
 
 class Marks:
-    """Which of some features a text has: places in the sorted ``keys``, doubled, and one more where it is frequent."""
+    """Which of some features a text has: places in the sorted ``keys``, doubled, and one more where it is frequent.
+
+    What stands between blanks is looked up as a whole: how many words it has, and their features.
+    """
 
     def __init__(self, keys: np.ndarray):
         self.place = {int(k): i for i, k in enumerate(keys)}
-        self._words: dict[str, tuple[int, ...]] = {}
+        self._known: dict[str, tuple[int, tuple[int, ...]]] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"_words": {}}
+        return self.__dict__ | {"_known": {}}
+
+    def _look(self, piece: str) -> tuple[int, tuple[int, ...]]:
+        if len(self._known) > KEPT_WORDS:
+            self._known.clear()
+        words, place = words_of(piece), self.place
+        own = self._known[piece] = len(words), tuple(place[k] for w in words for k in features_of(w) if k in place)
+        return own
+
+    def present(self, text: str) -> set[int]:
+        """Places of the features that the text has."""
+        known, out = self._known, set()
+        for piece in set(text.lower().split()):
+            own = known.get(piece) or self._look(piece)
+            if own[1]:
+                out.update(own[1])
+        return out
 
     def of(self, text: str) -> list[int]:
-        words, known, place = words_of(text), self._words, self.place
-        tally: dict[int, int] = {}
-        for w, n in Counter(words).items():
-            own = known.get(w)
-            if own is None:
-                if len(known) > KEPT_WORDS:
-                    known.clear()
-                own = known[w] = tuple(place[k] for k in features_of(w) if k in place)
+        known, tally, total = self._known, {}, 0
+        for piece, n in Counter(text.lower().split()).items():
+            words, own = known.get(piece) or self._look(piece)
+            total += n * words
             for i in own:
                 tally[i] = tally.get(i, 0) + n
-        return sorted([2 * i for i in tally] + [2 * i + 1 for i, n in tally.items() if n * FREQUENT >= len(words)])
+        return sorted([2 * i for i in tally] + [2 * i + 1 for i, n in tally.items() if n * FREQUENT >= total])
 
 
 class Linear:
@@ -174,6 +189,22 @@ def _with_marks(rows: DataFrame, marks: Marks) -> DataFrame:
     return rows.withColumn("marks", of("text")).drop("text")
 
 
+def _counted(rows: DataFrame, marks: Marks) -> np.ndarray:
+    """How many of the texts have each feature: counts per partition are what leaves the executors."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(marks.place), np.int64)
+        for b in batches:
+            total += np.bincount([i for t in b.column("text") for i in marks.present(t.as_py())], minlength=total.size).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    got = rows.select("text").mapInArrow(of, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(marks.place))
+    out[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
 def _positive_features(toxic: DataFrame) -> DataFrame:
     """words (one value per set of words) and keys (all features) of the positives; texts with the same words are one."""
 
@@ -238,43 +269,18 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positi
     could = np.flatnonzero(_ratio(in_p, n_p, np.zeros(len(keys)), n_u) >= LEAST_RATIO + RATIO_EACH * n_p)
     could = could[np.argsort(keys[could])]
     keys, in_p = keys[could], in_p[could]
-    marked = cut(_with_marks(rows, Marks(keys)))
-    free = marked.where(~F.col("held_out"))
-    has = free.select(F.explode("marks").alias("mark")).where("mark % 2 = 0").groupBy("mark").agg(F.count(F.lit(1)).alias("n")).toArrow()
-    in_u = np.zeros(len(keys))
-    in_u[has.column("mark").to_numpy() // 2] = has.column("n").to_numpy()
-    chosen = np.flatnonzero(_ratio(in_p, n_p, in_u, n_u) >= LEAST_RATIO + RATIO_EACH * n_p)
+    chosen = keys[_ratio(in_p, n_p, _counted(rows.where(~F.col("held_out")), Marks(keys)), n_u) >= LEAST_RATIO + RATIO_EACH * n_p]
+    model = Marks(chosen)
+    marked = cut(_with_marks(rows, model))
     if not len(chosen):
-        return Linear(float(np.log(prior / (1 - prior))), none, np.zeros(0)), _renumbered(marked, chosen)
-    marked = _renumbered(marked, chosen)
+        return Linear(float(np.log(prior / (1 - prior))), none, np.zeros(0)), marked
     patterns = cut(marked.where(~F.col("held_out")).groupBy("marks").agg(F.count(F.lit(1)).alias("n")))
-    model = Marks(keys[chosen])
     texts = training_rows(docs, labels.where("toxic = 1"), "toxic", fold, positives).select("doc_id", F.col("text").cast("string").alias("text"))
     p = _with_marks(texts, model).groupBy("doc_id", "marks").count().select("marks").toArrow().column("marks")  # at most ``positives`` rows
     p = packed([np.array(x.as_py(), np.int64) for x in p])
     start = np.append(np.zeros(2 * len(chosen)), np.log(prior / (1 - prior)))
     theta = minimise(lambda t: nn_risk(t, p, _negative_sums(patterns, t), n_u, prior), start)
-    return Linear(float(theta[-1]), keys[chosen], theta[:-1]), marked
-
-
-def _renumbered(marked: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """``marked`` with the marks of chosen places only, by their new places."""
-    new = {int(c): i for i, c in enumerate(chosen)}
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.full(max(new, default=0) + 1, -1, np.int64)
-        table[list(new)] = list(new.values())
-        for b in batches:
-            lists = b.column("marks")
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            to = np.where(flat // 2 < len(table), table[np.minimum(flat // 2, len(table) - 1)], -1)
-            ok = to >= 0
-            ends = np.concatenate(([0], np.cumsum(np.bincount(row[ok], minlength=b.num_rows)))).astype(np.int32)
-            marks = pa.ListArray.from_arrays(pa.array(ends), pa.array((2 * to + flat % 2)[ok].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), marks], ["doc_id", "held_out", "marks"])
-
-    return marked.mapInArrow(of, f"doc_id {dict(marked.dtypes)['doc_id']}, held_out boolean, marks array<int>")
+    return Linear(float(theta[-1]), chosen, theta[:-1]), marked
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
