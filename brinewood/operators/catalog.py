@@ -139,7 +139,7 @@ def title_parts(c: Column, grammar: Grammar = ARCHIVE) -> dict[str, Column]:
     words = F.filter(F.split(F.regexp_replace(open_, r"(?<=\s)[-–]|[-–](?=\s|$)", " - "), r"\s+"), lambda w: w != "")
     plain = F.transform(words, lambda w: F.regexp_replace(fold(w, "lower"), r"[^\p{L}\p{N}]+", ""))
     n = F.size(words)
-    last = F.element_at(plain, -1)
+    last = F.coalesce(F.try_element_at(plain, F.lit(-1)), F.lit(""))
     levelled = (n >= 2) & (F.get(words, n - 2) == "-") & reduce(or_, [last.startswith(x) for x in grammar.levels])
     note = F.coalesce(_first(plain, grammar.notes), n)
     end = F.least(note, F.when(levelled, n - 2).otherwise(n))

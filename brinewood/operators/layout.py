@@ -132,3 +132,45 @@ def seam(ink: np.ndarray, drift: float = 0.05) -> np.ndarray:
 def seam_of(ink: pd.Series) -> pd.Series:
     """``seam`` of bands given as arrays of rows."""
     return ink.map(lambda a: seam(np.stack([np.asarray(r, float) for r in a])).tolist() if a is not None and len(a) else None)
+
+
+#: Printed numbers from which on these carry the rows, their share of written lines, and where a sheet's footing begins and how wide it is.
+LEAST_ORDINALS, ORDINAL_SHARE, FOOTING_FROM, FOOTING_WIDTH = 8, 0.5, 0.88, 2.5
+
+
+def row_bands(marks: DataFrame, key: list[str], height: str = "height") -> DataFrame:
+    """key, n, top, bottom: one band per ruled row, from marks (kind: ordinal or written; y0, y1) below the heading.
+
+    Printed numbers carry the rows if there are enough of them, else what is written does. Their pitch is the distance of rows, the median of
+    what each is off by is the phase, and rows go from the first mark of either kind to the last. A band grows to hold what is
+    written in it.
+    """
+    rows = marks.withColumn("c", (F.col("y0") + F.col("y1")) / 2)
+    count = lambda k: F.count_if(F.col("kind") == k)
+    per = rows.groupBy(*key).agg(count("ordinal").alias("_o"), count("written").alias("_w"), F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.max(height).alias("_height"))
+    per = per.withColumn("_use", F.when(F.col("_o") >= F.greatest(F.lit(float(LEAST_ORDINALS)), F.col("_w") * ORDINAL_SHARE), F.lit("ordinal")).otherwise(F.lit("written")))
+    step = None
+    for preferred in ("kind = _use", "kind = 'ordinal'", "kind = 'written'"):  # the first of these that has a pitch
+        p = pitch(rows.join(per.select(*key, "_use"), key).where(preferred).select(*key, "c"), key, "c").withColumnRenamed("pitch", "_p")
+        step = p if step is None else step.unionByName(p.join(step.select(*key), key, "left_anti"))
+    per = per.join(step, key)
+    kind = F.when((F.col("_use") == "written") & (F.col("_w") == 0), F.lit("ordinal")).otherwise(F.col("_use"))
+    used = rows.join(per.withColumn("_use", kind).select(*key, "_use", "_p"), key).where("kind = _use")
+    first = used.groupBy(*key).agg(F.min("c").alias("_base"))
+    off = F.col("c") - F.col("_base")
+    phase = used.join(first, key).withColumn("_d", off - F.rint(off / F.col("_p")) * F.col("_p")).groupBy(*key, "_base").agg(F.percentile("_d", F.lit(0.5)).alias("_d"))
+    per = per.join(phase, key).withColumn("_base", F.col("_base") + F.col("_d"))
+    ends = [F.rint((F.col(c) - F.col("_base")) / F.col("_p")).cast("int") for c in ("_lo", "_hi")]
+    bands = per.withColumn("_i", F.explode(F.sequence(*ends))).withColumn("n", F.col("_i") - ends[0] + 1)
+    middle = F.col("_base") + F.col("_i") * F.col("_p")
+    bands = bands.select(*key, "n", "_height", (middle - F.col("_p") / 2).alias("_t"), (middle + F.col("_p") / 2).alias("_b"))
+    held = rows.where("kind = 'written'").select(*key, "c", "y0", "y1")
+    grown = bands.join(held, key).where("c between _t and _b").groupBy(*key, "n").agg((F.min("y0") - 1).alias("_y0"), (F.max("y1") + 1).alias("_y1"))
+    out = bands.join(grown, [*key, "n"], "left")
+    return out.select(*key, "n", F.greatest(F.lit(0.0), F.least("_t", F.coalesce("_y0", "_t"))).alias("top"), F.least("_height", F.greatest("_b", F.coalesce("_y1", "_b"))).alias("bottom"))
+
+
+def carried_columns(pages: DataFrame, group: list[str], page: str, columns: str) -> DataFrame:
+    """``pages`` whose columns are those of the last page of the group, up to themselves, that printed its headings."""
+    w = Window.partitionBy(*group).orderBy(page).rowsBetween(Window.unboundedPreceding, 0)
+    return pages.withColumn(columns, F.last(columns, ignorenulls=True).over(w))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brinewood.functions.fuzzy import may_reach, ro_ratio
+from brinewood.functions.text import fold
 
 #: Fixed values.
 CLEAN_SCORE, SUGGEST_FLOOR, SUGGESTIONS, LENGTH_BAND = 0.95, 0.62, 4, 3
@@ -80,3 +82,31 @@ def cluster(names: DataFrame, name: str = "name", seen: str = "seen", floor: flo
 def review_reasons(confidence: Column, ditto_source: Column, unknown: Column, floor: float = 0.85) -> Column:
     """Why a row should be looked at: a low score, a surname inferred from position, a name nobody knows."""
     return F.array_compact(F.array(F.when(confidence < floor, F.lit("score")), F.when(ditto_source == "position", F.lit("inferido")), F.when(unknown, F.lit("desconhecido"))))
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """name, seen of a stored dictionary (a JSON object of names and counts); one that isn't there is empty."""
+    kind = "map<string, long>"
+    try:
+        raw = spark.read.text(path, wholetext=True)
+    except AnalysisException:
+        return spark.createDataFrame([], "name string, seen long")
+    return raw.select(F.explode(F.from_json("value", kind)).alias("name", "seen"))
+
+
+def scored(observed: DataFrame, names: DataFrame, measure: str = "ratio") -> DataFrame:
+    """observed, score: how much of a name each distinct word is: 1 if it is in the dictionary, else its best suggestion's score, else 0."""
+    words = observed.select("observed").distinct()
+    near = suggest(words.where(F.length("observed") >= 3), names, measure, most=1).select("observed", "score")
+    known = names.select(F.col("name").alias("observed"), F.lit(1.0).alias("_known"))
+    both = words.join(known, "observed", "left").join(near, "observed", "left")
+    return both.select("observed", F.coalesce("_known", "score", F.lit(0.0)).alias("score"))
+
+
+def ranked(readings: DataFrame, key: list[str], words: str, names: DataFrame, measure: str = "ratio") -> DataFrame:
+    """key, ranked: the readings of one word (an array) by how much of a name each is, those of equal scores in their order."""
+    each = readings.select(*key, F.posexplode(words).alias("_at", "_word")).where(F.coalesce("_word", F.lit("")) != "").withColumn("observed", fold(F.col("_word"), compat=True))
+    each = each.join(scored(each, names, measure), "observed")
+    order = F.sort_array(F.collect_list(F.struct((-F.round("score", 3)).alias("s"), F.col("_at").alias("at"), F.col("_word").alias("word"))))
+    out = each.groupBy(*key).agg(F.transform(order, lambda x: F.struct(x["word"].alias("word"), (-x["s"]).alias("score"))).alias("ranked"))
+    return readings.select(*key).join(out, key, "left").withColumn("ranked", F.coalesce("ranked", F.array().cast("array<struct<word: string, score: double>>")))

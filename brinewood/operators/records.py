@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brinewood.functions.lexical import headings
+from brinewood.functions.text import fold, row_text, similarity, squeeze
+from brinewood.operators.carry import carry_forward, run_ids
+
 #: Fixed value: records of a later version are skipped.
 SCHEMA_VERSION = 18
 
@@ -144,8 +150,6 @@ def find_in_document(rows: DataFrame, query: str, columns: list[str], floor: flo
 
     Words are as like as their trigrams; the scope is the columns given.
     """
-    from brinewood.functions.text import fold, similarity
-
     asked = [query, *((variants or {}).get(query.lower(), []))]
 
     def like(words: Column, q: str) -> Column:
@@ -164,3 +168,66 @@ def widest_pair(columns: Column) -> Column:
     pairs = F.transform(F.sequence(F.lit(0), F.size(columns) - 2), lambda i: F.struct((F.get(columns, i + 1) - F.get(columns, i)).alias("width"), (-i).alias("at")))
     best = F.array_max(pairs)
     return F.when(F.size(columns) >= 2, F.array(F.get(columns, -best["at"]), F.get(columns, 1 - best["at"])))
+
+
+#: Letters that a row's folded text has at least, and fields whose presence a report counts.
+LEAST_TEXT, REPORTED = 4, ("ship", "year", "port", "origin", "line")
+
+
+def searchable(records: DataFrame, captions: tuple[str, ...] = (), printed: tuple[str, ...] = (), engine_only: bool = True, version: int = SCHEMA_VERSION) -> DataFrame:
+    """What can be searched for: a row per list row, with its text and its document's fields.
+
+    Repetition marks are resolved within each run of rows of one page. Printed headers, captions of the list and rows of fewer than
+    ``LEAST_TEXT`` folded characters are left out.
+    """
+    rows = run_ids(flatten(records, engine_only, version), ["doc"], ["index_pos"], "page")
+    rows = carry_forward(rows, ["doc", "run"], ["index_pos"], indent="indent")
+    rows = rows.withColumn("text", squeeze(F.coalesce(row_text(F.col("ditto"), F.col("name_raw"), F.col("surname"), F.col("given")), F.lit(""))))
+    rows = rows.where(~F.coalesce("header", F.lit(False)) & (F.length(fold(F.col("text"))) >= LEAST_TEXT))
+    if captions or printed:
+        captioned = headings(rows.select("text").distinct(), ["text"], "text", captions, printed).where("heading").select("text")
+        rows = rows.join(captioned, "text", "left_anti")
+    return rows.select("doc", "notation", "file", "page", F.col("n").alias("row"), "index_pos", "text", "ship", "year", "year_source", F.col("name_alts").alias("alts"), F.try_element_at("conf", F.lit("surname")).alias("conf"), "ditto_source")
+
+
+def summary(records: DataFrame) -> DataFrame:
+    """documents, with_voyage, with_ship, with_year, with_full_date, with_port, with_line over records."""
+    some = lambda c: F.count_if(F.coalesce(F.col(f"voyage.{c}").cast("string"), F.lit("")).isin("", "0") == F.lit(False))
+    return records.agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.col("voyage").isNotNull()).alias("with_voyage"), some("ship").alias("with_ship"), some("year").alias("with_year"),
+        some("arrival").alias("with_full_date"), some("port").alias("with_port"), some("line").alias("with_line"),
+    )
+
+
+def status(records: DataFrame, version: int = SCHEMA_VERSION) -> DataFrame:
+    """records, rows, named, stale, errors, and of how many records each of ``REPORTED`` says something."""
+    said = lambda c: F.coalesce(c.cast("string"), F.lit("")).isin("", "0") == F.lit(False)
+    old = (F.coalesce("engine", F.lit("")) != "") & (F.coalesce("read_schema", "schema", F.lit(0)) < version)
+    failed = F.exists("pages", lambda p: F.coalesce(p["error"], F.lit("")) != "")
+    size = lambda a: F.coalesce(F.sum(F.greatest(F.size(F.coalesce(a, F.array())), F.lit(0))), F.lit(0)).cast("long")
+    return records.agg(
+        F.count(F.lit(1)).alias("records"), size(F.col("rows.name_raw")).alias("rows"), size(F.filter("rows.name_raw", lambda t: F.trim(F.coalesce(t, F.lit(""))) != "")).alias("named"),
+        F.count_if(old).alias("stale"), F.count_if(F.coalesce(failed, F.lit(False))).alias("errors"), *[F.count_if(said(F.col(f"voyage.{c}"))).alias(f"with_{c}") for c in REPORTED],
+    )
+
+
+def ditto_histogram(records: DataFrame) -> DataFrame:
+    """source, n: how rows' surnames were inherited."""
+    rows = records.select(F.explode("rows").alias("r")).where(F.size("r.ditto") > 0)
+    return rows.groupBy(F.coalesce(F.nullif("r.ditto_source", F.lit("")), F.lit("?")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_alternatives(rows: DataFrame, other: DataFrame, key: list[str], alternatives: Callable[[Column], Column]) -> DataFrame:
+    """``rows`` with ``alts``: per word the readings that another reading of the same row (by its number, never by place) has; null if it has none of its own."""
+    both = rows.join(other.select(*key, "n", F.col("name_raw").alias("_other")), [*key, "n"], "left")
+    alts = alternatives(F.array("name_raw", "_other"))
+    return both.withColumn("alts", F.when(F.exists(alts, lambda a: F.size(a) > 1), alts)).drop("_other")
+
+
+def contained(path: Column, root: str) -> Column:
+    """Whether a path, its steps back resolved, lies in a folder or is it."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    # A step back takes the last part away; one that goes above the top can't be inside.
+    walked = F.aggregate(parts, F.array(F.lit("")), lambda a, p: F.when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p))))
+    inside = [p for p in root.split("/") if p]
+    return path.startswith("/") & (F.slice(walked, 1, len(inside) + 1) == F.array(F.lit(""), *[F.lit(p) for p in inside]))

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinewood.functions.text import fold
+from brinewood.functions.fuzzy import may_reach, ro_ratio
+from brinewood.functions.text import fold, trigrams
 
 #: Fixed values.
 MIN_QUERY = 3
@@ -195,3 +196,42 @@ def compose(scored: DataFrame, certain: DataFrame, identity: list[str], limit: i
     both = named.unionByName(rest, allowMissingColumns=True)
     order = [F.col("tier"), F.when(F.col("tier") != 2, -F.col("score")), *[F.col(c) for c in identity]]
     return both if limit is None else both.orderBy(*order).limit(limit)
+
+
+#: Letters that a term has at least to be held for a ship, and a query without it.
+SHIP_TERM, REST_OF_QUERY = 4, 3
+
+
+def ship_ratios(terms: DataFrame, ships: DataFrame, floor: float = GROUP_FLOOR) -> DataFrame:
+    """term, ship, ratio of all pairs of distinct terms and ships whose folds are alike by at least ``floor``.
+
+    Two texts that are alike by 0.85 share a padded trigram: what doesn't match is so little that a run of matches of two at an end or three
+    inside must be left. So candidates come from an equi-join on grams, and the ratio is only asked about those.
+    """
+    a = terms.select("term").distinct().withColumn("_a", fold(F.col("term")))
+    b = ships.select("ship").where(F.coalesce("ship", F.lit("")) != "").distinct().withColumn("_b", fold(F.col("ship")))
+    grams_of = lambda c: F.explode(trigrams(F.col(c)))
+    pairs = a.withColumn("_g", grams_of("_a")).join(b.withColumn("_g", grams_of("_b")), "_g").where(may_reach(F.col("_a"), F.col("_b"), floor)).select("term", "_a", "ship", "_b").distinct()
+    return pairs.withColumn("ratio", ro_ratio("_a", "_b")).where(F.col("ratio") >= floor).select("term", "ship", "ratio")
+
+
+def split_ships(queries: DataFrame, key: list[str], text: str, ships: DataFrame) -> DataFrame:
+    """key, term, rest: the first term of a query that names a ship and leaves enough of a query, and the query without it.
+
+    Queries that name none keep all of their text, with a null term.
+    """
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
+    each = queries.select(*key, words.alias("_words")).select(*key, "_words", F.posexplode_outer("_words").alias("_at", "term"))
+    rest = F.array_join(F.filter("_words", lambda w, i: i != F.col("_at")), " ")
+    each = each.withColumn("_rest", rest).withColumn("_fits", (F.length("term") >= SHIP_TERM) & (F.length(fold(F.col("_rest"))) >= REST_OF_QUERY))
+    named = ship_ratios(each.where("_fits").select("term"), ships).select("term").distinct().withColumn("_ship", F.lit(True))
+    hit = each.join(named, "term", "left").where(F.col("_fits") & F.coalesce("_ship", F.lit(False)))
+    first = hit.groupBy(*key).agg(F.min_by(F.struct("term", F.col("_rest").alias("rest")), "_at").alias("_f"))
+    out = queries.select(*key, F.array_join(words, " ").alias("_all")).join(first, key, "left")
+    return out.select(*key, F.col("_f.term").alias("term"), F.coalesce("_f.rest", "_all").alias("rest"))
+
+
+def ship_bonus(rows: DataFrame, ship: str, terms: DataFrame) -> DataFrame:
+    """``rows`` with group_ratio: how much a row's ship is like the best of the terms, null below the floor. Ships are compared once each."""
+    best = ship_ratios(terms, rows.select(F.col(ship).alias("ship"))).groupBy("ship").agg(F.max("ratio").alias("group_ratio"))
+    return rows.join(best.select(F.col("ship").alias("_ship"), "group_ratio"), F.col(ship) == F.col("_ship"), "left").drop("_ship")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinewood.functions import fuzzy
+from brinewood.functions import fuzzy, lexical
 from brinewood.functions import text as t
 from brinewood.operators import carry, catalog, evaluate, extract, lexicon, records
 from brinewood.plans.registry import FOLD, LINES, query
@@ -121,10 +121,10 @@ def mojibake_repair(docs: DataFrame) -> DataFrame:
 
 @query("documents")
 def token_alternatives(docs: DataFrame) -> DataFrame:
-    """Words of every document's first line against a reading of it with one word changed."""
-    first = F.split("text", "\n")[0]
-    other = F.regexp_replace(first, r"^\S+", "Other")
-    return docs.select("doc_id", fuzzy.token_alternatives(F.array(first, other)).alias("alternatives"))
+    """Words of every line against a reading of it with its first word changed."""
+    lines = extract.lines_of(docs, ["doc_id"])
+    other = F.regexp_replace("line", r"^\S+", "Other")
+    return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), fuzzy.token_alternatives(F.array("line", other)).alias("alternatives"))
 
 
 # --- forms --------------------------------------------------------------------------------------------------
@@ -208,9 +208,10 @@ def catalog_precedence_join(customer: DataFrame, nation: DataFrame) -> DataFrame
     return catalog.fill_from(rows, nation.select(F.col("n_nationkey").alias("file"), F.col("n_name").alias("ship")), "file", "ship").select("c_custkey", "ship")
 
 
-@query("documents", sql=r"SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') || ',' || source || ',' || lang || ',' || CASE WHEN regexp_matches(l, '[\",\r\n]') THEN '\"' || replace(l, '\"', '\"\"') || '\"' ELSE l END || ',' AS line FROM (SELECT doc_id, source, lang, string_split(text, chr(10))[1] AS l FROM documents)".replace('\\"', '"'))
+@query("documents", sql=r"SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') || ',' || source || ',' || lang || ',' || CASE WHEN regexp_matches(l, '[\",\r\n]') THEN '\"' || replace(l, '\"', '\"\"') || '\"' ELSE l END || ',' AS line FROM (SELECT doc_id, source, lang, text AS l FROM documents)".replace('\\"', '"'))
 def export_rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", tables.csv_line(F.col("doc_id"), F.col("source"), F.col("lang"), F.split("text", "\n")[0], F.lit(None)).alias("line"))
+    """Whole texts as fields of CSV lines."""
+    return docs.select("doc_id", tables.csv_line(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("text"), F.lit(None)).alias("line"))
 
 
 @query("documents", sql=r"SELECT doc_id, regexp_replace(source || ' ' || lang || '/' || doc_id, '[^\p{L}\p{N}\-_]', '-', 'g') || '.csv' AS name FROM documents")
@@ -229,7 +230,7 @@ def _dictionary(part: DataFrame) -> DataFrame:
 
 def _observed(part: DataFrame) -> DataFrame:
     """Dictionary words with their first letter lost."""
-    return _dictionary(part).select(F.substring("name", 2, 99).alias("observed")).where(F.length("observed") >= 3)
+    return _dictionary(part).select(F.expr("substring(name, 2)").alias("observed")).where(F.length("observed") >= 3)
 
 
 @query("part", sql=f"WITH {_WORDS} SELECT name, seen FROM w")
@@ -265,11 +266,12 @@ def review_reasons(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.select("doc_id", lexicon.review_reasons((F.col("quality") + 0.5) / 2, source, F.col("toxic") == 1).alias("reasons"))
 
 
-@query("documents", sql=f"SELECT doc_id, {FOLD.format('l')} = 'THE' OR length({FOLD.format('l')}) = 0 AS heading FROM (SELECT doc_id, string_split(text, chr(10))[1] AS l FROM documents)")
+@query("documents")
 def heading_filter(docs: DataFrame) -> DataFrame:
-    """First lines that are captions: exact folded equality, the half of the rule that needs no ratio."""
-    first = t.fold(F.split("text", "\n")[0])
-    return docs.select("doc_id", ((first == "THE") | (F.length(first) == 0)).alias("heading"))
+    """Lines that are captions and not readings, by the whole rule, over all lines; each distinct line is judged once."""
+    lines = extract.lines_of(docs, ["doc_id"])
+    judged = lexical.headings(lines.select("line").distinct(), ["line"], "line", ("THE", "THE AND ATTION TO", "UND IST"), ("thention", "anea", "tieren", "other"))
+    return lines.join(judged, "line").select("doc_id", F.col("pos").cast("long").alias("pos"), "heading")
 
 
 @query("benchmark", sql=f"SELECT item_id, round(levenshtein(substr(f, 2), f) / greatest(length(f), 1), 6) AS cer FROM (SELECT item_id, {FOLD.format('text')} AS f FROM benchmark)")
@@ -289,14 +291,14 @@ def catalog_titles(part: DataFrame) -> DataFrame:
     return part.select("p_partkey", got["ship"].alias("ship"), got["rv"].alias("rv"), F.when(see.isNotNull(), F.concat_ws(".", see["fundo"], see["series"], see["index"])).alias("see_also"))
 
 
-@query("part", sql="SELECT p_partkey, CASE WHEN p_size % 3 <> 2 THEN 'BS.ENT.' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') END AS notation, CASE p_size % 3 WHEN 0 THEN 'cover' WHEN 1 THEN 'filename' ELSE 'unknown' END AS identified_by FROM part")
+@query("part", sql="SELECT p_partkey, CASE WHEN p_size % 3 <> 2 THEN 'BS.ENT.' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') END AS notation, CASE p_size % 3 WHEN 0 THEN 'cover' WHEN 1 THEN 'filename' ELSE 'unknown' END AS identified_by, CASE WHEN p_size % 3 <> 2 THEN 'BS.ENT.' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE 'sem notação (' || substr(sha256(p_name), 1, 8) || ')' END AS label FROM part")
 def document_identity(part: DataFrame) -> DataFrame:
     """A document's notation from its cover, else its file name."""
     number = F.lpad(F.col("p_partkey").cast("string"), 6, F.lit("0"))
     file = F.when(F.col("p_size") % 3 != 2, F.concat(F.lit("br_rjanrio_bs_0_rpv_ent_"), number, F.lit("_d0001de0001.pdf"))).otherwise(F.lit("scan.pdf"))
     cover = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("NOTAÇÃO: BR.AN.RIO.BS.0.RPV.ENT. "), number))
     got = catalog.identify(file, cover, F.sha2("p_name", 256))
-    return part.select("p_partkey", got["notation"].alias("notation"), got["identified_by"].alias("identified_by"))
+    return part.select("p_partkey", got["notation"].alias("notation"), got["identified_by"].alias("identified_by"), got["label"].alias("label"))
 
 
 @query("part")

@@ -140,10 +140,9 @@ def search_batch(bench: DataFrame, talks: DataFrame) -> DataFrame:
     return hits.select("item_id", "conv_id", "turn", F.round("name_score", 6).alias("score"))
 
 
-@query("benchmark", sql=r"SELECT item_id, CAST(regexp_extract(q, '\b(1[6-9]\d{2}|20[0-2]\d)\b', 1) AS INTEGER) AS year, trim(regexp_replace(q, '\b(1[6-9]\d{2}|20[0-2]\d)\b', ' ')) AS name FROM (SELECT item_id, split_part(text, ' ', 1) || ' ' || (1900 + item_id % 30) || ' ' || split_part(text, ' ', 2) AS q FROM benchmark)")
+@query("benchmark", sql=r"SELECT item_id, CAST(regexp_extract(q, '\b(1[6-9]\d{2}|20[0-2]\d)\b', 1) AS INTEGER) AS year, trim(regexp_replace(q, '\b(1[6-9]\d{2}|20[0-2]\d)\b', ' ')) AS name FROM (SELECT item_id, (1900 + item_id % 30) || ' ' || text AS q FROM benchmark)")
 def split_year(bench: DataFrame) -> DataFrame:
-    w = F.split("text", " ")
-    q = bench.select("item_id", F.concat_ws(" ", F.get(w, 0), (1900 + F.col("item_id") % 30).cast("string"), F.coalesce(F.get(w, 1), F.lit(""))).alias("q"))
+    q = bench.select("item_id", F.concat((1900 + F.col("item_id") % 30).cast("string"), F.lit(" "), "text").alias("q"))
     return q.select("item_id", t.query_year(F.col("q")).alias("year"), t.query_without_year(F.col("q")).alias("name"))
 
 
