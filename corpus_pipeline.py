@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every component of documents that share 0.8 of their five-word shingles."""
+    """One document of every component of documents that share 0.8 of their five-word shingles, by tries over SimHash words."""
     return shingles.dedup(docs)
 
 
@@ -51,5 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Two of the stages train classifiers or walk a trie, which SQL doesn't express; see tests/llm/test_pipeline.py.
+#: Stages train a classifier and walk tries, which SQL doesn't express; tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
