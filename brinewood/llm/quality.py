@@ -7,7 +7,8 @@ flattened into arrays, complete trees side by side, and a batch of documents goe
 
 Cases: a null text counts as empty, and empty texts are scored like any other; labels that are null are left out;
 without labels of both kinds every score is the share of label 1 (0.5 without any labels); repeated rows are
-scored each; extra columns don't matter, as only doc_id and text are read.
+scored each; very long texts are read whole; ids with one hash go by id into the sample; an empty table gives an empty result;
+extra columns don't matter, as only doc_id and text are read.
 """
 
 from __future__ import annotations

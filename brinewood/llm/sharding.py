@@ -12,7 +12,8 @@ lighter than the tolerance or holds one key. What comes to the driver is a row p
 
 Cases: a null text counts as empty (size 1, CRC-32 0); an empty table gives an empty result; rows
 that are equal stay apart by their slots; a group of equal texts heavier than a shard stays whole,
-and the other leaves share the rest; doc_id may be null.
+and the other leaves share the rest; doc_id may be null; a very long text is one document of its size;
+extra columns stay, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,10 +6,10 @@ seventh of their bits, and no budget that finds those prunes a trie. So a set ge
 takes that they miss each other in all of them with a chance of at most ``MISS``. Words are as long as the table is
 large (``plan``), so that sets that aren't similar meet a few times each, however many there are.
 
-* Sets that agree in a whole word are linked to the least of them and verified on the whole sets.
-* The words' tries are walked with the budget, each set with the component that it has by then: node pairs
-  within one component are dropped, so a group of copies costs its members and not its pairs. Pairs that
-  are left are held against all bits, then verified on the whole sets.
+* The words' tries are walked with the budget, and each subtree gives a forest of its pairs: a group of near copies costs its
+  members and not its pairs. These pairs are held against all bits, then verified on the whole sets.
+* The tries are walked again, each set with the component that it has by then: node pairs within one component are
+  dropped, and all pairs that are left, between components, are verified likewise.
 
 Verification is exact, so what is linked is similar; ``MISS`` is all that is left to chance.
 
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_side, text_of
+from .common import cut, release, small_side, text_of
 from .simhash import _WORDS, SUBTREE, connected, standing, subtrees, trie_pairs, whole_subtrees
 
 SHINGLE = 5
@@ -39,7 +39,7 @@ FLOOR = (4, 5)
 BUDGET, MISS = 3, 1e-3
 #: Two sets of one size with Jaccard similarity j have the cosine 2j / (1 + j), and differ in a bit with the angle's share of a half turn.
 FLIP = acos(2 * FLOOR[0] / (FLOOR[0] + FLOOR[1])) / pi
-LEAST_BITS, MOST_BITS, SPARE_BITS = 32, 60, 14
+LEAST_BITS, MOST_BITS, SPARE_BITS = 32, 52, 14
 _RNG = np.random.default_rng(42)
 _MASK, _ODD = _RNG.integers(0, 2**64, 256, dtype=np.uint64), _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -51,9 +51,9 @@ def plan(rows: int) -> tuple[int, int]:
     return bits, ceil(log(MISS) / log(1 - meet))
 
 
-def most_apart(bits: int) -> int:
-    """Six standard deviations beyond the bits that two sets at the floor differ in, of so many."""
-    return ceil(bits * FLIP + 6 * sqrt(bits * FLIP * (1 - FLIP)))
+def most_apart(bits: int, spreads: float = 6.0) -> int:
+    """So many standard deviations beyond the bits that two sets at the floor differ in, of ``bits``."""
+    return ceil(bits * FLIP + spreads * sqrt(bits * FLIP * (1 - FLIP)))
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -163,43 +163,87 @@ def near_sizes(a: Column, b: Column) -> Column:
     return F.least(a, b) * FLOOR[1] >= F.greatest(a, b) * FLOOR[0]
 
 
-def trie_candidates(members: DataFrame, bits: int, subtree: int) -> DataFrame:
-    """Pairs (a, b) of ``members`` (word, value, sig, root) of different roots with a word within the budget."""
-    rows = members.select(F.xxhash64("word").alias("path"), F.col("value").alias("rest"), F.lit(bits).alias("left"), F.col("value").alias("fp"), "sig", "root")
+#: Sizes of sets are carried as powers of this, above a word's bits; those of similar sets differ by so many powers at most.
+SIZE_STEP, SIZE_AT = 1.05, 52
+SIZES_APART = ceil(log(FLOOR[1] / FLOOR[0]) / log(SIZE_STEP))
+
+
+def trie_candidates(members: DataFrame, bits: int, subtree: int, forest: bool) -> DataFrame:
+    """Pairs (a, b) of ``members`` (sig, n, words, root) of different roots and near sizes with a word within the budget.
+
+    ``forest``: of the pairs in a subtree only as many as join the classes that all of them would, so a group costs its members.
+    A member of a word's trie carries its set's size and the low halves of the next two words: pairs that met by chance go where they
+    are found, and few ever leave the walk.
+    """
+    size = F.floor(F.log("n") / log(SIZE_STEP)).cast("long")
+    rows = members.select(F.posexplode("words").alias("word", "value"), "words", "sig", "n", "root")
+    other = lambda k: F.element_at("words", (F.col("word") + k) % F.size("words") + 1).bitwiseAND(F.lit((1 << 32) - 1))
+    check = F.shiftleft(other(1), 32).bitwiseOR(other(2))
+    packed = F.shiftleft(size, SIZE_AT).bitwiseOR(F.col("value"))
+    rows = rows.select(F.xxhash64("word").alias("path"), F.col("value").alias("rest"), F.lit(bits).alias("left"), packed.alias("fp"), check.alias("check"), "sig", "root")
+    most = most_apart(64, 5.0)
+    low = (1 << SIZE_AT) - 1
     ready, hot = subtrees(rows, BUDGET, subtree, "root")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tree, value, sig, root in whole_subtrees(batches):
+        for tree, fp, check, sig, root in whole_subtrees(batches):
+            value, size = fp & low, fp >> SIZE_AT
             order = np.lexsort((root, value, tree))
-            tree, value, sig, root = (x[order] for x in (tree, value, sig, root))
-            for a, b in trie_pairs(tree, value.view(np.uint64), BUDGET, root, bits):
+            tree, value, size, check, sig, root = (x[order] for x in (tree, value, size, check, sig, root))
+            _, number = np.unique(root, return_inverse=True)
+            joined: dict[int, dict[int, int]] = {}  # per subtree, what the classes have been joined to
+            for a, b in trie_pairs(tree, value.view(np.uint64), BUDGET, number, bits):
+                near = (np.abs(size[a] - size[b]) <= SIZES_APART) & (np.bitwise_count((check[a] ^ check[b]).view(np.uint64)) <= most)
+                a, b = a[near], b[near]
+                if forest and a.size:
+                    new = [_join(joined.setdefault(t, {}), x, y) for t, x, y in zip(tree[a].tolist(), number[a].tolist(), number[b].tolist(), strict=True)]
+                    a, b = a[new], b[new]
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(sig[a], sig[b])), pa.array(np.minimum(sig[a], sig[b]))], ["a", "b"])
 
-    found = ready.select("path", "fp", "sig", "root").mapInArrow(walk, "a long, b long")
-    if hot is not None:  # all but a few bits are shared there; the join splits what is too large for a task
-        left, right = (hot.select("path", F.col("fp").alias(f"fp_{c}"), F.col("sig").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
-        near = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= BUDGET
+    found = ready.select("path", "fp", "check", "sig", "root").mapInArrow(walk, "a long, b long")
+    if hot is not None and forest:  # each against the least of its path
+        lead = hot.groupBy("path").agg(F.min(F.struct("sig", "root")).alias("lead"))
+        found = found.unionByName(hot.join(lead, "path").where("root <> lead.root").select(F.greatest("sig", "lead.sig").alias("a"), F.least("sig", "lead.sig").alias("b")))
+    elif hot is not None:  # all but a few bits are shared there; the join splits what is too large for a task
+        left, right = (hot.select("path", F.col("fp").alias(f"fp_{c}"), F.col("check").alias(f"check_{c}"), F.col("sig").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+        near = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")).bitwiseAND(F.lit(low))) <= BUDGET
+        near = near & (F.bit_count(F.col("check_a").bitwiseXOR(F.col("check_b"))) <= most)
         found = found.unionByName(left.join(right, "path").where("a > b and root_a <> root_b").where(near).select("a", "b"))
     return found.distinct()
 
 
+def _join(joined: dict[int, int], a: int, b: int) -> bool:
+    """Join two classes; whether they were apart."""
+
+    def find(x: int) -> int:
+        while (up := joined.get(x, x)) != x:
+            joined[x] = x = joined.get(up, up)
+        return x
+
+    a, b = find(a), find(b)
+    joined[max(a, b)] = min(a, b)
+    return a != b
+
+
 def links(docs: DataFrame, distinct: DataFrame, bits: int, words: int, subtree: int = SUBTREE) -> DataFrame:
     """(node, root) of the sets in ``distinct`` (sig, n, words, text_hash; cut) that are similar to another one."""
-    each = distinct.where("n > 0").select(F.posexplode("words").alias("word", "value"), "sig", "n")
-    shared = each.groupBy("word", "value").agg(F.min(F.struct("sig", "n")).alias("lead"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    stars = each.join(shared, ["word", "value"]).where("sig <> lead.sig").where(near_sizes(F.col("n"), F.col("lead.n")))
-    stars = cut(stars.select(F.col("sig").alias("a"), F.col("lead.sig").alias("b")).distinct())
-    first = _verified(docs, stars, distinct)
-    roots = cut(connected(first))
-    tagged = distinct.where("n > 0").join(roots, distinct["sig"] == roots["node"], "left").select("sig", "words", F.coalesce("root", "sig").alias("root"))
-    tagged = cut(tagged)
-    pairs = trie_candidates(tagged.select(F.posexplode("words").alias("word", "value"), "sig", "root"), bits, subtree)
+    near = distinct.where("n > 0")
     side = lambda c: distinct.select(F.col("sig").alias(c), F.col("words").alias(f"words_{c}"), F.col("n").alias(f"n_{c}"))
-    pairs = pairs.join(side("b"), "b").join(side("a"), "a").where(near_sizes(F.col("n_a"), F.col("n_b")))
     apart = F.aggregate(F.zip_with("words_a", "words_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    pairs = pairs.where(apart <= most_apart(bits * words)).select("a", "b")
-    second = _verified(docs, cut(pairs.join(stars, ["a", "b"], "left_anti")), distinct)
-    return connected(first.unionByName(second))
+    found = None
+    for forest in (True, False):
+        if found is None:
+            members = near.withColumn("root", F.col("sig"))
+        else:
+            roots = cut(connected(found))
+            members = cut(near.join(roots, near["sig"] == roots["node"], "left").withColumn("root", F.coalesce("root", "sig")).select("sig", "n", "words", "root"))
+        pairs = cut(trie_candidates(members, bits, subtree, forest))
+        release(docs.sparkSession)
+        pairs = pairs.join(side("b"), "b").join(side("a"), "a").where(near_sizes(F.col("n_a"), F.col("n_b")) & (apart <= most_apart(bits * words)))
+        ok = _verified(docs, cut(pairs.select("a", "b")), distinct)
+        release(docs.sparkSession)
+        found = ok if found is None else found.unionByName(ok)
+    return connected(found)
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """SimHash near-dedup: 64-bit fingerprints of word shingles, linked where few bits differ.
 
 The join is a self-join of a binary trie: node pairs are walked down together, the bits in which they
-differ add up, and a pair is dropped as soon as it is over the budget. The trie is cut into
+differ add up, and a pair is dropped as soon as it is over the budget; members are compared at leaves only. The trie is cut into
 subtrees that tasks can own: of ``budget + 1`` blocks of bits, two fingerprints within the budget
 share at least one whole, so each fingerprint goes, once per block, to the subtree below that
 block's value. Subtrees with too many members are cut again by blocks of the bits that are left.
@@ -13,7 +13,8 @@ come to the driver.
 
 Cases: a null text counts as empty; texts without words have fingerprint zero and link like any
 other; repeated rows are rows of their own in the same component; ``component_id`` is the smallest
-id of the component, null ids aside (null if it has no other).
+id of the component, null ids aside (null if it has no other); very long texts are read whole, in pieces of bounded size;
+an empty table gives an empty result; only doc_id and text are read, and what filters rows keeps extra columns whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ BITS = 64
 #: Members that a subtree may have before it is cut again.
 SUBTREE = 20_000
 #: Node pairs that are walked at a time.
-FRONTIER = 1 << 18
+FRONTIER = 1 << 16
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _BIT = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
 
@@ -85,72 +86,99 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+class Trie:
+    """Binary tries of sorted fingerprints, one per subtree, without nodes of one child; all of them in arrays.
+
+    Leaves come first, one per distinct fingerprint, then a node for each place at which two neighbouring leaves part. ``depth`` is the number of
+    bits that all below a node share, ``key`` a fingerprint below it, ``one`` the class of all members below it (-1 if they are of several).
+    """
+
+    def __init__(self, tree: np.ndarray, fp: np.ndarray, same: np.ndarray | None, bits: int):
+        first = np.concatenate(([True], (tree[1:] != tree[:-1]) | (fp[1:] != fp[:-1])))
+        self.begin = np.flatnonzero(first)
+        self.end = np.append(self.begin[1:], len(fp))
+        key, tree = fp[self.begin], tree[self.begin]
+        n = len(key)
+        part = np.full(n, -1)  # at which bit a leaf and the next one part; -1 between trees
+        if n > 1:
+            differ, width = key[1:] ^ key[:-1], np.zeros(n - 1, np.int64)
+            for step in (32, 16, 8, 4, 2, 1):  # how many bits the difference has
+                over = (differ >> width.astype(np.uint64)) >> np.uint64(step) != 0
+                width += step * over
+            part[:-1] = np.where(tree[1:] == tree[:-1], bits - 1 - width, -1)
+        size = 2 * n
+        self.bits, self.leaves = bits, n
+        self.depth, self.key = np.concatenate((np.full(n, bits), part)), np.concatenate((key, key))
+        self.left, self.right, self.one = np.zeros(size, np.int64), np.zeros(size, np.int64), np.full(size, -1)
+        if same is not None:
+            alike = np.minimum.reduceat(same, self.begin) == np.maximum.reduceat(same, self.begin)
+            self.one[:n] = np.where(alike, same[self.begin], -1)
+        top, start, stop = np.arange(n), np.arange(n), np.arange(n)  # of the block that begins, or ends, at a leaf
+        for d in range(bits - 1, -1, -1):  # blocks grow together from the deepest partings up
+            i = np.flatnonzero(part == d)
+            if not i.size:
+                continue
+            s, e = start[i], stop[i + 1]
+            self.left[n + i], self.right[n + i] = top[s], top[i + 1]
+            self.one[n + i] = np.where(self.one[top[s]] == self.one[top[i + 1]], self.one[top[s]], -1)
+            top[s], stop[s], start[e] = n + i, e, s
+        self.roots = top[np.flatnonzero(np.concatenate(([True], part[:-1] == -1)))]
+
+
 def trie_pairs(tree: np.ndarray, fp: np.ndarray, budget: int, same: np.ndarray | None = None, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of members of the same subtree whose fingerprints differ in at most ``budget`` of their ``bits`` low bits.
+    """Pairs of members of the same subtree whose fingerprints differ in at most ``budget`` of their ``bits`` low bits (there are no others).
 
-    ``tree`` has each member's subtree, ``fp`` its fingerprint; both sorted by (tree, fp), and then by ``same``. The trie is
-    implicit: a node at depth d is a run of members that share d bits. Two nodes go down together as (run, run, bits that differ
-    so far); their children are the pairs of halves, and a pair over the budget is dropped with all that is below it. At the
-    leaves, where both runs are one member, the bits that are left are counted. With ``same`` (a class per member) pairs
-    within a class are of no interest, and two nodes that lie in one class are dropped as well.
+    ``tree`` has each member's subtree, ``fp`` its fingerprint; both sorted by (tree, fp). Two nodes go down together, the one that parts
+    first by its children; the bits in which they differ as far as both are one add up, and a pair over the budget is dropped
+    with all that is below it. Members are compared at leaves only. With ``same`` (a class per member, not negative)
+    pairs within a class are of no interest, and two nodes of one class are dropped as well.
 
-    ``WALKED`` counts node pairs that were expanded, dropped by the budget, dropped by class, and compared at leaves.
+    ``WALKED`` counts node pairs that were expanded, dropped by the budget, dropped by class, and that were leaves.
     """
-    cuts = np.flatnonzero(np.concatenate(([True], tree[1:] != tree[:-1], [True])))
-    lo, hi = cuts[:-1], cuts[1:]
-    keep = hi - lo > 1
-    if same is not None:  # where the run of equal classes that each member is in ends
-        ends = np.flatnonzero(np.concatenate((same[1:] != same[:-1], [True]))) + 1
-        until = np.repeat(ends, np.diff(np.concatenate(([0], ends))))
-    stack = [(0, lo[keep], hi[keep], lo[keep], hi[keep], np.zeros(keep.sum(), np.int8))]
+    if not len(fp):
+        return
+    trie = Trie(tree, fp, same, bits)
+    stack = [(trie.roots, trie.roots)]
     while stack:
-        depth, la, ha, lb, hb, diff = stack.pop()
-        if la.size > FRONTIER:
-            half = la.size // 2
-            stack += [(depth, *(x[half:] for x in (la, ha, lb, hb, diff))), (depth, *(x[:half] for x in (la, ha, lb, hb, diff)))]
+        a, b = stack.pop()
+        if a.size > FRONTIER:
+            half = a.size // 2
+            stack += [(a[half:], b[half:]), (a[:half], b[:half])]
             continue
-        leaf = (ha - la == 1) & (hb - lb == 1)
+        shared = np.minimum(trie.depth[a], trie.depth[b])
+        differ = trie.key[a] ^ trie.key[b]
+        fine = np.bitwise_count(np.where(shared > 0, differ >> (bits - np.maximum(shared, 1)).astype(np.uint64), 0)) <= budget
+        WALKED["over_budget"] += int(a.size - fine.sum())
+        if same is not None:
+            one = fine & (trie.one[a] >= 0) & (trie.one[a] == trie.one[b])
+            WALKED["one_class"] += int(one.sum())
+            fine &= ~one
+        a, b, shared = a[fine], b[fine], shared[fine]
+        leaf = shared == bits
         if leaf.any():
-            a, b = la[leaf], lb[leaf]
-            WALKED["leaves"] += a.size
-            near = np.bitwise_count(fp[a] ^ fp[b]) <= budget
-            if same is not None:
-                near &= same[a] != same[b]
-            if near.any():
-                yield a[near], b[near]
-        la, ha, lb, hb, diff = (x[~leaf] for x in (la, ha, lb, hb, diff))
-        if not la.size:
-            continue
-        if depth == bits:  # runs of equal fingerprints
-            yield from _across(la, ha, lb, hb, same)
+            x, y = a[leaf], b[leaf]
+            WALKED["leaves"] += int((x != y).sum())
+            yield from _members(trie, x, y, same)
+            a, b = a[~leaf], b[~leaf]
+        if not a.size:
             continue
-        WALKED["expanded"] += la.size
-        ma, mb = _middle(fp, la, ha, bits - 1 - depth), _middle(fp, lb, hb, bits - 1 - depth)
-        twin = la == lb  # a node with itself: its cross pair counts once
-        kids = ((la, ma, lb, mb, diff, None), (ma, ha, mb, hb, diff, None), (la, ma, mb, hb, diff + 1, None), (ma, ha, lb, mb, diff + 1, ~twin))
-        parts = []
-        for a0, a1, b0, b1, d, once in kids:
-            ok = (a1 > a0) & (b1 > b0) & ((a0 != b0) | (a1 - a0 > 1))
-            if once is not None:
-                ok &= once
-            over = ok & (d > budget)
-            WALKED["over_budget"] += int(over.sum())
-            ok &= ~over
-            if same is not None:
-                one = ok & (same[a0 % fp.size] == same[b0 % fp.size]) & (until[a0 % fp.size] >= a1) & (until[b0 % fp.size] >= b1)
-                WALKED["one_class"] += int(one.sum())
-                ok &= ~one
-            parts.append([x[ok] for x in (a0, a1, b0, b1, d)])
-        merged = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        if merged[0].size:
-            stack.append((depth + 1, *merged))
-
-
-def _across(la: np.ndarray, ha: np.ndarray, lb: np.ndarray, hb: np.ndarray, same: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Member pairs of runs of equal fingerprints, those of a class aside: one member of the first run against the second at a time."""
-    for a0, a1, b0, b1 in zip(la.tolist(), ha.tolist(), lb.tolist(), hb.tolist(), strict=True):
-        for a in range(a0, a1):
-            b = np.arange(max(b0, a + 1) if a0 == b0 else b0, b1)
+        WALKED["expanded"] += a.size
+        twin, first = a == b, trie.depth[a] <= trie.depth[b]
+        t, x, y = a[twin], ~twin & first, ~twin & ~first
+        la, ra, lb, rb = trie.left[a[x]], trie.right[a[x]], trie.left[b[y]], trie.right[b[y]]
+        lt, rt = trie.left[t], trie.right[t]
+        stack.append((np.concatenate((lt, rt, lt, la, ra, a[y], a[y])), np.concatenate((lt, rt, rt, b[x], b[x], lb, rb))))
+
+
+def _members(trie: Trie, x: np.ndarray, y: np.ndarray, same: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Member pairs of pairs of leaves: of a leaf with itself each once, those of one class never."""
+    single = (trie.end[x] - trie.begin[x] == 1) & (trie.end[y] - trie.begin[y] == 1)
+    a, b = trie.begin[x[single & (x != y)]], trie.begin[y[single & (x != y)]]
+    if a.size:
+        yield a, b
+    for u, v in zip(x[~single].tolist(), y[~single].tolist(), strict=True):
+        for a in range(trie.begin[u], trie.end[u]):  # equal fingerprints of several members
+            b = np.arange(a + 1 if u == v else trie.begin[v], trie.end[v])
             if same is not None:
                 b = b[same[b] != same[a]]
             if b.size:
@@ -178,18 +206,6 @@ def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return to[root]
 
 
-def _middle(fp: np.ndarray, lo: np.ndarray, hi: np.ndarray, place: int) -> np.ndarray:
-    """Where the bit of a place (0: the lowest) turns from 0 to 1 in each run: a binary search in all runs at once."""
-    bit = np.uint64(1 << place)
-    lo, hi = lo.copy(), hi.copy()
-    while (open_ := lo < hi).any():
-        mid = (lo + hi) // 2
-        one = open_ & ((fp[np.minimum(mid, fp.size - 1)] & bit) != 0)
-        hi = np.where(one, mid, hi)
-        lo = np.where(open_ & ~one, mid + 1, lo)
-    return lo
-
-
 def _blocks(bits: int, parts: int) -> list[tuple[int, int]]:
     """(offset, width) of nearly equal blocks."""
     edge = [bits * i // parts for i in range(parts + 1)]

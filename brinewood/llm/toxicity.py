@@ -23,7 +23,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -48,26 +47,28 @@ RIDGE, STEPS = 3e-6, 20
 BEGINNINGS = range(3, 8)
 _BREAK = re.compile(r"[\W_]+")
 #: Words whose features a worker keeps.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 50_000
 
 
 def words_of(text: str) -> list[str]:
     return [w for w in _BREAK.split(text.lower()) if w]
 
 
-def features_of(word: str) -> list[int]:
-    """Hashes of a word and of its beginnings of 3 to 7 letters."""
-    return [crc32(b"w" + word.encode()), *(crc32(b"b" + word[:k].encode()) for k in BEGINNINGS if len(word) >= k)]
+def features_of(word: str) -> list[str]:
+    """A word's beginnings of 3 to 7 letters, and the word itself, which a blank at its end tells from a beginning."""
+    return [*(word[:k] for k in BEGINNINGS if len(word) >= k), f"{word} "]
 
 
 class Marks:
-    """Which of some features a text has: places in the sorted ``keys``, doubled, and one more where it is frequent.
+    """Which of some features a text has: places in ``keys``, doubled, and one more where it is frequent.
 
-    What stands between blanks is looked up as a whole: how many words it has, and their features.
+    What stands between blanks is looked up as a whole: how many words it has, and their features. ``nested``: with a feature of
+    a word, ``keys`` have all shorter beginnings of it, so a word's search ends at the first one that isn't there.
     """
 
-    def __init__(self, keys: np.ndarray):
-        self.place = {int(k): i for i, k in enumerate(keys)}
+    def __init__(self, keys: list[str], nested: bool = False):
+        self.keys, self.nested = keys, nested
+        self.place = {k: i for i, k in enumerate(keys)}
         self._known: dict[str, tuple[int, tuple[int, ...]]] = {}
 
     def __getstate__(self):
@@ -76,8 +77,14 @@ class Marks:
     def _look(self, piece: str) -> tuple[int, tuple[int, ...]]:
         if len(self._known) > KEPT_WORDS:
             self._known.clear()
-        words, place = words_of(piece), self.place
-        own = self._known[piece] = len(words), tuple(place[k] for w in words for k in features_of(w) if k in place)
+        words, place, out = [piece] if piece.isalnum() else words_of(piece), self.place, []
+        for w in words:
+            for k in features_of(w):
+                if k in place:
+                    out.append(place[k])
+                elif self.nested:
+                    break
+        own = self._known[piece] = len(words), tuple(out)
         return own
 
     def present(self, text: str) -> set[int]:
@@ -102,7 +109,7 @@ class Marks:
 class Linear:
     """Bias and the weights of marks."""
 
-    def __init__(self, bias: float, keys: np.ndarray, weights: np.ndarray):
+    def __init__(self, bias: float, keys: list[str], weights: np.ndarray):
         self.bias, self.weights, self.marks = bias, weights, Marks(keys)
 
     def score(self, text: str) -> float:
@@ -195,7 +202,8 @@ def _counted(rows: DataFrame, marks: Marks) -> np.ndarray:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(marks.place), np.int64)
         for b in batches:
-            total += np.bincount([i for t in b.column("text") for i in marks.present(t.as_py())], minlength=total.size).astype(np.int64)
+            for t in b.column("text"):
+                total[list(marks.present(t.as_py()))] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
@@ -214,10 +222,10 @@ def _positive_features(toxic: DataFrame) -> DataFrame:
             for t in b.column("text"):
                 words = set(words_of(t.as_py()))
                 sign.append(xxhash.xxh64_intdigest(" ".join(sorted(words)).encode()) - 2**63)
-                keys.append(np.unique(np.array([k for w in words for k in features_of(w)], np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(sign, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["words", "keys"])
+                keys.append(sorted({k for w in words for k in features_of(w)}))
+            yield pa.RecordBatch.from_arrays([pa.array(sign, pa.int64()), pa.array(keys, pa.list_(pa.string()))], ["words", "keys"])
 
-    rows = toxic.select(F.col("text").cast("string").alias("text")).mapInArrow(of, "words long, keys array<long>")
+    rows = toxic.select(F.col("text").cast("string").alias("text")).mapInArrow(of, "words long, keys array<string>")
     return cut(rows.groupBy("words").agg(F.first("keys").alias("keys")))
 
 
@@ -260,20 +268,21 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positi
         prior = min(0.9, max(0.005, share or 0.0))
     toxic = _positive_features(training_rows(docs, labels.where("toxic = 1"), "toxic", fold, positives))
     n_p = toxic.count()
-    none = np.zeros(0, np.int64)
     if not n_p:
-        return Linear(-700.0, none, np.zeros(0)), _with_marks(rows, Marks(none))
+        return Linear(-700.0, [], np.zeros(0)), _with_marks(rows, Marks([]))
     n_u = float(docs.where(fold).count())
     often = toxic.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_POSITIVES).toArrow()
-    keys, in_p = often.column("key").to_numpy(), often.column("n").to_numpy()
+    keys, in_p = np.array(often.column("key").to_pylist(), object), often.column("n").to_numpy()
+    # The ratio without unlabelled texts grows with in_p, and a beginning is in no fewer positives than what goes on from it: candidates are nested.
     could = np.flatnonzero(_ratio(in_p, n_p, np.zeros(len(keys)), n_u) >= LEAST_RATIO + RATIO_EACH * n_p)
     could = could[np.argsort(keys[could])]
     keys, in_p = keys[could], in_p[could]
-    chosen = keys[_ratio(in_p, n_p, _counted(rows.where(~F.col("held_out")), Marks(keys)), n_u) >= LEAST_RATIO + RATIO_EACH * n_p]
+    in_u = _counted(rows.where(~F.col("held_out")), Marks(keys.tolist(), nested=True))
+    chosen = keys[_ratio(in_p, n_p, in_u, n_u) >= LEAST_RATIO + RATIO_EACH * n_p].tolist()
     model = Marks(chosen)
     marked = cut(_with_marks(rows, model))
     if not len(chosen):
-        return Linear(float(np.log(prior / (1 - prior))), none, np.zeros(0)), marked
+        return Linear(float(np.log(prior / (1 - prior))), [], np.zeros(0)), marked
     patterns = cut(marked.where(~F.col("held_out")).groupBy("marks").agg(F.count(F.lit(1)).alias("n")))
     texts = training_rows(docs, labels.where("toxic = 1"), "toxic", fold, positives).select("doc_id", F.col("text").cast("string").alias("text"))
     p = _with_marks(texts, model).groupBy("doc_id", "marks").count().select("marks").toArrow().column("marks")  # at most ``positives`` rows

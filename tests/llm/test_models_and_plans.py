@@ -100,11 +100,11 @@ def test_lbfgs_finds_the_minimum():
 
 
 def test_marks_of_a_text():
-    keys = np.sort(np.array(sorted({k for w in ("idiot", "idle") for k in toxicity.features_of(w)})))
+    keys = sorted({k for w in ("idiot", "idle") for k in toxicity.features_of(w)})
     marks = toxicity.Marks(keys)
-    names = {i: k for k, i in marks.place.items()}
     got = marks.of("Idiot, idiot " + "x " * 120)
-    assert {names[i // 2] for i in got} == set(toxicity.features_of("idiot")) and all(i % 2 == 0 for i in got)
+    assert {keys[i // 2] for i in got} == set(toxicity.features_of("idiot")) and all(i % 2 == 0 for i in got)
+    assert toxicity.Marks(keys, nested=True).present("an idiot's (idle) x_idiom") == {i for i, k in enumerate(keys)}
     assert {i % 2 for i in marks.of("idiot y")} == {0, 1} and marks.of("") == []
 
 
@@ -246,3 +246,49 @@ def test_pipeline_keeps_clean_documents_and_columns(spark, tmp_path):
     last = p.STAGES[-1][1](spark, docs, SF)
     assert last.columns == [*first, "law", "shard", "slot"] and last.count() == n[-1]
     assert n[1] >= 0.7 * n[0] and n[2] <= n[1] and n[3] <= n[2]
+
+
+def test_operators_take_long_texts_repeated_rows_and_clashing_names(spark):
+    docs, labels, _ = _labelled(spark, 60)
+    more = spark.createDataFrame([(900, "word, " * 60_000, "x"), (901, "same", "x"), (901, "same", "x"), (902, "\n" * 50_000, "x")], "doc_id long, text string, score string")
+    odd = docs.unionByName(more).withColumns({"label": F.lit(1), "predicted": F.lit("x"), "size": F.lit(0), "hash": F.lit(0), "component_id": F.lit(0), "marks": F.lit(0)})
+    n = odd.count()
+    for f in (quality.quality_scores, toxicity.toxicity_scores):
+        got = f(odd, labels).collect()
+        assert len(got) == n and len({r.score for r in got if r.doc_id == 901}) == 1
+    kept = toxicity.drop_toxic(odd, labels)
+    assert kept.columns == odd.columns and kept.where("doc_id >= 900").count() == 4
+    placed = sharding.shards(odd).collect()
+    assert len(placed) == n and {r["size"] for r in placed if r.doc_id == 900} == {360_001} and len({(r.shard, r.slot) for r in placed}) == n
+
+
+def test_shards_are_those_of_a_tree_built_by_hand(spark):
+    """Every split separates what lies below a weighted median along the widest dimension, as near as whole groups of texts allow."""
+    rng = np.random.default_rng(6)
+    data = [(i, "x" * int(rng.integers(1, 400)) + "\n" * int(rng.integers(0, 9)) + str(i % 90)) for i in range(400)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    rows = sharding.metadata(docs)
+    local = [r.asDict() for r in rows.collect()]
+    whole = {d: max(1, max(r[f"d_{d}"] for r in local) - min(r[f"d_{d}"] for r in local)) for d in sharding.DIMS}
+
+    def key(r, d):
+        return (r[f"d_{d}"] << sharding.TIE_BITS) + ((r["hash"] % 2**64) >> (64 - sharding.TIE_BITS))
+
+    def leaves(members, n):
+        if n == 1:
+            return [members]
+        wide = {d: (max(r[f"d_{d}"] for r in members) - min(r[f"d_{d}"] for r in members)) / whole[d] for d in sharding.DIMS}
+        d = max(sharding.DIMS, key=lambda x: (wide[x], -sharding.DIMS.index(x)))
+        want, total, best = n // 2 / n * sum(r["size"] for r in members), 0, None
+        for k in sorted({key(r, d) for r in members}):
+            total += sum(r["size"] for r in members if key(r, d) == k)
+            if best is None or abs(total - want) < best[0]:
+                best = (abs(total - want), k)
+        left, right = [r for r in members if key(r, d) <= best[1]], [r for r in members if key(r, d) > best[1]]
+        return leaves(left, n // 2) + leaves(right, n - n // 2)
+
+    want = sorted(sum(r["size"] for r in x) for x in leaves(local, 8))
+    got = {}
+    for r in sharding.shards(docs).collect():
+        got[r.shard] = got.get(r.shard, 0) + r["size"]
+    assert max(abs(a - b) for a, b in zip(sorted(got.values()), want, strict=True)) <= 0.01 * sum(want)

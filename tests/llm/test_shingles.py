@@ -50,7 +50,7 @@ def test_stage_equals_brute_force(spark):
 def test_links_of_any_subtrees_are_whole(spark, subtree, monkeypatch):
     """With one short word for all sets, subtrees are hot, or cut as far as that goes; the links are those of brute force."""
     monkeypatch.setattr(shingles, "plan", lambda rows: (5, 2))
-    monkeypatch.setattr(shingles, "most_apart", lambda bits: bits)
+    monkeypatch.setattr(shingles, "most_apart", lambda bits, spreads=6.0: bits)
     monkeypatch.setattr(shingles, "words_of_bits", lambda values, bits, words: np.array([values.size % 3, 0], np.uint64))
     monkeypatch.setattr(simhash, "SUBTREE", subtree)
     texts = planted(4)[:34]
@@ -73,7 +73,7 @@ def signature(t):
 
 def test_bits_are_counted_and_packed():
     values = np.random.default_rng(1).integers(0, 2**64, 100, dtype=np.uint64)
-    for bits, words in ((32, 5), (40, 3), (60, 2)):
+    for bits, words in ((32, 5), (40, 3), (52, 2)):
         got = shingles.words_of_bits(values, bits, words)
         per = 64 // bits
         for k in range(words):
