@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brinewood.functions.text import plausible_year
+from brinewood.functions.text import clean_edges, fold, n_letters, plausible_year
 
 #: Marks that make a form one kind or the other, and first lines that a dateline may be in.
 FIRST_KIND_MARKS, SECOND_KIND_MARKS = 3, 2
@@ -100,3 +100,50 @@ def beside_fragments(labels: DataFrame, fragments: DataFrame, key: list[str], ov
     shared = F.least("ly1", "y1") - F.greatest("ly0", "y0")
     fits = (shared >= F.lit(overlap) * (F.col("ly1") - F.col("ly0"))) & (F.col("x0") >= F.col("lx1") - F.lit(slack) * (F.col("lx1") - F.col("lx0")))
     return both.where(fits).groupBy(*key, "label").agg(F.min_by("text", F.struct("x0", "text")).alias("value"))
+
+
+def value_above(lines: DataFrame, key: list[str], label: str, is_label: Column, skip: Column | None = None) -> DataFrame:
+    """key and the nearest line above the first line with the label that has a value: not empty, no label itself, not what ``skip`` says."""
+    value = clean_edges(F.trim("line"))
+    told = F.lit(False) if skip is None else F.coalesce(value == skip, F.lit(False))
+    first = lines.where(F.col("line").rlike(label)).groupBy(*key).agg(F.min("pos").alias("_at"))
+    above = lines.withColumn("_value", value).withColumn("_other", is_label | told).join(first, key).where("pos < _at and not _other and _value <> ''")
+    return above.groupBy(*key).agg(F.max_by("_value", "pos").alias("value"))
+
+
+#: What opens and closes a quotation.
+QUOTES_OPEN, QUOTES_CLOSE = "\"'“”«‘’„", "\"'“”»‘’"
+
+
+def quoted_line(lines: DataFrame, key: list[str], refused: tuple[str, ...] = ()) -> DataFrame:
+    """key, value: the first line that is nothing but a quoted name, its closing quotation mark there or not; folded names in ``refused`` aside."""
+    t = F.trim("line")
+    inner = clean_edges(F.trim(F.translate(t, QUOTES_OPEN + QUOTES_CLOSE, "")))
+    opens = F.lit(QUOTES_OPEN).contains(F.substring(t, 1, 1)) & (t != "")
+    within = F.substring(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0)))
+    plain = within == F.translate(within, QUOTES_OPEN + QUOTES_CLOSE, "")  # no mark but at the ends
+    hit = lines.where(opens & plain & (n_letters(inner) >= 2)).withColumn("_value", inner)
+    hit = hit.where(~fold(F.col("_value"), "lower").isin(*refused)) if refused else hit
+    return hit.groupBy(*key).agg(F.min_by("_value", "pos").alias("value"))
+
+
+def entered_date(lines: DataFrame, key: list[str], entered: str, months: dict[str, int], joiner: str = "de", least: int = 1880, most: int = 1935) -> DataFrame:
+    """key, raw, day, month, year, arrival: a date behind the words for entering, on one line or run on to the next.
+
+    The parts are read one by one and fail one by one: a month that isn't a name, a day that isn't a number, a year of other than four digits,
+    which may stand apart, or out of range. arrival is a date only if all are certain; raw is what stands there.
+    """
+    w = Window.partitionBy(*key).orderBy("pos")
+    near = F.concat_ws(" ", "line", F.lead("line").over(w))
+    pattern = rf"(?i){entered}\s+((\S+)\s+{joiner}\s+(\S+)\s+{joiner}\s+(\d(?:\s*\d)*))"
+    group = lambda i: F.regexp_extract("_near", pattern, i)
+    hit = lines.withColumn("_near", near).where(F.col("_near").rlike(pattern))
+    table = F.create_map(*[F.lit(x) for kv in months.items() for x in kv])
+    digits = F.regexp_replace(group(4), r"\s+", "")
+    parts = F.struct(
+        clean_edges(group(1)).alias("raw"), F.when(group(2).rlike(r"^\d{1,2}$"), group(2)).cast("int").alias("day"), F.try_element_at(table, fold(group(3), "lower")).alias("month"),
+        plausible_year(F.when(F.length(digits) == 4, digits).cast("int"), least, most).alias("year"),
+    )
+    best = hit.groupBy(*key).agg(F.min_by(parts, "pos").alias("_d")).select(*key, "_d.*")
+    whole = F.col("day").between(1, 31) & F.col("month").isNotNull() & F.col("year").isNotNull()
+    return best.withColumn("arrival", F.when(whole, F.format_string("%04d-%02d-%02d", "year", "month", "day")))

@@ -299,3 +299,37 @@ def line_groups(lineitem: DataFrame) -> DataFrame:
     """Boxes of a page in lines: a box joins the first line whose last box it overlaps by half."""
     y = F.col("l_quantity")
     return layout.group_lines(lineitem.select("l_orderkey", "l_linenumber", (F.col("l_linenumber") * 10.0).alias("x0"), y.alias("y0"), (y + 6).alias("y1")), ["l_orderkey"]).select("l_orderkey", "l_linenumber", "line_no")
+
+
+# --- fields of forms ---------------------------------------------------------------------------------------------------------
+
+
+@query("orders", sql="SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Ship ' || o_custkey WHEN o_orderkey % 3 = 1 THEN 'Ship ' || o_custkey ELSE 'Clerk' END AS value FROM orders")
+def value_above_label(orders: DataFrame) -> DataFrame:
+    """The ship above its label, past other labels, blank lines, and a nationality that has been read already."""
+    ship = F.concat(F.lit("Ship "), F.col("o_custkey").cast("string"))
+    form = F.when(F.col("o_orderkey") % 3 == 0, F.concat(ship, F.lit("\nregistro:\n\nvapor"))).when(F.col("o_orderkey") % 3 == 1, F.concat(ship, F.lit("\ninglez\nvapor"))).otherwise(F.lit("Clerk\nvapor\nafter"))
+    lines = extract.lines_of(orders.select("o_orderkey", form.alias("text")), ["o_orderkey"])
+    return extract.value_above(lines, ["o_orderkey"], "^vapor", F.col("line").rlike("registro|vapor"), F.lit("inglez"))
+
+
+@query("part", sql="SELECT p_partkey, p_name AS value FROM part WHERE p_size % 3 <> 2")
+def quoted_alone(part: DataFrame) -> DataFrame:
+    """The first line that is a quoted name and no month, closed or not."""
+    name = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit('"'), "p_name", F.lit('"'))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("“"), "p_name")).otherwise(F.concat("p_name", F.lit(' "x" y')))
+    lines = extract.lines_of(part.select("p_partkey", F.concat(F.lit('plain line\n"Maio"\n'), name).alias("text")), ["p_partkey"])
+    return extract.quoted_line(lines, ["p_partkey"], ("maio",))
+
+
+@query("orders", sql="SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN NULL ELSE CAST(day(o_orderdate) AS INTEGER) END AS day, CASE WHEN o_orderkey % 4 = 2 THEN NULL ELSE CAST(month(o_orderdate) AS INTEGER) END AS month, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE CAST(year(o_orderdate) - 70 AS INTEGER) END AS year, CASE WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate - INTERVAL 70 YEAR, '%Y') || strftime(o_orderdate, '-%m-%d') END AS arrival FROM orders")
+def entered_date(orders: DataFrame) -> DataFrame:
+    """Dates of entering that run on to the next line; the parts that can't be read are null, and then there is no date."""
+    k = F.col("o_orderkey") % 4
+    day = F.when(k == 1, F.lit("I7")).otherwise(F.dayofmonth("o_orderdate").cast("string"))
+    month = F.when(k == 2, F.lit("xxx")).otherwise(F.date_format("o_orderdate", "MMMM"))
+    year = (F.year("o_orderdate") - 70).cast("string")
+    year = F.when(k == 3, F.substring(year, 1, 3)).otherwise(F.concat(F.substring(year, 1, 2), F.lit(" "), F.substring(year, 3, 2)))
+    text = F.concat(F.lit("Modelo\nfoi entrado em "), day, F.lit(" de "), month, F.lit(" de\n"), year)
+    months = {m: i + 1 for i, m in enumerate("january february march april may june july august september october november december".split())}
+    got = extract.entered_date(extract.lines_of(orders.select("o_orderkey", text.alias("text")), ["o_orderkey"]), ["o_orderkey"], "entrado em", months)
+    return got.select("o_orderkey", "day", "month", "year", "arrival")
