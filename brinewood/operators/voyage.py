@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinewood.functions import text as t
-from brinewood.functions.lexical import FORM_FLOOR, flag_words, near_any, strip_leading_marks
+from brinewood.functions.lexical import FORM_FLOOR, flag_words, near_any, split_leading, strip_leading_marks
 from brinewood.operators import extract
 
 #: Fixed values.
@@ -57,10 +57,12 @@ def parse_pages(pages: DataFrame, lex: Lexicon, key: tuple[str, ...] = ("doc", "
         form = flag_words(judged, k, "ship", near_any(lex.form_words, FORM_FLOOR), "n_form", 3)
         ship = ship.join(form, k, "left").withColumn("ship", F.when(F.coalesce("n_form", F.lit(0)) == 0, F.col("ship"))).drop("n_words", "n_form")
     if lex.flags:
-        nation = F.lower(F.regexp_extract("ship", r"^(\S+)\s+\S", 1))
-        first = ship.select(nation.alias("_w")).where("_w <> ''").distinct().withColumn("_flag", near_any(lex.flags, FORM_FLOOR, 4)(F.col("_w")))
-        ship = ship.withColumn("_w", nation).join(first, "_w", "left")
-        ship = ship.withColumn("flag", F.when(F.col("_flag"), F.col("_w"))).withColumn("ship", F.when(F.col("_flag"), F.regexp_replace("ship", r"^\S+\s+", "")).otherwise(F.col("ship"))).drop("_w", "_flag")
+        each = ship.where(F.col("ship").isNotNull()).select(*k, F.posexplode(F.split("ship", " ")).alias("_i", "_w")).withColumn("_f", t.fold(F.col("_w"), "lower", letters_only=True))
+        known = each.select("_f").distinct().withColumn("_flag", near_any(lex.flags, FORM_FLOOR, 4)(F.col("_f")))
+        told = each.join(known, "_f").groupBy(*k).agg(F.sort_array(F.collect_list(F.struct("_i", "_w", "_flag"))).alias("_words"))
+        rest, flag = split_leading(F.transform("_words", lambda x: x["_w"]), F.transform("_words", lambda x: x["_flag"]))
+        ship = ship.join(told.select(*k, rest.alias("_rest"), F.lower(flag).alias("_said")), k, "left")  # a nationality alone is no ship's
+        ship = ship.withColumn("flag", F.when(F.col("_rest").isNotNull(), F.col("_said"))).withColumn("ship", F.coalesce("_rest", "ship")).drop("_rest", "_said")
     else:
         ship = ship.withColumn("flag", F.lit(None).cast("string"))
     long_word = F.exists(F.split("ship", " "), lambda x: F.length(x) >= LEAST_SHIP_WORD)
@@ -70,10 +72,11 @@ def parse_pages(pages: DataFrame, lex: Lexicon, key: tuple[str, ...] = ("doc", "
     named = F.col("line").contains(",") & place.rlike(lex.place) & F.length(place).between(*lex.place_chars)
     port = extract.first_line(lines, k, named & ~is_label, PORT_LINES)
     port = port.select(*k, place.alias("port"))
-    refused = F.lit(False)
-    for x in lex.not_head:
-        refused = refused | F.contains(folded, F.lit(x))
-    head = extract.first_line(lines, k, t.plausible_value(F.col("line")).isNotNull() & ~is_label & ~F.col("line").rlike(r"\d{4,}|,") & ~refused, HEAD_LINES)
+    heads_ = lines.where((F.col("pos") < HEAD_LINES) & t.plausible_value(F.col("line")).isNotNull() & ~is_label & ~F.col("line").rlike(r"\d{4,}|,"))
+    if lex.not_head:  # words that are like ones no company's name has
+        bad = flag_words(heads_, [*k, "pos"], "line", near_any(lex.not_head, FORM_FLOOR, 4), "_bad").where("_bad > 0").select(*k, "pos")
+        heads_ = heads_.join(bad, [*k, "pos"], "left_anti")
+    head = extract.first_line(heads_, k, F.lit(True))
     head = head.select(*k, F.col("line").alias("line"))
     dates = extract.dateline(lines, k, dict(lex.months)).select(*k, "arrival", "month", F.col("year").alias("_printed"))
     stamp = lines.select(*k, "pos", t.stamp_year(F.col("line")).alias("_s")).where("_s is not null").groupBy(*k).agg(F.min_by("_s", "pos").alias("_stamp"))

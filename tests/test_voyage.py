@@ -31,6 +31,16 @@ def test_pages_and_documents(spark):
     assert again.count() == 0
 
 
+def test_leading_nationalities_and_misread_words_of_the_head(spark):
+    pages = [
+        ("a", 1, "Polizia do porto\nLloyd Sabaudo\nLista de entrada\n90 toneladas\nvapor inglez francez Conte Verde"), ("b", 1, "Lista de entrada\n90 toneladas\nvapor inglez"),
+        ("c", 1, "Lista de entrada\n90 toneladas\nvapor Re Vittorio inglez"),
+    ]
+    got = {r.doc: r for r in voyage.parse_pages(spark.createDataFrame(pages, "doc string, page int, text string"), LEX).collect()}
+    assert (got["a"].ship, got["a"].flag, got["a"].line) == ("Conte Verde", "inglez francez", "Lloyd Sabaudo")
+    assert got["b"].flag is None and (got["c"].ship, got["c"].flag) == ("Re Vittorio inglez", None)
+
+
 def test_headings(spark):
     rows = [(1, "Nomes e Cognomes"), (2, "Nomes e Cognome"), (3, "registro consignada"), (4, "registro"), (5, "registra"), (6, "Gomes"), (7, "Total34"), (8, None), (9, "Silva Ana")]
     got = lexical.headings(spark.createDataFrame(rows, "k int, text string"), ["k"], "text", ("NOMES E COGNOMES", "NOMES"), ("registro", "consignado", "total"))
