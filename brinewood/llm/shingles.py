@@ -6,9 +6,10 @@ seventh of their bits, and no budget that finds those prunes a trie. So a set ge
 takes that they miss each other in all of them with a chance of at most ``MISS``. Words are as long as the table is
 large (``plan``), so that sets that aren't similar meet a few times each, however many there are.
 
-* The words' tries are walked with the budget, and each subtree gives a forest of its pairs: a group of near copies costs its
-  members and not its pairs. These pairs are held against all bits, then verified on the whole sets.
-* The tries are walked again, each set with the component that it has by then: node pairs within one component are
+* The tries of the first words are walked with the budget, and each subtree gives a forest of its pairs: a group of near copies costs
+  its members and not its pairs, and hardly any group stays in pieces. These pairs are held against all bits, then
+  verified on the whole sets.
+* The tries of all words are walked, each set with the component that it has by then: node pairs within one component are
   dropped, and all pairs that are left, between components, are verified likewise.
 
 Verification is exact, so what is linked is similar; ``MISS`` is all that is left to chance.
@@ -168,15 +169,20 @@ SIZE_STEP, SIZE_AT = 1.05, 52
 SIZES_APART = ceil(log(FLOOR[1] / FLOOR[0]) / log(SIZE_STEP))
 
 
+#: Words whose tries are walked for a forest before all are walked for pairs.
+FIRST_WORDS = 3
+
+
 def trie_candidates(members: DataFrame, bits: int, subtree: int, forest: bool) -> DataFrame:
     """Pairs (a, b) of ``members`` (sig, n, words, root) of different roots and near sizes with a word within the budget.
 
-    ``forest``: of the pairs in a subtree only as many as join the classes that all of them would, so a group costs its members.
+    ``forest``: by the first words alone, and of the pairs in a subtree only as many as join the classes that all of them would.
     A member of a word's trie carries its set's size and the low halves of the next two words: pairs that met by chance go where they
     are found, and few ever leave the walk.
     """
     size = F.floor(F.log("n") / log(SIZE_STEP)).cast("long")
-    rows = members.select(F.posexplode("words").alias("word", "value"), "words", "sig", "n", "root")
+    asked = F.slice("words", 1, FIRST_WORDS) if forest else F.col("words")
+    rows = members.select(F.posexplode(asked).alias("word", "value"), "words", "sig", "n", "root")
     other = lambda k: F.element_at("words", (F.col("word") + k) % F.size("words") + 1).bitwiseAND(F.lit((1 << 32) - 1))
     check = F.shiftleft(other(1), 32).bitwiseOR(other(2))
     packed = F.shiftleft(size, SIZE_AT).bitwiseOR(F.col("value"))

@@ -47,7 +47,7 @@ RIDGE, STEPS = 3e-6, 20
 BEGINNINGS = range(3, 8)
 _BREAK = re.compile(r"[\W_]+")
 #: Words whose features a worker keeps.
-KEPT_WORDS = 50_000
+KEPT_WORDS = 120_000
 
 
 def words_of(text: str) -> list[str]:
