@@ -12,7 +12,7 @@ has tokenised them: nothing is shuffled, memory is a bucket and a document, and
 and partition decide. Ids are in the result, as little-endian unsigned 32-bit numbers, and ``sequences`` joins them.
 
 Words are split at blanks and line ends and looked up before the tokenizer is asked: white space is dropped by it, and no rule
-of it goes across. Strings of special tokens in a text are ordinary text.
+of it goes across. What a worker has read it keeps, up to ``KEPT_WORDS`` words. Strings of special tokens in a text are ordinary text.
 
 Cases: a null text is the empty one, which has the end id alone; repeated rows are documents of their own; a null
 doc_id stays null; texts of any length are whole; an empty table gives an empty result; only doc_id and text are read, so extra
@@ -24,6 +24,7 @@ from __future__ import annotations
 import heapq
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -38,13 +39,23 @@ END_ID = 1
 #: Tokens that are packed together, and tokens of a step group.
 BUCKET_TOKENS, STEP_TOKENS = 1 << 21, 1 << 18
 #: Words whose ids a task keeps, the longest of them, and bytes of text that are split at a time.
-KEPT_WORDS, KEPT_LENGTH, SPLIT_CHARS = 400_000, 48, 1 << 20
+KEPT_WORDS, KEPT_LENGTH, SPLIT_CHARS = 1_000_000, 48, 1 << 20
+#: Signs that end words.
+SIGNS = ",.;:!?"
 
 Piece = tuple[int, int, int]  # document, start, length
 
 
+def core_of(word: str) -> tuple[str, str]:
+    """A word as its core and the signs behind it, which the tokenizer reads apart; an ASCII core in small letters, as the tokenizer reads it."""
+    core = word.rstrip(SIGNS)
+    if not core or not core[-1].isalnum():
+        core = word
+    return core.lower() if core.isascii() else core, word[len(core) :]
+
+
 class Reader:
-    """Ids of texts; words seen before aren't tokenised again."""
+    """Ids of texts; words, and the cores of words, that were seen before aren't tokenised again."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -53,18 +64,27 @@ class Reader:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {"": b""}
 
+    def _encode(self, words: list[str]) -> None:
+        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        self.known.update(zip(words, (array("I", x.ids).tobytes() for x in encoded), strict=True))
+
     def _part(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
+        if new := set(words).difference(self.known):
+            if len(self.known) + len(new) > KEPT_WORDS:
+                self.known = {"": b""}
+                new = set(words).difference(self.known)
+            cores = {w: core_of(w) for w in new}
+            needed = {part for pair in cores.values() for part in pair}
+            self._encode(list(needed.difference(self.known)))
+            known = self.known
+            known.update([(w, known[core] + known[tail]) for w, (core, tail) in cores.items()])
         known = self.known
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) + len(new) > KEPT_WORDS:
-                known = self.known = {"": b""}
-                new = list(set(words) - {""})
-            known.update(zip(new, (array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
         out = b"".join(map(known.__getitem__, words))
         for w in new:
             if len(w) > KEPT_LENGTH:
-                del known[w]
+                for part in {w, *cores[w]} - {""}:
+                    known.pop(part, None)
         return out
 
     def ids(self, text: str) -> bytes:
@@ -80,6 +100,12 @@ class Reader:
         return b"".join(parts)
 
 
+@cache
+def reader(path: str) -> Reader:
+    """The reader of a worker, which its tasks share: what one has read the next one knows."""
+    return Reader(path)
+
+
 def windows(sizes: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[Piece]]:
     """Sequences of pieces that hold documents of these sizes; each fills a power of two exactly."""
     longest = tiers[-1]
@@ -173,14 +199,14 @@ def packer(path: str, tiers: tuple[int, ...], bucket_tokens: int) -> Callable[[I
     """The function of a task: batches of (doc_id, text) to batches of pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, end = Reader(path), array("I", [END_ID]).tobytes()
+        ids, end = reader(path).ids, array("I", [END_ID]).tobytes()
         task = TaskContext.get()
         sequence = step = (task.partitionId() if task else 0) << 33
         docs: list[tuple[int | None, bytes]] = []
         held = 0
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                docs.append((doc_id, reader.ids(text.as_py()) + end))
+                docs.append((doc_id, ids(text.as_py()) + end))
                 held += len(docs[-1][1]) // 4
                 if held >= bucket_tokens:
                     out, n, groups = _pieces(docs, tiers, sequence, step)
