@@ -22,10 +22,13 @@ columns, whatever their names, don't matter. ``sequence_id`` and ``step`` are un
 from __future__ import annotations
 
 import heapq
+import string
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -38,66 +41,98 @@ TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 #: Tokens that are packed together, and tokens of a step group.
 BUCKET_TOKENS, STEP_TOKENS = 1 << 21, 1 << 18
-#: Words whose ids a task keeps, the longest of them, and bytes of text that are split at a time.
-KEPT_WORDS, KEPT_LENGTH, SPLIT_CHARS = 1_000_000, 48, 1 << 20
-#: Signs that end words.
-SIGNS = ",.;:!?"
+#: Words whose ids a worker keeps, the longest of them, and characters that are read at a time.
+KEPT_WORDS, KEPT_LENGTH, READ_CHARS = 1_000_000, 48, 1 << 18
+#: The first character beyond Latin letters that no normaliser changes but for their case.
+NOT_LATIN = "\u0180"
+#: How the tokenizer names ids that end a piece.
+PIECE_END = "</w>"
+#: Signs that end words: neither letters nor numbers, so that the tokenizer takes them as a piece of their own.
+SIGNS = string.punctuation
 
 Piece = tuple[int, int, int]  # document, start, length
 
 
 def core_of(word: str) -> tuple[str, str]:
-    """A word as its core and the signs behind it, which the tokenizer reads apart; an ASCII core in small letters, as the tokenizer reads it."""
+    """A word as its core and the signs behind it, which the tokenizer reads apart; a core of Latin letters in small ones, as the tokenizer reads it."""
     core = word.rstrip(SIGNS)
     if not core or not core[-1].isalnum():
         core = word
-    return core.lower() if core.isascii() else core, word[len(core) :]
+    return core.lower() if core.isascii() or core.isalpha() and max(core) < NOT_LATIN else core, word[len(core) :]
 
 
 class Reader:
-    """Ids of texts; words, and the cores of words, that were seen before aren't tokenised again."""
+    """Ids of texts; words, and cores of words, that were seen before aren't tokenised again.
+
+    Cores of Latin letters alone, small ones, are one piece that the tokenizer's normaliser and splitter leave as it is: they go to its merges without these.
+    """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _encode(self, words: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        self.known.update(zip(words, (array("I", x.ids).tobytes() for x in encoded), strict=True))
-
-    def _part(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        if new := set(words).difference(self.known):
-            if len(self.known) + len(new) > KEPT_WORDS:
-                self.known = {"": b""}
-                new = set(words).difference(self.known)
-            cores = {w: core_of(w) for w in new}
-            needed = {part for pair in cores.values() for part in pair}
-            self._encode(list(needed.difference(self.known)))
-            known = self.known
-            known.update([(w, known[core] + known[tail]) for w, (core, tail) in cores.items()])
-        known = self.known
-        out = b"".join(map(known.__getitem__, words))
-        for w in new:
-            if len(w) > KEPT_LENGTH:
-                for part in {w, *cores[w]} - {""}:
-                    known.pop(part, None)
-        return out
-
-    def ids(self, text: str) -> bytes:
-        """Four bytes for each id of the whole text, read in parts that end at blanks."""
-        if len(text) <= SPLIT_CHARS:
-            return self._part(text)
-        parts, at = [], 0
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)  # ids that end a piece
+        self.ends[[i for name, i in names.items() if name.endswith(PIECE_END)]] = True
+        self.cores: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
+
+    def _learn(self, words: set[str]) -> None:
+        pairs = [core_of(w) for w in words]
+        if len(self.words) + len(words) > KEPT_WORDS:
+            self.cores, self.words = {}, {"": b""}
+        new = {part for pair in pairs for part in pair}.difference(self.cores)
+        plain = [c for c in new if c.isalpha() and c.islower() and max(c) < NOT_LATIN]
+        if plain:  # all in one text; each of them ends with the one id that ends a piece
+            ids = np.array(self.merges.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            data, edges = ids.tobytes(), [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+            self.cores.update(zip(plain, [data[lo:hi] for lo, hi in pairwise(edges)], strict=True))
+        others = list(new.difference(plain))
+        self.cores.update(zip(others, [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)], strict=True))
+        cores = self.cores
+        self.words.update(zip(words, [cores[core] + cores[signs] for core, signs in pairs], strict=True))
+
+    def _parts(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        known = self.words.get
+        found = [list(map(known, words)) for words in split]
+        missing = [[i for i, ids in enumerate(own) if ids is None] for own in found]
+        new = {words[i] for words, places in zip(split, missing, strict=True) for i in places}
+        if new:
+            self._learn(new)
+            for words, own, places in zip(split, found, missing, strict=True):
+                for i in places:
+                    own[i] = self.words[words[i]]
+            for w in new:
+                if len(w) > KEPT_LENGTH:
+                    for part in {w, *core_of(w)}:
+                        self.words.pop(part, None)
+                        self.cores.pop(part, None)
+        return [b"".join(own) for own in found]
+
+    def ids(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Four bytes for each id of each whole text. Short texts are read together, long ones in parts that end at blanks."""
+        some, chars = [], 0
+        for text in texts:
+            some.append(text)
+            chars += len(text)
+            if chars > READ_CHARS:
+                yield from self._parts(some[:-1])
+                yield b"".join(x for part in self._pieces_of(some[-1]) for x in self._parts([part]))
+                some, chars = [], 0
+        yield from self._parts(some)
+
+    @staticmethod
+    def _pieces_of(text: str) -> Iterator[str]:
+        at = 0
         while at < len(text):
-            end = text.find(" ", at + SPLIT_CHARS)
+            end = text.find(" ", at + READ_CHARS)
             end = len(text) if end < 0 else end
-            parts.append(self._part(text[at:end]))
+            yield text[at:end]
             at = end
-        return b"".join(parts)
 
 
 @cache
@@ -199,14 +234,14 @@ def packer(path: str, tiers: tuple[int, ...], bucket_tokens: int) -> Callable[[I
     """The function of a task: batches of (doc_id, text) to batches of pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = reader(path).ids, array("I", [END_ID]).tobytes()
+        read, end = reader(path), array("I", [END_ID]).tobytes()
         task = TaskContext.get()
         sequence = step = (task.partitionId() if task else 0) << 33
         docs: list[tuple[int | None, bytes]] = []
         held = 0
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                docs.append((doc_id, ids(text.as_py()) + end))
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), read.ids(x.as_py() for x in b.column("text")), strict=True):
+                docs.append((doc_id, ids + end))
                 held += len(docs[-1][1]) // 4
                 if held >= bucket_tokens:
                     out, n, groups = _pieces(docs, tiers, sequence, step)

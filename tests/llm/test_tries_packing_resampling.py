@@ -130,11 +130,20 @@ def test_few_windows_cut_documents():
 
 
 def test_reader_gives_the_tokenizers_ids(monkeypatch):
-    monkeypatch.setattr(packing, "SPLIT_CHARS", 100)
+    monkeypatch.setattr(packing, "READ_CHARS", 100)
     monkeypatch.setattr(packing, "KEPT_WORDS", 10)
     reader = packing.Reader(TOKENS)
-    for text in [*filter(None, TEXTS), *filter(None, TEXTS)]:
-        assert np.frombuffer(reader.ids(text), "<u4").tolist() == reader.tokenizer.encode(text, add_special_tokens=False).ids, text
+    for texts in (TEXTS, TEXTS[::-1], ["Straße ÆON ﬁn Σας ΌΔΟΣ İstanbul ŉ ǅ ªº µ K Å e\u0301t, naïve."]):
+        texts = [t or "" for t in texts]
+        for text, ids in zip(texts, reader.ids(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == reader.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_reader_gives_the_ids_of_given_texts(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    reader = packing.Reader(TOKENS)
+    for text, ids in zip(texts, reader.ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == reader.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("bucket", [1, 3000, 1 << 21])
@@ -144,7 +153,7 @@ def test_packing_keeps_every_id(spark, bucket):
     pieces = packing.packed(df, TOKENS, bucket_tokens=bucket)
     got = pieces.collect()
     reader = packing.Reader(TOKENS)
-    want = {i: [*np.frombuffer(reader.ids(t or ""), "<u4").tolist(), 1] for i, t, _ in rows}
+    want = {i: [*np.frombuffer(next(reader.ids([t or ""])), "<u4").tolist(), 1] for i, t, _ in rows}
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in got:
         by_doc[r.doc_id].append(r)
