@@ -6,6 +6,8 @@ windows over a document's lines, and a field is null unless it is certain.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,18 +92,47 @@ def merge_records(rows: DataFrame, key: list[str], order: list[str], fields: lis
     return rows.groupBy(*key).agg(*aggs)
 
 
-def beside_fragments(labels: DataFrame, fragments: DataFrame, key: list[str], overlap: float = 0.25, slack: float = 0.2) -> DataFrame:
-    """The nearest fragment to the right of each label on the same height; boxes are x0, y0, x1, y1.
+def beside_fragments(labels: DataFrame, fragments: DataFrame, key: list[str], overlap: float = 0.25, slack: float = 0.2, besides: Column | None = None) -> DataFrame:
+    """The nearest fragment to the right of each label on the same height; boxes are x0, y0, x1, y1 (the label's lx0, ly0, lx1, ly1).
 
-    The join is an equi-join on the page and a range within it.
+    The join is an equi-join on the page and a range within it, and ``besides`` if there is more to hold.
     """
     a = labels.select(*key, F.col("label"), *[F.col(c).alias(f"l{c}") for c in ("x0", "y0", "x1", "y1")])
     both = a.join(fragments, key)
     shared = F.least("ly1", "y1") - F.greatest("ly0", "y0")
     fits = (shared >= F.lit(overlap) * (F.col("ly1") - F.col("ly0"))) & (F.col("x0") >= F.col("lx1") - F.lit(slack) * (F.col("lx1") - F.col("lx0")))
+    fits = fits if besides is None else fits & besides
     return both.where(fits).groupBy(*key, "label").agg(F.min_by("text", F.struct("x0", "text")).alias("value"))
 
 
+#: Fixed value: how high a line of fragments is, in pixels.
+LINE_HEIGHT = 30
+
+
+def fragment_lines(fragments: DataFrame, key: list[str]) -> DataFrame:
+    """key, pos, line: fragments (text, x0, y0) as lines in the order the page reads: by bands of ``LINE_HEIGHT``, then from left to right. Empty ones aside."""
+    w = Window.partitionBy(*key).orderBy(F.rint(F.col("y0") / LINE_HEIGHT), "x0", "y0", "text")
+    rows = fragments.where(F.trim("text") != "")
+    return rows.select(*key, (F.row_number().over(w) - 1).alias("pos"), F.trim("text").alias("line"))
+
+
+def positional(fragments: DataFrame, key: list[str], label: str, plausible: Callable[[Column], Column]) -> DataFrame:
+    """key, value: what stands against a printed label on the page, going by place and not by reading order.
+
+    Of the fragments that carry the label (a pattern whose first group is the tail), from the top, the first counts that has a plausible tail or else a
+    plausible fragment beside it: the nearest to the right on the same height. ``plausible``: a text, or null if it is no value.
+    """
+    boxes = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    labels = fragments.where(F.col("text").rlike(label)).withColumn("label", F.struct("y0", "x0", "text"))
+    tail = plausible(clean_edges(F.regexp_extract("text", label, 1)))
+    values = fragments.where(plausible(F.col("text")).isNotNull()).select(*key, *boxes, "text")
+    itself = F.col("x0").eqNullSafe(F.col("lx0")) & F.col("y0").eqNullSafe(F.col("ly0")) & (F.col("x1") == F.col("lx1")) & (F.col("y1") == F.col("ly1"))
+    near = beside_fragments(labels.select(*key, "label", *boxes), values, key, besides=~itself)
+    found = labels.select(*key, "label", tail.alias("_tail")).join(near, [*key, "label"], "left")
+    found = found.withColumn("value", F.coalesce("_tail", clean_edges(F.col("value")))).where(F.col("value").isNotNull())
+    return found.groupBy(*key).agg(F.min_by("value", "label").alias("value"))
+
+
 def value_above(lines: DataFrame, key: list[str], label: str, is_label: Column, skip: Column | None = None) -> DataFrame:
     """key and the nearest line above the first line with the label that has a value: not empty, no label itself, not what ``skip`` says."""
     value = clean_edges(F.trim("line"))
