@@ -105,6 +105,56 @@ def beside_fragments(labels: DataFrame, fragments: DataFrame, key: list[str], ov
     return both.where(fits).groupBy(*key, "label").agg(F.min_by("text", F.struct("x0", "text")).alias("value"))
 
 
+def words_with_months(lines: DataFrame, key: list[str], month: Callable[[Column], Column], within: int | None = None) -> DataFrame:
+    """key, pos, at, word, folded, month of the words of lines that name a month; every distinct word is judged once."""
+    near = lines if within is None else lines.where(F.col("pos") < within)
+    words = near.select(*key, "pos", F.posexplode(F.split("line", r"[^\p{L}\p{N}_]+")).alias("at", "word")).withColumn("folded", fold(F.col("word"), "lower", letters_only=True))
+    known = words.select("folded").distinct().where(F.length("folded") >= 3).withColumn("month", month(F.col("folded"))).where("month is not null")
+    return words.join(known, "folded")
+
+
+def dateline_near(lines: DataFrame, key: list[str], month: Callable[[Column], Column], joiners: tuple[str, ...] = ("de", "do")) -> DataFrame:
+    """key, raw, day, month, year, arrival: as ``dateline``, for months that may be misread (``month``: a folded word's number, or null).
+
+    Of the first lines the first counts that names a month and has four digits of a year behind a joiner within three lines. If the archive can't hold
+    that year, only what stands there (raw) is kept.
+    """
+    w = Window.partitionBy(*key).orderBy("pos")
+    near = F.concat_ws(" ", "line", *[F.lead("line", k).over(w) for k in range(1, DATELINE_SPAN)])
+    rows = lines.withColumn("_near", near)
+    first = words_with_months(lines, key, month, DATELINE_LINES).groupBy(*key, "pos").agg(F.min_by("month", "at").alias("month"), F.min("at").alias("_at"))
+    hit = rows.join(first, [*key, "pos"]).withColumn("_words", F.split("line", r"[^\p{L}\p{N}_]+"))
+    before = lambda n: F.when(F.col("_at") >= n, F.get("_words", F.col("_at") - n))
+    day = F.when(fold(before(1), "lower").isin(*joiners) & (F.col("_at") >= 2), before(2)).otherwise(before(1))
+    day = F.nullif(F.regexp_replace(day, r"\P{Nd}", ""), F.lit(""))
+    digits = F.regexp_replace(F.regexp_extract("_near", rf"(?i){joiners[0]}\s*(\d{{2}}[\s.,]*\d{{0,2}})\b", 1), r"\D", "")
+    hit = hit.where(F.length(digits) == 4).withColumn("year", plausible_year(digits.cast("int"))).withColumn("day", F.when(F.length(day) <= 2, day).cast("int"))
+    sure = F.col("year").isNotNull()
+    parts = F.struct(
+        clean_edges(F.substring("_near", 1, 60)).alias("raw"), F.when(sure & F.col("day").between(1, 31), F.col("day")).alias("day"), F.when(sure, F.col("month")).alias("month"), "year",
+    )
+    best = hit.groupBy(*key).agg(F.min_by(parts, "pos").alias("_d")).select(*key, "_d.*")
+    return best.withColumn("arrival", F.when(F.col("day").isNotNull(), F.format_string("%04d-%02d-%02d", "year", "month", "day")))
+
+
+def entered_near(lines: DataFrame, key: list[str], entered: str, month: Callable[[Column], Column], joiner: str = "de") -> DataFrame:
+    """key, raw, day, month, year, arrival: as ``entered_date``, for months that may be misread and joiners that run into the words around them."""
+    w = Window.partitionBy(*key).orderBy("pos")
+    pattern = rf"(?i){entered}\s*((\S{{1,3}})\s*{joiner}\s*(\p{{L}}{{3,12}})\s*{joiner}\s*(\d{{2}}\s*\d{{0,2}}))"
+    near = F.concat_ws(" ", "line", F.lead("line").over(w))
+    group = lambda i: F.regexp_extract("_near", pattern, i)
+    hit = lines.withColumn("_near", near).where(F.col("_near").rlike(pattern))
+    digits = F.regexp_replace(group(4), r"\s+", "")
+    parts = F.struct(
+        clean_edges(group(1)).alias("raw"), F.when(group(2).rlike(r"^\d{1,2}$"), group(2)).cast("int").alias("day"), fold(group(3), "lower", letters_only=True).alias("word"),
+        plausible_year(F.when(F.length(digits) == 4, digits).cast("int")).alias("year"),
+    )
+    best = hit.groupBy(*key).agg(F.min_by(parts, "pos").alias("_d")).select(*key, "_d.*")
+    best = best.join(best.select("word").distinct().withColumn("month", month(F.col("word"))), "word").drop("word")
+    whole = F.col("day").between(1, 31) & F.col("month").isNotNull() & F.col("year").isNotNull()
+    return best.withColumn("arrival", F.when(whole, F.format_string("%04d-%02d-%02d", "year", "month", "day")))
+
+
 #: Fixed value: how high a line of fragments is, in pixels.
 LINE_HEIGHT = 30
 

@@ -333,3 +333,32 @@ def entered_date(orders: DataFrame) -> DataFrame:
     months = {m: i + 1 for i, m in enumerate("january february march april may june july august september october november december".split())}
     got = extract.entered_date(extract.lines_of(orders.select("o_orderkey", text.alias("text")), ["o_orderkey"]), ["o_orderkey"], "entrado em", months)
     return got.select("o_orderkey", "day", "month", "year", "arrival")
+
+
+_SEA = voyage.Lexicon(
+    parte_marks=("interprete", "mortalidade", "nascimentos"), lista_marks=("lista de entrada", "toneladas"), ship_label=r"(?:paquete|vapor)\b(.*)", origin_label=r"procedente d[eo]\b(.*)", landed_label=r"lista com (\S{1,4}) immigrantes",
+    months=tuple((m, i + 1) for i, m in enumerate("janeiro fevereiro marco abril maio junho julho agosto setembro outubro novembro dezembro".split())),
+    flags=("inglez", "francez"), form_words=("registro", "passageiros"), not_head=("policia",), entered="entrado em",
+)
+_MONTHS = "['janeira','fevereira','marce','abrik','maia','junhe','julhe','agoste','setembra','outubra','novembra','dezembra']"
+
+
+@query("orders", "customer", sql=f"""WITH o AS (SELECT *, o_orderkey % 5 AS k, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(day(o_orderdate) AS INTEGER) AS d, CAST(year(o_orderdate) - 70 AS INTEGER) AS y, 'Vessel ' || lower(c_mktsegment) AS vessel FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT o_orderkey, CASE WHEN k = 4 THEN 'parte' ELSE 'lista' END AS source, vessel AS ship, CASE WHEN k IN (1, 2, 4) THEN 'inglez' END AS flag, CASE WHEN k < 4 THEN 'Lloyd Paulista' END AS line, CASE WHEN k = 3 THEN 'Santos' END AS port,
+  CASE WHEN k = 0 THEN NULL ELSE printf('%04d-%02d-%02d', y, m, d) END AS arrival, y AS year, CASE WHEN k = 0 THEN 'stamp' ELSE 'printed' END AS year_source, CASE WHEN k <> 0 THEN m END AS month, CASE WHEN k = 4 THEN CAST(o_custkey % 1000 AS INTEGER) END AS passengers FROM o""")
+def form_fields(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    """Forms of five kinds, one per order, their months misread: the ship by place among fragments, behind a nationality, above one, quoted, and in the other form."""
+    o = orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).withColumn("k", F.col("o_orderkey") % 5)
+    vessel, day, year = F.concat(F.lit("Vessel "), F.lower("c_mktsegment")), F.dayofmonth("o_orderdate").cast("string"), (F.year("o_orderdate") - 70).cast("string")
+    months = F.array(*[F.lit(m) for m in _MONTHS.strip("[]").replace("'", "").split(",")])
+    date = lambda a: F.concat(F.lit(a), day, F.lit(" de "), F.element_at(months, F.month("o_orderdate")), F.lit(" de\n"), year)
+    head = F.lit("Lloyd Paulista\nLista de entrada\n90 toneladas\n")
+    text = (
+        F.when(F.col("k") == 1, F.concat(head, F.lit("vapor inglez "), vessel, F.lit("\n"), date("entrado em "))).when(F.col("k") == 2, F.concat(head, vessel, F.lit("\n90 toneladas\nvapor inglez\n"), date("entrado em ")))
+        .when(F.col("k") == 3, F.concat(head, date("Santos, "), F.lit("\nvapor 12\n\""), vessel)).when(F.col("k") == 4, F.concat(F.lit("interprete\nmortalidade\nnascimentos\nvapor inglez \""), vessel, F.lit("\" de\nlista com\n"), (F.col("o_custkey") % 1000).cast("string"), F.lit(" immigrantes\n"), date("entrado em ")))
+    )
+    box = lambda said, x, y: F.struct(said.alias("text"), F.lit(float(x)).alias("x0"), F.lit(float(y)).alias("y0"), F.lit(x + 90.0).alias("x1"), F.lit(y + 20.0).alias("y1"))
+    placed = F.array(box(vessel, 300, 194), box(F.lit("vapor"), 200, 206), box(F.lit("Lloyd Paulista"), 90, 10), box(F.lit("Lista de entrada"), 90, 60), box(F.lit("90 toneladas"), 90, 100), box(F.concat(F.lit("JUN 23 "), year), 90, 300))
+    fragments = o.where("k = 0").select("o_orderkey", F.explode(placed).alias("b")).select("o_orderkey", "b.*")
+    got = voyage.parse_pages(o.select("o_orderkey", text.alias("text")), _SEA, ("o_orderkey",), fragments=fragments)
+    return got.select("o_orderkey", "source", "ship", "flag", "line", "port", "arrival", "year", "year_source", "month", "passengers")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from brinewood.functions import lexical
-from brinewood.operators import voyage
+from brinewood.operators import extract, voyage
 
 LEX = voyage.Lexicon(
     parte_marks=("parte", "interprete", "visitou"), lista_marks=("lista de entrada", "toneladas"), ship_label=r"vapor\b\s*(.*)", origin_label=r"procedente de\b\s*(.*)",
@@ -38,7 +38,52 @@ def test_leading_nationalities_and_misread_words_of_the_head(spark):
     ]
     got = {r.doc: r for r in voyage.parse_pages(spark.createDataFrame(pages, "doc string, page int, text string"), LEX).collect()}
     assert (got["a"].ship, got["a"].flag, got["a"].line) == ("Conte Verde", "inglez francez", "Lloyd Sabaudo")
-    assert got["b"].flag is None and (got["c"].ship, got["c"].flag) == ("Re Vittorio inglez", None)
+    assert (got["b"].ship, got["b"].flag) == (None, "inglez")  # a nationality alone is one, and no ship
+    assert (got["c"].ship, got["c"].flag) == (None, None)  # nor is a phrase with one in it
+
+
+FULL = voyage.Lexicon(
+    parte_marks=("parte", "interprete", "visitou"), lista_marks=("lista de entrada", "toneladas"), ship_label=r"(?:paquete|vapor)\b(.*)", origin_label=r"procedente d[eo]\b(.*)", landed_label=r"lista com (\S{1,4}) immigrantes",
+    months=(("janeiro", 1), ("maio", 5), ("mai", 5), ("outubro", 10)), flags=("inglez", "francez"), form_words=("registro", "passageiros"), not_head=("policia",), list_label=r"passage\w* no\b(.*)", entered="entrado em", ports=("santos",),
+)
+HEAD = "Lista de entrada\n90 toneladas\n"
+
+
+def test_fields_of_both_forms(spark):
+    pages = {
+        "above": HEAD + "Ravenna\n90 toneladas\nvapor inglez", "quoted": HEAD + "vapor ...\n\"Itabera", "month in quotes": HEAD + "vapor 12\n\"Outubro\"\n“Itapema”",
+        "letterhead": "Lloyd Paulista\n" + HEAD + "vapor Lloyd Paulistz", "entered": HEAD + "vapor Itapuca\nfoi entrado em 7 de Oatubro de\n19 21", "day lost": HEAD + "vapor Itapuca\nentrado em f de Outubro de 1921",
+        "dateline": HEAD + "Santos, 19 de Maiq de 19.18\nvapor Itapuca", "no such year": HEAD + "Santos, 19 de Maio de 1980\nvapor Itapuca\nJUN 23 1917",
+        "parte": "parte\ninterprete\nvisitou\nFormosa\nmore of parte\nvapor inglez\nlista com\n23 immigrantes", "parte quoted": "parte\ninterprete\nvisitou\nvapor inglez \"Bologna\" de",
+        "port is no line": "Santos\n" + HEAD + "vapor Itapuca", "none": "vapor Itapuca",
+    }
+    got = {r.doc: r for r in voyage.parse_pages(spark.createDataFrame([(k, 1, v) for k, v in pages.items()], "doc string, page int, text string"), FULL).collect()}
+    assert set(got) == set(pages) - {"none"}
+    assert {k: (r.ship, r.flag) for k, r in got.items() if k in ("above", "quoted", "month in quotes", "letterhead", "parte", "parte quoted")} == {
+        "above": ("Ravenna", "inglez"), "quoted": ("Itabera", None), "month in quotes": ("Itapema", None), "letterhead": (None, None), "parte": ("Formosa", "inglez"), "parte quoted": ("Bologna", "inglez"),
+    }
+    assert (got["entered"].arrival, got["entered"].year, got["entered"].year_source) == ("1921-10-07", 1921, "printed")
+    assert (got["day lost"].arrival, got["day lost"].month, got["day lost"].year) == (None, 10, 1921)
+    assert (got["dateline"].arrival, got["dateline"].port, got["dateline"].month) == ("1918-05-19", "Santos", 5)
+    assert (got["no such year"].year, got["no such year"].year_source, got["no such year"].month) == (1917, "stamp", None) and "1980" in got["no such year"].arrival_raw
+    assert got["parte"].passengers == 23 and got["port is no line"].line is None and got["letterhead"].line == "Lloyd Paulista"
+
+
+def test_values_are_found_by_place(spark):
+    def box(text, x, y, wide=80):
+        return ("a", 1, text, float(x), float(y), float(x + wide), y + 20.0)
+
+    boxes = [box("90 toneladas", 100, 150), box("Indiana", 300, 195), box("Lista de entrada", 100, 60), box("vapor", 200, 205), box("(2)", 290, 205, 8), box("far Below", 300, 260), box("procedente de", 100, 300), box("(1) Genova", 240, 308)]
+    fragments = spark.createDataFrame([*boxes, ("b", 1, "vapor", 0.0, 0.0, 1.0, 1.0)], "doc string, page int, text string, x0 double, y0 double, x1 double, y1 double")
+    pages = spark.createDataFrame([("a", 1, "nothing to read here"), ("c", 1, HEAD + "vapor Itapuca")], "doc string, page int, text string")
+    assert [r.line for r in extract.fragment_lines(fragments.where("doc = 'a'"), ["doc", "page"]).orderBy("pos").collect()][:3] == ["Lista de entrada", "90 toneladas", "Indiana"]
+    got = {r.doc: r for r in voyage.parse_pages(pages, FULL, fragments=fragments).collect()}
+    assert {k: (r.ship, r.origin) for k, r in got.items()} == {"a": ("Indiana", "Genova"), "c": ("Itapuca", None)}
+
+
+def test_forms_of_nothing(spark):
+    none = spark.createDataFrame([], "doc string, page int, text string")
+    assert voyage.parse_pages(none, FULL).count() == 0 and voyage.parse_pages(none, FULL, fragments=spark.createDataFrame([], "doc string, page int, text string, x0 double, y0 double, x1 double, y1 double")).count() == 0
 
 
 def test_headings(spark):
