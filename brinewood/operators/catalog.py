@@ -58,6 +58,32 @@ def candidate_parts(entries: DataFrame, most: int = 8) -> DataFrame:
     return both.withColumn("part", F.explode(F.sequence(F.lit(1), F.col("total"))))
 
 
+#: Fixed value: parts that a record has at most.
+MOST_PARTS = 8
+
+
+def listed_parts(files: DataFrame, name: str, pattern: str = r"^(.*)_d(\d+)de(\d+)\.\w+$") -> DataFrame:
+    """folder, part, total of files by their names; names of other kinds aside. ``pattern``: groups are the record's folder, the part, and how many there are."""
+    rows = files.where(F.col(name).rlike(pattern))
+    group = lambda i: F.regexp_extract(name, pattern, i)
+    return rows.select(group(1).alias("folder"), *[group(i).cast("int").alias(c) for i, c in ((2, "part"), (3, "total"))]).distinct()
+
+
+def resolve_parts(entries: DataFrame, key: list[str], listed: DataFrame, most: int = MOST_PARTS) -> DataFrame:
+    """key, folder, total, part, present: the files that each entry's record is made of, one row per part.
+
+    ``entries``: key, folder and see_also (another record's folder, or null). An entry's own folder goes before the one it refers to, and in a folder the smallest
+    total whose first part is there; what is there of ``listed`` (folder, part, total) is met by joins on the folder, nothing is tried one by one. Entries of
+    which nothing is there have no row. ``present`` says whether a part is there itself.
+    """
+    asked = entries.select(*key, F.posexplode(F.array("folder", "see_also")).alias("_rank", "folder")).where("folder is not null")
+    first = listed.where((F.col("part") == 1) & F.col("total").between(1, most)).select("folder", "total").distinct()
+    best = asked.join(first, "folder").groupBy(*key).agg(F.min(F.struct("_rank", "total", "folder")).alias("_b"))
+    parts = best.select(*key, "_b.folder", "_b.total", F.explode(F.sequence(F.lit(1), F.col("_b.total"))).alias("part"))
+    there = listed.select("folder", "total", "part", F.lit(True).alias("_there")).distinct()
+    return parts.join(there, ["folder", "total", "part"], "left").select(*key, "folder", "total", "part", F.coalesce("_there", F.lit(False)).alias("present"))
+
+
 @dataclass(frozen=True)
 class Grammar:
     """How a collection writes its notations and titles. ``notation``: one tuple of spellings per part, in order; the names fundo, series and

@@ -18,9 +18,13 @@ FOUND_BY_NAME = "semelhança com o nome procurado"
 
 
 def said(c: Column) -> Column:
-    """A value as text; empty where nothing, zero or the empty text is said."""
-    t = F.coalesce(c.cast("string"), F.lit(""))
-    return F.when(t.isin("0", "0.0"), F.lit("")).otherwise(t)
+    """A text; empty where nothing is said. The text "0" says something."""
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def counted(c: Column) -> Column:
+    """A number as text; empty where it is null or zero."""
+    return F.when(c != 0, c.cast("string")).otherwise(F.lit(""))
 
 
 def first_said(*columns: Column) -> Column:
@@ -30,7 +34,7 @@ def first_said(*columns: Column) -> Column:
 
 def arrival(voyage: Column) -> Column:
     """The date of landing as far as it is stated: the whole date, else the year, else nothing."""
-    return first_said(voyage["arrival"], voyage["year"])
+    return first_said(voyage["arrival"], counted(voyage["year"]))
 
 
 def origin(row: Column, engine: Column) -> Column:
@@ -46,14 +50,17 @@ def surname_from(row: Column) -> Column:
 
 
 def document_rows(records: DataFrame, catalogued: Column | None = None) -> DataFrame:
-    """hash, at (place of the row) and ``DOCUMENT_COLUMNS``, one row per list row, blank ones too; the page's ship goes before the catalogue's."""
-    ship = F.lit(None).cast("string") if catalogued is None else catalogued
-    rows = records.withColumn("_ship", ship).select("hash", "notation", "file", "engine", "voyage", "_ship", F.posexplode("rows").alias("at", "r"))
+    """hash, at (place of the row) and ``DOCUMENT_COLUMNS``, one row per list row, blank ones too.
+
+    The ship that the page states goes before the record's own (a column ship, if there is one), and that before the catalogue's.
+    """
+    own = F.col("ship").cast("string") if "ship" in records.columns else F.lit(None).cast("string")
+    rows = records.withColumn("_ship", first_said(own, F.lit(None).cast("string") if catalogued is None else catalogued)).select("hash", "notation", "file", "engine", "voyage", "_ship", F.posexplode("rows").alias("at", "r"))
     r, v = F.col("r"), F.col("voyage")
     score = F.coalesce(F.try_element_at(r["conf"], F.lit("surname")).cast("string"), F.lit(""))
     values = (
-        said(F.col("notation")), said(F.col("file")), first_said(v["ship"], F.col("_ship")), said(v["line"]), said(v["origin"]), said(v["port"]), arrival(v), said(r["page"]),
-        said(r["n"]), said(r["name_raw"]), said(r["surname"]), said(r["given"]), origin(r, F.col("engine")), surname_from(r), score,
+        said(F.col("notation")), said(F.col("file")), first_said(v["ship"], F.col("_ship")), said(v["line"]), said(v["origin"]), said(v["port"]), arrival(v), counted(r["page"]),
+        counted(r["n"]), said(r["name_raw"]), said(r["surname"]), said(r["given"]), origin(r, F.col("engine")), surname_from(r), score,
     )
     return rows.select("hash", "at", *[c.alias(n) for n, c in zip(DOCUMENT_COLUMNS, values, strict=True)])
 
@@ -63,7 +70,8 @@ def hit_rows(query: str, hits: DataFrame) -> DataFrame:
     table = F.create_map(*[F.lit(x) for kv in FOUND_BY.items() for x in kv])
     plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     by = F.coalesce(F.try_element_at(table, F.coalesce("matched", F.lit(""))), F.lit(FOUND_BY_NAME))
-    values = (F.lit(query), *[said(F.col(c)) for c in ("text", "notation", "file", "page", "row", "ship", "year", "year_source")], plain("score"), by, plain("conf"))
+    shown = [counted(F.col(c)) if c in ("page", "row", "year") else said(F.col(c)) for c in ("text", "notation", "file", "page", "row", "ship", "year", "year_source")]
+    values = (F.lit(query), *shown, plain("score"), by, plain("conf"))
     return hits.select(*[c.alias(n) for n, c in zip(HIT_COLUMNS, values, strict=True)])
 
 

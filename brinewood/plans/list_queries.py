@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewood.functions import fuzzy, lexical
 from brinewood.functions import text as t
 from brinewood.operators import carry, catalog, evaluate, extract, lexicon, records
-from brinewood.plans.registry import FOLD, LINES, query
-from brinewood.sources import tables
+from brinewood.plans.registry import FOLD, LINES, folder_query, query
+from brinewood.sources import hashes, tables
 
 # --- ordered lists ----------------------------------------------------------------------------------------
 
@@ -312,3 +312,26 @@ def page_pruning(orders: DataFrame) -> DataFrame:
     page = F.col("o_orderkey") % 7 + 1
     wanted = records.text_wanted(page, F.col("o_orderkey") % 2 != 0, F.col("o_orderkey") % 3 != 0)
     return orders.select("o_orderkey", wanted.alias("wanted"), records.page_kind(page).alias("kind"))
+
+
+_LISTED = "listed AS (SELECT DISTINCT 'f' || l_suppkey % 300 AS folder, l_linenumber AS part, CAST(1 + l_quantity % 11 AS INTEGER) AS total FROM lineitem WHERE l_partkey % 5 <> 0)"
+
+
+@query("lineitem", "part", sql=f"""WITH {_LISTED}, e AS (SELECT p_partkey, 'f' || p_partkey % 400 AS folder, CASE WHEN p_size % 2 = 0 THEN 'f' || p_size END AS see_also FROM part),
+asked AS (SELECT p_partkey, 0 AS rank, folder FROM e UNION ALL SELECT p_partkey, 1, see_also FROM e WHERE see_also IS NOT NULL),
+best AS (SELECT p_partkey, arg_min(folder, (rank, total)) AS folder, arg_min(total, (rank, total)) AS total FROM asked JOIN listed USING (folder) WHERE part = 1 AND total <= 8 GROUP BY p_partkey),
+parts AS (SELECT p_partkey, folder, total, CAST(unnest(range(1, total + 1)) AS INTEGER) AS part FROM best)
+SELECT p_partkey, folder, total, part, l.part IS NOT NULL AS present FROM parts LEFT JOIN listed l USING (folder, total, part)""")
+def resolved_parts(lineitem: DataFrame, part: DataFrame) -> DataFrame:
+    """The parts of each record, from files named after suppliers' folders; totals have gaps, and some are over the most there may be."""
+    name = F.format_string("f%d_d%04dde%04d.pdf", F.col("l_suppkey") % 300, F.col("l_linenumber"), (1 + F.col("l_quantity") % 11).cast("int"))
+    files = lineitem.where("l_partkey % 5 <> 0").select(name.alias("file"))
+    folder = lambda c: F.concat(F.lit("f"), c.cast("string"))
+    entries = part.select("p_partkey", folder(F.col("p_partkey") % 400).alias("folder"), F.when(F.col("p_size") % 2 == 0, folder(F.col("p_size"))).alias("see_also"))
+    return catalog.resolve_parts(entries, ["p_partkey"], catalog.listed_parts(files, "file"))
+
+
+@folder_query()
+def folder_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """The table's files by content; hashes are kept, and a second run reads no file."""
+    return hashes.by_content(hashes.content_hashes(spark, folder, ".parquet"))

@@ -25,7 +25,7 @@ def _dossiers(customer: DataFrame) -> DataFrame:
     )
     row = lambda i: F.struct(
         i.cast("int").alias("n"), F.when(i > 2, 2).otherwise(1).alias("page"), F.when(_off(i, 5) == 0, F.lit(" ")).otherwise(F.col("c_name")).alias("name_raw"),
-        F.col("c_mktsegment").alias("surname"), F.lit("X").alias("given"), F.when(_off(i, 4) != 0, F.create_map(F.lit("surname"), (_off(i, 4) / 8).cast("double"))).alias("conf"),
+        F.col("c_mktsegment").alias("surname"), F.when(_off(i, 9) == 0, F.lit("0")).otherwise(F.lit("X")).alias("given"), F.when(_off(i, 4) != 0, F.create_map(F.lit("surname"), (_off(i, 4) / 8).cast("double"))).alias("conf"),
         F.lit(None).cast("double").alias("indent"), (_off(i, 13) == 0).alias("header"), F.when(_off(i, 3) == 0, F.array(F.lit("surname"))).alias("ditto"),
         F.when(_off(i, 6) == 0, F.lit("mark")).when(_off(i, 12) == 3, F.lit("position")).alias("ditto_source"), F.lit(None).cast("array<array<string>>").alias("name_alts"),
         F.when(_off(i, 10) == 0, F.lit("manual")).alias("source"), F.lit(False).alias("verified"),
@@ -121,8 +121,8 @@ def richer_reading(lineitem: DataFrame) -> DataFrame:
 
 _EXPORT = (
     "SELECT CAST(r.c_custkey AS VARCHAR) AS hash, CAST(i - 1 AS INTEGER) AS at, CASE WHEN r.c_custkey % 3 <> 1 THEN 'BS/' || r.c_custkey ELSE '' END AS notacao, r.c_name AS arquivo, "
-    "coalesce(ship, n_name) AS navio, coalesce(line, '') AS companhia, '' AS procedencia, coalesce(port, '') AS porto_chegada, coalesce(arrival, CAST(year AS VARCHAR), '') AS data_chegada, "
-    "CASE WHEN i > 2 THEN '2' ELSE '1' END AS pagina, CAST(i AS VARCHAR) AS linha, CASE WHEN (r.c_custkey + i) % 5 = 0 THEN ' ' ELSE r.c_name END AS nome_lido, r.c_mktsegment AS sobrenome, 'X' AS nome, "
+    "coalesce(ship, CASE WHEN r.c_custkey % 11 = 0 THEN '0' END, n_name) AS navio, coalesce(line, '') AS companhia, '' AS procedencia, coalesce(port, '') AS porto_chegada, coalesce(arrival, CAST(year AS VARCHAR), '') AS data_chegada, "
+    "CASE WHEN i > 2 THEN '2' ELSE '1' END AS pagina, CAST(i AS VARCHAR) AS linha, CASE WHEN (r.c_custkey + i) % 5 = 0 THEN ' ' ELSE r.c_name END AS nome_lido, r.c_mktsegment AS sobrenome, CASE WHEN (r.c_custkey + i) % 9 = 0 THEN '0' ELSE 'X' END AS nome, "
     "CASE WHEN (r.c_custkey + i) % 10 = 0 THEN 'manual' WHEN r.c_custkey % 3 = 0 THEN '' ELSE 'e1' END AS origem, "
     "CASE WHEN (r.c_custkey + i) % 3 <> 0 THEN 'lido' WHEN (r.c_custkey + i) % 6 = 0 THEN 'aspas de repetição' WHEN (r.c_custkey + i) % 12 = 3 THEN 'posição na lista (inferido)' ELSE 'herdado' END AS sobrenome_origem, "
     "CASE (r.c_custkey + i) % 4 WHEN 0 THEN '' WHEN 1 THEN '0.125' WHEN 2 THEN '0.25' ELSE '0.375' END AS score_motor FROM r JOIN v USING (c_custkey) JOIN nation ON r.c_nationkey = n_nationkey"
@@ -133,7 +133,7 @@ _EXPORT = (
 def export_documents(customer: DataFrame, nation: DataFrame) -> DataFrame:
     """All rows of all records in the fifteen columns; the nation stands for the ship that the archive has filed a record under."""
     filed = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("k"), "n_name")
-    rows = _dossiers(customer).join(filed, F.col("c_custkey") == F.col("k"))
+    rows = _dossiers(customer).join(filed, F.col("c_custkey") == F.col("k")).withColumn("ship", F.when(F.col("k") % 11 == 0, F.lit("0")))
     return export.document_rows(rows, F.col("n_name"))
 
 
