@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brinewood.functions.fuzzy import may_reach, ro_ratio
+from brinewood.functions.fuzzy import ro_ratio
 from brinewood.functions.text import fold
+from brinewood.sources.store import cut
 
 #: Fixed values.
 CLEAN_SCORE, SUGGEST_FLOOR, SUGGESTIONS, LENGTH_BAND = 0.95, 0.62, 4, 3
 CLUSTER_FLOOR = 0.75
+#: Kinds of letters (with their counts) up to which the table of how rare they are is broadcast.
+RARITIES = 50_000
 TOKEN = r"^[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ'\-]{2,}$"
 
 
@@ -26,17 +26,55 @@ def build(words: DataFrame, word: str, refused: DataFrame | None = None, least:
     return names.where(F.col("seen") >= least)
 
 
+def letters_of(c: Column) -> Column:
+    """A word's letters as tokens that can be counted: each with how often it has come before and now."""
+    one = F.split(c, "")
+    return F.transform(one, lambda x, i: F.concat(x, F.size(F.filter(F.slice(one, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+
+
+def near_pairs(observed: DataFrame, names: DataFrame, floor: float, band: int | None = None) -> DataFrame:
+    """observed, name: pairs of distinct words that may be alike by ratio; every pair of a ratio of ``floor`` or more is among them.
+
+    A ratio can't be above twice the letters that both words have over the sum of their lengths, so t letters must be shared, and of a word of n letters any
+    n - t + 2 hold two of them. Words are put under pairs of the rarest of their letters, for every length (within ``band``) that the other may have,
+    and met by an equi-join; what shares fewer than t letters is dropped then, still without Python.
+    """
+    a, b = (x.select(F.col(c).alias("w")).where(F.length(c) > 0).distinct() for x, c in ((observed, "observed"), (names, "name")))
+    seen = a.unionByName(b).distinct().select(F.explode(letters_of(F.col("w"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    n_tokens = (seen := cut(seen)).count()
+    seen = F.broadcast(seen) if n_tokens <= RARITIES else seen
+    need = F.ceil(F.round(F.lit(floor) * (F.col("own") + F.col("other")) / 2, 9)).cast("int")
+
+    def keyed(words: DataFrame, name: str, first: str, second: str) -> DataFrame:
+        each = words.select("w", F.explode(letters_of(F.col("w"))).alias("token")).join(seen, "token")
+        rare = each.groupBy("w").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda x: x["token"]).alias("t")).withColumn("own", F.size("t"))
+        low, high = F.ceil(F.round(F.col("own") * floor / (2 - floor), 9)), F.floor(F.round(F.col("own") * (2 - floor) / floor, 9))
+        if band is not None:
+            low, high = F.greatest(low, F.col("own") - band), F.least(high, F.col("own") + band)
+        rows = rare.withColumn("other", F.explode(F.sequence(F.greatest(low, F.lit(1)).cast("int"), F.greatest(high, low, F.lit(1)).cast("int")))).withColumn("need", need)
+        rows = rows.where((F.col("need") >= 1) & (F.col("need") <= F.least("own", "other")))
+        few = F.slice("t", F.lit(1), F.col("own") - F.col("need") + F.least("need", F.lit(2)))
+        twos = F.flatten(F.transform(few, lambda x, i: F.transform(F.slice(few, i + 2, F.size(few)), lambda y: F.concat(x, F.lit(" "), y))))
+        keys = F.explode(F.when(F.col("need") >= 2, twos).otherwise(few))
+        return rows.select(F.col("w").alias(name), F.col("own").alias(first), F.col("other").alias(second), keys.alias("key"))
+
+    both = keyed(a, "observed", "n_a", "n_b").join(keyed(b, "name", "n_a", "n_b").select("name", F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b"), "key"), ["n_a", "n_b", "key"])
+    both = both.select("observed", "name", "n_a", "n_b").distinct()
+    shared = F.size(F.array_intersect(letters_of(F.col("observed")), letters_of(F.col("name"))))
+    return both.where(2 * shared >= F.round(F.lit(floor) * (F.col("n_a") + F.col("n_b")), 9)).select("observed", "name")
+
+
 def suggest(observed: DataFrame, names: DataFrame, measure: str = "ratio", floor: float = SUGGEST_FLOOR, most: int = SUGGESTIONS) -> DataFrame:
     """observed, name, seen, score, rank: the best dictionary names for each distinct observed word, itself aside.
 
-    Lengths differ by three at most, which makes the join an equi-join on length: each observed word goes to the seven
-    lengths it may match. ``measure``: ratio (Ratcliff-Obershelp) or levenshtein (1 - distance / longer length).
+    Lengths differ by three at most. ``measure``: ratio (Ratcliff-Obershelp), over ``near_pairs``, or levenshtein (1 - distance / longer length), where each observed
+    word goes to the seven lengths it may match.
     """
-    a = observed.select("observed").distinct().withColumn("len", F.explode(F.sequence(F.greatest(F.length("observed") - LENGTH_BAND, F.lit(1)), F.length("observed") + LENGTH_BAND)))
-    both = a.join(names.withColumn("len", F.length("name")), "len").drop("len")
     if measure == "ratio":
-        both = both.where(may_reach(F.col("observed"), F.col("name"), floor)).withColumn("score", ro_ratio("observed", "name"))
+        both = near_pairs(observed, names, floor, LENGTH_BAND).join(names, "name").withColumn("score", ro_ratio("observed", "name"))
     else:
+        a = observed.select("observed").distinct().withColumn("len", F.explode(F.sequence(F.greatest(F.length("observed") - LENGTH_BAND, F.lit(1)), F.length("observed") + LENGTH_BAND)))
+        both = a.join(names.withColumn("len", F.length("name")), "len").drop("len")
         both = both.withColumn("score", 1 - F.levenshtein("observed", "name") / F.greatest(F.length("observed"), F.length("name")))
     w = Window.partitionBy("observed").orderBy(F.desc("score"), F.desc("seen"), "name")
     hits = both.where((F.col("score") >= floor) & (F.col("observed") != F.col("name")))
@@ -53,30 +91,35 @@ def doubtful(readings: DataFrame, key: list[str], text: str, names: DataFrame, m
     return hits
 
 
-def cluster(names: DataFrame, name: str = "name", seen: str = "seen", floor: float = CLUSTER_FLOOR, most: int = 20_000) -> DataFrame:
+def cluster(names: DataFrame, name: str = "name", seen: str = "seen", floor: float = CLUSTER_FLOOR) -> DataFrame:
     """name, label, size: greedy groups of spellings; the longest come first and join the first group whose representative is near.
 
-    The rule depends on the order over all names, so the distinct names, which are checked to be at most ``most``, go to one task.
+    A name is a representative if none of the earlier names near it is one. That is settled in rounds over the near pairs, cut after each: a name with a
+    near earlier representative is none, one whose near earlier names are all settled as none is one. Rounds are as many as the longest chain of
+    names of which each waits for the one before; no name is ever compared with all. The label is the member seen most, the first of equals.
+
+    Cases: null names take no part; repeated names add up; an empty table gives an empty result.
     """
-    distinct = names.groupBy(F.col(name).alias("name")).agg(F.sum(seen).cast("long").alias("seen"))
-    if distinct.count() > most:
-        raise ValueError(f"more than {most} distinct names; cluster within a key instead")
-
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(n=-pdf["name"].str.len()).sort_values(["n", "name"])
-        heads: list[str] = []
-        members: list[list[tuple[int, str]]] = []
-        for x, k in zip(pdf["name"], pdf["seen"], strict=True):
-            at = next((i for i, h in enumerate(heads) if SequenceMatcher(None, x, h).ratio() >= floor), None)
-            if at is None:
-                at = len(heads)
-                heads.append(x)
-                members.append([])
-            members[at].append((k, x))
-        out = [(x, max(m, key=lambda y: y[0])[1], sum(k for k, _ in m)) for m in members for _, x in m]
-        return pd.DataFrame(out, columns=["name", "label", "size"])
-
-    return distinct.withColumn("every", F.lit(0)).groupBy("every").applyInPandas(of, "name string, label string, size long")
+    distinct = cut(names.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.sum(seen).cast("long").alias("seen")))
+    place = lambda c: F.struct(-F.length(c), F.col(c))
+    pairs = near_pairs(distinct.select(F.col("name").alias("observed")), distinct, floor).where(place("name") < place("observed"))
+    edges = cut(pairs.where(ro_ratio("observed", "name") >= floor))
+    waiting = edges.select(F.col("observed").alias("name")).distinct()
+    heads = cut(distinct.select("name").join(waiting, "name", "left_anti"))
+    open_ = edges
+    while not open_.isEmpty():
+        state = open_.join(heads.withColumn("_head", F.lit(True)), "name", "left").groupBy("observed").agg(F.max(F.coalesce("_head", F.lit(False))).alias("_near"))
+        members = cut(state.where("_near").select("observed"))
+        left = open_.join(members, "observed", "left_anti")  # of names not settled yet
+        left = cut(left.join(members.select(F.col("observed").alias("name")), "name", "left_anti"))
+        still = left.select("observed").distinct()
+        fresh = open_.select("observed").distinct().join(members, "observed", "left_anti").join(still, "observed", "left_anti")
+        heads = cut(heads.unionByName(fresh.select(F.col("observed").alias("name"))))
+        open_ = left
+    joined = edges.join(heads, "name").groupBy("observed").agg(F.min_by("name", place("name")).alias("head")).select(F.col("observed").alias("name"), "head")
+    member = joined.unionByName(heads.select("name", F.col("name").alias("head"))).join(distinct, "name")
+    group = member.groupBy("head").agg(F.min_by("name", F.struct(-F.col("seen"), place("name"))).alias("label"), F.sum("seen").alias("size"))
+    return member.join(group, "head").select("name", "label", "size")
 
 
 def review_reasons(confidence: Column, ditto_source: Column, unknown: Column, floor: float = 0.85) -> Column:
