@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brinewood.functions.fuzzy import ro_ratio
+from brinewood.functions.lexical import PRINTED_FLOOR, headings, near_any
 from brinewood.functions.text import fold
 from brinewood.sources.store import cut
 
 #: Fixed values.
 CLEAN_SCORE, SUGGEST_FLOOR, SUGGESTIONS, LENGTH_BAND = 0.95, 0.62, 4, 3
-CLUSTER_FLOOR = 0.75
+CLUSTER_FLOOR, REFUSED_FLOOR = 0.75, 0.85
 #: Kinds of letters (with their counts) up to which the table of how rare they are is broadcast.
 RARITIES = 50_000
 TOKEN = r"^[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ'\-]{2,}$"
@@ -26,6 +29,25 @@ def build(words: DataFrame, word: str, refused: DataFrame | None = None, least:
     return names.where(F.col("seen") >= least)
 
 
+def build_from_rows(rows: DataFrame, refused: tuple[str, ...] = (), captions: tuple[str, ...] = (), printed: tuple[str, ...] = (), least: int = 1) -> DataFrame:
+    """name, seen: the names that an archive's own rows (name_raw, score, by_hand) give, counted.
+
+    Only rows count that a person made or that were read with a clean score, and no headings. A word is left out that is near one of ``refused``
+    (what people were, not who) or of ``printed`` (the form's own words); each distinct word is judged once.
+    """
+    clean = rows.where(F.coalesce("by_hand", F.lit(False)) | (F.coalesce("score", F.lit(0.0)) >= CLEAN_SCORE))
+    if captions or printed:
+        clean = clean.withColumn("_row", F.monotonically_increasing_id())
+        caption = headings(clean, ["_row"], "name_raw", captions, printed).where("heading").select("_row")
+        clean = clean.join(caption, "_row", "left_anti")
+    words = clean.select(F.explode(F.split(F.trim("name_raw"), r"\s+")).alias("w")).where(F.col("w").rlike(TOKEN))
+    counted = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("_low", fold(F.col("w"), "lower"))
+    for near, floor in ((refused, REFUSED_FLOOR), (printed, PRINTED_FLOOR)):
+        if near:
+            counted = counted.where(~near_any(near, floor)(F.col("_low")))
+    return counted.groupBy(fold(F.col("w"), compat=True).alias("name")).agg(F.sum("n").cast("long").alias("seen")).where(F.col("seen") >= least)
+
+
 def letters_of(c: Column) -> Column:
     """A word's letters as tokens that can be counted: each with how often it has come before and now."""
     one = F.split(c, "")
@@ -91,19 +113,24 @@ def doubtful(readings: DataFrame, key: list[str], text: str, names: DataFrame, m
     return hits
 
 
-def cluster(names: DataFrame, name: str = "name", seen: str = "seen", floor: float = CLUSTER_FLOOR) -> DataFrame:
+def cluster(names: DataFrame, name: str = "name", seen: str = "seen", floor: float = CLUSTER_FLOOR, form: Callable[[Column], Column] | None = None) -> DataFrame:
     """name, label, size: greedy groups of spellings; the longest come first and join the first group whose representative is near.
 
     A name is a representative if none of the earlier names near it is one. That is settled in rounds over the near pairs, cut after each: a name with a
     near earlier representative is none, one whose near earlier names are all settled as none is one. Rounds are as many as the longest chain of
     names of which each waits for the one before; no name is ever compared with all. The label is the member seen most, the first of equals.
+    ``form``: what of a name is compared (folded, say), if not the name.
 
-    Cases: null names take no part; repeated names add up; an empty table gives an empty result.
+    Cases: null names take no part; repeated names add up; names of an empty form are near none; an empty table gives an empty result.
     """
-    distinct = cut(names.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.sum(seen).cast("long").alias("seen")))
+    shown = F.col("name") if form is None else form(F.col("name"))
+    distinct = cut(names.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.sum(seen).cast("long").alias("seen")).withColumn("form", shown))
     place = lambda c: F.struct(-F.length(c), F.col(c))
-    pairs = near_pairs(distinct.select(F.col("name").alias("observed")), distinct, floor).where(place("name") < place("observed"))
-    edges = cut(pairs.where(ro_ratio("observed", "name") >= floor))
+    forms = distinct.select("form").distinct()
+    near = near_pairs(forms.select(F.col("form").alias("observed")), forms.select(F.col("form").alias("name")), floor)
+    near = cut(near.where(ro_ratio("observed", "name") >= floor).select(F.col("observed").alias("_late"), F.col("name").alias("_early")))
+    late, early = (distinct.select(F.col("name").alias(c), F.col("form").alias(f)) for c, f in (("observed", "_late"), ("name", "_early")))
+    edges = cut(near.join(late, "_late").join(early, "_early").where(place("name") < place("observed")).select("observed", "name"))
     waiting = edges.select(F.col("observed").alias("name")).distinct()
     heads = cut(distinct.select("name").join(waiting, "name", "left_anti"))
     open_ = edges
@@ -117,7 +144,7 @@ def cluster(names: DataFrame, name: str = "name", seen: str = "seen", floor: flo
         heads = cut(heads.unionByName(fresh.select(F.col("observed").alias("name"))))
         open_ = left
     joined = edges.join(heads, "name").groupBy("observed").agg(F.min_by("name", place("name")).alias("head")).select(F.col("observed").alias("name"), "head")
-    member = joined.unionByName(heads.select("name", F.col("name").alias("head"))).join(distinct, "name")
+    member = joined.unionByName(heads.select("name", F.col("name").alias("head"))).join(distinct.drop("form"), "name")
     group = member.groupBy("head").agg(F.min_by("name", F.struct(-F.col("seen"), place("name"))).alias("label"), F.sum("seen").alias("size"))
     return member.join(group, "head").select("name", "label", "size")
 

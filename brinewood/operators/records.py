@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from brinewood.functions.lexical import headings
 from brinewood.functions.text import fold, row_text, similarity, squeeze
 from brinewood.operators.carry import carry_forward, run_ids
+from brinewood.operators.lexicon import cluster
 
 #: Fixed value: records of a later version are skipped.
 SCHEMA_VERSION = 18
@@ -199,6 +200,22 @@ def summary(records: DataFrame) -> DataFrame:
     )
 
 
+def said_groups(records: DataFrame, fields: tuple[str, ...] = ("ship", "line")) -> DataFrame:
+    """field, label, n: what records' voyages state of each field, spellings of one name grouped under the commonest."""
+    out = None
+    for field in fields:
+        said = records.select(F.col(f"voyage.{field}").alias("name")).where(F.coalesce("name", F.lit("")) != "")
+        counted = said.groupBy("name").agg(F.count(F.lit(1)).alias("seen"))
+        groups = cluster(counted, form=lambda c: fold(c, "lower", letters_only=True)).select(F.lit(field).alias("field"), "label", F.col("size").alias("n")).distinct()
+        out = groups if out is None else out.unionByName(groups)
+    return out
+
+
+def said_years(records: DataFrame) -> DataFrame:
+    """year, n: how many records' voyages state each year."""
+    return records.where("voyage.year <> 0").groupBy(F.col("voyage.year").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def status(records: DataFrame, version: int = SCHEMA_VERSION) -> DataFrame:
     """records, rows, named, stale, errors, and of how many records each of ``REPORTED`` says something."""
     said = lambda c: F.coalesce(c.cast("string"), F.lit("")).isin("", "0") == F.lit(False)

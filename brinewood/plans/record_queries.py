@@ -362,3 +362,26 @@ def form_fields(orders: DataFrame, customer: DataFrame) -> DataFrame:
     fragments = o.where("k = 0").select("o_orderkey", F.explode(placed).alias("b")).select("o_orderkey", "b.*")
     got = voyage.parse_pages(o.select("o_orderkey", text.alias("text")), _SEA, ("o_orderkey",), fragments=fragments)
     return got.select("o_orderkey", "source", "ship", "flag", "line", "port", "arrival", "year", "year_source", "month", "passengers")
+
+
+# --- what an archive says of itself -------------------------------------------------------------------------------------------
+
+@query("customer", sql="SELECT 'ship' AS field, c_mktsegment AS label, count(*) AS n FROM customer WHERE c_custkey % 4 <> 0 GROUP BY 2 UNION ALL SELECT 'line', 'Line ' || c_mktsegment, count(*) FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 2")
+def stated_ships_and_lines(customer: DataFrame) -> DataFrame:
+    """Ships and lines that records state, some of them misspelt, grouped by spelling."""
+    name = F.when(F.col("c_custkey") % 7 == 1, F.concat(F.col("c_mktsegment"), F.lit("X"))).when(F.col("c_custkey") % 11 == 2, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment"))
+    some = lambda m, c: F.when(F.col("c_custkey") % m != 0, c)
+    return records.said_groups(customer.select(F.struct(some(4, name).alias("ship"), some(3, F.concat(F.lit("Line "), name)).alias("line")).alias("voyage")))
+
+
+@query("customer", sql=f"WITH {_VOYAGE} SELECT CAST(year AS INTEGER) AS year, count(*) AS n FROM v WHERE year <> 0 GROUP BY 1")
+def stated_years(customer: DataFrame) -> DataFrame:
+    got = records.said_years(_dossiers(customer))
+    return got.select(F.col("year").cast("int").alias("year"), "n")
+
+
+@query("part", sql="SELECT upper(w) AS name, count(*) AS seen FROM (SELECT unnest(string_split(p_name, ' ')) AS w, * FROM part WHERE p_size % 10 = 0 OR p_partkey % 100 >= 95) WHERE w NOT IN ('bolt', 'gear') AND length(w) >= 3 GROUP BY 1")
+def dictionary_from_rows(part: DataFrame) -> DataFrame:
+    """Names counted from rows that a person made or that were read cleanly; words near a refused one are left out."""
+    rows = part.select(F.col("p_name").alias("name_raw"), (F.col("p_partkey") % 100 / 100).alias("score"), (F.col("p_size") % 10 == 0).alias("by_hand"))
+    return lexicon.build_from_rows(rows, ("bolt", "gears"))

@@ -52,3 +52,15 @@ def test_groups_equal_those_made_one_by_one(spark, floor):
 
 def test_groups_of_nothing(spark):
     assert lexicon.cluster(spark.createDataFrame([], "name string, seen long")).count() == 0
+
+
+def test_dictionary_from_rows(spark):
+    rows = [("Silva Maria", 0.97, False), ("Silva", 0.5, False), ("silva Jose", None, True), ("Lavrador Lavradur Ana-Rosa d'Avila x9 Jo", 0.96, None), ("Nomes e Cognomes", 0.99, False), (None, 0.99, False), ("Classe", 0.99, False)]
+    got = lexicon.build_from_rows(spark.createDataFrame(rows, "name_raw string, score double, by_hand boolean"), ("lavrador",), ("NOMES E COGNOMES",), ("classe",))
+    assert {r.name: r.seen for r in got.collect()} == {"SILVA": 2, "MARIA": 1, "JOSE": 1, "ANA-ROSA": 1, "D'AVILA": 1}
+
+
+def test_groups_by_form(spark):
+    rows = [("Itapuca", 2), ("ITAPUÇA", 1), ("itapuco", 1), ("Formosa", 1), ("--", 1), ("..", 1)]
+    got = lexicon.cluster(spark.createDataFrame(rows, "name string, seen long"), form=lambda c: lexicon.fold(c, "lower", letters_only=True)).collect()
+    assert {(r.name, r.label, r["size"]) for r in got} == {("Itapuca", "Itapuca", 4), ("ITAPUÇA", "Itapuca", 4), ("itapuco", "Itapuca", 4), ("Formosa", "Formosa", 1), ("--", "--", 1), ("..", "..", 1)}
