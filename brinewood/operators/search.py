@@ -1,7 +1,7 @@
 """Error-tolerant ranked search: gram index, similarity join, re-ranking and composition of tiers.
 
-Similarity above zero needs a shared gram, so postings lose nothing: an index has a row per line and distinct gram, with the number
-of the line's grams, clustered by gram. A query reads its own grams' rows and counts them per line, which gives the exact
+Similarity above zero needs a shared gram, so postings lose nothing: an index lists, per gram and block of lines, the places of the lines that
+have it, clustered by gram. A query reads its own grams' rows and counts them per line, which with the line's number of grams gives the exact
 Jaccard value; no text is read again. Many queries at once meet the lines in matrix products instead.
 """
 
@@ -12,11 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewood.functions.fuzzy import may_reach, ro_ratio
 from brinewood.functions.text import fold, trigrams
+from brinewood.sources.store import cut
 
 #: Fixed values.
 MIN_QUERY = 3
@@ -74,38 +76,64 @@ def query_codes(spark: SparkSession, query: str) -> np.ndarray:
     return gram_codes(folded) if len(folded) >= MIN_QUERY else np.zeros(0, np.int64)
 
 
+#: Lines whose postings stand together.
+BLOCK_LINES = 8192
+
+
 def postings(lines: DataFrame, key: list[str], text: str = "folded") -> DataFrame:
-    """gram, key, n_grams: the index of ``lines``, a row per line and distinct gram, clustered by gram.
+    """The index of ``lines``: gram, _block, _rows, and for each block one row without gram that has its lines' keys and n_grams as arrays.
 
-    Ranges are of gram and key, so that a gram which most lines have is spread over as many partitions as it takes.
+    Lines go in blocks as they come; a row per gram and block lists the places in the block that have the gram, so an index has a row
+    for many postings, two bytes or so for each. Ranges are of gram and block, so that a gram which most lines have is spread over as many partitions
+    as it takes. Texts are read once: what the blocks give is cut before it is dealt into ranges.
     """
     rows = lines.select(*key, F.coalesce(F.col(text), F.lit("")).alias(text))
-    schema = ", ".join(["gram long", *(f"`{c}` {t}" for c, t in rows.dtypes if c != text), "n_grams int"])
+    kinds = {c: t for c, t in rows.dtypes if c in key}
+    schema = ", ".join(["gram long", "_block long", "_rows array<int>", *(f"`{c}` array<{t}>" for c, t in kinds.items()), "n_grams array<int>"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, BLOCK_LINES):
+                b = whole.slice(at, BLOCK_LINES)
                 each = [gram_codes(t.as_py()) for t in b.column(text)]
                 size = np.array([len(x) for x in each], np.int32)
-                row = pa.array(np.repeat(np.arange(b.num_rows), size))
-                cols = [pa.array(np.concatenate(each)), *(b.column(c).take(row) for c in key), pa.array(np.repeat(size, size))]
-                yield pa.RecordBatch.from_arrays(cols, ["gram", *key, "n_grams"])
+                codes, place = np.concatenate(each), np.repeat(np.arange(b.num_rows, dtype=np.int32), size)
+                order = np.argsort(codes, kind="stable")
+                codes, place = codes[order], place[order]
+                first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+                none = lambda kind: pa.nulls(first.size, pa.list_(kind))
+                held = pa.ListArray.from_arrays(pa.array(np.append(first, codes.size), pa.int32()), pa.array(place))
+                cols = [pa.array(codes[first]), pa.array(np.full(first.size, block)), held, *(none(b.column(c).type) for c in kinds), none(pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, ["gram", "_block", "_rows", *kinds, "n_grams"])
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                cols = [pa.nulls(1, pa.int64()), pa.array([block]), pa.nulls(1, pa.list_(pa.int32())), *(one(b.column(c)) for c in kinds), one(pa.array(size))]
+                yield pa.RecordBatch.from_arrays(cols, ["gram", "_block", "_rows", *kinds, "n_grams"])
+                block += 1
+
+    return cut(rows.mapInArrow(of, schema)).repartitionByRange("gram", "_block").sortWithinPartitions("gram", "_block")
+
 
-    return rows.mapInArrow(of, schema).repartitionByRange("gram", *key).sortWithinPartitions("gram", *key)
+def index_size(index: DataFrame) -> DataFrame:
+    """postings, grams, lines of an index."""
+    held = F.col("gram").isNotNull()
+    total = lambda when, c: F.coalesce(F.sum(F.when(when, F.size(c))).cast("long"), F.lit(0).cast("long"))
+    return index.agg(total(held, "_rows").alias("postings"), F.countDistinct("gram").alias("grams"), total(~held, "n_grams").alias("lines"))
 
 
 def scored_postings(index: DataFrame, query: str, key: list[str], floor: float = MIN_SCORE) -> DataFrame:
-    """key, name_score of the lines at or above the floor: the index is read at the query's grams only, and their rows are counted."""
+    """key, name_score of the lines at or above the floor: the index is read at the query's grams only, and their places are counted."""
     codes = query_codes(index.sparkSession, query).tolist()
+    lines = index.where("gram is null").select("_block", F.posexplode(F.arrays_zip(*key, "n_grams")).alias("_row", "_l")).select("_block", "_row", "_l.*")
     if not codes:
-        return index.select(*key, F.lit(0.0).alias("name_score")).where(F.lit(False))
+        return lines.select(*key, F.lit(0.0).alias("name_score")).where(F.lit(False))
     wanted = F.lit(False)
     for at in range(0, len(codes), 10):  # so many values are pushed down to the files as they are; of more only their range
         wanted = wanted | F.col("gram").isin(codes[at : at + 10])
-    hits = index.where(wanted).groupBy(*key).agg(F.count(F.lit(1)).alias("both"), F.max("n_grams").alias("n"))
-    score = F.col("both") / (F.col("n") + len(codes) - F.col("both"))
-    return hits.where(F.col("both") >= max(1, math.ceil(floor * len(codes) - 1e-9))).select(*key, score.alias("name_score")).where(F.col("name_score") >= floor)
+    hits = index.where(wanted).select("_block", F.explode("_rows").alias("_row")).groupBy("_block", "_row").agg(F.count(F.lit(1)).alias("both"))
+    hits = hits.where(F.col("both") >= max(1, math.ceil(floor * len(codes) - 1e-9))).join(lines, ["_block", "_row"])
+    score = F.col("both") / (F.col("n_grams") + len(codes) - F.col("both"))
+    return hits.select(*key, score.alias("name_score")).where(F.col("name_score") >= floor)
 
 
 def best_hits(scored: DataFrame, key: list[str], limit: int | None = 50) -> DataFrame:

@@ -64,7 +64,7 @@ KEY = ["doc_id", "pos"]
 def index_of_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The kept index of a folder's documents, by line; its rows carry the group of the line."""
     path = f"{folder}/documents.parquet"
-    return store.kept(spark, "line-grams", path, lambda: search.postings(_lines(spark.read.parquet(path)), ["doc_id", "pos", "source"]))
+    return store.kept(spark, "line-blocks", path, lambda: search.postings(_lines(spark.read.parquet(path)), ["doc_id", "pos", "source"]))
 
 
 def _scored_sql(name: str) -> str:
@@ -84,7 +84,7 @@ _LINE_GRAMS = f"WITH {LINES}, g AS (SELECT DISTINCT doc_id, pos, substr(p, i, 3)
 @folder_query(sql=_LINE_GRAMS + " SELECT count(*) AS postings, count(DISTINCT gram) AS grams, count(DISTINCT (doc_id, pos)) AS lines FROM g")
 def search_index(spark: SparkSession, folder: str) -> DataFrame:
     """How large the kept index is; builds it if it isn't there."""
-    return index_of_lines(spark, folder).agg(F.count(F.lit(1)).alias("postings"), F.countDistinct("gram").alias("grams"), F.countDistinct("doc_id", "pos").alias("lines"))
+    return search.index_size(index_of_lines(spark, folder))
 
 
 @folder_query(sql=_scored_sql(NAME) + " SELECT doc_id, pos, round(s, 3) AS score FROM s ORDER BY score DESC, doc_id, pos LIMIT 50")
