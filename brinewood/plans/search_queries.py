@@ -64,7 +64,7 @@ KEY = ["doc_id", "pos"]
 def index_of_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The kept index of a folder's documents, by line; its rows carry the group of the line."""
     path = f"{folder}/documents.parquet"
-    return store.kept(spark, "line-blocks", path, lambda: search.postings(_lines(spark.read.parquet(path)), ["doc_id", "pos", "source"]))
+    return store.kept(spark, "gram-blocks", path, lambda: search.postings(_lines(spark.read.parquet(path)), ["doc_id", "pos", "source"]))
 
 
 def _scored_sql(name: str) -> str:
