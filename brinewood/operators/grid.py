@@ -31,6 +31,9 @@ NUMBER_CHARS, NUMBER_WIDTH = 3, 1.2
 #: Heading rows: cells at least, lines at most, share of the sheet they span, widest cell, and how far down they may be.
 CELLS, HEAD_LINES, SPAN, WIDEST_CELL, HEAD_UNTIL = 4, 4, 0.55, 0.22, 0.7
 
+#: Spellings of a heading up to which they are broadcast.
+SPELLINGS = 50_000
+
 BOX = ("x0", "y0", "x1", "y1")
 
 
@@ -49,8 +52,10 @@ def headings(boxes: DataFrame, key: list[str], wordings: tuple[str, ...], floor:
     near = F.lit(False)
     for w in wordings:
         near = near | may_reach(F.col("_f"), F.lit(w), floor)
-    texts = rows.select("_f").distinct().where((F.col("_f") != "") & near)
-    known = texts.withColumn("_r", best_ratio(wordings)(F.col("_f"))).where(F.col("_r") >= floor)
+    rows = rows.where((F.col("_f") != "") & near)
+    texts = cut(rows.select("_f").distinct())
+    known = cut(texts.withColumn("_r", best_ratio(wordings)(F.col("_f"))).where(F.col("_r") >= floor))
+    known = F.broadcast(known) if known.count() <= SPELLINGS else known  # few spellings are near: boxes needn't be shuffled by their text
     best = rows.join(known, "_f").groupBy(*key).agg(F.max_by(F.struct(*BOX), F.struct("_r", -F.col("y0"), -F.col("x0"))).alias("_b"))
     return best.select(*key, *[F.col(f"_b.{c}").alias(f"h{c}") for c in BOX])
 

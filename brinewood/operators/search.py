@@ -153,8 +153,8 @@ def scored_lines(lines: DataFrame, query: str, key: list[str], floor: float = MI
     return scored_batch([codes], lines.select(*key, text), key, floor, text).select(*key, "name_score") if len(codes) else lines.select(*key, F.lit(0.0).alias("name_score")).where(F.lit(False))
 
 
-#: Grams of queries that are held against lines at a time.
-BLOCK_GRAMS = 1 << 16
+#: Grams of queries that are held against lines at a time, and cells (grams by queries, four bytes each) that a block's matrix has at most.
+BLOCK_GRAMS, BLOCK_CELLS = 1 << 16, 1 << 24
 
 
 def scored_batch(queries: list[np.ndarray], lines: DataFrame, key: list[str], floor: float = MIN_SCORE, text: str = "folded") -> DataFrame:
@@ -192,7 +192,7 @@ def scored_batch(queries: list[np.ndarray], lines: DataFrame, key: list[str], fl
 def search_many(queries: DataFrame, qkey: str, qtext: str, lines: DataFrame, key: list[str], floor: float = MIN_SCORE, text: str = "folded", most: int = 20_000) -> DataFrame:
     """qkey, key, name_score of all pairs of queries and lines at or above the floor; both texts are folded.
 
-    Up to ``most`` queries, which are counted, go to the lines in blocks of bounded size, one scan per block; more are joined
+    Up to ``most`` queries, which are counted, go to the lines in blocks whose matrix has a bounded size, one scan per block; more are joined
     on grams.
     """
     if queries.count() > most:
@@ -202,7 +202,8 @@ def search_many(queries: DataFrame, qkey: str, qtext: str, lines: DataFrame, key
     size = 0
     for r in queries.select(qkey, F.coalesce(F.col(qtext), F.lit("")).alias(qtext)).collect():  # at most ``most`` rows
         codes = gram_codes(r[qtext])
-        if size + len(codes) > BLOCK_GRAMS and blocks[-1]:
+        grown = size + len(codes)
+        if blocks[-1] and (grown > BLOCK_GRAMS or grown * (len(blocks[-1]) + 1) > BLOCK_CELLS):
             blocks.append([])
             size = 0
         size += len(codes)
