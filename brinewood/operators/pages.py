@@ -195,16 +195,19 @@ def best_pitch(lines: DataFrame, key: list[str], pitches: tuple[float, float] =
     """
     page = lines.groupBy(*key).agg(F.array_sort(F.collect_list(F.col("line").cast("double"))).alias("_c")).where(F.size("_c") >= LEAST_LINES)
     n = round((pitches[1] - pitches[0]) / step)
+    page = page.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)  # few bytes, much work: not to be coalesced by size
     tries = page.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_p", pitches[0] + F.col("_p") * step)
     tooth = lambda c, at: F.rint((c - at) / F.col("_p"))
 
     def judged(at: Column) -> Column:
         teeth = F.transform(F.filter("_c", lambda c: F.abs(c - (at + tooth(c, at) * F.col("_p"))) < F.col("_p") * near), lambda c: tooth(c, at))
-        return F.struct(F.size(teeth).alias("n"), (F.array_max(teeth) - F.array_min(teeth) + 1).alias("span"), (-at).alias("up"))
+        told = lambda x: F.struct(F.size(x).alias("n"), (F.array_max(x) - F.array_min(x) + 1).alias("span"))
+        score = lambda t: F.when(t["n"] >= LEAST_LINES, F.struct((t["n"] + 3 * (t["n"] / t["span"])).alias("score"), (-at).alias("up")))
+        return F.transform(F.transform(F.array(teeth), told), score)[0]  # each is named, so that it is worked out once
 
-    score = F.transform(F.transform("_c", judged), lambda t: F.struct(F.when(t["n"] >= LEAST_LINES, t["n"] + 3 * (t["n"] / t["span"])).alias("score"), t["up"].alias("up")))
-    tries = tries.withColumn("_b", F.array_max(F.filter(score, lambda s: s["score"].isNotNull()))).where(F.col("_b").isNotNull())
-    best = tries.groupBy(*key).agg(F.max_by(F.struct("_p", (-F.col("_b.up")).alias("_at"), "_c"), F.struct("_b.score", -F.col("_p"), "_b.up")).alias("_t"))
+    tries = tries.withColumn("_b", F.array_max(F.transform("_c", judged)))
+    rank = F.when(F.col("_b").isNotNull(), F.struct("_b.score", -F.col("_p"), "_b.up"))
+    best = tries.groupBy(*key).agg(F.max_by(F.struct("_p", (-F.col("_b.up")).alias("_at"), "_c"), rank).alias("_t")).where("_t is not null")
     kept = best.select(*key, "_t._p", "_t._at", F.explode("_t._c").alias("_y")).withColumn("_i", F.rint((F.col("_y") - F.col("_at")) / F.col("_p")))
     kept = kept.where(F.abs(F.col("_y") - (F.col("_at") + F.col("_i") * F.col("_p"))) < F.col("_p") * near)
     return kept.groupBy(*key).agg(F.regr_slope("_y", "_i").alias("pitch"), F.regr_intercept("_y", "_i").alias("intercept"))
