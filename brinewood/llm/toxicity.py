@@ -48,6 +48,10 @@ BEGINNINGS = range(3, 8)
 _BREAK = re.compile(r"[\W_]+")
 #: Words whose features a worker keeps.
 KEPT_WORDS = 120_000
+#: Patterns of marks that a task of a pass sums up at least, where there are more tasks than cores.
+PATTERNS_EACH = 20_000
+#: Texts of the positives whose features are spread out at once.
+TEXTS_AT_ONCE = 64
 
 
 def words_of(text: str) -> list[str]:
@@ -217,7 +221,7 @@ def _positive_features(toxic: DataFrame) -> DataFrame:
     """words (one value per set of words) and keys (all features) of the positives; texts with the same words are one."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(at, TEXTS_AT_ONCE) for b in batches for at in range(0, b.num_rows, TEXTS_AT_ONCE)):
             keys, sign = [], []
             for t in b.column("text"):
                 words = set(words_of(t.as_py()))
@@ -238,6 +242,12 @@ def _ratio(in_p: np.ndarray, n_p: float, in_u: np.ndarray, n_u: float) -> np.nda
     return np.where(a * n_u > b * n_p, ratio, 0.0)
 
 
+def in_few_tasks(patterns: DataFrame) -> DataFrame:
+    """``patterns`` (cut) in as many tasks as their number asks for: every task of a pass gives a sum per mark, however few patterns it has read."""
+    context = patterns.sparkSession.sparkContext
+    return patterns.coalesce(max(context.defaultParallelism, patterns.count() // PATTERNS_EACH))
+
+
 def _negative_sums(patterns: DataFrame, theta: np.ndarray) -> np.ndarray:
     """``loss_sums`` of all ``patterns`` (marks, n) as if they were clean: partial sums on the executors."""
 
@@ -283,7 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, positi
     marked = cut(_with_marks(rows, model))
     if not len(chosen):
         return Linear(float(np.log(prior / (1 - prior))), [], np.zeros(0)), marked
-    patterns = cut(marked.where(~F.col("held_out")).groupBy("marks").agg(F.count(F.lit(1)).alias("n")))
+    patterns = in_few_tasks(cut(marked.where(~F.col("held_out")).groupBy("marks").agg(F.count(F.lit(1)).alias("n"))))
     texts = training_rows(docs, labels.where("toxic = 1"), "toxic", fold, positives).select("doc_id", F.col("text").cast("string").alias("text"))
     p = _with_marks(texts, model).groupBy("doc_id", "marks").count().select("marks").toArrow().column("marks")  # at most ``positives`` rows
     p = packed([np.array(x.as_py(), np.int64) for x in p])

@@ -93,6 +93,14 @@ def test_passes_over_the_table_sum_what_one_list_does(spark):
     assert np.allclose(toxicity._negative_sums(table, theta), toxicity.loss_sums(toxicity.packed(lists, n.astype(float)), theta, -1))
 
 
+def test_passes_over_few_patterns_take_few_tasks(spark):
+    many = spark.createDataFrame([([i % 7], 1) for i in range(600)], "marks array<int>, n long").repartition(60)
+    few = toxicity.in_few_tasks(many)
+    assert few.rdd.getNumPartitions() <= max(4, spark.sparkContext.defaultParallelism) < 60
+    theta = np.linspace(-1, 1, 8)
+    assert np.allclose(toxicity._negative_sums(few, theta), toxicity._negative_sums(many, theta))
+
+
 def test_lbfgs_finds_the_minimum():
     a = np.diag([1.0, 30.0, 0.2])
     got = toxicity.minimise(lambda t: (float((t - 1) @ a @ (t - 1)), 2 * a @ (t - 1)), np.zeros(3), steps=60)
