@@ -3,7 +3,7 @@
 Ink comes as runs, the way bilevel scans are stored: key, y, x0, x1 for the pixels x0 to x1 - 1 of row y; ``sizes`` has key, width,
 height. What is measured on a page is a profile (ink per row or column, which runs give without being spread into pixels) or a few numbers
 per line or rule, so all is aggregation, windows and equi-joins on the page; only the skew spreads ink into points, of a page
-made small.
+made small, and turns those of a page together.
 
 Cases: rows with a null key take no part; runs that overlap count once after ``merged``, and empty or null ones are dropped by it; a page
 without ink, or without what a step looks for, has no row in that step's result, and ``table_grids`` gives it none; ties
@@ -12,6 +12,10 @@ are settled by position, as each function says; columns besides those named are
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,44 +54,47 @@ def shrunk(ink: DataFrame, sizes: DataFrame, key: list[str], side: int = SKEW_SI
     """key, x, y, width, height: inked cells of pages whose longer side is made about ``side``; a cell is ink if over half of it is."""
     scale = F.greatest(F.lit(1), F.floor(F.greatest("width", "height") / side)).cast("int")
     small = sizes.select(*key, scale.alias("_s"), F.floor(F.col("width") / scale).cast("int").alias("width"), F.floor(F.col("height") / scale).cast("int").alias("height"))
-    rows = ink.join(small, key).withColumn("y", F.floor(F.col("y") / F.col("_s")).cast("int"))
+    rows = ink.join(small, key).repartition(*key).withColumn("y", F.floor(F.col("y") / F.col("_s")).cast("int"))  # once for all that follows
     rows = rows.withColumn("x", F.explode(F.sequence(F.floor(F.col("x0") / F.col("_s")).cast("int"), F.floor((F.col("x1") - 1) / F.col("_s")).cast("int"))))
     part = F.least("x1", (F.col("x") + 1) * F.col("_s")) - F.greatest("x0", F.col("x") * F.col("_s"))
     cells = rows.where("x < width and y < height").groupBy(*key, "x", "y", "width", "height", "_s").agg(F.sum(part).alias("_n"))
     return cells.where(F.col("_n") * 2 > F.col("_s") * F.col("_s")).drop("_n", "_s")
 
 
-def sharpness(points: DataFrame, key: list[str], angles: Column, measure: str = "peak") -> DataFrame:
-    """key, angle (hundredths of a degree), sharpness of the points turned by each of the angles.
+def _profile_sharpness(bins: np.ndarray, measure: str) -> int:
+    """Sharpness of one axis: the fullest bin, or the squared differences of neighbouring bins, the empty ones at either end too."""
+    n = np.bincount(bins - bins.min())
+    return int(n.max()) if measure == "peak" else int((np.diff(np.concatenate(([0], n, [0]))) ** 2).sum())
+
+
+def sharpness(x: np.ndarray, y: np.ndarray, angle: int, measure: str = "peak") -> int:
+    """Sharpness of a page's points (from its middle) turned by an angle in hundredths of a degree.
 
     Points are dealt into rows and columns of the turned page. "peak" adds the fullest row to the fullest column; "contrast" adds up the squared
     differences of neighbouring rows and of neighbouring columns.
     """
-    turn = F.radians(F.col("angle") / 100.0)
-    x, y = F.col("x") - F.floor(F.col("width") / 2), F.col("y") - F.floor(F.col("height") / 2)
-    bins = [F.floor(x * F.cos(turn) + y * F.sin(turn) + 0.5), F.floor(y * F.cos(turn) - x * F.sin(turn) + 0.5)]
-    rows = points.withColumn("angle", F.explode(angles)).select(*key, "angle", F.posexplode(F.array(*bins)).alias("axis", "bin"))
-    counts = rows.groupBy(*key, "angle", "axis", "bin").agg(F.count(F.lit(1)).alias("n"))
-    if measure == "peak":
-        per = counts.groupBy(*key, "angle", "axis").agg(F.max("n").alias("n"))
-        return per.groupBy(*key, "angle").agg(F.sum("n").alias("sharpness"))
-    w = Window.partitionBy(*key, "angle", "axis").orderBy("bin")
-    before = F.when(F.col("bin") - F.lag("bin").over(w) == 1, F.lag("n").over(w)).otherwise(0)
-    ends = F.when(F.lead("bin").over(w) - F.col("bin") == 1, 0).otherwise(F.col("n"))  # down to the empty one after it
-    steps = counts.withColumn("_d", F.col("n") - before).withColumn("_e", ends)
-    return steps.groupBy(*key, "angle").agg(F.sum(F.col("_d") * F.col("_d") + F.col("_e") * F.col("_e")).alias("sharpness"))
+    turn = math.radians(angle / 100.0)
+    bins = (np.floor(x * math.cos(turn) + y * math.sin(turn) + 0.5), np.floor(y * math.cos(turn) - x * math.sin(turn) + 0.5))
+    return sum(_profile_sharpness(b.astype(np.int64), measure) for b in bins)
 
 
 def skew(ink: DataFrame, sizes: DataFrame, key: list[str], measure: str = "peak", search: int = SEARCH, coarse: int = COARSE, fine: int = FINE) -> DataFrame:
     """key, degrees: by how much a page is to be turned, counter-clockwise, for its ink to be sharpest along the axes.
 
-    All angles of a coarse grid, then those of a fine one around the best; of equals the smallest. Angles are whole hundredths.
+    All angles of a coarse grid, then those of a fine one around the best; of equals the smallest. Angles are whole hundredths. A page's points, which
+    are bounded since it was made small, stand in one array, so that no point is written once per angle.
     """
     points = shrunk(ink, sizes, key)
-    best = lambda s: s.groupBy(*key).agg(F.max_by("angle", F.struct("sharpness", -F.col("angle"))).alias("best"))
-    rough = best(sharpness(points, key, F.sequence(F.lit(-search), F.lit(search), F.lit(coarse)), measure))
-    near = F.sequence(F.col("best") - coarse, F.col("best") + coarse, F.lit(fine))
-    return best(sharpness(points.join(rough, key), key, near, measure)).select(*key, (F.col("best") / 100.0).alias("degrees"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.select(*key).schema)
+
+    def of(page: pa.Table) -> pa.Table:
+        x, y, width, height = (page.column(c).to_numpy().astype(np.int64) for c in ("x", "y", "width", "height"))
+        x, y = x - width // 2, y - height // 2
+        best = lambda angles: max((sharpness(x, y, a, measure), -a) for a in angles)[1] * -1
+        rough = best(range(-search, search + 1, coarse))
+        return page.select(key).slice(0, 1).append_column("degrees", pa.array([best(range(rough - coarse, rough + coarse + 1, fine)) / 100.0]))
+
+    return points.groupBy(*key).applyInArrow(of, f"{schema}, degrees double")
 
 
 # --- profiles, border, rules ---------------------------------------------------------------------------------------------

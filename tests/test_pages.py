@@ -193,3 +193,18 @@ def test_tables_are_found(made):
 def test_pages_of_nothing(spark):
     ink, sizes = spark.createDataFrame([], "page int, y int, x0 int, x1 int"), spark.createDataFrame([], "page int, width int, height int")
     assert pages.table_grids(ink, sizes, KEY).collect() == [] and pages.skew(ink, sizes, KEY).collect() == []
+
+
+@pytest.mark.parametrize("measure", ["peak", "contrast"])
+def test_points_are_not_written_once_per_angle(spark, made, measure):
+    """All angles of a page are tried where its points are: no row is made for a point and an angle."""
+    _, ink, _ = made
+    sizes = spark.createDataFrame([(1, 640, 1300), (3, 640, 1700)], "page int, width int, height int")
+    plan = pages.skew(ink, sizes, KEY, measure)._jdf.queryExecution().optimizedPlan().toString()
+    assert "angle" not in plan and plan.count("explode(sequence(") == 1
+
+
+def test_sharpness_of_points():
+    x, y = np.array([0, 0, 0, 2]), np.array([0, 1, 3, 3])
+    assert pages.sharpness(x, y, 0) == 3 + 2
+    assert pages.sharpness(x, y, 0, "contrast") == (9 + 9 + 1 + 1) + (1 + 0 + 1 + 4 + 4)
