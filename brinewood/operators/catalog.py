@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
@@ -150,6 +151,11 @@ def _first(words: Column, phrases: tuple[tuple[str, ...], ...]) -> Column:
     return F.array_min(F.filter(hit, lambda i: i.isNotNull()))
 
 
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is asked for there."""
+    return F.transform(F.array(value), use)[0]
+
+
 def title_parts(c: Column, grammar: Grammar = ARCHIVE) -> dict[str, Column]:
     """ship, rv number and see_also (three parts) of a catalogue title; each null if it isn't there.
 
@@ -163,17 +169,23 @@ def title_parts(c: Column, grammar: Grammar = ARCHIVE) -> dict[str, Column]:
     number = F.get(F.filter(bracketed, is_number), 0)
     open_ = F.regexp_replace(c, rf"(?i)\(\s*{grammar.numbered}[^()]*\)", " ")
     words = F.filter(F.split(F.regexp_replace(open_, r"(?<=\s)[-–]|[-–](?=\s|$)", " - "), r"\s+"), lambda w: w != "")
-    plain = F.transform(words, lambda w: F.regexp_replace(fold(w, "lower"), r"[^\p{L}\p{N}]+", ""))
-    n = F.size(words)
-    last = F.coalesce(F.try_element_at(plain, F.lit(-1)), F.lit(""))
-    levelled = (n >= 2) & (F.get(words, n - 2) == "-") & reduce(or_, [last.startswith(x) for x in grammar.levels])
-    note = F.coalesce(_first(plain, grammar.notes), n)
-    end = F.least(note, F.when(levelled, n - 2).otherwise(n))
-    begin = F.array_position(plain, grammar.named_after).cast("int")
-    ship = F.when((begin > 0) & (begin < end), F.array_join(F.slice(words, begin + 1, F.greatest(end - begin, F.lit(0))), " "))
-    see = _first(plain, (grammar.see,))
-    told = F.when(see.isNotNull(), F.array_join(F.slice(words, see + 1, n), " "))
-    return {"ship": some(F.regexp_replace(ship, r"^[-.\s]+|[-.\s]+$", "")), "rv": some(F.substr(number, F.lit(len(grammar.numbered) + 1))), "see_also": notation(told, grammar)}
+    plain = lambda words: F.transform(words, lambda w: F.regexp_replace(fold(w, "lower"), r"[^\p{L}\p{N}]+", ""))
+
+    def read(words: Column, plain: Column) -> Column:
+        n = F.size(words)
+        last = F.coalesce(F.try_element_at(plain, F.lit(-1)), F.lit(""))
+        levelled = (n >= 2) & (F.get(words, n - 2) == "-") & reduce(or_, [last.startswith(x) for x in grammar.levels])
+        note = F.coalesce(_first(plain, grammar.notes), n)
+        end = F.least(note, F.when(levelled, n - 2).otherwise(n))
+        begin = F.array_position(plain, grammar.named_after).cast("int")
+        ship = F.when((begin > 0) & (begin < end), F.array_join(F.slice(words, begin + 1, F.greatest(end - begin, F.lit(0))), " "))
+        see = _first(plain, (grammar.see,))
+        told = F.when(see.isNotNull(), F.array_join(F.slice(words, see + 1, n), " "))
+        return F.struct(ship.alias("ship"), told.alias("told"))
+
+    parts = _named(words, lambda w: _named(plain(w), lambda p: read(w, p)))
+    see_also = _named(parts["told"], lambda t: notation(t, grammar))
+    return {"ship": some(F.regexp_replace(parts["ship"], r"^[-.\s]+|[-.\s]+$", "")), "rv": some(F.substr(number, F.lit(len(grammar.numbered) + 1))), "see_also": see_also}
 
 
 def address(base: Column, fundo: Column, series: Column, index: Column, width: Column, part: Column, total: Column) -> Column:

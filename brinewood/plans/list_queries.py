@@ -287,8 +287,9 @@ _TITLE = "'quadro de embarque do vapor ' || p_name || CASE WHEN p_size % 2 = 0 T
 def catalog_titles(part: DataFrame) -> DataFrame:
     """Ship, number and cross-reference out of catalogue titles."""
     got = catalog.title_parts(F.expr(_TITLE))
-    see = got["see_also"]
-    return part.select("p_partkey", got["ship"].alias("ship"), got["rv"].alias("rv"), F.when(see.isNotNull(), F.concat_ws(".", see["fundo"], see["series"], see["index"])).alias("see_also"))
+    see = F.transform(F.array(got["see_also"]), lambda x: F.when(x.isNotNull(), F.concat_ws(".", x["fundo"], x["series"], x["index"])))[0]  # worked out once
+    titles = part.repartition(int(part.sparkSession.conf.get("spark.sql.shuffle.partitions")), "p_partkey")  # few bytes, much work
+    return titles.select("p_partkey", got["ship"].alias("ship"), got["rv"].alias("rv"), see.alias("see_also"))
 
 
 @query("part", sql="SELECT p_partkey, CASE WHEN p_size % 3 <> 2 THEN 'BS.ENT.' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') END AS notation, CASE p_size % 3 WHEN 0 THEN 'cover' WHEN 1 THEN 'filename' ELSE 'unknown' END AS identified_by, CASE WHEN p_size % 3 <> 2 THEN 'BS.ENT.' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE 'sem notação (' || substr(sha256(p_name), 1, 8) || ')' END AS label FROM part")

@@ -162,3 +162,12 @@ def test_find_richer_bands_and_columns(spark):
     assert [(r.n, r.name_raw, r.conf) for r in records.rows_from_bands(bands, read, ["p"]).orderBy("n").collect()] == [(1, "", 0.0), (2, "Silva", 0.9)]
     cols = F.array(*[F.lit(x) for x in (0.0, 0.1, 0.5, 0.6)])
     assert spark.range(1).select(records.widest_pair(cols).alias("x")).first().x == [0.1, 0.5]
+
+
+def test_a_title_is_folded_once(spark):
+    """Its words are named and then read: their plan stands in a title's plan a few times, not once per place that asks for a word."""
+    got = catalog.title_parts(F.col("t"))
+    rows = spark.createDataFrame([("quadro de embarque do vapor Alva (rv 4) - ver br an,rio ol.0.rpv, prj.12. - Dossiê",)], "t string").select(*[v.alias(k) for k, v in got.items()])
+    assert rows._jdf.queryExecution().analyzed().toString().count("regexp_replace") < 60
+    r = rows.first()
+    assert r.ship == "Alva" and r.rv == "4" and tuple(r.see_also) == ("OL", "PRJ", "12")
