@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,22 +95,27 @@ def overlapping(a: DataFrame, b: DataFrame, key: list[str], least: float, bin_wi
 def group_lines(boxes: DataFrame, key: list[str], overlap: float = 0.5) -> DataFrame:
     """Boxes (x0, y0, x1, y1) with the number of the line they're in: a box joins the first line whose last box it overlaps.
 
-    Depends on order, so each page's boxes go to Python together.
+    Depends on order, so each page's boxes are read one after the other: pages stand whole and sorted in a task, which goes from one to the next.
+    Of a page only the last box of each line is held. A null place is as good as none (NaN): such a box is a line of its own, after all others.
     """
-
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "x0"])
-        last: list[tuple[float, float]] = []
-        number = []
-        for a, b in zip(pdf["y0"], pdf["y1"], strict=True):
-            at = next((i for i, (c, d) in enumerate(last) if min(b, d) - max(a, c) >= overlap * min(b - a, d - c)), len(last))
-            if at == len(last):
-                last.append((a, b))
-            last[at] = (a, b)
-            number.append(at)
-        return pdf.assign(line_no=number)
-
-    return boxes.groupBy(*key).applyInPandas(of, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in boxes.schema)}, line_no long")
+    at = {c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in ("y0", "x0")}
+    rows = boxes.repartition(*key).sortWithinPartitions(*key, at["y0"], at["x0"])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        same = lambda a, b: all(x == y or (x != x and y != y) for x, y in zip(a, b, strict=True))
+        page, last = None, []
+        for batch in batches:
+            number = []
+            place = (batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False).tolist() for c in ("y0", "y1"))  # nulls are NaN
+            for own, a, b in zip(zip(*(batch.column(c).to_pylist() for c in key), strict=True), *place, strict=True):
+                if page is None or (own != page and not same(own, page)):
+                    page, last = own, []
+                i = next((i for i, (c, d) in enumerate(last) if min(b, d) - max(a, c) >= overlap * min(b - a, d - c)), len(last))
+                last[i : i + 1] = [(a, b)]
+                number.append(i)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number, pa.int64())], [*batch.schema.names, "line_no"])
+
+    return rows.mapInArrow(of, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in boxes.schema)}, line_no long")
 
 
 def seam(ink: np.ndarray, drift: float = 0.05) -> np.ndarray:

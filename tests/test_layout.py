@@ -48,3 +48,15 @@ def test_evaluation(spark):
     assert {r.q: (r["rank"], round(r.margin, 6)) for r in ranked.collect()} == {1: (1, 0.4), 2: (2, -0.1)}
     r = evaluate.recall(ranked, 2, 1).first()
     assert (r.found, r.recall, r.median_rank) == (1, 0.5, 2)
+
+
+def test_lines_of_many_pages_are_read_in_one_go(spark):
+    """Pages stand one after the other in a task, none is a call of its own; null and NaN places are lines of their own."""
+    nan = float("nan")
+    rows = [(p, float(k), 10.0 * (k // 2), 0.0, 10.0 * (k // 2) + 8) for p in [*range(700), None] for k in range(6)]
+    rows += [(9000, 0.0, None, 0.0, 5.0), (9000, 1.0, nan, 0.0, 5.0), (9000, 2.0, 1.0, 0.0, 5.0)]
+    got = layout.group_lines(spark.createDataFrame(rows, "p long, x0 double, y0 double, x1 double, y1 double"), ["p"])
+    assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    got = got.collect()
+    assert len(got) == len(rows) and all(r.line_no == r.x0 // 2 for r in got if r.p != 9000)
+    assert sorted((r.x0, r.line_no) for r in got if r.p == 9000) == [(0.0, 1), (1.0, 2), (2.0, 0)]
