@@ -268,10 +268,10 @@ def review_reasons(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 @query("documents")
 def heading_filter(docs: DataFrame) -> DataFrame:
-    """Lines that are captions and not readings, by the whole rule, over all lines; each distinct line is judged once."""
+    """Lines that are captions and not readings, by the whole rule, over all lines, each judged where it stands."""
     lines = extract.lines_of(docs, ["doc_id"])
-    judged = lexical.headings(lines.select("line").distinct(), ["line"], "line", ("THE", "THE AND ATTION TO", "UND IST"), ("thention", "anea", "tieren", "other"))
-    return lines.join(judged, "line").select("doc_id", F.col("pos").cast("long").alias("pos"), "heading")
+    judged = lexical.headings(lines, ["doc_id", "pos"], "line", ("THE", "THE AND ATTION TO", "UND IST"), ("thention", "anea", "tieren", "other"))
+    return judged.select("doc_id", F.col("pos").cast("long").alias("pos"), "heading")
 
 
 @query("benchmark", sql=f"SELECT item_id, round(levenshtein(substr(f, 2), f) / greatest(length(f), 1), 6) AS cer FROM (SELECT item_id, {FOLD.format('text')} AS f FROM benchmark)")

@@ -107,3 +107,11 @@ def test_sql_surface(spark):
     assert spark.sql("SELECT fold_name(' José ') AS x").first().x == "JOSE"
     assert spark.sql("SELECT trigram_similarity('MARIA', 'MARIA') AS x").first().x == 1.0 and "ro_ratio" in names
     assert spark.sql("SELECT ro_ratio('abcd', 'abce') AS x").first().x == 0.75
+
+
+def test_headings_are_judged_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(1, "registro consignado"), (2, None), (3, "registro desconhecido"), (3, "registro consignadc")], "k int, text string")
+    got = lexical.headings(rows, ["k"], "text", ("NOMES E COGNOMES",), ("registro", "consignado"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert sorted((r.k, bool(r.heading)) for r in got.collect()) == [(1, True), (2, False), (3, False), (3, True)]
