@@ -208,3 +208,10 @@ def test_sharpness_of_points():
     x, y = np.array([0, 0, 0, 2]), np.array([0, 1, 3, 3])
     assert pages.sharpness(x, y, 0) == 3 + 2
     assert pages.sharpness(x, y, 0, "contrast") == (9 + 9 + 1 + 1) + (1 + 0 + 1 + 4 + 4)
+
+
+def test_equal_runs_are_one(spark):
+    """Of equal runs none is put with the run before, whichever of them comes first."""
+    rows = [(1, 1, 10, 20), *[(1, 1, 30, 40)] * 50, *[(1, 1, 60, 70)] * 50]
+    got = pages.merged(spark.createDataFrame(rows, "page int, y int, x0 int, x1 int").repartition(4), KEY)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 10, 20), (1, 1, 30, 40), (1, 1, 60, 70)]
