@@ -38,10 +38,14 @@ PITCHES, PITCH_STEP, NEAR, LEAST_LINES, EMPTY_ROWS = (60.0, 200.0), 0.5, 0.18, 4
 WRITTEN, TIMES_MORE, MORE, ALONE_BANDS, ALONE_SHARE, LEAST_TABLE = 0.5, 1.5, 3, 8, 0.5, 20
 
 
-def merged(ink: DataFrame, key: list[str]) -> DataFrame:
-    """key, y, x0, x1: runs that don't overlap or touch; empty ones and those with nulls dropped."""
+def merged(ink: DataFrame, key: list[str], by_page: bool = False) -> DataFrame:
+    """key, y, x0, x1: runs that don't overlap or touch; empty ones and those with nulls dropped.
+
+    ``by_page`` brings a page's runs to one task, so that what adds them up by page has little left to shuffle.
+    """
     w = Window.partitionBy(*key, "y").orderBy("x0", "x1")
     rows = ink.where(F.col("x1") > F.col("x0")).dropna(subset=[*key, "y"]).select(*key, "y", "x0", "x1")
+    rows = rows.repartition(*key) if by_page else rows
     reach = F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_new", F.coalesce((F.col("x0") > reach).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(w))
     return rows.groupBy(*key, "y", "_run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_run")
@@ -126,19 +130,35 @@ def whole_pages(sizes: DataFrame, key: list[str]) -> DataFrame:
     return sizes.select(*key, F.lit(0).alias("bx0"), F.lit(0).alias("by0"), F.col("width").cast("int").alias("bx1"), F.col("height").cast("int").alias("by1"))
 
 
-def _surround(solid: DataFrame, key: list[str], size: str, name: str) -> DataFrame:
-    """key, how many of the solid positions ``at`` stand without a gap at the start, and how many at the end."""
-    up, down = Window.partitionBy(*key).orderBy("at"), Window.partitionBy(*key).orderBy(F.desc("at"))
+def _solid(ink: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:
+    """key, axis (0: rows, 1: columns), size, at: solid rows and columns of pages, size being how many the page has of them.
+
+    Ink is read once, for both axes. Only what is solid is written out: bare rows aren't, and between two steps of ink all columns have as much.
+    """
+    pages_ = sizes.select(*key, F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"))
+    lo, hi = F.greatest("x0", F.lit(0)), F.least("x1", "width")
+    inside = ink.join(pages_, key).where((hi > lo) & (F.col("y") >= 0) & (F.col("y") < F.col("height")))
+    said = [(0, F.col("y"), hi - lo), (1, lo, F.lit(1)), (1, hi, F.lit(-1))]
+    steps = inside.select(*key, F.explode(F.array(*[F.struct(F.lit(k).alias("axis"), at.cast("int").alias("at"), n.cast("long").alias("n")) for k, at, n in said])).alias("_e"))
+    steps = steps.groupBy(*key, F.col("_e.axis").alias("axis"), F.col("_e.at").alias("at")).agg(F.sum("_e.n").alias("n"))
+    w = Window.partitionBy(*key, "axis").orderBy("at")
+    column = F.col("axis") == 1
+    steps = steps.select(*key, "axis", "at", F.when(column, F.sum("n").over(w)).otherwise(F.col("n")).alias("n"), F.when(column, F.lead("at").over(w)).otherwise(F.col("at") + 1).alias("_next"))
+    rows = steps.join(pages_, key).where((F.col("n") > 0) & (F.col("n") >= SOLID * F.when(column, F.col("height")).otherwise(F.col("width"))))  # the last step of columns leaves none
+    return rows.select(*key, "axis", F.when(column, F.col("width")).otherwise(F.col("height")).alias("size"), F.explode(F.sequence(F.col("at"), F.col("_next") - 1)).alias("at"))
+
+
+def _surround(solid: DataFrame, key: list[str]) -> DataFrame:
+    """key, y0, y1, x0, x1: how many of the solid rows and columns stand without a gap at the start, and how many at the end."""
+    up, down = Window.partitionBy(*key, "axis").orderBy("at"), Window.partitionBy(*key, "axis").orderBy(F.desc("at"))
     rows = solid.withColumn("_a", F.row_number().over(up)).withColumn("_b", F.row_number().over(down))
-    return rows.groupBy(*key).agg(F.count_if(F.col("at") == F.col("_a") - 1).alias(f"{name}0"), F.count_if(F.col(size) - F.col("at") == F.col("_b")).alias(f"{name}1"))
+    start, end = F.col("at") == F.col("_a") - 1, F.col("size") - F.col("at") == F.col("_b")
+    return rows.groupBy(*key).agg(*[F.count_if((F.col("axis") == k) & c).alias(f"{name}{i}") for k, name in ((0, "y"), (1, "x")) for i, c in enumerate((start, end))])
 
 
 def border(ink: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:
     """key, bx0, by0, bx1, by1: the sheet within the scanner's dark surround; the page itself if too little would remain."""
-    boxes = whole_pages(sizes, key)
-    rows = row_profile(ink, boxes, key).join(sizes, key).where(F.col("n") >= SOLID * F.col("width"))
-    cols = column_profile(ink, boxes, key).join(sizes, key).where(F.col("n") >= SOLID * F.col("height"))
-    found = sizes.select(*key, "width", "height").join(_surround(rows, key, "height", "y"), key, "left").join(_surround(cols, key, "width", "x"), key, "left").na.fill(0)
+    found = sizes.select(*key, "width", "height").join(_surround(_solid(ink, sizes, key), key), key, "left").na.fill(0, ["y0", "y1", "x0", "x1"])
     low = lambda c: F.col(c) + MARGIN
     high = lambda size, c: F.col(size) - 1 - F.col(c) - MARGIN
     box = F.struct(low("x0").alias("bx0"), low("y0").alias("by0"), high("width", "x1").alias("bx1"), high("height", "y1").alias("by1"))

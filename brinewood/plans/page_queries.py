@@ -28,7 +28,7 @@ def _sizes(supplier: DataFrame) -> DataFrame:
     return supplier.select(F.col("s_suppkey").alias("page"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
 
 
-def _ink(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
+def _ink(lineitem: DataFrame, supplier: DataFrame, by_page: bool = False) -> DataFrame:
     price, quantity = F.floor("l_extendedprice") % 400, F.col("l_quantity").cast("long")
     y = 100 + 60 * (F.col("l_partkey") % 12) + (5 * F.col("l_linenumber") + quantity) % 26
     writing = lineitem.select(F.col("l_suppkey").alias("page"), y.cast("int").alias("y"), (40 + price).cast("int").alias("x0"), (60 + price + quantity).cast("int").alias("x1"))
@@ -36,7 +36,7 @@ def _ink(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
     rows = supplier.select(F.col("s_suppkey").alias("page"), rules.alias("r")).select("page", "r.*", F.explode(F.sequence(F.lit(80), F.lit(839))).alias("y"))
     ruled = rows.where((F.col("y") + F.col("page") * 7) % F.col("every") >= F.col("gap")).select("page", "y", "x0", (F.col("x0") + 3).alias("x1"))
     dark = supplier.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("page"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("y"), F.lit(0).alias("x0"), F.lit(WIDTH).alias("x1")).where("y < 3 + page % 9")
-    return pages.merged(writing.unionByName(ruled).unionByName(dark), PAGE)
+    return pages.merged(writing.unionByName(ruled).unionByName(dark), PAGE, by_page)
 
 
 @query("lineitem", "supplier", sql=f"WITH {_RUNS} SELECT page, y, x0, x1 FROM runs")
@@ -81,7 +81,7 @@ _BORDER = f"""border AS (SELECT page, first_y + 4 AS by0, last_y - 4 AS by1, fir
 
 @query("lineitem", "supplier", sql=f"WITH {_RUNS}, {_ROWS}, {_COLS}, {_BORDER} SELECT page, CAST(bx0 AS INTEGER) AS bx0, CAST(by0 AS INTEGER) AS by0, CAST(bx1 AS INTEGER) AS bx1, CAST(by1 AS INTEGER) AS by1 FROM border")
 def page_border(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
-    return pages.border(_ink(lineitem, supplier), _sizes(supplier), PAGE)
+    return pages.border(_ink(lineitem, supplier, True), _sizes(supplier), PAGE)
 
 
 _LIMIT = f"lim AS (SELECT page, round(greatest(0.10, 0.45 * quantile_cont(n, 0.998) / {HEIGHT}), 9) AS t FROM cols GROUP BY page), share AS (SELECT page, spot, round(n / {HEIGHT}, 9) AS s, t FROM cols JOIN lim USING (page))"

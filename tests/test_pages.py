@@ -215,3 +215,13 @@ def test_equal_runs_are_one(spark):
     rows = [(1, 1, 10, 20), *[(1, 1, 30, 40)] * 50, *[(1, 1, 60, 70)] * 50]
     got = pages.merged(spark.createDataFrame(rows, "page int, y int, x0 int, x1 int").repartition(4), KEY)
     assert sorted(map(tuple, got.collect())) == [(1, 1, 10, 20), (1, 1, 30, 40), (1, 1, 60, 70)]
+
+
+def test_border_reads_ink_once_and_writes_no_bare_rows(spark):
+    """A page of many rows without ink isn't written out row by row, and the ink stands in the plan once."""
+    ink = spark.createDataFrame([(1, y, 0, 100) for y in range(5)] + [(1, 50, 10, 20)] + [(1, y, 97, 100) for y in range(5, 200)], "page int, y int, x0 int, x1 int")
+    sizes = spark.createDataFrame([(1, 100, 200), (2, 50, 60), (3, 0, 0)], "page int, width int, height int")
+    found = pages.border(ink, sizes, KEY)
+    assert sorted(map(tuple, found.collect())) == [(1, 4, 9, 92, 195), (2, 4, 4, 45, 55), (3, 0, 0, 0, 0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(sequence(") == 1 and "coalesce(n#" not in plan
