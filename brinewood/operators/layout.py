@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,36 +148,125 @@ def seam_of(ink: pd.Series) -> pd.Series:
 LEAST_ORDINALS, ORDINAL_SHARE, FOOTING_FROM, FOOTING_WIDTH = 8, 0.5, 0.88, 2.5
 
 
+def _medians(page: np.ndarray, value: np.ndarray, pages: int) -> np.ndarray:
+    """Per page (0 to pages - 1) the exact median of its values, NaN where it has none."""
+    value, n = value[np.lexsort((value, page))], np.bincount(page, minlength=pages)
+    begin, out = np.cumsum(n) - n, np.full(pages, np.nan)
+    some = n > 0
+    low, high = value[(begin + (n - 1) // 2)[some]], value[(begin + n // 2)[some]]
+    out[some] = np.where(low == high, low, 0.5 * low + 0.5 * high)
+    return out
+
+
+def _pitches(page: np.ndarray, centre: np.ndarray, pages: int) -> np.ndarray:
+    """``pitch`` of pages in arrays, NaN where there is none."""
+    order = np.lexsort((centre, page))
+    page, centre = page[order], centre[order]
+    gap, at = np.diff(centre), page[1:]
+    wide = (page[1:] == page[:-1]) & (gap > 1)
+    gap, at = gap[wide], at[wide]
+    middle = _medians(at, gap, pages)[at]
+    near = (gap >= middle * 0.6) & (gap <= middle * 1.4)
+    return _medians(at[near], gap[near], pages)
+
+
+ORDINAL, WRITTEN = 1, 2
+
+
+def page_bands(begin: np.ndarray, kind: np.ndarray, y0: np.ndarray, y1: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(page, n, top, bottom) of all bands of some whole pages, whose marks stand together from ``begin`` on; nulls are NaN."""
+    pages = len(begin)
+    page = np.repeat(np.arange(pages), np.diff(np.append(begin, len(kind))))
+    c = (y0 + y1) / 2
+    placed = ~np.isnan(c)
+    n_ordinal, n_written = (np.bincount(page[kind == k], minlength=pages) for k in (ORDINAL, WRITTEN))
+    use = np.where(n_ordinal >= np.maximum(LEAST_ORDINALS, n_written * ORDINAL_SHARE), ORDINAL, WRITTEN)
+    step = np.full(pages, np.nan)
+    for chosen in (kind == use[page], kind == ORDINAL, kind == WRITTEN):  # the first of these that has a pitch
+        chosen &= placed & np.isnan(step)[page]
+        step = np.where(np.isnan(step), _pitches(page[chosen], c[chosen], pages), step)
+    use = np.where((use == WRITTEN) & (n_written == 0), ORDINAL, use)
+    used = (kind == use[page]) & placed & ~np.isnan(step)[page]
+    base = np.fmin.reduceat(np.where(used, c, np.nan), begin)
+    off, p = (c - base[page])[used], step[page[used]]
+    base = base + _medians(page[used], off - np.rint(off / p) * p, pages)
+    first, last = (np.rint((f.reduceat(c, begin) - base) / step) for f in (np.fmin, np.fmax))
+    bands = np.where(np.isnan(first), 0, last - first + 1).astype(np.int64)
+    first, at = np.where(np.isnan(first), 0, first).astype(np.int64), np.cumsum(bands) - bands
+    of = np.repeat(np.arange(pages), bands)
+    n = np.arange(of.size) - at[of]
+    middle = base[of] + (first[of] + n) * step[of]
+    top, bottom = middle - step[of] / 2, middle + step[of] / 2
+    low, high = top.copy(), bottom.copy()
+    held = np.flatnonzero((kind == WRITTEN) & placed & (bands > 0)[page])
+    near = np.rint((c[held] - base[page[held]]) / step[page[held]]).astype(np.int64) - first[page[held]]
+    for d in (-1, 0, 1):  # what stands where two bands meet is in both
+        i, k = held[(near + d >= 0) & (near + d < bands[page[held]])], (near + d)[(near + d >= 0) & (near + d < bands[page[held]])]
+        k = k + at[page[i]]
+        inside = (top[k] <= c[i]) & (c[i] <= bottom[k])
+        i, k = i[inside], k[inside]
+        np.minimum.at(low, k, y0[i] - 1)
+        np.maximum.at(high, k, y1[i] + 1)
+    return of, n + 1, np.maximum(0.0, low), np.fmin(np.fmax.reduceat(height, begin)[of], high)
+
+
 def row_bands(marks: DataFrame, key: list[str], height: str = "height") -> DataFrame:
     """key, n, top, bottom: one band per ruled row, from marks (kind: ordinal or written; y0, y1) below the heading.
 
     Printed numbers carry the rows if there are enough of them, else what is written does. Their pitch is the distance of rows, the median of
     what each is off by is the phase, and rows go from the first mark of either kind to the last. A band grows to hold what is
     written in it.
+
+    A page's marks stand together in a task, which reads whole pages in turn and measures those of a batch at once. Rows with a null key take no part;
+    a null place is as good as none (NaN), and counts only as a mark of its kind.
     """
-    rows = marks.withColumn("c", (F.col("y0") + F.col("y1")) / 2)
-    count = lambda k: F.count_if(F.col("kind") == k)
-    per = rows.groupBy(*key).agg(count("ordinal").alias("_o"), count("written").alias("_w"), F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.max(height).alias("_height"))
-    per = per.withColumn("_use", F.when(F.col("_o") >= F.greatest(F.lit(float(LEAST_ORDINALS)), F.col("_w") * ORDINAL_SHARE), F.lit("ordinal")).otherwise(F.lit("written")))
-    step = None
-    for preferred in ("kind = _use", "kind = 'ordinal'", "kind = 'written'"):  # the first of these that has a pitch
-        p = pitch(rows.join(per.select(*key, "_use"), key).where(preferred).select(*key, "c"), key, "c").withColumnRenamed("pitch", "_p")
-        step = p if step is None else step.unionByName(p.join(step.select(*key), key, "left_anti"))
-    per = per.join(step, key)
-    kind = F.when((F.col("_use") == "written") & (F.col("_w") == 0), F.lit("ordinal")).otherwise(F.col("_use"))
-    used = rows.join(per.withColumn("_use", kind).select(*key, "_use", "_p"), key).where("kind = _use")
-    first = used.groupBy(*key).agg(F.min("c").alias("_base"))
-    off = F.col("c") - F.col("_base")
-    phase = used.join(first, key).withColumn("_d", off - F.rint(off / F.col("_p")) * F.col("_p")).groupBy(*key, "_base").agg(F.percentile("_d", F.lit(0.5)).alias("_d"))
-    per = per.join(phase, key).withColumn("_base", F.col("_base") + F.col("_d"))
-    ends = [F.rint((F.col(c) - F.col("_base")) / F.col("_p")).cast("int") for c in ("_lo", "_hi")]
-    bands = per.withColumn("_i", F.explode(F.sequence(*ends))).withColumn("n", F.col("_i") - ends[0] + 1)
-    middle = F.col("_base") + F.col("_i") * F.col("_p")
-    bands = bands.select(*key, "n", "_height", (middle - F.col("_p") / 2).alias("_t"), (middle + F.col("_p") / 2).alias("_b"))
-    held = rows.where("kind = 'written'").select(*key, "c", "y0", "y1")
-    grown = bands.join(held, key).where("c between _t and _b").groupBy(*key, "n").agg((F.min("y0") - 1).alias("_y0"), (F.max("y1") + 1).alias("_y1"))
-    out = bands.join(grown, [*key, "n"], "left")
-    return out.select(*key, "n", F.greatest(F.lit(0.0), F.least("_t", F.coalesce("_y0", "_t"))).alias("top"), F.least("_height", F.greatest("_b", F.coalesce("_y1", "_b"))).alias("bottom"))
+    kind = F.when(F.col("kind") == "ordinal", ORDINAL).when(F.col("kind") == "written", WRITTEN).otherwise(0).cast("tinyint")
+    rows = marks.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in key]))
+    rows = rows.select(*key, kind.alias("_kind"), *[F.col(c).cast("double").alias(n) for c, n in (("y0", "_y0"), ("y1", "_y1"), (height, "_height"))])
+    rows = rows.repartition(*key).sortWithinPartitions(*key)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*key).schema)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for begin, page in whole_groups(batches, key):
+            values = [page.column(c).to_numpy() for c in ("_kind", "_y0", "_y1", "_height")]  # nulls are NaN
+            at, n, top, bottom = page_bands(begin, *values)
+            own = page.select(key).take(pa.array(begin[at]))
+            out = own.append_column("n", pa.array(n, pa.int32())).append_column("top", pa.array(top)).append_column("bottom", pa.array(bottom, from_pandas=True))
+            yield from out.combine_chunks().to_batches(max_chunksize=1 << 16)
+
+    return rows.mapInArrow(of, f"{schema}, n int, top double, bottom double")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Rows sorted by ``key`` (plain values, not null), in tables of whole groups, each with where its groups begin."""
+
+    def begins(columns: list[pa.ChunkedArray]) -> np.ndarray:
+        new = np.zeros(len(columns[0]), bool)
+        new[:1] = True
+        for c in columns:
+            a, b = c.slice(1), c.slice(0, max(0, len(c) - 1))
+            other = pc.not_equal(a, b)
+            if pa.types.is_floating(c.type):
+                other = pc.and_(other, pc.invert(pc.and_(pc.is_nan(a), pc.is_nan(b))))
+            new[1:] |= other.to_numpy()
+        return np.flatnonzero(new)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        before = [held[-1].slice(held[-1].num_rows - 1)] if held else []
+        edge = pa.Table.from_batches([*before, batch])
+        last = int(begins([edge.column(c) for c in key])[-1]) - len(before)
+        if last >= 0:  # a group begins in this batch, so those before it are whole
+            whole = pa.Table.from_batches([*held, batch.slice(0, last)])
+            if whole.num_rows:
+                yield begins([whole.column(c) for c in key]), whole
+            held = []
+        held.append(batch.slice(max(0, last)))
+    if held:
+        whole = pa.Table.from_batches(held)
+        yield begins([whole.column(c) for c in key]), whole
 
 
 def carried_columns(pages: DataFrame, group: list[str], page: str, columns: str) -> DataFrame:

@@ -153,6 +153,26 @@ def test_row_bands_equal_the_rule(spark):
         assert [x for pair in got[k] for x in pair] == pytest.approx([x for pair in b for x in pair])
 
 
+def test_row_bands_go_through_pages_in_turn(spark, capsys):
+    """Pages are cut by the batches of a task, marks without a place count as none, and marks are shuffled once."""
+    rows = [(k // 3, float(k % 3), "written", i * 20.0 + k, i * 20.0 + k + 14, 900.0) for k in range(60) for i in range(k % 9 + 2)]
+    odd = [(r[0], r[1], "ordinal", float("nan"), 3.0, 900.0) for r in rows[::5]] + [(r[0], r[1], "written", None, 3.0, 900.0) for r in rows[::7]] + [(None, 1.0, "written", 1.0, 2.0, 900.0)]
+    schema = "k long, nan double, kind string, y0 double, y1 double, height double"
+    key = F.when(F.col("nan") == 1, F.lit(float("nan"))).otherwise(F.col("nan"))  # a key that isn't equal to itself
+    told = lambda x: {(r.k, str(r.nan), r.n, r.top, r.bottom) for r in x.collect()}
+    got = [layout.row_bands(spark.createDataFrame(x, schema).withColumn("nan", key), ["k", "nan"]) for x in (rows, rows + odd)]
+    got[0].explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
+    plain = told(got[0])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert told(got[1]) == plain == told(got[0])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(k, nan) for k, nan, *_ in plain} == {(k // 3, str(float("nan") if k % 3 == 1 else float(k % 3))) for k in range(60)}
+    assert len(plain) == sum(k % 9 + 2 for k in range(60))
+
+
 def test_titles_and_notations(spark):
     titles = {
         "Lista dos viajantes do vapor S. Ana (RV 12) - Dossiê": ("S. Ana", "12", None), "Carga do vapor Norte – ver BR AN,RIO OL.0.RPV, PRJ.77a": ("Norte", None, ("OL", "PRJ", "77A")),
