@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinewood.functions.text import clean_edges, fold, n_letters, plausible_year
+from brinewood.sources.store import cut
 
 #: Marks that make a form one kind or the other, and first lines that a dateline may be in.
 FIRST_KIND_MARKS, SECOND_KIND_MARKS = 3, 2
 DATELINE_LINES, DATELINE_SPAN = 10, 3
+#: Texts that were judged, up to which they are broadcast.
+SPELLINGS = 50_000
 
 
 def lines_of(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
@@ -106,11 +109,15 @@ def beside_fragments(labels: DataFrame, fragments: DataFrame, key: list[str], ov
 
 
 def words_with_months(lines: DataFrame, key: list[str], month: Callable[[Column], Column], within: int | None = None) -> DataFrame:
-    """key, pos, at, word, folded, month of the words of lines that name a month; every distinct word is judged once."""
+    """key, pos, at, word, folded, month of the words of lines that name a month; every distinct word is judged once.
+
+    Distinct words are cut first: else the filter on what they name goes down past ``distinct``, and every word of every line is judged.
+    """
     near = lines if within is None else lines.where(F.col("pos") < within)
     words = near.select(*key, "pos", F.posexplode(F.split("line", r"[^\p{L}\p{N}_]+")).alias("at", "word")).withColumn("folded", fold(F.col("word"), "lower", letters_only=True))
-    known = words.select("folded").distinct().where(F.length("folded") >= 3).withColumn("month", month(F.col("folded"))).where("month is not null")
-    return words.join(known, "folded")
+    known = cut(words.select("folded").distinct().where(F.length("folded") >= 3))
+    known = cut(known.withColumn("month", month(F.col("folded"))).where("month is not null"))
+    return words.join(F.broadcast(known) if known.count() <= SPELLINGS else known, "folded")  # few words are near a month's name
 
 
 def dateline_near(lines: DataFrame, key: list[str], month: Callable[[Column], Column], joiners: tuple[str, ...] = ("de", "do")) -> DataFrame:
@@ -149,7 +156,7 @@ def entered_near(lines: DataFrame, key: list[str], entered: str, month: Callable
         clean_edges(group(1)).alias("raw"), F.when(group(2).rlike(r"^\d{1,2}$"), group(2)).cast("int").alias("day"), fold(group(3), "lower", letters_only=True).alias("word"),
         plausible_year(F.when(F.length(digits) == 4, digits).cast("int")).alias("year"),
     )
-    best = hit.groupBy(*key).agg(F.min_by(parts, "pos").alias("_d")).select(*key, "_d.*")
+    best = cut(hit.groupBy(*key).agg(F.min_by(parts, "pos").alias("_d")).select(*key, "_d.*"))
     best = best.join(best.select("word").distinct().withColumn("month", month(F.col("word"))), "word").drop("word")
     whole = F.col("day").between(1, 31) & F.col("month").isNotNull() & F.col("year").isNotNull()
     return best.withColumn("arrival", F.when(whole, F.format_string("%04d-%02d-%02d", "year", "month", "day")))

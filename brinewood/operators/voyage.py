@@ -63,7 +63,8 @@ def judged(values: DataFrame, lex: Lexicon) -> DataFrame:
     ship is the value if it can be a ship's name; rest the same of what follows the nationalities and footnotes it begins with, which are flag. flagged says that
     the whole is a nationality, month which month it is.
     """
-    v = values.where("value <> ''").select("value").distinct().withColumn("_whole", t.fold(F.col("value"), "lower", letters_only=True))
+    v = cut(values.where("value <> ''").select("value").distinct())  # once for all that follows: the values are read off the lines
+    v = v.withColumn("_whole", t.fold(F.col("value"), "lower", letters_only=True))
     each = v.select("value", F.posexplode(F.split("value", r"\s+")).alias("_i", "_w")).withColumn("_f", t.fold(F.col("_w"), "lower", letters_only=True))
     words = each.select("_f").unionByName(v.select(F.col("_whole").alias("_f"))).distinct()
     words = words.withColumn("_flag", near_any(lex.flags, FLAG_FLOOR, 4)(F.col("_f"))).withColumn("_form", F.col("_flag") | near_any(lex.form_words, FORM_FLOOR, 3)(F.col("_f")))
@@ -92,12 +93,12 @@ def letterheads(lines: DataFrame, key: list[str], lex: Lexicon, is_label: Column
     """key, line: the first of the topmost lines that can be a shipping company's."""
     rows = lines.where((F.col("pos") < HEAD_LINES) & ~is_label).withColumn("_f", t.fold(F.regexp_replace("line", r"[^\p{L}\p{N}_\s]+", " "), "lower"))
     other = F.col("line").rlike(LONG_NUMBER) | F.col("line").rlike(DOTTED) | F.col("_f").rlike(FORM_NUMBER)
-    rows = rows.where((F.length("_f") >= LEAST_HEAD) & t.plausible_value(t.clean_edges(F.col("line"))).isNotNull() & ~other)
+    rows = cut(rows.where((F.length("_f") >= LEAST_HEAD) & t.plausible_value(t.clean_edges(F.col("line"))).isNotNull() & ~other))
     if lex.not_head:  # words that are like ones no company's name has
         bad = flag_words(rows, [*key, "pos"], "line", near_any(lex.not_head, FORM_FLOOR, 4), "_bad").where("_bad > 0").select(*key, "pos")
         rows = rows.join(bad, [*key, "pos"], "left_anti")
     if lex.ports:
-        port = rows.select("_f").distinct().withColumn("_port", near_any(lex.ports, LETTERHEAD_FLOOR)(F.col("_f"))).where("_port").select("_f")
+        port = cut(rows.select("_f").distinct()).withColumn("_port", near_any(lex.ports, LETTERHEAD_FLOOR)(F.col("_f"))).where("_port").select("_f")
         rows = rows.join(port, "_f", "left_anti")
     return extract.first_line(rows, key, F.lit(True)).select(*key, t.clean_edges(F.col("line")).alias("line"))
 
@@ -114,11 +115,12 @@ def parse_pages(pages: DataFrame, lex: Lexicon, key: tuple[str, ...] = ("doc", "
         lines = lines.join(boxes.select(*k).distinct(), k, "left_anti").unionByName(extract.fragment_lines(boxes, k))
     lines = lines.withColumn("line", t.squeeze(F.col("line"))).where(F.col("line") != "")
     w = Window.partitionBy(*k).orderBy("pos")
-    lines = cut(lines.withColumn("pos", F.row_number().over(w) - 1))
+    lines = lines.withColumn("pos", F.row_number().over(w) - 1).withColumn("_folded", t.fold(F.col("line"), "lower"))
     marks = [*lex.parte_marks, *lex.lista_marks]
-    folded = t.fold(F.col("line"), "lower")
-    is_label = F.lower("line").rlike("|".join((lex.ship_label, lex.origin_label, lex.landed_label))) | (extract.mark_count(folded, marks) > 0)
-    whole = lines.groupBy(*k).agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("pos", folded.alias("f")))), lambda x: x["f"])).alias("_all"))
+    label = F.lower("line").rlike("|".join((lex.ship_label, lex.origin_label, lex.landed_label))) | (extract.mark_count(F.col("_folded"), marks) > 0)
+    lines = cut(lines.withColumn("_label", label))  # folding is dear: once for all that asks whether a line is a label
+    whole = lines.groupBy(*k).agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("pos", "_folded"))), lambda x: x["_folded"])).alias("_all"))
+    lines, is_label = lines.drop("_folded"), F.col("_label")
     out = whole.select(*k, extract.mark_count(F.col("_all"), list(lex.parte_marks)).alias("_p"), extract.mark_count(F.col("_all"), list(lex.lista_marks)).alias("_l"))
 
     place = F.trim(F.get(F.split("line", ",", 2), 0))  # what a line says before its first comma
@@ -146,6 +148,7 @@ def parse_pages(pages: DataFrame, lex: Lexicon, key: tuple[str, ...] = ("doc", "
     for more in texts[1:]:
         every = every.unionByName(more)
     known = cut(judged(every, lex))
+    known = F.broadcast(known) if known.count() <= extract.SPELLINGS else known  # pages needn't be shuffled by what they say
 
     def told(rows: DataFrame, column: str, *wanted: str) -> DataFrame:
         names = known.select(F.col("value").alias(column), *[F.col(x).alias(f"{column}_{x}") for x in wanted])
@@ -172,7 +175,9 @@ def parse_pages(pages: DataFrame, lex: Lexicon, key: tuple[str, ...] = ("doc", "
     # What stands nearest the label where no ship was written is the letterhead: not taken for one.
     f = lambda c: t.fold(F.col(c), "lower", letters_only=True)
     pairs = out.where("line is not null").select(F.explode(F.array("_s1", "_s2")).alias("ship"), "line").where("ship is not null").distinct()
+    pairs = cut(pairs)  # else the test goes down past distinct, to every page
     same = cut(pairs.withColumn("_same", near_text(LETTERHEAD_FLOOR)(f("ship"), f("line"))).where("_same").select("ship", "line"))
+    same = F.broadcast(same) if same.count() <= extract.SPELLINGS else same
     for c in ("_s1", "_s2"):
         out = out.join(same.select(F.col("ship").alias(c), "line", F.lit(True).alias(f"{c}_no")), [c, "line"], "left")
     out = out.withColumn("ship", F.coalesce(*[F.when(F.col(f"{c}_no").isNull(), F.col(c)) for c in ("_s1", "_s2")]))

@@ -1,5 +1,6 @@
 """Voyage records, headings, lexicon functions and the SQL surface."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from brinewood.functions import lexical
@@ -115,3 +116,18 @@ def test_headings_are_judged_without_a_shuffle(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
     assert sorted((r.k, bool(r.heading)) for r in got.collect()) == [(1, True), (2, False), (3, False), (3, True)]
+
+
+def test_words_and_ports_are_judged_once(spark):
+    """What a word can be is asked once per distinct word, however many lines have it, though only some are kept by the answer."""
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("int")
+    def month(c: pd.Series) -> pd.Series:
+        asked.add(len(c))
+        return c.map(lambda w: 5 if w == "maio" else None).astype("Int32")
+
+    lines = spark.createDataFrame([(k, p, f"rio, {k % 3} de maio") for k in range(40) for p in range(3)], "k int, pos int, line string")
+    got = extract.words_with_months(lines, ["k"], month, 10)
+    assert {(r.k, r.pos, r.at, r.word, r.month) for r in got.collect()} == {(k, p, 3, "maio", 5) for k in range(40) for p in range(3)}
+    assert asked.value < 10  # rio, maio; not the 240 words of the lines
