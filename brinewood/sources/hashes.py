@@ -10,6 +10,11 @@ was broken off leaves whole lots, and the next one goes on from there; the paths
 
 from __future__ import annotations
 
+import codecs
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +24,8 @@ from brinewood.sources.store import shared_folder
 STATE = ["path", "size", "modified"]
 #: Files that one job reads.
 LOT = 5_000
+#: Bytes from which on a file isn't read as one value (Spark's reader refuses 2 GB) but in pieces, and names that Spark would unpack on the way.
+LONG, PACKED = 1 << 29, r"(?i)\.(gz|bz2|zst|lz4|snappy|deflate|lzo|xz)$"
 
 
 def listing(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
@@ -39,13 +46,46 @@ def content_hashes(spark: SparkSession, folder: str, suffix: str = "", place: st
     """path, size, modified, sha256 of the files below a folder; only files in a state that ``place`` doesn't know are read."""
     place = place or f"{shared_folder(spark)}/kept/hashes"
     files = listing(spark, folder, suffix)
-    new = [r.path for r in files.join(known(spark, place), STATE, "left_anti").select("path").distinct().toLocalIterator()]
+    in_pieces = (F.col("size") >= LONG) & ~F.col("path").rlike(PACKED)
+    states = [*files.join(known(spark, place), STATE, "left_anti").select("path", "size", in_pieces.alias("long")).distinct().toLocalIterator()]
+    new = [r.path for r in states if not r.long]
     for at in range(0, len(new), LOT):
         read = spark.read.format("binaryFile").load(new[at : at + LOT])
         read.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256")).write.mode("append").parquet(place)
+    for r in states:
+        if r.long:
+            own = files.where((F.col("path") == r.path) & (F.col("size") == r.size))
+            own.withColumn("sha256", F.lit(hash_of_long(spark, r.path, r.size))).write.mode("append").parquet(place)
     return files.join(known(spark, place).dropDuplicates(STATE), STATE)
 
 
+def hash_of_long(spark: SparkSession, path: str, size: int) -> str:
+    """SHA-256 of a file that is too long for one value.
+
+    Its bytes come in pieces between line feeds, read in splits and sorted by place; one task, since each step of the digest needs the one before, takes
+    them in turn and holds a batch. The reader drops a mark of byte order and a last line feed: the size tells which were there, or that bytes are missing.
+    """
+    pieces = spark.read.option("lineSep", "\n").text(path)
+    pieces = pieces.select(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("value"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked, plain, n = hashlib.sha256(codecs.BOM_UTF8), hashlib.sha256(), -1
+        for b in batches:
+            if b.num_rows:
+                data = b"\n" * (n >= 0) + b"\n".join(b.column("value").to_pylist())
+                n = max(n, 0) + len(data)
+                marked.update(data)
+                plain.update(data)
+        missing = size - max(n, 0)
+        if missing not in (0, 1, 3, 4):
+            raise ValueError(f"{missing} of {size} bytes weren't read")
+        digest = marked if missing >= 3 else plain
+        digest.update(b"\n" * (missing % 3))
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], ["sha256"])
+
+    return pieces.repartition(1).sortWithinPartitions("split", "at").select("value").mapInArrow(of, "sha256 string").first()[0]
+
+
 def by_content(hashes: DataFrame) -> DataFrame:
     """sha256, file, n_files: the name a content goes by, the last of its paths, and how many files have it."""
     return hashes.groupBy(F.col("sha256")).agg(F.substring_index(F.max("path"), "/", -1).alias("file"), F.count(F.lit(1)).alias("n_files"))

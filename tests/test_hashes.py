@@ -33,6 +33,26 @@ def test_only_new_states_are_read(spark, tmp_path, monkeypatch):
     assert got == {"a.pdf": hashlib.sha256(b"three!").hexdigest(), "c.pdf": want["c.pdf"], "e.pdf": hashlib.sha256(b"four").hexdigest()} and real(spark, place).count() == n + 2
 
 
+def test_long_files_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    """Spark's reader gives no file of 2 GB as one value (here: of 1 kB); bytes, marks and line feeds at either end are all in the hash."""
+    monkeypatch.setattr(hashes, "LONG", 1_000)
+    noise = bytes(range(256)) * 40
+    files = {"a": noise, "b": noise + b"\n", "c": b"\xef\xbb\xbf" + noise, "d": b"\xef\xbb\xbf" + noise + b"\n\n", "e": b"\n" * 2000, "f g": b"\r\n" + noise[::-1] + b"\r", "h": b"short"}
+    (tmp_path / "in").mkdir()
+    for name, content in files.items():
+        (tmp_path / "in" / f"{name}.bin").write_bytes(content)
+    read = []
+    monkeypatch.setattr(hashes, "hash_of_long", lambda *a, real=hashes.hash_of_long: read.append(a[1]) or real(*a))
+    for most in ("128m", "1k"):  # in one split and in many
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            got = {r.path.rsplit("/", 1)[-1][:-4]: r.sha256 for r in hashes.content_hashes(spark, str(tmp_path / "in"), ".bin", str(tmp_path / most)).collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == {n: hashlib.sha256(c).hexdigest() for n, c in files.items()}
+    assert len(read) == 12
+
+
 def test_records_find_their_files(spark):
     rows = [("/x/a.pdf", "h1"), ("/x/b.pdf", "h1"), ("/x/c.pdf", "h2")]
     known = spark.createDataFrame(rows, "path string, sha256 string")
