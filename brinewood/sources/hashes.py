@@ -5,7 +5,7 @@ doesn't know are found by an anti-join, only those files are read, in lots, and
 or copied is found again by its hash.
 
 Cases: an empty folder gives an empty table; empty files are left out, as Spark's reader leaves them out; files that went are left out, since the listing leads; a file edited in place has another state and is read again; a run that
-was broken off leaves whole lots, and the next one goes on from there; the paths of new files go through the driver (as Spark's own listing does), contents never.
+was broken off leaves whole lots, and the next one goes on from there; a file of ``LONG`` bytes or more is read in pieces; the paths of new files go through the driver (as Spark's own listing does), contents never.
 """
 
 from __future__ import annotations
