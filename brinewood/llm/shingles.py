@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, small_side, text_of
+from .common import cut, release, rows_at_once, small_side, text_of
 from .simhash import _WORDS, SUBTREE, connected, standing, subtrees, trie_pairs, whole_subtrees
 
 SHINGLE = 5
@@ -41,6 +41,8 @@ BUDGET, MISS = 3, 1e-3
 #: Two sets of one size with Jaccard similarity j have the cosine 2j / (1 + j), and differ in a bit with the angle's share of a half turn.
 FLIP = acos(2 * FLOOR[0] / (FLOOR[0] + FLOOR[1])) / pi
 LEAST_BITS, MOST_BITS, SPARE_BITS = 32, 52, 14
+#: Texts, or pairs of whole sets, that are passed to Python at once.
+SETS_AT_ONCE = 256
 _RNG = np.random.default_rng(42)
 _MASK, _ODD = _RNG.integers(0, 2**64, 256, dtype=np.uint64), _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -146,7 +148,9 @@ def _sets(docs: DataFrame, texts: DataFrame) -> DataFrame:
 def _verified(docs: DataFrame, pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     """The pairs (a, b; cut) that are similar."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    sets = cut(_sets(docs, cut(ends.join(distinct.select("sig", "text_hash"), "sig"))))
+    texts = cut(ends.join(distinct.select("sig", "text_hash"), "sig"))
+    with rows_at_once(docs.sparkSession, SETS_AT_ONCE):
+        sets = cut(_sets(docs, texts))
     side = lambda c: sets.select(F.col("sig").alias(c), F.col("values").alias(f"set_{c}"))
     rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b")
 
@@ -156,7 +160,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, distinct: DataFrame) -> DataFra
             ok = pa.array([similar(*(np.frombuffer(v.as_py(), np.uint64) for v in p)) for p in both], pa.bool_())
             yield pa.RecordBatch.from_arrays([x.column("a").filter(ok), x.column("b").filter(ok)], ["a", "b"])
 
-    return cut(rows.mapInArrow(of, "a long, b long"))
+    with rows_at_once(docs.sparkSession, SETS_AT_ONCE):
+        return cut(rows.mapInArrow(of, "a long, b long"))
 
 
 def near_sizes(a: Column, b: Column) -> Column:

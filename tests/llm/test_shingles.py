@@ -101,3 +101,17 @@ def test_stage_takes_odd_tables(spark):
     kept = shingles.dedup(docs)
     assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(2, "A b", "x"), (7, "", "x")]
     assert shingles.dedup(docs.limit(0)).count() == 0
+
+
+def test_few_whole_sets_are_held_at_once(spark, monkeypatch):
+    """Verification passes sets to Python a few at a time, however many pairs there are, and leaves the session as it was."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(shingles, "SETS_AT_ONCE", 3)
+    seen = []
+    monkeypatch.setattr(shingles, "cut", lambda df, real=shingles.cut: seen.append((df.columns, spark.conf.get(name))) or real(df))
+    texts = [" ".join(f"w{k}" for k in range(30)) + f" x{i}" for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in shingles.dedup(docs).collect()] == [0]
+    assert {n for c, n in seen if c == ["sig", "values"]} == {"3"} and spark.conf.get(name) == before
+    assert any(n == "3" for c, n in seen if c == ["a", "b"])
