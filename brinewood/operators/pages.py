@@ -15,10 +15,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brinewood.operators import profiles
 from brinewood.operators.layout import islands, longest_run, overlapping
 from brinewood.sources.store import cut
 
@@ -223,19 +225,15 @@ def best_pitch(lines: DataFrame, key: list[str], pitches: tuple[float, float] =
     page = lines.groupBy(*key).agg(F.array_sort(F.collect_list(F.col("line").cast("double"))).alias("_c")).where(F.size("_c") >= LEAST_LINES)
     n = round((pitches[1] - pitches[0]) / step)
     page = page.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)  # few bytes, much work: not to be coalesced by size
-    tries = page.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_p", pitches[0] + F.col("_p") * step)
-    tooth = lambda c, at: F.rint((c - at) / F.col("_p"))
-
-    def judged(at: Column) -> Column:
-        teeth = F.transform(F.filter("_c", lambda c: F.abs(c - (at + tooth(c, at) * F.col("_p"))) < F.col("_p") * near), lambda c: tooth(c, at))
-        told = lambda x: F.struct(F.size(x).alias("n"), (F.array_max(x) - F.array_min(x) + 1).alias("span"))
-        score = lambda t: F.when(t["n"] >= LEAST_LINES, F.struct((t["n"] + 3 * (t["n"] / t["span"])).alias("score"), (-at).alias("up")))
-        return F.transform(F.transform(F.array(teeth), told), score)[0]  # each is named, so that it is worked out once
-
-    tries = tries.withColumn("_b", F.array_max(F.transform("_c", judged)))
-    rank = F.when(F.col("_b").isNotNull(), F.struct("_b.score", -F.col("_p"), "_b.up"))
-    best = tries.groupBy(*key).agg(F.max_by(F.struct("_p", (-F.col("_b.up")).alias("_at"), "_c"), rank).alias("_t")).where("_t is not null")
-    kept = best.select(*key, "_t._p", "_t._at", F.explode("_t._c").alias("_y")).withColumn("_i", F.rint((F.col("_y") - F.col("_at")) / F.col("_p")))
+    grid = pitches[0] + np.arange(n) * step
+
+    @F.pandas_udf("_p double, _at double")
+    def start(lines: pd.Series) -> pd.DataFrame:
+        found = [profiles.comb_start(np.asarray(c), grid, near, LEAST_LINES) or (None, None) for c in lines]
+        return pd.DataFrame(found, columns=["_p", "_at"], dtype="float64")
+
+    best = page.select(*key, "_c", start("_c").alias("_t")).where("_t._p is not null")
+    kept = best.select(*key, "_t._p", "_t._at", F.explode("_c").alias("_y")).withColumn("_i", F.rint((F.col("_y") - F.col("_at")) / F.col("_p")))
     kept = kept.where(F.abs(F.col("_y") - (F.col("_at") + F.col("_i") * F.col("_p"))) < F.col("_p") * near)
     return kept.groupBy(*key).agg(F.regr_slope("_y", "_i").alias("pitch"), F.regr_intercept("_y", "_i").alias("intercept"))
 
@@ -301,26 +299,57 @@ def ruled_run(support: DataFrame, key: list[str], floor: float = VOUCHED) -> Dat
     return longest_run(support.where(F.col("support") > floor), key, "band", 2).select(*key, "first", "last")
 
 
+def _measured(ink: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:
+    """key, by0, columns, top, bottom, keen, plain, above: what ``table_grids`` needs of the ink of each page that has rules enough.
+
+    As ``border``, ``column_rules``, ``rule_extents``, ``row_profile`` and ``text_lines`` give it. No profile is written out row by row.
+    """
+    pages_ = sizes.select(*key, F.col("width").cast("int").alias("_width"), F.col("height").cast("int").alias("_height"))
+    runs = ink.select(*key, F.col("y").cast("int").alias("_y"), F.col("x0").cast("int").alias("_x0"), F.col("x1").cast("int").alias("_x1")).join(pages_, key)
+    measured = "by0 int, columns array<int>, top int, bottom int, keen array<int>, plain array<int>, above array<int>"
+    named = [f"`{f.name}` {f.dataType.simpleString()}" for f in runs.select(*key).schema]
+    types = [pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32(), *[pa.list_(pa.int32())] * 3]
+
+    def of(page: pa.Table) -> pa.Table:
+        y, x0, x1, width, height = (page.column(c).to_numpy().astype(np.int64) for c in ("_y", "_x0", "_x1", "_width", "_height"))
+        found = _measures((y, x0, x1), int(width[0]), int(height[0]))
+        out = page.select(key).slice(0, 0 if found is None else 1)
+        for field, t, value in zip(measured.split(", "), types, found or [None] * len(types), strict=True):
+            out = out.append_column(field.split()[0], pa.array([] if found is None else [value], t))
+        return out
+
+    return runs.groupBy(*key).applyInArrow(of, ", ".join([*named, measured]))
+
+
+def _measures(runs: profiles.Runs, width: int, height: int) -> tuple | None:
+    """by0, columns, top, bottom and the lines (keen, plain, above) of a page; None without rules enough."""
+    bx0, by0, bx1, by1 = profiles.border(runs, width, height, SOLID, MARGIN, LEAST_SIDE)
+    ink = profiles.column_ink(runs, bx0, bx1, by0, by1)
+    rules = profiles.column_rules(ink, bx0, by1 - by0, RULE_SHARE, RULE_OF_BEST, BEST_PERCENT, SECOND_SHARE, SECOND_OF_FIRST, ENOUGH_RULES, RULE_GAP)
+    ends = [e for e in (profiles.rule_extent(runs, r, HALF_RULE, EXTENT_GAP) for r in rules) if e]
+    if len(rules) < 2 or not ends:
+        return None
+    top, bottom = (math.floor(profiles.percentile(np.array(e), 0.5)) for e in zip(*ends, strict=True))
+    if bottom - top < LEAST_TABLE:
+        return None
+
+    def lines(start: int, percent: float) -> list[int]:
+        return profiles.text_lines(profiles.row_ink(runs, rules[0], rules[-1], start, bottom), start, percent, SMOOTH, LINE_GAP, max(LEAST_LINE, 2 * SMOOTH))
+
+    return by0, rules, top, bottom, lines(by0, KEEN), lines(top, PLAIN), lines(by0, PLAIN) if by0 >= top else []
+
+
 def table_grids(ink: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:
     """key, columns, top, bottom, edges, pitch, chosen: the table on each page that has one.
 
     Rules bound the table; a comb is fitted to the lines within, and another, with a keener eye, to all lines above its end; ``choose_comb`` decides.
-    ``ink`` should be merged and turned upright before. What is measured (runs, rules, lines, combs) is a few rows a page but for the ink, and each is cut from
-    what it was made of, since several later steps ask for it.
+    ``ink`` should be merged and turned upright before. It is asked for many times over: a page's runs stand together and are measured in arrays, in one go. What
+    is measured (rules, lines, combs) is a few rows a page, cut from what it was made of, since several later steps ask for it.
     """
-    ink = cut(ink)
-    boxes = cut(border(ink, sizes, key))
-    rules = cut(column_rules(column_profile(ink, boxes, key), boxes.select(*key, (F.col("by1") - F.col("by0")).alias("height")), key))
-    per = rules.groupBy(*key).agg(F.array_sort(F.collect_list("rule")).alias("columns")).where(F.size("columns") >= 2)
-    ends = rule_extents(ink, rules, key).groupBy(*key).agg(*[F.floor(F.percentile(c, F.lit(0.5))).cast("int").alias(c) for c in ("top", "bottom")])
-    per = cut(per.join(ends, key).where(F.col("bottom") - F.col("top") >= LEAST_TABLE).join(boxes.select(*key, "by0"), key))
-    span = [F.col("columns")[0].alias("bx0"), F.element_at("columns", -1).alias("bx1"), F.col("bottom").alias("by1")]
+    per = cut(_measured(ink, sizes, key))
     bounds = per.select(*key, "top", "bottom", "by0")
-    high = per.where("by0 >= top")  # tables that begin above the sheet's border
-    full = row_profile(ink, per.select(*key, *span, "by0"), key)
-    keen = cut(text_lines(full, key, KEEN))
-    plain = text_lines(row_profile(ink, per.select(*key, *span, F.col("top").alias("by0")), key), key, PLAIN)
-    plain_above = text_lines(row_profile(ink, high.select(*key, *span, "by0"), key), key, PLAIN)
+    lines = lambda c: per.select(*key, F.explode(c).alias("line"))
+    keen, plain, plain_above = lines("keen"), lines("plain"), lines("above")
 
     def bounded(combs: DataFrame, low: str) -> DataFrame:
         edges = band_edges(F.col("pitch"), F.col("intercept"), F.col("first"), F.col("last"))

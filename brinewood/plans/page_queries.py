@@ -195,7 +195,7 @@ def page_comb_choice(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
 @query("lineitem", "supplier")
 def page_tables(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
     """Border, rules, extents, lines and combs together."""
-    return pages.table_grids(_ink(lineitem, supplier), _sizes(supplier), PAGE)
+    return pages.table_grids(_ink(lineitem, supplier, True), _sizes(supplier), PAGE)
 
 
 # --- tables from boxes -----------------------------------------------------------------------------------------------------

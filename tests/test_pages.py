@@ -4,8 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from brinewood.operators import pages
+from brinewood.operators import pages, profiles
 
 KEY = ["page"]
 
@@ -225,3 +226,32 @@ def test_border_reads_ink_once_and_writes_no_bare_rows(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 4, 9, 92, 195), (2, 4, 4, 45, 55), (3, 0, 0, 0, 0)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("explode(sequence(") == 1 and "coalesce(n#" not in plan
+
+
+def test_a_page_is_measured_in_arrays_as_in_rows(made):
+    """What ``table_grids`` takes of the ink in one go, no profile being written row by row, is what the operators on rows say."""
+    _, ink, sizes = made
+    measured = pages._measured(ink, sizes, KEY)
+    assert "explode" not in measured._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.page: r for r in measured.collect()}
+    boxes = pages.border(ink, sizes, KEY).cache()
+    assert {p: r.by0 for p, r in got.items()} == {r.page: r.by0 for r in boxes.collect() if r.page in got} and len(got) >= 3
+    rules = pages.column_rules(pages.column_profile(ink, boxes, KEY), boxes.selectExpr("page", "by1 - by0 AS height"), KEY).cache()
+    ends = {}
+    for r in pages.rule_extents(ink, rules, KEY).collect():
+        ends.setdefault(r.page, []).append((r.top, r.bottom))
+    by_page = lambda rows, c: {p: sorted(r[c] for r in rows if r.page == p) for p in got}
+    assert by_page(rules.collect(), "rule") == {p: r["columns"] for p, r in got.items()}
+    assert {p: (r.top, r.bottom) for p, r in got.items()} == {p: tuple(int(np.percentile(e, 50)) for e in zip(*ends[p], strict=True)) for p in got}
+    for name, start, percent in (("keen", "by0", pages.KEEN), ("plain", "top", pages.PLAIN)):
+        span = measured.selectExpr("page", "columns[0] AS bx0", "element_at(columns, -1) AS bx1", f"{start} AS by0", "bottom AS by1")
+        assert by_page(pages.text_lines(pages.row_profile(ink, span, KEY), KEY, percent).collect(), "line") == {p: r[name] for p, r in got.items()}
+
+
+def test_percentiles_and_rounding_are_sparks(spark):
+    values = [0, 3, 3, 7, 11, 12, 40, 41]
+    rows = spark.createDataFrame([(v,) for v in values], "v long")
+    for share in (0.5, 0.55, 0.7, 0.998):
+        assert rows.agg(F.percentile("v", F.lit(share))).first()[0] == profiles.percentile(np.array(values), share)
+    for n in (1, 3, 512, 1023):
+        assert spark.range(1).select(F.round(F.lit(n) / 1024, 9)).first()[0] == profiles.half_up(n / 1024, 9)
