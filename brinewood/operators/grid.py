@@ -22,7 +22,7 @@ from brinewood.functions.fuzzy import may_reach
 from brinewood.functions.lexical import best_ratio
 from brinewood.functions.text import fold, squeeze
 from brinewood.operators.layout import FOOTING_FROM, FOOTING_WIDTH, group_lines, row_bands
-from brinewood.sources.store import cut
+from brinewood.sources.store import cut, release
 
 #: Likeness of a heading, shares of heights and widths that must be shared, and slack in pixels and widths.
 HEADING_FLOOR, SAME_LINE, IN_COLUMN, COVERS, SAME_BOX, BESIDE, MARGIN, ORDINAL_REACH = 0.72, 0.3, 0.35, 0.5, 2.0, 2, 0.02, 0.05
@@ -31,7 +31,7 @@ NUMBER_CHARS, NUMBER_WIDTH = 3, 1.2
 #: Heading rows: cells at least, lines at most, share of the sheet they span, widest cell, and how far down they may be.
 CELLS, HEAD_LINES, SPAN, WIDEST_CELL, HEAD_UNTIL = 4, 4, 0.55, 0.22, 0.7
 
-#: Spellings of a heading up to which they are broadcast.
+#: Spellings of a heading, and headed pages, up to which they are broadcast.
 SPELLINGS = 50_000
 
 BOX = ("x0", "y0", "x1", "y1")
@@ -46,6 +46,13 @@ def _at(*names: str) -> list[Column]:
     return [F.col(n) for n in names]
 
 
+def beside(rows: DataFrame) -> DataFrame:
+    """A few rows a page, cut, to be joined with boxes: broadcast if they are few, else hashed, so that the boxes aren't sorted (and spilled) to meet them."""
+    rows = cut(rows)
+    release(rows.sparkSession)  # boxes that were shuffled for it
+    return F.broadcast(rows) if rows.count() <= SPELLINGS else rows.hint("shuffle_hash")
+
+
 def headings(boxes: DataFrame, key: list[str], wordings: tuple[str, ...], floor: float = HEADING_FLOOR) -> DataFrame:
     """key, hx0, hy0, hx1, hy1: the box of each page whose folded text is most like one of ``wordings`` (which are folded), if like enough."""
     rows = boxes.where(F.col("text").isNotNull()).withColumn("_f", squeeze(fold(F.col("text"), "lower")))
@@ -65,16 +72,17 @@ def columns(boxes: DataFrame, sizes: DataFrame, heads: DataFrame, key: list[str]
 
     The column ends where the nearest boxes on the heading's own line begin, read or not; a margin stands in for them.
     """
-    same = boxes.select(*key, *BOX).join(heads, key)
+    page = beside(heads.join(sizes.select(*key, "width"), key))
+    same = boxes.select(*key, *BOX).join(page, key)
     itself = F.greatest(*[F.abs(F.col(c) - F.col(f"h{c}")) for c in BOX]) <= SAME_BOX
     same = same.where(~itself & (shared(*_at("y0", "y1", "hy0", "hy1")) >= SAME_LINE * (F.col("hy1") - F.col("hy0"))))
     side = F.when(F.col("x1") <= F.col("hx0") + BESIDE, F.lit("left")).when(F.col("x0") >= F.col("hx1") - BESIDE, F.lit("right"))
     same = same.withColumn("_side", side).where(F.col("_side").isNotNull())
     left, right = F.col("_side") == "left", F.col("_side") == "right"
-    ends = same.groupBy(*key).agg(F.max(F.when(left, F.col("x1"))).alias("_left"), F.min(F.when(right, F.col("x0"))).alias("_right"))
-    page = heads.join(sizes.select(*key, "width"), key)
-    near = same.where(left).join(ends.select(*key, "_left"), key).join(page.select(*key, "width"), key).where(F.col("x1") >= F.col("_left") - ORDINAL_REACH * F.col("width"))
-    out = page.join(ends, key, "left").join(near.groupBy(*key).agg(F.min("x0").alias("o0")), key, "left")
+    ends = same.groupBy(*key).agg(F.max(F.when(left, F.col("x1"))).alias("_left"), F.min(F.when(right, F.col("x0"))).alias("_right"), F.collect_list(F.when(left, F.struct("x0", "x1"))).alias("_all"))
+    out = page.join(ends, key, "left")
+    near = F.filter("_all", lambda b: b["x1"] >= F.col("_left") - ORDINAL_REACH * F.col("width"))
+    out = out.withColumn("o0", F.array_min(F.transform(near, lambda b: b["x0"])))
     margin = MARGIN * F.col("width")
     out = out.select(*key, F.coalesce("_left", F.col("hx0") - margin).alias("n0"), F.coalesce("_right", F.col("hx1") + margin).alias("n1"), "o0", F.col("hy1").alias("top"))
     return out.withColumn("o1", F.when(F.col("o0").isNotNull(), F.col("n0")))
@@ -82,7 +90,7 @@ def columns(boxes: DataFrame, sizes: DataFrame, heads: DataFrame, key: list[str]
 
 def ordinals(boxes: DataFrame, cols: DataFrame, key: list[str]) -> DataFrame:
     """key, x0, y0, x1, y1, text: the printed numbers below the heading. One misread sign is forgiven; an unread box goes by place and size."""
-    rows = boxes.select(*key, *BOX, "text").join(cols.where("o0 is not null"), key).where(F.col("y0") > F.col("top"))
+    rows = boxes.select(*key, *BOX, "text").join(beside(cols.where("o0 is not null")), key).where(F.col("y0") > F.col("top"))
     wide = F.col("x1") - F.col("x0")
     rows = rows.where(shared(*_at("x0", "x1", "o0", "o1")) >= 0.5 * wide)
     signs = F.regexp_replace("text", r"[^\p{L}\p{N}_]", "")
@@ -93,7 +101,7 @@ def ordinals(boxes: DataFrame, cols: DataFrame, key: list[str]) -> DataFrame:
 
 def written(boxes: DataFrame, cols: DataFrame, sizes: DataFrame, key: list[str]) -> DataFrame:
     """key, x0, y0, x1, y1, text: boxes below the heading that lie in the headed column or cover half of it, the sheet's footing aside."""
-    rows = boxes.select(*key, *BOX, "text").join(cols, key).join(sizes.select(*key, "height"), key).where(F.col("y0") > F.col("top"))
+    rows = boxes.select(*key, *BOX, "text").join(beside(cols.join(sizes.select(*key, "height"), key)), key).where(F.col("y0") > F.col("top"))
     wide, column = F.col("x1") - F.col("x0"), F.col("n1") - F.col("n0")
     footing = (F.col("y0") > FOOTING_FROM * F.col("height")) & (wide > FOOTING_WIDTH * column)
     over = shared(*_at("x0", "x1", "n0", "n1"))
@@ -158,12 +166,12 @@ def lent(cols: DataFrame, sizes: DataFrame, key: list[str], group: list[str], pa
     return rows.select(*key, "_c.*", F.coalesce("top", F.lit(0.0)).alias("top"), F.coalesce("headed", F.lit(False)).alias("headed"))
 
 
-def tables(boxes: DataFrame, sizes: DataFrame, key: list[str], wordings: tuple[str, ...], floor: float = HEADING_FLOOR, group: list[str] | None = None, page: str | None = None) -> DataFrame:
+def tables(boxes: DataFrame, sizes: DataFrame, key: list[str], wordings: tuple[str, ...], floor: float = HEADING_FLOOR, group: list[str] | None = None, page: str | None = None, heads: DataFrame | None = None) -> DataFrame:
     """key, n, top, bottom, left, right (of its page's sides, 0 to 1), headed: a band for each ruled row of each page's table.
 
-    With ``group`` and ``page`` a page without a heading goes on with the columns of the pages before it.
+    With ``group`` and ``page`` a page without a heading goes on with the columns of the pages before it. ``heads``: the headings, if they were asked for before.
     """
-    found = columns(boxes, sizes, headings(boxes, key, wordings, floor), key)
+    found = columns(boxes, sizes, headings(boxes, key, wordings, floor) if heads is None else heads, key)
     found = cut(lent(cut(found), sizes, key, group, page) if group and page else found.withColumn("headed", F.lit(True)))  # asked for by what follows, several times
     marks = ordinals(boxes, found, key).withColumn("kind", F.lit("ordinal")).unionByName(written(boxes, found, sizes, key).withColumn("kind", F.lit("written")))
     bands = row_bands(cut(marks.join(sizes.select(*key, F.col("height").cast("double").alias("height")), key)), key)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from brinewood.operators import extract, grid, pages, strips
 from brinewood.plans.registry import LINES, query
+from brinewood.sources.store import cut
 
 PAGE = ["page"]
 WIDTH, HEIGHT = 560, 900
@@ -212,42 +213,48 @@ cols AS (SELECT page, coalesce(l, hx0 - 24) AS n0, coalesce(r, hx1 + 24) AS n1,
 _SHARED = "greatest(0, least(x1, {1}) - greatest(x0, {0}))"
 
 
-def _sheets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Boxes and sizes."""
-    lines = extract.lines_of(docs.select(F.col("doc_id").alias("page"), "text"), PAGE)
-    cells = lines.select("page", "pos", F.posexplode(F.filter(F.split("line", " "), lambda x: x != "")).alias("i", "word")).withColumn("n", F.length("word"))
+def _lines_of(docs: DataFrame) -> DataFrame:
+    return extract.lines_of(docs.select(F.col("doc_id").alias("page"), "text"), PAGE)
+
+
+def _boxes(docs: DataFrame) -> DataFrame:
+    cells = _lines_of(docs).select("page", "pos", F.posexplode(F.filter(F.split("line", " "), lambda x: x != "")).alias("i", "word")).withColumn("n", F.length("word"))
     x, y = F.col("i") * 100 + F.col("n") * 7 % 60, F.col("pos") * 30 + F.col("i") * 7 % 5
     place = {"x0": x, "y0": y, "x1": x + 8 * F.col("n"), "y1": y + 22}
-    boxes = cells.select("page", F.when(F.col("n") % 5 != 0, F.col("word")).alias("text"), *[c.cast("double").alias(k) for k, c in place.items()])
-    return boxes, lines.groupBy("page").agg(F.lit(1200.0).alias("width"), (30 * F.count(F.lit(1))).cast("double").alias("height"))
+    return cells.select("page", F.when(F.col("n") % 5 != 0, F.col("word")).alias("text"), *[c.cast("double").alias(k) for k, c in place.items()])
 
 
-def _columns(boxes: DataFrame, sizes: DataFrame) -> DataFrame:
-    return grid.columns(boxes, sizes, grid.headings(boxes, PAGE, WORDINGS, 1.0), PAGE)
+def _sheets(docs: DataFrame, floor: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Boxes, sizes and headings. Where headings are too many to broadcast, texts are shuffled by page before boxes, many times as large, are made of them."""
+    sizes = cut(_lines_of(docs).groupBy("page").agg(F.lit(1200.0).alias("width"), (30 * F.count(F.lit(1))).cast("double").alias("height")))
+    heads = cut(grid.headings(_boxes(docs), PAGE, WORDINGS, floor))
+    few = heads.count() <= grid.SPELLINGS
+    return _boxes(docs if few else docs.select("doc_id", "text").repartition("doc_id")), sizes, heads
 
 
 @query("documents", sql=f"WITH {_HEADED} SELECT page, n0, n1, o0, o1, top FROM cols")
 def sheet_columns(docs: DataFrame) -> DataFrame:
     """The column below the first heading that is written exactly."""
-    return _columns(*_sheets(docs)).select("page", "n0", "n1", "o0", "o1", "top")
+    return grid.columns(*_sheets(docs), PAGE).select("page", "n0", "n1", "o0", "o1", "top")
 
 
 @query("documents", sql=rf"WITH {_HEADED}, signs AS (SELECT b.*, n0, o0, o1, regexp_replace(text, '[^\p{{L}}\p{{N}}_]', '', 'g') AS s FROM boxes b JOIN cols USING (page) WHERE o0 IS NOT NULL AND y0 > top AND {_SHARED.format('o0', 'o1')} >= 0.5 * (x1 - x0)) SELECT page, x0, y0, x1, y1, text FROM signs WHERE CASE WHEN text IS NULL THEN x1 - x0 <= 1.2 * (o1 - o0) ELSE length(s) BETWEEN 1 AND 3 AND length(regexp_replace(s, '\P{{Nd}}', '', 'g')) >= length(s) - 1 END")
 def sheet_ordinals(docs: DataFrame) -> DataFrame:
-    boxes, sizes = _sheets(docs)
-    return grid.ordinals(boxes, _columns(boxes, sizes), PAGE)
+    boxes, sizes, heads = _sheets(docs)
+    return grid.ordinals(boxes, grid.columns(boxes, sizes, heads, PAGE), PAGE)
 
 
 @query("documents", sql=f"WITH {_HEADED} SELECT page, x0, y0, x1, y1, text FROM boxes JOIN cols USING (page) JOIN sheets USING (page) WHERE y0 > top AND NOT (y0 > 0.88 * height AND x1 - x0 > 2.5 * (n1 - n0)) AND ({_SHARED.format('n0', 'n1')} >= 0.35 * (x1 - x0) OR {_SHARED.format('n0', 'n1')} >= 0.5 * (n1 - n0))")
 def sheet_written_lines(docs: DataFrame) -> DataFrame:
-    boxes, sizes = _sheets(docs)
-    return grid.written(boxes, _columns(boxes, sizes), sizes, PAGE)
+    boxes, sizes, heads = _sheets(docs)
+    return grid.written(boxes, grid.columns(boxes, sizes, heads, PAGE), sizes, PAGE)
 
 
 @query("documents")
 def sheet_tables(docs: DataFrame) -> DataFrame:
     """Bands of rows below headings that are written nearly right."""
-    return grid.tables(*_sheets(docs), PAGE, WORDINGS, 0.8)
+    boxes, sizes, heads = _sheets(docs, 0.8)
+    return grid.tables(boxes, sizes, PAGE, WORDINGS, 0.8, heads=heads)
 
 
 @query("conversations")
