@@ -174,7 +174,7 @@ def tables(boxes: DataFrame, sizes: DataFrame, key: list[str], wordings: tuple[s
     found = columns(boxes, sizes, headings(boxes, key, wordings, floor) if heads is None else heads, key)
     found = cut(lent(cut(found), sizes, key, group, page) if group and page else found.withColumn("headed", F.lit(True)))  # asked for by what follows, several times
     marks = ordinals(boxes, found, key).withColumn("kind", F.lit("ordinal")).unionByName(written(boxes, found, sizes, key).withColumn("kind", F.lit("written")))
-    bands = row_bands(cut(marks.join(sizes.select(*key, F.col("height").cast("double").alias("height")), key)), key)
-    out = bands.join(found.select(*key, "n0", "n1", "headed"), key).join(sizes.select(*key, "width", "height"), key)
+    bands = row_bands(marks.join(beside(sizes.select(*key, F.col("height").cast("double").alias("height"))), key), key)
+    out = bands.join(beside(found.select(*key, "n0", "n1", "headed").join(sizes.select(*key, "width", "height"), key)), key)
     part = lambda c, of: (F.col(c) / F.col(of))
     return out.select(*key, "n", part("top", "height").alias("top"), part("bottom", "height").alias("bottom"), part("n0", "width").alias("left"), part("n1", "width").alias("right"), "headed")

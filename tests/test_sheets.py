@@ -17,7 +17,7 @@ def folder(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["sheet_columns", "sheet_ordinals", "sheet_written_lines"])
+@pytest.mark.parametrize("name", ["sheet_columns", "sheet_ordinals", "sheet_written_lines", "sheet_tables"])
 def test_many_headings_give_what_few_do(spark, folder, monkeypatch, name):
     few = sorted(map(str, QUERIES[name](spark, folder).collect()))
     monkeypatch.setattr(grid, "SPELLINGS", 5)
